@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as K
 
@@ -68,7 +69,7 @@ def one_line(text, n: int = K.EXAMPLE_CHARS) -> Column:
     return F.substring(F.replace(_c(text), F.lit("\n"), F.lit(" ")), 1, n)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_ascii(s: pd.Series) -> pd.Series:
     """C20 helper: accent-fold (NFKD, drop non-ASCII), lower-case, keep ``[a-z ]``, trim.
 
