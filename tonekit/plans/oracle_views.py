@@ -134,3 +134,26 @@ def battery_sql(view: str, keys: list[str], min_n: int, where: str = "TRUE",
         w = ", ".join(within)
         outs.append(f"ROUND(anger - sum(anger * n) OVER (PARTITION BY {w}) / sum(n) OVER (PARTITION BY {w}), 6) AS anger_dev")
     return f"SELECT {k}, {', '.join(outs)} FROM ({inner}) cells"
+
+
+def lexicon_sql(src: str, text: str = "text") -> str:
+    """DuckDB twin of ``scoring.lexicon_scores`` over the rows of ``src``."""
+    from ..operators.scoring import LEXICON, WEIGHTS
+
+    t = (f"trim(regexp_replace(regexp_replace({text}, '@[\\p{{L}}\\p{{N}}_]+', '@user', 'g'), "
+         f"'https?://\\S+', 'http', 'g'))")
+    inner = (f"SELECT s.*, regexp_extract_all(lower(_t), '[a-z]+') AS _w, "
+             f"ln(1 + (length(_t) - length(replace(_t, '!', '')))) AS _e, "
+             f"length(regexp_replace(_t, '[^A-Z]', '', 'g')) / greatest(length(_t), 1) AS _c "
+             f"FROM (SELECT x.*, {t} AS _t FROM ({src}) x) s")
+    logits = {}
+    for lab in list(K.EMOTIONS) + list(K.SENTIMENTS):
+        words = ", ".join(f"'{w}'" for w in LEXICON[lab])
+        b, wh, we, wc = WEIGHTS[lab]
+        hits = f"CAST(len(list_filter(_w, lambda w: list_contains([{words}], w))) AS DOUBLE)"
+        logits[lab] = f"({b} + {wh} * ln(1 + {hits}) + {we} * _e + {wc} * _c)"
+    emo = ", ".join(f"1.0 / (1.0 + exp(-{logits[e]})) AS {e}" for e in K.EMOTIONS)
+    m = f"greatest({', '.join(logits[s] for s in K.SENTIMENTS)})"
+    den = " + ".join(f"exp({logits[s]} - {m})" for s in K.SENTIMENTS)
+    sent = ", ".join(f"exp({logits[s]} - {m}) / ({den}) AS {s}" for s in K.SENTIMENTS)
+    return f"SELECT * EXCLUDE (_t, _w, _e, _c), {emo}, {sent} FROM ({inner}) f"

@@ -79,10 +79,17 @@ def posts(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
     return out
 
 
-def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str = "msg_id") -> DataFrame:
-    """Give each message the whole text of document ``key mod #documents``."""
+def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str = "msg_id",
+                         scored: bool = False) -> DataFrame:
+    """Give each message the whole text of document ``key mod #documents``; with
+    ``scored`` also the lexicon scores of that text, computed once per document
+    before the join rather than once per message."""
     docs = read_table(spark, root, "documents", ["doc_id", "text"])
     n_docs = docs.count()
+    if scored:
+        from ..operators.scoring import lexicon_scores
+
+        docs = lexicon_scores(docs)
     return (df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs)))
               .join(docs.withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc"))
 
