@@ -94,7 +94,7 @@ def register_top_months(spark, root):
     for col in ("civic", "polarizing"):
         # the calendar has one row per month: a small, bounded table
         w = Window.orderBy(F.desc(col), "mo")
-        top = cal_.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP_MONTHS)
+        top = cal_.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= TOP_MONTHS)
         top = top.select(F.lit(col).alias("ranked_by"), "mo", "rank", "civic", "polarizing")
         out = top if out is None else out.unionByName(top)
     return out

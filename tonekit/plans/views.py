@@ -112,8 +112,8 @@ def _handle(x) -> F.Column:
 def msgs(spark: SparkSession, root: str) -> DataFrame:
     e = read_table(spark, root, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
     u, i = F.col("user_id"), F.col("event_id")
-    tgt = _handle((u * 7 + i) % N_HANDLES)
-    tgt2 = _handle((u + i * 3) % N_HANDLES)
+    tgt = _handle((u * 7 + i % 3) % N_HANDLES)
+    tgt2 = _handle((u + (i % 2) * 5) % N_HANDLES)
     et = F.col("event_type")
     kind = i % 5
     text = (F.when(kind == 0, F.concat(F.lit("RT @"), tgt, F.lit(": "), et, F.lit(" news")))
