@@ -4,5 +4,6 @@ from .registry import ORACLE, QUERIES  # noqa: F401
 
 def load_all() -> None:
     """Import every query module so its queries register."""
-    from . import (age_queries, network_queries, panel_queries, rate_queries, register_queries,  # noqa: F401
+    from . import (age_queries, link_queries, network_queries, panel_queries, rate_queries,  # noqa: F401
+                   register_queries,
                    series_queries, time_queries)
