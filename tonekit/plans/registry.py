@@ -39,6 +39,8 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
+            out.append(F.transform(F.col(f"`{f.name}`"), lambda x: F.round(x.cast("double"), digits)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
