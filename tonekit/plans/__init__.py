@@ -6,4 +6,4 @@ def load_all() -> None:
     """Import every query module so its queries register."""
     from . import (age_queries, link_queries, network_queries, panel_queries, rate_queries,  # noqa: F401
                    register_queries,
-                   series_queries, time_queries, enrich_queries, shape_queries)
+                   series_queries, time_queries, enrich_queries, shape_queries, stream_queries)

@@ -110,7 +110,11 @@ def _handle(x) -> F.Column:
 
 
 def msgs(spark: SparkSession, root: str) -> DataFrame:
-    e = read_table(spark, root, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    return msgs_from_events(read_table(spark, root, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]))
+
+
+def msgs_from_events(e: DataFrame) -> DataFrame:
+    """The ``msgs`` projection of an events frame (batch or streaming)."""
     u, i = F.col("user_id"), F.col("event_id")
     tgt = _handle((u * 7 + i % 3) % N_HANDLES)
     tgt2 = _handle((u + (i % 2) * 5) % N_HANDLES)
