@@ -51,22 +51,33 @@ def negative_tone(neg=K.NEGATIVE_EMOTIONS, t: float = K.ANGRY_THRESHOLD) -> Colu
     return cond
 
 
+def text_flags(df: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """H1: one boolean column per named pattern, tested on the lower-cased text."""
+    d = df.select("*", F.lower(F.col(text)).alias("_low"))
+    return d.select(*[F.col(c) for c in df.columns],
+                    *[F.col("_low").rlike(portable(p)).alias(name) for name, p in patterns.items()])
+
+
 def add_registers(df: DataFrame, text: str = "text", group: str = "party", civic: str = K.CIVIC,
                   gratitude: str = K.GRATITUDE, outgroup: dict | None = None,
-                  pos=K.POSITIVE_EMOTIONS, neg=K.NEGATIVE_EMOTIONS) -> DataFrame:
+                  pos=K.POSITIVE_EMOTIONS, neg=K.NEGATIVE_EMOTIONS, flags_ready: bool = False) -> DataFrame:
     """H1/H2: regex flags on the lower-cased text; the out-group pattern depends on
-    the author's own group (no pattern -> FALSE)."""
+    the author's own group (no pattern -> FALSE).
+
+    With ``flags_ready`` the text flags (``civic_lang``, ``grat_lang`` and one
+    ``_og_<group>`` column per out-group pattern) were computed already -- e.g. once per
+    distinct text by :func:`text_flags` -- and only the group choice is made here."""
     outgroup = outgroup if outgroup is not None else {"Democrat": K.DEM_OUT, "Republican": K.REP_OUT}
-    low = F.lower(F.col(text))
+    if not flags_ready:
+        pats = {"civic_lang": civic, "grat_lang": gratitude, **{f"_og_{g}": p for g, p in outgroup.items()}}
+        df = text_flags(df, pats, text)
     og = None
-    for g, pat in outgroup.items():
+    for g in outgroup:
         cond = F.col(group) == g
-        og = F.when(cond, low.rlike(portable(pat))) if og is None else og.when(cond, low.rlike(portable(pat)))
+        og = F.when(cond, F.col(f"_og_{g}")) if og is None else og.when(cond, F.col(f"_og_{g}"))
     og = og.otherwise(F.lit(False)) if og is not None else F.lit(False)
     return (df.withColumn("positive_tone", positive_tone(pos, neg)).withColumn("negative_tone", negative_tone(neg))
-              .withColumn("civic_lang", low.rlike(portable(civic)))
-              .withColumn("grat_lang", low.rlike(portable(gratitude)))
-              .withColumn("outgroup", og))
+              .withColumn("outgroup", og).drop(*[f"_og_{g}" for g in outgroup]))
 
 
 def register_shares(df: DataFrame, keys: Sequence[str], min_n: int = 0) -> DataFrame:

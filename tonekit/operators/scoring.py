@@ -59,15 +59,14 @@ def _features(text: Column) -> dict[str, Column]:
     return {"words": words, "excl": F.log1p(excl.cast("double")), "caps": caps / n_chars}
 
 
-def lexicon_logits(text, labels: Sequence[str] = tuple(K.EMOTIONS) + tuple(K.SENTIMENTS)) -> dict[str, Column]:
-    """M5 inputs: one logit column per label from hits + punctuation + capitals."""
-    f = _features(F.col(text) if isinstance(text, str) else text)
+def lexicon_logits(words: Column, excl: Column, caps: Column,
+                   labels: Sequence[str] = tuple(K.EMOTIONS) + tuple(K.SENTIMENTS)) -> dict[str, Column]:
+    """M5 inputs: one logit column per label from word-list hits, punctuation and capitals."""
     out = {}
     for lab in labels:
-        lex = F.array(*[F.lit(w) for w in LEXICON[lab]])
-        hits = F.size(F.filter(f["words"], lambda w: F.array_contains(lex, w))).cast("double")
+        hits = F.size(F.filter(words, lambda w: w.isin(*LEXICON[lab]))).cast("double")
         b, wh, we, wc = WEIGHTS[lab]
-        out[lab] = F.lit(b) + F.lit(wh) * F.log1p(hits) + F.lit(we) * f["excl"] + F.lit(wc) * f["caps"]
+        out[lab] = F.lit(b) + F.lit(wh) * F.log1p(hits) + F.lit(we) * excl + F.lit(wc) * caps
     return out
 
 
@@ -88,12 +87,20 @@ def softmax(cols: Sequence[Column]) -> list[Column]:
 
 def lexicon_scores(df: DataFrame, text: str = "text") -> DataFrame:
     """M1/M2 (SQL path): 11 independent emotion probabilities (sigmoid) and three
-    sentiment probabilities (softmax) on the model-normalised text (C17)."""
-    norm = TX.model_input(text)
-    logits = lexicon_logits(norm)
-    emo = [sigmoid(logits[e]).alias(e) for e in K.EMOTIONS]
-    sent = [c.alias(n) for c, n in zip(softmax([logits[s] for s in K.SENTIMENTS]), K.SENTIMENTS)]
-    return df.select("*", *emo, *sent)
+    sentiment probabilities (softmax) on the model-normalised text (C17).
+
+    Built in stages (features, then logits, then probabilities) so each expensive
+    expression -- the word array above all -- is computed once per row; Catalyst keeps
+    such projections apart instead of inlining a non-cheap expression many times."""
+    labels = list(K.EMOTIONS) + list(K.SENTIMENTS)
+    t = df.select("*", TX.model_input(text).alias("_t"))
+    f = _features(F.col("_t"))
+    d = t.select(*[F.col(c) for c in df.columns], f["words"].alias("_w"), f["excl"].alias("_e"), f["caps"].alias("_c"))
+    logits = lexicon_logits(F.col("_w"), F.col("_e"), F.col("_c"), labels)
+    d = d.select(*[F.col(c) for c in df.columns], *[logits[l].alias(f"_l_{l}") for l in labels])
+    emo = [sigmoid(F.col(f"_l_{e}")).alias(e) for e in K.EMOTIONS]
+    sent = [c.alias(n) for c, n in zip(softmax([F.col(f"_l_{s}") for s in K.SENTIMENTS]), K.SENTIMENTS)]
+    return d.select(*[F.col(c) for c in df.columns], *emo, *sent)
 
 
 def score_record(df: DataFrame, labels: Sequence[str] = tuple(K.EMOTIONS) + tuple(K.SENTIMENTS),

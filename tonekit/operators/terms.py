@@ -17,10 +17,12 @@ from .series import window_offsets
 
 
 def token_counts(msgs: DataFrame, text: str = "text", ts: str = "ts", score: str = "anger",
-                 threshold: float = K.ANGRY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+                 threshold: float = K.ANGRY_THRESHOLD, tokens: str | None = None) -> tuple[DataFrame, DataFrame]:
     """I1 (first half): over messages whose score passes the threshold, the number of
-    messages containing each token per week, and the number of such messages per week."""
-    hot = msgs.filter(F.col(score) > threshold).select(cal.week_start(ts).alias("wk"), T.tokens(text).alias("_t"))
+    messages containing each token per week, and the number of such messages per week.
+    ``tokens`` names a column holding the distinct tokens already (C22 applied upstream)."""
+    toks = F.col(tokens) if tokens else T.tokens(text)
+    hot = msgs.filter(F.col(score) > threshold).select(cal.week_start(ts).alias("wk"), toks.alias("_t"))
     per_token = hot.select("wk", F.explode("_t").alias("token")).groupBy("wk", "token").agg(
         F.count(F.lit(1)).alias("c"))
     per_week = hot.groupBy("wk").agg(F.count(F.lit(1)).alias("m"))
@@ -29,12 +31,12 @@ def token_counts(msgs: DataFrame, text: str = "text", ts: str = "ts", score: str
 
 def distinctive_terms(msgs: DataFrame, peaks: DataFrame, text: str = "text", ts: str = "ts",
                       score: str = "anger", min_count: int = K.MIN_TERM_COUNT, top_words: int = K.TOP_WORDS,
-                      top_tags: int = K.TOP_TAGS) -> DataFrame:
+                      top_tags: int = K.TOP_TAGS, tokens: str | None = None) -> DataFrame:
     """Per peak week, tokens over-represented in the week vs the surrounding
     weeks (-6..+7, the week itself excluded), smoothed log ratio
     ``ln((cw+1)/nw) - ln((cb+1)/nb)``, ``cw >= min_count``; top words and top tags
     joined by spaces (ties: score desc, token asc)."""
-    per_token, per_week = token_counts(msgs, text, ts, score)
+    per_token, per_week = token_counts(msgs, text, ts, score, tokens=tokens)
     win = F.broadcast(window_offsets(peaks))  # bounded: k peaks x 14 weeks
     sizes = per_week.join(win, "wk").groupBy("peak").agg(
         F.greatest(F.lit(1), F.sum(F.when(F.col("in_peak"), F.col("m")).otherwise(0))).alias("nw"),
@@ -103,7 +105,7 @@ def label_lookup(df: DataFrame, labels: DataFrame | None, key: str = "wk", out:
 
 def spike_report(msgs: DataFrame, min_week_n: int = K.MIN_N_WEEK, k: int = K.TOP_SPIKES,
                  min_count: int = K.MIN_TERM_COUNT, labels: DataFrame | None = None,
-                 min_gap_days: int = K.MIN_GAP_DAYS) -> DataFrame:
+                 min_gap_days: int = K.MIN_GAP_DAYS, tokens: str | None = None) -> DataFrame:
     """The seismograph table: greedy peaks of excess over the rolling baseline, each
     described by its distinctive terms, its drivers and example, and a label."""
     from .series import baseline_and_spikes, greedy_peaks, weekly_series
@@ -111,6 +113,6 @@ def spike_report(msgs: DataFrame, min_week_n: int = K.MIN_N_WEEK, k: int = K.TOP
     series = baseline_and_spikes(weekly_series(msgs, min_n=min_week_n))
     peaks = greedy_peaks(series, k=k, min_gap_days=min_gap_days).select(
         "wk", "n", "anger", "baseline", "excess", "spike_score")
-    terms = distinctive_terms(msgs, peaks.select("wk"), min_count=min_count)
+    terms = distinctive_terms(msgs, peaks.select("wk"), min_count=min_count, tokens=tokens)
     drivers = peak_drivers(msgs, peaks.select("wk"))
     return label_lookup(peaks.join(terms, "wk", "left").join(drivers, "wk", "left"), labels)

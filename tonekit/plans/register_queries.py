@@ -28,8 +28,9 @@ POST_SCORES = ["anger", "negative", "disgust", "joy", "optimism", "fear", "sadne
 def register_view(spark, root):
     """Two-group posts with text, scored by the lexicon scorer, plus register flags."""
     d = analysis_posts(spark, root).filter(F.col("party").isin(*K.MAIN_GROUPS)).drop(*POST_SCORES)
-    d = attach_document_text(spark, root, d, scored=True).withColumn("mo", cal.month_start("ts"))
-    return RG.add_registers(d, civic=CIVIC_T, gratitude=GRAT_T, outgroup=OUT_T)
+    pats = {"civic_lang": CIVIC_T, "grat_lang": GRAT_T, **{f"_og_{g}": p for g, p in OUT_T.items()}}
+    d = attach_document_text(spark, root, d, scored=True, flags=pats).withColumn("mo", cal.month_start("ts"))
+    return RG.add_registers(d, outgroup=OUT_T, flags_ready=True)
 
 
 def _reg_sql() -> str:

@@ -47,14 +47,14 @@ def _series(body: str) -> str:
 
 
 def _series_posts(spark, root):
-    return S.baseline_and_spikes(S.weekly_series(analysis_posts(spark, root, with_text=True), min_n=MIN_WEEK))
+    return S.baseline_and_spikes(S.weekly_series(analysis_posts(spark, root), min_n=MIN_WEEK))
 
 
 @register("weekly_series", _series("""SELECT wk, n, ROUND(anger, 6) AS anger, ROUND(share_angry, 6) AS share_angry,
        ROUND(anger_dem, 6) AS anger_dem, ROUND(anger_rep, 6) AS anger_rep, n_dem, n_rep FROM w0"""))
 def weekly_series(spark, root):
     """The weekly battery with per-group means and counts, thin weeks dropped."""
-    return S.weekly_series(analysis_posts(spark, root, with_text=True), min_n=MIN_WEEK)
+    return S.weekly_series(analysis_posts(spark, root), min_n=MIN_WEEK)
 
 
 @register("rolling_baseline", _series("""SELECT wk, n, ROUND(anger, 6) AS anger, ROUND(baseline, 6) AS baseline,
@@ -111,9 +111,9 @@ drivers AS (SELECT v.wk, v.dem_excess, v.rep_excess,
 @register("spike_terms", _series(_TERMS_SQL + "\nSELECT wk, keywords, hashtags FROM terms"))
 def spike_terms(spark, root):
     """Distinctive words and tags of each peak week."""
-    d = analysis_posts(spark, root, with_text=True)
+    d = analysis_posts(spark, root, tokens=True)
     peaks = S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk")
-    return TM.distinctive_terms(d, peaks, min_count=MIN_TERM)
+    return TM.distinctive_terms(d, peaks, min_count=MIN_TERM, tokens="tokens")
 
 
 @register("driver_attribution", _series(_TERMS_SQL + """
@@ -133,8 +133,8 @@ SELECT p.wk, p.n, ROUND(p.anger, 6) AS anger, ROUND(p.baseline, 6) AS baseline,
 FROM peaks p LEFT JOIN terms t USING (wk) LEFT JOIN drivers r USING (wk)"""))
 def seismograph(spark, root):
     """The full spike table."""
-    d = analysis_posts(spark, root, with_text=True)
-    return TM.spike_report(d, min_week_n=MIN_WEEK, min_count=MIN_TERM)
+    d = analysis_posts(spark, root, tokens=True)
+    return TM.spike_report(d, min_week_n=MIN_WEEK, min_count=MIN_TERM, tokens="tokens")
 
 
 @register("moving_mean", O.with_views("""SELECT mo, n, ROUND(anger, 6) AS anger,

@@ -80,16 +80,26 @@ def posts(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
 
 
 def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str = "msg_id",
-                         scored: bool = False) -> DataFrame:
-    """Give each message the whole text of document ``key mod #documents``; with
-    ``scored`` also the lexicon scores of that text, computed once per document
-    before the join rather than once per message."""
+                         scored: bool = False, tokens: bool = False, flags: dict | None = None) -> DataFrame:
+    """Give each message the whole text of document ``key mod #documents``.
+
+    Text features are computed once per document, before the join, rather than once
+    per message that reuses the text: ``scored`` adds the lexicon scores, ``tokens``
+    the distinct-token array, ``flags`` one boolean per named pattern."""
     docs = read_table(spark, root, "documents", ["doc_id", "text"])
     n_docs = docs.count()
     if scored:
         from ..operators.scoring import lexicon_scores
 
         docs = lexicon_scores(docs)
+    if tokens:
+        from ..functions.text import tokens as tok
+
+        docs = docs.withColumn("tokens", tok("text"))
+    if flags:
+        from ..operators.registers import text_flags
+
+        docs = text_flags(docs, flags)
     return (df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs)))
               .join(docs.withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc"))
 
@@ -149,12 +159,15 @@ def msgs_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-def analysis_posts(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
+def analysis_posts(spark: SparkSession, root: str, with_text: bool = False, tokens: bool = False) -> DataFrame:
     """The analysis view ``d``: scored posts with calendar, election-cycle, age and
     tenure features, restricted to messages written in office."""
     from ..operators.enrich import add_age, add_calendar, add_in_office
 
-    p = add_calendar(posts(spark, root, with_text))
+    p = posts(spark, root)
+    if with_text or tokens:
+        p = attach_document_text(spark, root, p, tokens=tokens)
+    p = add_calendar(p)
     p = add_age(p)
     p = add_in_office(p, author_terms(spark, root), person="author")
     return p.filter("in_office")
