@@ -84,8 +84,7 @@ def tokens(text, pattern: str = K.TOKEN_PATTERN, stop=K.STOP_WORDS) -> Column:
     handles removed first, stop words dropped (a tag is checked without its ``#``)."""
     t = rx_replace(F.lower(_c(text)), K.LINK + "|@" + UWORD + "+", " ")
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    stop_arr = F.array(*[F.lit(w) for w in sorted(set(stop))])
-    kept = F.filter(found, lambda w: ~F.array_contains(stop_arr, F.regexp_replace(w, F.lit("^#+"), F.lit(""))))
+    kept = F.filter(found, lambda w: ~F.regexp_replace(w, F.lit("^#+"), F.lit("")).isin(*sorted(set(stop))))
     return F.array_distinct(kept)
 
 
