@@ -58,7 +58,7 @@ def clustered_slope(df: DataFrame, group: str | Sequence[str], y: str, x: str, c
     per_cluster = c.groupBy(*g, cluster).agg(F.sum(F.col("_w") * F.col("_xt") * F.col("_yt")).alias("_a"),
                                              F.sum(F.col("_w") * F.col("_xt") * F.col("_xt")).alias("_b"))
     tot = per_cluster.groupBy(*g).agg(F.sum("_a").alias("_sxy"), F.sum("_b").alias("_sxx"))
-    tot = tot.withColumn("_slope", F.col("_sxy") / F.col("_sxx"))
+    tot = tot.withColumn("_slope", F.try_divide(F.col("_sxy"), F.col("_sxx")))
     meat = per_cluster.join(sized_broadcast(tot.select(*g, "_slope")), g).groupBy(*g).agg(
         F.sum(F.pow(F.col("_a") - F.col("_slope") * F.col("_b"), 2)).alias("_meat"))
     out = sizes.join(tot, g).join(meat, g)
@@ -69,10 +69,10 @@ def clustered_slope(df: DataFrame, group: str | Sequence[str], y: str, x: str, c
     else:
         k = F.lit(2)
     nn, gg = F.col("n"), F.col("clusters")
-    factor = gg / (gg - 1) * (nn - 1) / (nn - k)
-    se = F.sqrt(factor * F.col("_meat") / (F.col("_sxx") * F.col("_sxx")))
+    factor = F.try_divide(gg, gg - 1) * F.try_divide(nn - 1, nn - k)
+    se = F.sqrt(F.try_divide(factor * F.col("_meat"), F.col("_sxx") * F.col("_sxx")))
     return out.select(*g, "n", "clusters", (F.col("_slope") * scale).alias("slope"), (se * scale).alias("se"),
-                      (F.col("_slope") / se).alias("z"))
+                      F.try_divide(F.col("_slope"), se).alias("z"))
 
 
 @F.pandas_udf(T.DoubleType())

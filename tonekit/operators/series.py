@@ -62,7 +62,7 @@ def baseline_and_spikes(series: DataFrame, score: str = "anger", by: Sequence[st
     excess) and each group's own excess over its rolling median."""
     out = series.withColumn("baseline", rolling_median(score, by, width=width, min_periods=min_periods))
     out = out.withColumn("excess", F.col(score) - F.col("baseline"))
-    out = out.withColumn("spike_score", F.col("excess") / rolling_std("excess", by, width=sd_width, min_periods=sd_min))
+    out = out.withColumn("spike_score", F.try_divide(F.col("excess"), rolling_std("excess", by, width=sd_width, min_periods=sd_min)))
     for g in group_scores:
         tag = g.split("_")[-1]
         out = out.withColumn(f"{tag}_excess", F.col(g) - rolling_median(g, by, width=width, min_periods=min_periods))
@@ -131,4 +131,4 @@ def running_totals(df: DataFrame, by: Sequence[str], flag: str, ts: str = "ts",
 
 def scale_by_max(x: str, by: Sequence[str] = ()) -> Column:
     """divide by the largest absolute value of the (aggregated) series."""
-    return F.col(x) / F.max(F.abs(x)).over(Window.partitionBy(*by))
+    return F.try_divide(F.col(x), F.max(F.abs(x)).over(Window.partitionBy(*by)))

@@ -125,8 +125,8 @@ _QLIST = "CAST([" + ", ".join(str(q) for q in _QS) + "] AS DOUBLE[])"
 
 
 @register("age_quantiles", _e(f"""SELECT q, ROUND(v, 6) AS v FROM (
-  SELECT unnest({_QLIST}) AS q, unnest(quantile_cont(age_at_tweet, {_QLIST})) AS v FROM (
-""" + _E_BODY.replace("@SRC@", "SELECT * FROM en") + ") x) y"))
+  SELECT unnest({_QLIST}) AS q,
+         unnest(quantile_cont(date_diff('day', birthday, CAST(ts AS DATE)) / 365.25, {_QLIST})) AS v FROM en) y"""))
 def age_quantiles(spark, root):
     """Exact interpolated quantiles of age at message time."""
     e = enriched(spark, root)

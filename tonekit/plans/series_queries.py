@@ -33,7 +33,7 @@ w1 AS (SELECT *, CASE WHEN count(anger) OVER w13 >= 5 THEN median(anger) OVER w1
               CASE WHEN count(anger_rep) OVER w13 >= 5 THEN median(anger_rep) OVER w13 END AS base_rep
        FROM w0 WINDOW w13 AS (ORDER BY wk ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
 w2 AS (SELECT *, anger - baseline AS excess, anger_dem - base_dem AS dem_excess, anger_rep - base_rep AS rep_excess FROM w1),
-w3 AS (SELECT *, excess / CASE WHEN count(excess) OVER w52 >= 20 THEN stddev_samp(excess) OVER w52 END AS spike_score
+w3 AS (SELECT *, excess / nullif(CASE WHEN count(excess) OVER w52 >= 20 THEN stddev_samp(excess) OVER w52 END, 0) AS spike_score
        FROM w2 WINDOW w52 AS (ORDER BY wk ROWS BETWEEN 26 PRECEDING AND 25 FOLLOWING)),
 picked AS (SELECT unnest(list_reduce(c, lambda acc, x: CASE WHEN len(acc) < {K.TOP_SPIKES}
                    AND len(list_filter(acc, lambda a: abs(date_diff('day', a, x.p)) < {K.MIN_GAP_DAYS})) = 0
@@ -174,7 +174,7 @@ def sign_consistency(spark, root):
     return B.sign_consistency(_month_cells(spark, root), ["month"])
 
 
-@register("scaled_curve", O.with_views(f"""SELECT month, ROUND(dev, 6) AS dev, ROUND(dev / max(abs(dev)) OVER (), 6) AS scaled
+@register("scaled_curve", O.with_views(f"""SELECT month, ROUND(dev, 6) AS dev, ROUND(dev / nullif(max(abs(dev)) OVER (), 0), 6) AS scaled
 FROM (SELECT month, sum(anger_dev * n) / sum(n) AS dev FROM ({_MONTH_CELLS}) x GROUP BY month) y""", d=O.D_POSTS))
 def scaled_curve(spark, root):
     """N-weighted mean deviation curve over years, scaled by its max |value|."""
