@@ -2,9 +2,12 @@
 (B1-B3, B12, C1-C7, D2-D5, F1, L4-L6).
 
 Everything is a narrow projection except three joins: the literal zone table
-(broadcast, fixed size), the author table (sized broadcast, else shuffle) and the
-tenure table, which is first folded to one array row per person so that the
-interval test is an expression and the join cannot multiply rows.
+(broadcast, fixed size), the author table and the tenure table.  The latter two are
+derived tables of people, joined without a hint: AQE measures them when their stage
+materialises and broadcasts them below the runtime threshold, else keeps a
+sort-merge join and splits skewed (hot-author) partitions.  The tenure table is
+first folded to one array row per person, so the interval test is an expression
+and the join cannot multiply rows.
 """
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import calendar as cal
-from .joins import fixed_broadcast, sized_broadcast
+from .joins import fixed_broadcast
 
 
 def normalise_chamber(chamber="chamber") -> F.Column:
@@ -96,7 +99,6 @@ def add_in_office(df: DataFrame, terms: DataFrame, person: str = "author", ts: s
     at most), left-joined on the person key and tested with ``exists``; the join is
     one-to-one, so messages are never duplicated and AQE can split a hot author."""
     per_person = fold_terms(terms, person, start, end)
-    per_person = sized_broadcast(per_person)
     d = F.to_date(F.col(ts))
     joined = df.join(per_person, person, "left")
     flag = F.coalesce(F.exists("_terms", lambda t: d.between(t["s"], t["e"])), F.lit(False))
@@ -112,7 +114,7 @@ def enrich_messages(spark: SparkSession, messages: DataFrame, authors: DataFrame
     m = dedup_first(m, id_col, [source])
     a = authors.filter(F.col("is_congress") & F.col("birthday").isNotNull()).select(
         handle, "bioguide", "birthday", "gender")
-    m = m.join(sized_broadcast(a), handle)
+    m = m.join(a, handle)
     m = m.filter(F.col("ts") >= F.lit(K.EARLIEST_VALID_TS).cast("timestamp_ntz"))
     m = add_zone_hour(m, zone_table(spark))
     m = add_calendar(m)

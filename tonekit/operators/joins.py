@@ -1,4 +1,14 @@
-"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it."""
+"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it.
+
+The library's own joins against derived tables (authors, aliases, per-group means)
+carry no hint: with AQE on, Spark measures each such table when its stage
+materialises and converts the join to a broadcast only when the measured size is
+under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` -- a checked size with the
+sort-merge join (and skew splitting) as the way beyond it, and no second pass over
+the data to count it.  Explicit broadcasts are kept for tables whose size is fixed
+by construction (:func:`fixed_broadcast`).  :func:`sized_broadcast` is for callers
+holding a cheap-to-count dimension read from storage.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame

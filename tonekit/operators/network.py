@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as TX
-from .joins import sized_broadcast
 from .rates import latest
 
 
@@ -41,7 +40,7 @@ def retweet_edges(df: DataFrame, alias: DataFrame, person: str = "author", text:
         rt = rt.filter(~F.col(year).isin(*exclude_years))
     rt = rt.select(F.col(person).alias("src"), F.col(score).alias("_s"),
                    F.lower(TX.rx_group(text, K.RETWEET_TARGET)).alias("h"))
-    a = sized_broadcast(alias)
+    a = alias
     return rt.join(a, "h").groupBy("src", F.col("id").alias("dst")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_s").alias(score))
 
@@ -54,7 +53,7 @@ def dot_edges(df: DataFrame, alias: DataFrame, person: str = "author", text: str
         F.col(person).alias("src"), F.col(score).alias("_s"),
         F.explode(TX.rx_all(text, K.DOT_MENTION)).alias("h"))
     m = m.withColumn("h", F.lower("h"))
-    return m.join(sized_broadcast(alias), "h").groupBy("src", F.col("id").alias("dst")).agg(
+    return m.join(alias, "h").groupBy("src", F.col("id").alias("dst")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_s").alias(score))
 
 
@@ -66,7 +65,7 @@ def member_edges(edges: DataFrame, nodes: DataFrame, min_n: int = K.MIN_EDGE, gr
     a = nodes.select(F.col("id").alias("src"), F.col(group).alias("sp"))
     b = nodes.select(F.col("id").alias("dst"), F.col(group).alias("dp"))
     e = edges.filter((F.col("src") != F.col("dst")) & (F.col("n") >= min_n))
-    e = e.join(sized_broadcast(a), "src").join(sized_broadcast(b), "dst")
+    e = e.join(a, "src").join(b, "dst")
     cross = (F.col("sp") != F.col("dp")) & F.col("sp").isin(*main) & F.col("dp").isin(*main)
     return e.withColumn("is_cross", F.coalesce(cross, F.lit(False))).select("src", "dst", "n", "anger", "sp", "dp", "is_cross")
 
@@ -156,9 +155,9 @@ def mention_kinds(df: DataFrame, alias: DataFrame, nodes: DataFrame, person: str
              .when(t.rlike(r"@\w"), "mention"))
     m = df.filter(~TX.is_retweet(text)).select(person, group, flag, kind.alias("kind"),
                                                F.lower(TX.rx_group(text, r"@(\w+)")).alias("h"))
-    m = m.filter(F.col("kind").isNotNull()).join(sized_broadcast(alias), "h")
+    m = m.filter(F.col("kind").isNotNull()).join(alias, "h")
     tgt = nodes.select(F.col("id"), F.col(group).alias("tg"))
-    m = m.join(sized_broadcast(tgt), "id")
+    m = m.join(tgt, "id")
     rel = (F.when((F.col(group) == F.col("tg")), "same")
             .when(F.col(group).isin(*main) & F.col("tg").isin(*main), "cross").otherwise("other"))
     return m.groupBy("kind", rel.alias("relation")).agg(F.count(F.lit(1)).alias("n"), F.avg(flag).alias("share_angry"))

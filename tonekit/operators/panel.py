@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import sized_broadcast
 
 
 def _cols(x) -> list[str]:
@@ -53,13 +52,13 @@ def clustered_slope(df: DataFrame, group: str | Sequence[str], y: str, x: str, c
     centre_keys = g + _cols(absorb)
     means = d.groupBy(*centre_keys).agg((F.sum(F.col("_w") * F.col(x)) / F.sum("_w")).alias("_mx"),
                                         (F.sum(F.col("_w") * F.col(y)) / F.sum("_w")).alias("_my"))
-    c = d.join(sized_broadcast(means), centre_keys)
+    c = d.join(means, centre_keys)
     c = c.withColumn("_xt", F.col(x) - F.col("_mx")).withColumn("_yt", F.col(y) - F.col("_my"))
     per_cluster = c.groupBy(*g, cluster).agg(F.sum(F.col("_w") * F.col("_xt") * F.col("_yt")).alias("_a"),
                                              F.sum(F.col("_w") * F.col("_xt") * F.col("_xt")).alias("_b"))
     tot = per_cluster.groupBy(*g).agg(F.sum("_a").alias("_sxy"), F.sum("_b").alias("_sxx"))
     tot = tot.withColumn("_slope", F.try_divide(F.col("_sxy"), F.col("_sxx")))
-    meat = per_cluster.join(sized_broadcast(tot.select(*g, "_slope")), g).groupBy(*g).agg(
+    meat = per_cluster.join(tot.select(*g, "_slope"), g).groupBy(*g).agg(
         F.sum(F.pow(F.col("_a") - F.col("_slope") * F.col("_b"), 2)).alias("_meat"))
     out = sizes.join(tot, g).join(meat, g)
     if absorb and absorb == cluster:
@@ -91,7 +90,7 @@ def panel_cells(df: DataFrame, unit: str, period: str, y: str, x: str, min_n: in
     """E14/D6/F17 input: per (unit, period) cell, the mean of ``y`` minus the period
     mean over all rows, the mean of ``x`` and the row count; cells under ``min_n`` dropped."""
     pm = df.groupBy(period).agg(F.avg(y).alias("_pm"))
-    d = df.join(sized_broadcast(pm), period)
+    d = df.join(pm, period)
     return d.groupBy(unit, period).agg(F.avg(F.col(y) - F.col("_pm")).alias(f"{y}_dev"), F.avg(x).alias(x),
                                        F.count(F.lit(1)).alias("n"), *extra).filter(F.col("n") >= min_n)
 
