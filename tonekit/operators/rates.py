@@ -112,7 +112,7 @@ def rate_lookup(requests: DataFrame, cells: DataFrame, member_cells: DataFrame,
         F.coalesce(F.when(use_m, F.col("_mn")), F.col("_gn"), F.lit(0)).cast("long").alias("n"),
         F.when(use_m, desc_m).when(F.col("_gn").isNotNull(), desc_g)
          .otherwise(F.lit("no data for that combination")).alias("description"),
-    )
+    ).withColumn("verdict", verdict("p"))
 
 
 def statement(df: DataFrame, author: str, who, bands: Sequence[str], era_label: str,

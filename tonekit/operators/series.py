@@ -132,3 +132,8 @@ def running_totals(df: DataFrame, by: Sequence[str], flag: str, ts: str = "ts",
 def scale_by_max(x: str, by: Sequence[str] = ()) -> Column:
     """divide by the largest absolute value of the (aggregated) series."""
     return F.try_divide(F.col(x), F.max(F.abs(x)).over(Window.partitionBy(*by)))
+
+
+def upper_band(x: str = "anger", base: str = "baseline") -> Column:
+    """Elementwise max of the series and its baseline (the shaded excess band)."""
+    return F.greatest(F.col(x), F.col(base))

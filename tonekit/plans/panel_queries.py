@@ -114,8 +114,11 @@ def _volume(spark, root):
     per = per.withColumn("tweets_per_day", F.col("n") / F.col("active_days")).withColumn(
         "tweets_per_year", F.col("tweets_per_day") * F.lit(K.DAYS_PER_YEAR))
     nm = latest(d, "author", ["author_name", "party", "state"])
+    per = per.withColumn("angry_per_day", F.col("tweets_per_day") * F.col("share_angry")).withColumn(
+        "calm_per_day", F.col("tweets_per_day") * (F.lit(1.0) - F.col("share_angry")))  # B20
     return per.join(nm, "author").select("author", F.col("author_name").alias("name"), "party", "state", "n",
-                                         "active_days", "tweets_per_year", "tweets_per_day", "share_angry")
+                                         "active_days", "tweets_per_year", "tweets_per_day", "share_angry",
+                                         "angry_per_day", "calm_per_day")
 
 
 _VOL = f"""SELECT author, arg_max(author_name, (ts, msg_id)) AS name, arg_max(party, (ts, msg_id)) AS party,
@@ -124,17 +127,18 @@ _VOL = f"""SELECT author, arg_max(author_name, (ts, msg_id)) AS name, arg_max(pa
        count(*) / (date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1) * {K.DAYS_PER_YEAR} AS tweets_per_year,
        count(*) / (date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1) AS tweets_per_day,
        avg(CAST(anger > 0.5 AS INTEGER)) AS share_angry FROM m GROUP BY author"""
+_VOL_COLS = """author, name, party, state, n, active_days, ROUND(tweets_per_year, 6) AS tweets_per_year,
+       ROUND(tweets_per_day, 6) AS tweets_per_day, ROUND(share_angry, 6) AS share_angry,
+       ROUND(tweets_per_day * share_angry, 6) AS angry_per_day, ROUND(tweets_per_day * (1.0 - share_angry), 6) AS calm_per_day"""
 
 
-@register("volume_rate", O.with_views("""SELECT author, name, party, state, n, active_days, ROUND(tweets_per_year, 6) AS tweets_per_year,
-       ROUND(tweets_per_day, 6) AS tweets_per_day, ROUND(share_angry, 6) AS share_angry FROM v""", m=O.MSGS, v=_VOL))
+@register("volume_rate", O.with_views(f"SELECT {_VOL_COLS} FROM v", m=O.MSGS, v=_VOL))
 def volume_rate(spark, root):
     """Per author volume (per day over the active span, per year) and angry share."""
     return _volume(spark, root)
 
 
-@register("loudest", O.with_views(f"""SELECT author, name, party, state, n, active_days, ROUND(tweets_per_year, 6) AS tweets_per_year,
-       ROUND(tweets_per_day, 6) AS tweets_per_day, ROUND(share_angry, 6) AS share_angry FROM v WHERE n >= {VOLUME_MIN}
+@register("loudest", O.with_views(f"""SELECT {_VOL_COLS} FROM v WHERE n >= {VOLUME_MIN}
 ORDER BY tweets_per_year DESC, author LIMIT 12""", m=O.MSGS, v=_VOL))
 def loudest(spark, root):
     """The 12 most prolific authors above a volume floor."""

@@ -83,7 +83,8 @@ _MONTH_REG = f"""SELECT mo, avg(CAST(positive_tone AND civic_lang AS INTEGER)) A
        avg(CAST(negative_tone AND outgroup AS INTEGER)) AS polarizing FROM r GROUP BY mo HAVING count(*) >= {MIN_MONTH}"""
 
 
-@register("register_top_months", _r(f"""SELECT ranked_by, mo, rank, ROUND(civic, 6) AS civic, ROUND(polarizing, 6) AS polarizing
+@register("register_top_months", _r(f"""SELECT ranked_by, mo, strftime(mo, '%b %Y') AS label, rank, ROUND(civic, 6) AS civic,
+       ROUND(polarizing, 6) AS polarizing
 FROM (SELECT 'civic' AS ranked_by, mo, row_number() OVER (ORDER BY civic DESC, mo) AS rank, civic, polarizing FROM ({_MONTH_REG}) c
       UNION ALL
       SELECT 'polarizing', mo, row_number() OVER (ORDER BY polarizing DESC, mo), civic, polarizing FROM ({_MONTH_REG}) c) x
@@ -96,7 +97,8 @@ def register_top_months(spark, root):
         # the calendar has one row per month: a small, bounded table
         w = Window.orderBy(F.desc(col), "mo")
         top = cal_.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= TOP_MONTHS)
-        top = top.select(F.lit(col).alias("ranked_by"), "mo", "rank", "civic", "polarizing")
+        top = top.select(F.lit(col).alias("ranked_by"), "mo", cal.month_label("mo").alias("label"), "rank",
+                         "civic", "polarizing")
         out = top if out is None else out.unionByName(top)
     return out
 

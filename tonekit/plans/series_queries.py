@@ -59,11 +59,11 @@ def weekly_series(spark, root):
 
 @register("rolling_baseline", _series("""SELECT wk, n, ROUND(anger, 6) AS anger, ROUND(baseline, 6) AS baseline,
        ROUND(excess, 6) AS excess, ROUND(spike_score, 6) AS spike_score, ROUND(dem_excess, 6) AS dem_excess,
-       ROUND(rep_excess, 6) AS rep_excess FROM w3"""))
+       ROUND(rep_excess, 6) AS rep_excess, ROUND(greatest(anger, baseline), 6) AS upper FROM w3"""))
 def rolling_baseline(spark, root):
     """Centred rolling median baseline, excess, spike score, group excess."""
     return _series_posts(spark, root).select("wk", "n", "anger", "baseline", "excess", "spike_score",
-                                             "dem_excess", "rep_excess")
+                                             "dem_excess", "rep_excess", S.upper_band().alias("upper"))
 
 
 @register("spikes_greedy", _series("""SELECT wk, n, ROUND(anger, 6) AS anger, ROUND(baseline, 6) AS baseline,

@@ -28,10 +28,12 @@ def _m(body: str) -> str:
     return O.with_views(body, m=O.MSGS_LOCAL)
 
 
-@register("year_battery", _d(O.battery_sql("d", ["year"], MIN_N)))
+@register("year_battery", _d(O.battery_sql("d", ["year"], MIN_N).replace(
+    " FROM (SELECT year,", ", ROUND(1.96 * anger_se, 6) AS anger_ci FROM (SELECT year,", 1)))
 def year_battery(spark, root):
-    """G1: the mean battery by year."""
-    return B.mean_battery(analysis_posts(spark, root), ["year"], min_n=MIN_N)
+    """The mean battery by year with the 95 % half-width."""
+    cells = B.mean_battery(analysis_posts(spark, root), ["year"], min_n=MIN_N)
+    return cells.withColumn("anger_ci", B.error_bar())
 
 
 @register("year_party_battery", _d(O.battery_sql("d", ["year", "party"], MIN_N, MAIN)))
