@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import text as TX
@@ -128,6 +129,19 @@ def match_report(linked: DataFrame, top: int = 30, handle: str = "author_handle"
     return counts, unmatched
 
 
+# A4: explicit schema of a legislator record (no inference pass over many files; missing
+# nested fields read as NULL instead of disappearing from the inferred type).
+LEGISLATOR_SCHEMA = T.StructType([
+    T.StructField("id", T.StructType([T.StructField("bioguide", T.StringType())])),
+    T.StructField("bio", T.StructType([T.StructField("birthday", T.StringType()),
+                                       T.StructField("gender", T.StringType())])),
+    T.StructField("name", T.StructType([T.StructField(f, T.StringType())
+                                        for f in ("first", "last", "nickname", "official_full")])),
+    T.StructField("terms", T.ArrayType(T.StructType([T.StructField(f, T.StringType())
+                                                     for f in ("type", "start", "end", "state", "party")]))),
+])
+
+
 def explode_terms(people_json: DataFrame) -> DataFrame:
     """One row per (person, term) from nested legislator records."""
     t = people_json.select(F.col("id.bioguide").alias("bioguide"), F.explode("terms").alias("t"))
