@@ -142,7 +142,7 @@ def hubs(nodes: DataFrame, k: int = 3, group: str = "party") -> DataFrame:
     score = F.col("rt_in") + F.lit(K.HUB_DOT_WEIGHT) * F.col("dot_in")
     w = Window.partitionBy(group).orderBy(score.desc(), "id")
     return (nodes.withColumn("hub", score).withColumn("rank", F.row_number().over(w).cast("long"))
-                 .filter(F.col("rank") <= k).select(group, "rank", "id", "name", "hub"))
+                 .filter(F.col("rank") <= k).select(group, "rank", "id", "name", TX.last_first("name").alias("label"), "hub"))
 
 
 def mention_kinds(df: DataFrame, alias: DataFrame, nodes: DataFrame, person: str = "author", text: str = "text",

@@ -151,7 +151,7 @@ def edge_buckets(spark, root):
     return _net(spark, root)[4].groupBy(N.edge_bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@register("hub_ranking", _q("""SELECT party, rank, id, name, hub FROM (
+@register("hub_ranking", _q("""SELECT party, rank, id, name, string_split_regex(trim(name), '\\s+')[-1] AS label, hub FROM (
   SELECT party, id, name, rt_in + 4 * dot_in AS hub,
          row_number() OVER (PARTITION BY party ORDER BY rt_in + 4 * dot_in DESC, id) AS rank FROM deg) h WHERE rank <= 3"""))
 def hub_ranking(spark, root):

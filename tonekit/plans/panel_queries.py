@@ -62,7 +62,8 @@ def ols_pvalues(spark, root):
 
 def _fe_cells(spark, root):
     d = age_view(spark, root)
-    cells = P.panel_cells(d, "author", "year", "anger", "age_at_tweet", CELL_MIN)
+    cells = P.panel_cells(d, "author", "year", "anger", "age_at_tweet", CELL_MIN,
+                          extra=[F.min("party").alias("party")])  # E6: any value, made repeatable
     return P.long_span_units(cells, "author", "year")
 
 
@@ -94,10 +95,11 @@ def fe_wls(spark, root):
 
 @register("panel_cells", O.with_views(f"""
 , y AS (SELECT year, avg(anger) AS ymean FROM a GROUP BY 1),
-wp AS (SELECT author, a.year, avg(anger - ymean) AS anger_dev, avg(age_at_tweet) AS age_at_tweet, count(*) AS n
+wp AS (SELECT author, a.year, avg(anger - ymean) AS anger_dev, avg(age_at_tweet) AS age_at_tweet, count(*) AS n,
+              min(party) AS party
        FROM a JOIN y USING (year) GROUP BY 1, 2 HAVING count(*) >= {CELL_MIN}),
 keep AS (SELECT author FROM wp GROUP BY author HAVING max(year) - min(year) >= 5 AND count(*) >= 6)
-SELECT author, year, ROUND(anger_dev, 6) AS anger_dev, ROUND(age_at_tweet, 6) AS age_at_tweet, n
+SELECT author, year, ROUND(anger_dev, 6) AS anger_dev, ROUND(age_at_tweet, 6) AS age_at_tweet, n, party
 FROM wp JOIN keep USING (author)""", a=AGE).replace(")\n\n, y AS", "),\ny AS"))
 def panel_cells(spark, root):
     """The author-year cells kept for the fixed-effects fit."""
