@@ -20,14 +20,19 @@ _WORD = "A-Za-z0-9_"
 
 
 def portable(pattern: str) -> str:
-    """``\\b`` spelled as explicit ASCII word boundaries, so the Java engine (whose
-    ``\\b`` counts accented letters as word characters) agrees with RE2 and with the
-    reference on non-English text.  A boundary before a word is ``(?:^|[^\\w])``,
-    after a word ``(?:[^\\w]|$)`` (both ASCII ``\\w``)."""
-    start = f"(?:^|[^{_WORD}])"
-    end = f"(?:[^{_WORD}]|$)"
-    out = re.sub(r"\\b(?=[A-Za-z(\[])", lambda _: start, pattern)
-    return out.replace(r"\b", end)
+    """``\\b`` spelled as explicit ASCII word boundaries for the Java engine, whose own
+    ``\\b`` counts accented letters as word characters; this way Spark agrees with
+    RE2 (the reference's SQL engine) on non-English text.  Zero-width lookarounds keep
+    the scan fast: ``(?<![A-Za-z0-9_])`` before a word, ``(?![A-Za-z0-9_])`` after it."""
+    out = re.sub(r"\\b(?=[A-Za-z(\[])", lambda _: f"(?<![{_WORD}])", pattern)
+    return out.replace(r"\b", f"(?![{_WORD}])")
+
+
+def portable_re2(pattern: str) -> str:
+    """The same boundaries for engines without lookarounds (RE2): consuming classes
+    ``(?:^|[^...])`` / ``(?:[^...]|$)`` -- equal as a match test."""
+    out = re.sub(r"\\b(?=[A-Za-z(\[])", lambda _: f"(?:^|[^{_WORD}])", pattern)
+    return out.replace(r"\b", f"(?:[^{_WORD}]|$)")
 
 
 def positive_tone(pos=K.POSITIVE_EMOTIONS, neg=K.NEGATIVE_EMOTIONS, t: float = K.ANGRY_THRESHOLD) -> Column:

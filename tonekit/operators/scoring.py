@@ -95,7 +95,10 @@ def lexicon_scores(df: DataFrame, text: str = "text") -> DataFrame:
     labels = list(K.EMOTIONS) + list(K.SENTIMENTS)
     t = df.select("*", TX.model_input(text).alias("_t"))
     f = _features(F.col("_t"))
-    d = t.select(*[F.col(c) for c in df.columns], f["words"].alias("_w"), f["excl"].alias("_e"), f["caps"].alias("_c"))
+    vocab = sorted({w for lab in labels for w in LEXICON[lab]})
+    # keep only lexicon words (one InSet pass); the per-label counts then scan a tiny array
+    d = t.select(*[F.col(c) for c in df.columns], F.filter(f["words"], lambda w: w.isin(*vocab)).alias("_w"),
+                 f["excl"].alias("_e"), f["caps"].alias("_c"))
     logits = lexicon_logits(F.col("_w"), F.col("_e"), F.col("_c"), labels)
     d = d.select(*[F.col(c) for c in df.columns], *[logits[l].alias(f"_l_{l}") for l in labels])
     emo = [sigmoid(F.col(f"_l_{e}")).alias(e) for e in K.EMOTIONS]

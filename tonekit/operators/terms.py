@@ -31,20 +31,42 @@ def token_counts(msgs: DataFrame, text: str = "text", ts: str = "ts", score: str
 
 def distinctive_terms(msgs: DataFrame, peaks: DataFrame, text: str = "text", ts: str = "ts",
                       score: str = "anger", min_count: int = K.MIN_TERM_COUNT, top_words: int = K.TOP_WORDS,
-                      top_tags: int = K.TOP_TAGS, tokens: str | None = None) -> DataFrame:
+                      top_tags: int = K.TOP_TAGS, tokens: str | None = None,
+                      threshold: float = K.ANGRY_THRESHOLD, materialize: bool = True) -> DataFrame:
     """Per peak week, tokens over-represented in the week vs the surrounding
     weeks (-6..+7, the week itself excluded), smoothed log ratio
     ``ln((cw+1)/nw) - ln((cb+1)/nb)``, ``cw >= min_count``; top words and top tags
-    joined by spaces (ties: score desc, token asc)."""
-    per_token, per_week = token_counts(msgs, text, ts, score, tokens=tokens)
+    joined by spaces (ties: score rounded to 9 dp desc, then token asc).
+
+    Plan: (1) count tokens of the peak weeks only and keep those reaching the floor
+    -- the only tokens that can be reported; (2) count the surrounding weeks for those
+    candidate tokens alone (a semi-join before the shuffle), pre-aggregated to
+    (week, token) before meeting the bounded window table."""
+    toks = F.col(tokens) if tokens else T.tokens(text)
+    hot = msgs.filter(F.col(score) > threshold).select(cal.week_start(ts).alias("wk"), toks.alias("_t"))
     win = F.broadcast(window_offsets(peaks))  # bounded: k peaks x 14 weeks
+    weeks = win.select("wk").distinct()
+    in_win = hot.join(F.broadcast(weeks), "wk", "left_semi")  # bounded list of weeks
+    if materialize:
+        # read by three branches below: tokenise once, keep in the shared checkpoint folder
+        in_win = in_win.checkpoint()
+    per_week = in_win.groupBy("wk").agg(F.count(F.lit(1)).alias("m"))
     sizes = per_week.join(win, "wk").groupBy("peak").agg(
         F.greatest(F.lit(1), F.sum(F.when(F.col("in_peak"), F.col("m")).otherwise(0))).alias("nw"),
         F.greatest(F.lit(1), F.sum(F.when(~F.col("in_peak"), F.col("m")).otherwise(0))).alias("nb"))
-    counts = per_token.join(win, "wk").groupBy("peak", "token").agg(
-        F.sum(F.when(F.col("in_peak"), F.col("c")).otherwise(0)).alias("cw"),
-        F.sum(F.when(~F.col("in_peak"), F.col("c")).otherwise(0)).alias("cb"))
-    scored = counts.filter(F.col("cw") >= min_count).join(sizes, "peak").withColumn(
+    peak_weeks = peaks.select(F.col("wk"))
+    cand = (in_win.join(F.broadcast(peak_weeks), "wk", "left_semi")
+                  .select(F.col("wk").alias("peak"), F.explode("_t").alias("token"))
+                  .groupBy("peak", "token").agg(F.count(F.lit(1)).alias("cw"))
+                  .filter(F.col("cw") >= min_count))
+    cand_tokens = cand.select("token").distinct()
+    per_token = (in_win.select("wk", F.explode("_t").alias("token"))
+                       .join(cand_tokens, "token", "left_semi")
+                       .groupBy("wk", "token").agg(F.count(F.lit(1)).alias("c")))
+    around = per_token.join(win.filter(~F.col("in_peak")), "wk").groupBy("peak", "token").agg(
+        F.sum("c").alias("cb"))
+    counts = cand.join(around, ["peak", "token"], "left").withColumn("cb", F.coalesce(F.col("cb"), F.lit(0)))
+    scored = counts.join(sizes, "peak").withColumn(
         "score", F.log((F.col("cw") + 1) / F.col("nw")) - F.log((F.col("cb") + 1) / F.col("nb")))
     scored = scored.withColumn("is_tag", F.col("token").startswith("#"))
     # equal ratios computed along different paths differ in the last bit; rank on 9 decimals

@@ -35,13 +35,13 @@ def register_view(spark, root):
 
 def _reg_sql() -> str:
     low = "lower(text)"
-    og = " ".join(f"WHEN party = '{g}' THEN regexp_matches({low}, '{RG.portable(p)}')" for g, p in OUT_T.items())
+    og = " ".join(f"WHEN party = '{g}' THEN regexp_matches({low}, '{RG.portable_re2(p)}')" for g, p in OUT_T.items())
     pos = "(" + " OR ".join(f"{e} > 0.5" for e in K.POSITIVE_EMOTIONS) + ") AND " + " AND ".join(
         f"{e} <= 0.5" for e in K.NEGATIVE_EMOTIONS)
     neg = " OR ".join(f"{e} > 0.5" for e in K.NEGATIVE_EMOTIONS)
     src = f"SELECT * EXCLUDE ({', '.join(POST_SCORES)}) FROM ({O.D_POSTS_TEXT}) p WHERE party IN ('Democrat', 'Republican')"
     return f"""SELECT s.*, CAST(date_trunc('month', ts) AS DATE) AS mo, ({pos}) AS positive_tone, ({neg}) AS negative_tone,
-       regexp_matches({low}, '{RG.portable(CIVIC_T)}') AS civic_lang, regexp_matches({low}, '{RG.portable(GRAT_T)}') AS grat_lang,
+       regexp_matches({low}, '{RG.portable_re2(CIVIC_T)}') AS civic_lang, regexp_matches({low}, '{RG.portable_re2(GRAT_T)}') AS grat_lang,
        CASE {og} ELSE FALSE END AS outgroup
 FROM ({O.lexicon_sql(src)}) s"""
 

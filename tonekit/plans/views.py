@@ -100,6 +100,13 @@ def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str
         from ..operators.registers import text_flags
 
         docs = text_flags(docs, flags)
+    if scored or tokens or flags:
+        # the feature table is read by several branches of one plan: compute it once and
+        # keep it in the shared checkpoint folder instead of re-deriving it per branch
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        docs = docs.checkpoint()
     return (df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs)))
               .join(docs.withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc"))
 
