@@ -11,9 +11,10 @@ aggregations however many rows a group holds:
     var(b)   = G/(G-1) * (N-1)/(N-K) * sum_c s_c^2 / (sum w x~^2)^2
 
 with N rows, G clusters and K parameters of the full dummy model (the small-sample
-factor is the usual one of cluster-robust OLS software).  Pass 1 computes group
-means, pass 2 the per-cluster sums A_c, B_c, pass 3 the per-group totals -- each a
-grouped aggregate, with only the small means table joined back.
+factor is the usual one of cluster-robust OLS software).  Pass 1 computes the
+means, pass 2 the per-cluster sums A_c, B_c, pass 3 reduces them per group to the
+five sums the slope and the meat need -- each a grouped aggregate, with only the
+means table joined back on its keys.
 """
 from __future__ import annotations
 
@@ -31,47 +32,55 @@ def _cols(x) -> list[str]:
     return [] if x is None else ([x] if isinstance(x, str) else list(x))
 
 
-def clustered_slope(df: DataFrame, group: str | Sequence[str], y: str, x: str, cluster: str,
+def clustered_slope(df: DataFrame, group: str | Sequence[str] | None, y: str, x: str, cluster: str,
                     absorb: str | None = None, weight: str | None = None, min_rows: int = 0,
                     scale: float = 1.0) -> DataFrame:
-    """Per ``group``, the OLS (or WLS with ``weight``) slope of ``y`` on
-    ``x`` with standard error clustered by ``cluster``.
+    """Per ``group`` (or over all rows when ``group`` is empty), the OLS
+    -- or WLS with ``weight`` -- slope of ``y`` on ``x`` with standard error clustered
+    by ``cluster``.
 
     ``absorb`` names a categorical regressor (F16) or fixed-effect unit (F17) whose
     dummies are partialled out by centring within it.  Returns group, n, clusters,
-    slope, se, z (times ``scale``; z is unscaled).  Rows with NULL y, x, cluster or
-    absorb are dropped; groups under ``min_rows`` rows are skipped."""
+    slope, se, z (slope and se times ``scale``).  Rows with NULL y, x, cluster, absorb
+    or weight are dropped; groups under ``min_rows`` rows are skipped.
+
+    Joins only on real keys: means go back to the rows on (group, absorb); the
+    cluster sums A_c, B_c are reduced per group to sum A, sum B, sum A^2, sum AB,
+    sum B^2, from which slope and meat follow without another pass."""
     g = _cols(group)
+    centre_keys = g + _cols(absorb)
+    if not centre_keys:
+        raise ValueError("clustered_slope needs a group or an absorbed category to centre within")
     need = [y, x, cluster] + _cols(absorb) + _cols(weight)
     d = df.select(*g, *need).dropna(subset=need)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    d = d.withColumn("_w", w)
-    sizes = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("clusters"),
-                              *([F.count_distinct(absorb).alias("_cats")] if absorb else []))
-    sizes = sizes.filter(F.col("n") >= min_rows)
-    centre_keys = g + _cols(absorb)
+    d = d.withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
     means = d.groupBy(*centre_keys).agg((F.sum(F.col("_w") * F.col(x)) / F.sum("_w")).alias("_mx"),
                                         (F.sum(F.col("_w") * F.col(y)) / F.sum("_w")).alias("_my"))
     c = d.join(means, centre_keys)
     c = c.withColumn("_xt", F.col(x) - F.col("_mx")).withColumn("_yt", F.col(y) - F.col("_my"))
     per_cluster = c.groupBy(*g, cluster).agg(F.sum(F.col("_w") * F.col("_xt") * F.col("_yt")).alias("_a"),
-                                             F.sum(F.col("_w") * F.col("_xt") * F.col("_xt")).alias("_b"))
-    tot = per_cluster.groupBy(*g).agg(F.sum("_a").alias("_sxy"), F.sum("_b").alias("_sxx"))
-    tot = tot.withColumn("_slope", F.try_divide(F.col("_sxy"), F.col("_sxx")))
-    meat = per_cluster.join(tot.select(*g, "_slope"), g).groupBy(*g).agg(
-        F.sum(F.pow(F.col("_a") - F.col("_slope") * F.col("_b"), 2)).alias("_meat"))
-    out = sizes.join(tot, g).join(meat, g)
-    if absorb and absorb == cluster:
-        k = F.col("_cats") + 1  # fixed effects: one dummy per unit (incl. the intercept) + slope
+                                             F.sum(F.col("_w") * F.col("_xt") * F.col("_xt")).alias("_b"),
+                                             F.count(F.lit(1)).alias("_rows"))
+    a, b = F.col("_a"), F.col("_b")
+    tot = per_cluster.groupBy(*g).agg(
+        F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("clusters"), F.sum(a).alias("_sxy"),
+        F.sum(b).alias("_sxx"), F.sum(a * a).alias("_saa"), F.sum(a * b).alias("_sab"), F.sum(b * b).alias("_sbb"))
+    if absorb and absorb != cluster:
+        cats = means.groupBy(*g).agg(F.count(F.lit(1)).alias("_cats"))  # categories present per group
+        tot = tot.join(cats, g)
+        k = F.col("_cats") + 1          # intercept + (C - 1) dummies + slope
     elif absorb:
-        k = F.col("_cats") + 1  # intercept + (C - 1) dummies + slope
+        k = F.col("clusters") + 1       # one effect per unit (absorbs the intercept) + slope
     else:
         k = F.lit(2)
+    tot = tot.filter(F.col("n") >= min_rows).withColumn("_slope", F.try_divide(F.col("_sxy"), F.col("_sxx")))
+    slope = F.col("_slope")
+    meat = F.greatest(F.col("_saa") - 2 * slope * F.col("_sab") + slope * slope * F.col("_sbb"), F.lit(0.0))
     nn, gg = F.col("n"), F.col("clusters")
     factor = F.try_divide(gg, gg - 1) * F.try_divide(nn - 1, nn - k)
-    se = F.sqrt(F.try_divide(factor * F.col("_meat"), F.col("_sxx") * F.col("_sxx")))
-    return out.select(*g, "n", "clusters", (F.col("_slope") * scale).alias("slope"), (se * scale).alias("se"),
-                      F.try_divide(F.col("_slope"), se).alias("z"))
+    se = F.sqrt(F.try_divide(factor * meat, F.col("_sxx") * F.col("_sxx")))
+    return tot.select(*g, "n", "clusters", (slope * scale).alias("slope"), (se * scale).alias("se"),
+                      F.try_divide(slope, se).alias("z"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -108,8 +117,7 @@ def within_unit_slope(cells: DataFrame, unit: str, y: str, x: str, weight: str =
                       min_units: int = 20, scale: float = 10.0) -> DataFrame:
     """fixed-effects WLS of ``y`` on ``x`` with one effect per unit, weights
     ``weight``, errors clustered by unit; NULL estimates when fewer than ``min_units``."""
-    c = cells.withColumn("_all", F.lit(1))
-    res = clustered_slope(c, "_all", y, x, unit, absorb=unit, weight=weight, scale=scale)
+    res = clustered_slope(cells, None, y, x, unit, absorb=unit, weight=weight, scale=scale)
     return res.select(F.col("clusters").alias("members"), F.col("n").alias("member_years"),
                       F.when(F.col("clusters") >= min_units, F.col("slope")).alias("slope_per_decade"),
                       F.when(F.col("clusters") >= min_units, F.col("se")).alias("se"),
