@@ -120,3 +120,18 @@ def enrich_messages(spark: SparkSession, messages: DataFrame, authors: DataFrame
     m = add_calendar(m)
     m = add_age(m)
     return add_in_office(m, terms, person="bioguide")
+
+
+def scored_view(messages: DataFrame, scores: DataFrame | None = None, id_col: str = "msg_id",
+                years: tuple[int, int] | None = None, in_office: str | None = "in_office",
+                score: str = "anger", threshold: float = K.ANGRY_THRESHOLD) -> DataFrame:
+    """The analysis view every result table starts from: enriched messages joined to
+    their scores on the id (D1, a fact-to-fact shuffle join -- bucket both tables by
+    the id to remove it), kept when written in office and inside a year range, with
+    the 0/1 flag of the score passing the threshold (B9, B11)."""
+    d = messages if scores is None else messages.join(scores, id_col)
+    if in_office:
+        d = d.filter(F.col(in_office))
+    if years:
+        d = d.filter(F.col("year").between(*years))
+    return d.withColumn("is_angry", (F.col(score) > F.lit(threshold)).cast("int"))

@@ -42,8 +42,9 @@ def _h(expr: str) -> str:
     return f"('U' || CAST({expr} AS VARCHAR))"
 
 
-_TGT = _h(f"(user_id * 7 + event_id % 3) % {N_HANDLES}")
-_TGT2 = _h(f"(user_id + (event_id % 2) * 5) % {N_HANDLES}")
+_BLOCK = f"(user_id - user_id % {N_HANDLES})"
+_TGT = _h(f"{_BLOCK} + (user_id * 7 + event_id % 3) % {N_HANDLES}")
+_TGT2 = _h(f"{_BLOCK} + (user_id + (event_id % 2) * 5) % {N_HANDLES}")
 _STATES = ["NY", "CA", "TX", "AZ", "HI", "GUAM", "MARIANA", "ZZ"]
 _CHAMBERS = ["Senate", "senator", "House", "representative"]
 _ANGER = "(value / (value + 50))"

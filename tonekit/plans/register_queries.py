@@ -63,6 +63,12 @@ def register_shares(spark, root):
     return RG.register_shares(register_view(spark, root), ["year", "party"])
 
 
+@register("register_month_party", _r(f"SELECT mo, party, {SHARES} FROM r GROUP BY mo, party"))
+def register_month_party(spark, root):
+    """H3: the register shares by month and group."""
+    return RG.register_shares(register_view(spark, root), ["mo", "party"])
+
+
 @register("outgroup_lexicon", _r("""SELECT party, count(*) AS n, count_if(outgroup) AS outgroup_msgs,
        count_if(civic_lang) AS civic_msgs FROM r GROUP BY party"""))
 def outgroup_lexicon(spark, root):

@@ -133,8 +133,9 @@ def msgs(spark: SparkSession, root: str) -> DataFrame:
 def msgs_from_events(e: DataFrame) -> DataFrame:
     """The ``msgs`` projection of an events frame (batch or streaming)."""
     u, i = F.col("user_id"), F.col("event_id")
-    tgt = _handle((u * 7 + i % 3) % N_HANDLES)
-    tgt2 = _handle((u + (i % 2) * 5) % N_HANDLES)
+    block = u - u % N_HANDLES  # mentions stay within the author's block of N_HANDLES users
+    tgt = _handle(block + (u * 7 + i % 3) % N_HANDLES)
+    tgt2 = _handle(block + (u + (i % 2) * 5) % N_HANDLES)
     et = F.col("event_type")
     kind = i % 5
     text = (F.when(kind == 0, F.concat(F.lit("RT @"), tgt, F.lit(": "), et, F.lit(" news")))
@@ -169,7 +170,7 @@ def msgs_from_events(e: DataFrame) -> DataFrame:
 def analysis_posts(spark: SparkSession, root: str, with_text: bool = False, tokens: bool = False) -> DataFrame:
     """The analysis view ``d``: scored posts with calendar, election-cycle, age and
     tenure features, restricted to messages written in office."""
-    from ..operators.enrich import add_age, add_calendar, add_in_office
+    from ..operators.enrich import add_age, add_calendar, add_in_office, scored_view
 
     p = posts(spark, root)
     if with_text or tokens:
@@ -177,7 +178,7 @@ def analysis_posts(spark: SparkSession, root: str, with_text: bool = False, toke
     p = add_calendar(p)
     p = add_age(p)
     p = add_in_office(p, author_terms(spark, root), person="author")
-    return p.filter("in_office")
+    return scored_view(p)  # scores are already joined in ``posts``; the test years need no range
 
 
 def local_msgs(spark: SparkSession, root: str) -> DataFrame:
