@@ -54,7 +54,8 @@ def mean_battery(
     aggs.extend(extra)
     if se_of:
         aggs.append((F.stddev_samp(se_of) / F.sqrt(F.count(F.lit(1)))).alias(f"{se_of}_se"))
-    return df.groupBy(*keys).agg(*aggs).filter(F.col("n") >= min_n).orderBy(*keys)
+    out = df.groupBy(*keys).agg(*aggs).filter(F.col("n") >= min_n)
+    return out.orderBy(*keys) if keys else out
 
 
 def deviation_within(cells: DataFrame, within: str | Sequence[str], col: str = "anger",
