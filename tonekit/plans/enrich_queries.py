@@ -70,7 +70,8 @@ JOIN a au ON au.author_handle = t.author_handle
 LEFT JOIN ({O.ZONES}) z ON z.state = t.state_norm
 WHERE t.rn = 1 AND au.is_congress AND au.birthday IS NOT NULL AND t.ts >= TIMESTAMP '{K.EARLIEST_VALID_TS}'"""
 _E_BODY = """SELECT e.msg_id, e.bioguide, e.chamber, e.state, e.source_corpus, e.hour_local, e.hour_et, e.dow_et, e.month, e.season,
-       e.is_election_year, e.is_presidential, e.next_election, e.days_to_election, ROUND(e.cycle_phase, 6) AS cycle_phase,
+       e.is_election_year, e.is_presidential, e.next_election, CAST(e.days_to_election AS INTEGER) AS days_to_election,
+       ROUND(e.cycle_phase, 6) AS cycle_phase,
        ROUND(date_diff('day', e.birthday, CAST(e.ts AS DATE)) / 365.25, 6) AS age_at_tweet,
        EXISTS (SELECT 1 FROM tm WHERE tm.bioguide = e.bioguide AND CAST(e.ts AS DATE) BETWEEN tm.term_start AND tm.term_end)
          AS in_office

@@ -69,8 +69,8 @@ def register_month_party(spark, root):
     return RG.register_shares(register_view(spark, root), ["mo", "party"])
 
 
-@register("outgroup_lexicon", _r("""SELECT party, count(*) AS n, count_if(outgroup) AS outgroup_msgs,
-       count_if(civic_lang) AS civic_msgs FROM r GROUP BY party"""))
+@register("outgroup_lexicon", _r("""SELECT party, count(*) AS n, CAST(count_if(outgroup) AS BIGINT) AS outgroup_msgs,
+       CAST(count_if(civic_lang) AS BIGINT) AS civic_msgs FROM r GROUP BY party"""))
 def outgroup_lexicon(spark, root):
     """H2: the group-dependent out-group pattern, counted per group."""
     return register_view(spark, root).groupBy("party").agg(

@@ -167,8 +167,8 @@ def argmax_month(spark, root):
     return B.argmax_per_group(_month_cells(spark, root), "year", "anger_dev", ["month"])
 
 
-@register("sign_consistency", O.with_views(f"""SELECT month, count(*) AS groups, count_if(anger_dev > 0) AS above,
-       count_if(anger_dev < 0) AS below FROM ({_MONTH_CELLS}) x GROUP BY month""", d=O.D_POSTS))
+@register("sign_consistency", O.with_views(f"""SELECT month, count(*) AS groups, CAST(count_if(anger_dev > 0) AS BIGINT) AS above,
+       CAST(count_if(anger_dev < 0) AS BIGINT) AS below FROM ({_MONTH_CELLS}) x GROUP BY month""", d=O.D_POSTS))
 def sign_consistency(spark, root):
     """in how many years each month sits above / below its year mean."""
     return B.sign_consistency(_month_cells(spark, root), ["month"])
