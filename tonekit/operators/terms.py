@@ -127,14 +127,17 @@ def label_lookup(df: DataFrame, labels: DataFrame | None, key: str = "wk", out:
 
 def spike_report(msgs: DataFrame, min_week_n: int = K.MIN_N_WEEK, k: int = K.TOP_SPIKES,
                  min_count: int = K.MIN_TERM_COUNT, labels: DataFrame | None = None,
-                 min_gap_days: int = K.MIN_GAP_DAYS, tokens: str | None = None) -> DataFrame:
+                 min_gap_days: int = K.MIN_GAP_DAYS, tokens: str | None = None,
+                 materialize_terms: bool = True) -> DataFrame:
     """The seismograph table: greedy peaks of excess over the rolling baseline, each
     described by its distinctive terms, its drivers and example, and a label."""
     from .series import baseline_and_spikes, greedy_peaks, weekly_series
 
     series = baseline_and_spikes(weekly_series(msgs, min_n=min_week_n))
+    # at most k rows, read by four branches: materialise once (shared checkpoint folder)
     peaks = greedy_peaks(series, k=k, min_gap_days=min_gap_days).select(
-        "wk", "n", "anger", "baseline", "excess", "spike_score")
-    terms = distinctive_terms(msgs, peaks.select("wk"), min_count=min_count, tokens=tokens)
+        "wk", "n", "anger", "baseline", "excess", "spike_score").checkpoint()
+    terms = distinctive_terms(msgs, peaks.select("wk"), min_count=min_count, tokens=tokens,
+                              materialize=materialize_terms)
     drivers = peak_drivers(msgs, peaks.select("wk"))
     return label_lookup(peaks.join(terms, "wk", "left").join(drivers, "wk", "left"), labels)

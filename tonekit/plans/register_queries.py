@@ -25,11 +25,12 @@ TOP_MONTHS = 8
 POST_SCORES = ["anger", "negative", "disgust", "joy", "optimism", "fear", "sadness"]
 
 
-def register_view(spark, root):
+def register_view(spark, root, materialize: bool = False):
     """Two-group posts with text, scored by the lexicon scorer, plus register flags."""
     d = analysis_posts(spark, root).filter(F.col("party").isin(*K.MAIN_GROUPS)).drop(*POST_SCORES)
     pats = {"civic_lang": CIVIC_T, "grat_lang": GRAT_T, **{f"_og_{g}": p for g, p in OUT_T.items()}}
-    d = attach_document_text(spark, root, d, scored=True, flags=pats).withColumn("mo", cal.month_start("ts"))
+    d = attach_document_text(spark, root, d, scored=True, flags=pats, materialize=materialize)
+    d = d.withColumn("mo", cal.month_start("ts"))
     return RG.add_registers(d, outgroup=OUT_T, flags_ready=True)
 
 
@@ -169,7 +170,7 @@ SELECT mo, party, emo, regexp_replace(who0, '\\s+[DRI]-[A-Z]{{2}}$', '') AS who,
 @register("exemplars", _exemplar_sql())
 def exemplars(spark, root):
     """Per month, each group's most over-expressed emotion and its top message."""
-    r = register_view(spark, root)
+    r = register_view(spark, root, materialize=True)  # read twice: by the gaps and by the candidates
     gaps = RG.profile_distance(r, "mo", min_n=MIN_PROFILE)
     return RG.exemplars(r, gaps)
 

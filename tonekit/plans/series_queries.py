@@ -112,7 +112,7 @@ drivers AS (SELECT v.wk, v.dem_excess, v.rep_excess,
 def spike_terms(spark, root):
     """Distinctive words and tags of each peak week."""
     d = analysis_posts(spark, root, tokens=True)
-    peaks = S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk")
+    peaks = S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk").checkpoint()
     return TM.distinctive_terms(d, peaks, min_count=MIN_TERM, tokens="tokens")
 
 
@@ -122,7 +122,7 @@ FROM drivers"""))
 def driver_attribution(spark, root):
     """Which group drove each peak, and the peak week's top example."""
     d = analysis_posts(spark, root, with_text=True)
-    peaks = S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk")
+    peaks = S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk").checkpoint()
     return TM.peak_drivers(d, peaks)
 
 

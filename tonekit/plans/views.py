@@ -80,7 +80,8 @@ def posts(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
 
 
 def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str = "msg_id",
-                         scored: bool = False, tokens: bool = False, flags: dict | None = None) -> DataFrame:
+                         scored: bool = False, tokens: bool = False, flags: dict | None = None,
+                         materialize: bool = False) -> DataFrame:
     """Give each message the whole text of document ``key mod #documents``.
 
     Text features are computed once per document, before the join, rather than once
@@ -100,8 +101,8 @@ def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str
         from ..operators.registers import text_flags
 
         docs = text_flags(docs, flags)
-    if scored or tokens or flags:
-        # the feature table is read by several branches of one plan: compute it once and
+    if materialize and (scored or tokens or flags):
+        # when several branches of one plan read the feature table, compute it once and
         # keep it in the shared checkpoint folder instead of re-deriving it per branch
         from ..session import checkpoint_dir
 
@@ -167,14 +168,15 @@ def msgs_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-def analysis_posts(spark: SparkSession, root: str, with_text: bool = False, tokens: bool = False) -> DataFrame:
+def analysis_posts(spark: SparkSession, root: str, with_text: bool = False, tokens: bool = False,
+                   materialize: bool = False) -> DataFrame:
     """The analysis view ``d``: scored posts with calendar, election-cycle, age and
     tenure features, restricted to messages written in office."""
     from ..operators.enrich import add_age, add_calendar, add_in_office, scored_view
 
     p = posts(spark, root)
     if with_text or tokens:
-        p = attach_document_text(spark, root, p, tokens=tokens)
+        p = attach_document_text(spark, root, p, tokens=tokens, materialize=materialize)
     p = add_calendar(p)
     p = add_age(p)
     p = add_in_office(p, author_terms(spark, root), person="author")
