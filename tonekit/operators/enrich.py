@@ -99,10 +99,16 @@ def add_in_office(df: DataFrame, terms: DataFrame, person: str = "author", ts: s
     at most), left-joined on the person key and tested with ``exists``; the join is
     one-to-one, so messages are never duplicated and AQE can split a hot author."""
     per_person = fold_terms(terms, person, start, end)
-    d = F.to_date(F.col(ts))
     joined = df.join(per_person, person, "left")
-    flag = F.coalesce(F.exists("_terms", lambda t: d.between(t["s"], t["e"])), F.lit(False))
-    return joined.withColumn(out, flag).drop("_terms")
+    return joined.withColumn(out, in_office_flag("_terms", ts)).drop("_terms")
+
+
+def in_office_flag(terms_col: str = "_terms", ts: str = "ts") -> F.Column:
+    """D4 expression: does any (s, e) term of the folded array contain the UTC date of
+    ``ts``; use it when the folded terms were joined together with other per-person
+    attributes (one join of the messages instead of two)."""
+    d = F.to_date(F.col(ts))
+    return F.coalesce(F.exists(terms_col, lambda t: d.between(t["s"], t["e"])), F.lit(False))
 
 
 def enrich_messages(spark: SparkSession, messages: DataFrame, authors: DataFrame, terms: DataFrame,
@@ -112,14 +118,16 @@ def enrich_messages(spark: SparkSession, messages: DataFrame, authors: DataFrame
     dedup runs over the whole corpus before any filter."""
     m = messages.withColumn("chamber", normalise_chamber("chamber")).withColumn("state", normalise_state("state"))
     m = dedup_first(m, id_col, [source])
+    # one people-sized table (author attributes + folded terms) so the messages are
+    # joined once on the handle rather than once per person attribute source
     a = authors.filter(F.col("is_congress") & F.col("birthday").isNotNull()).select(
         handle, "bioguide", "birthday", "gender")
-    m = m.join(a, handle)
-    m = m.filter(F.col("ts") >= F.lit(K.EARLIEST_VALID_TS).cast("timestamp_ntz"))
+    a = a.join(fold_terms(terms, "bioguide"), "bioguide", "left")
+    m = m.filter(F.col("ts") >= F.lit(K.EARLIEST_VALID_TS).cast("timestamp_ntz")).join(a, handle)
     m = add_zone_hour(m, zone_table(spark))
     m = add_calendar(m)
     m = add_age(m)
-    return add_in_office(m, terms, person="bioguide")
+    return m.withColumn("in_office", in_office_flag("_terms")).drop("_terms")
 
 
 def scored_view(messages: DataFrame, scores: DataFrame | None = None, id_col: str = "msg_id",

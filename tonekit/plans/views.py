@@ -51,17 +51,27 @@ def order_scores(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
+def posts(spark: SparkSession, root: str, with_text: bool = False, with_terms: bool = False) -> DataFrame:
+    """Orders as messages.  Join order for scale: the fact-to-fact join with the
+    per-order scores first (both keyed by the order id, the score side already
+    partitioned by it), then ONE join with a customer-sized person table that carries
+    nation, region and -- with ``with_terms`` -- the folded terms of office."""
     o = read_table(spark, root, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    msg = o.join(order_scores(spark, root), o.o_orderkey == F.col("msg_id"))
     c = read_table(spark, root, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
     # nation (25 rows) and region (5 rows) have a fixed size by the schema's definition
     n = fixed_broadcast(read_table(spark, root, "nation", ["n_nationkey", "n_name", "n_regionkey"]))
     r = fixed_broadcast(read_table(spark, root, "region", ["r_regionkey", "r_name"]))
-    base = (o.join(c, o.o_custkey == c.c_custkey)
-             .join(n, F.col("c_nationkey") == n.n_nationkey)
-             .join(r, F.col("n_regionkey") == r.r_regionkey))
+    people = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+               .select("c_custkey", "c_name", "c_mktsegment", "n_name", "r_name"))
+    if with_terms:
+        from ..operators.enrich import fold_terms
+
+        people = people.join(fold_terms(author_terms(spark, root), "author")
+                             .withColumnRenamed("author", "c_custkey"), "c_custkey", "left")
+    base = msg.join(people, msg.o_custkey == people.c_custkey)
     base = base.select(
-        F.col("o_orderkey").alias("msg_id"),
+        F.col("msg_id"),
         F.col("o_custkey").alias("author"),
         F.col("c_name").alias("author_name"),
         _party_of_segment(F.col("c_mktsegment")).alias("party"),
@@ -72,11 +82,12 @@ def posts(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
         (F.col("o_totalprice") / F.lit(ANGER_SCALE)).alias("anger"),
         F.date_add(F.lit(BIRTH_ORIGIN).cast("date"),
                    ((F.col("o_custkey") * BIRTH_STEP) % BIRTH_SPAN_DAYS).cast("int")).alias("birthday"),
+        "negative", "disgust", "joy", "optimism", "fear", "sadness",
+        *(["_terms"] if with_terms else []),
     )
-    out = base.join(order_scores(spark, root), "msg_id")
     if with_text:
-        out = attach_document_text(spark, root, out)
-    return out
+        base = attach_document_text(spark, root, base)
+    return base
 
 
 def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str = "msg_id",
@@ -172,14 +183,14 @@ def analysis_posts(spark: SparkSession, root: str, with_text: bool = False, toke
                    materialize: bool = False) -> DataFrame:
     """The analysis view ``d``: scored posts with calendar, election-cycle, age and
     tenure features, restricted to messages written in office."""
-    from ..operators.enrich import add_age, add_calendar, add_in_office, scored_view
+    from ..operators.enrich import add_age, add_calendar, in_office_flag, scored_view
 
-    p = posts(spark, root)
+    p = posts(spark, root, with_terms=True)
     if with_text or tokens:
         p = attach_document_text(spark, root, p, tokens=tokens, materialize=materialize)
     p = add_calendar(p)
     p = add_age(p)
-    p = add_in_office(p, author_terms(spark, root), person="author")
+    p = p.withColumn("in_office", in_office_flag("_terms")).drop("_terms")
     return scored_view(p)  # scores are already joined in ``posts``; the test years need no range
 
 

@@ -88,3 +88,14 @@ def span_summary(df: DataFrame, id_col: str, who_col: str, ts_col: str) -> DataF
         F.to_date(F.max(ts_col)).alias("last"),
         (F.count(F.lit(1)) - F.count_distinct(id_col)).alias("dup_ids"),
     )
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite",
+                   sort: bool = True) -> None:
+    """D1 at scale: store messages and their scores bucketed (and sorted) by the id with
+    the same bucket count, so the fact-to-fact join reads co-located buckets and
+    shuffles neither side.  Needs a catalog table (``saveAsTable``)."""
+    w = df.write.mode(mode).option("compression", "zstd").bucketBy(buckets, key)
+    if sort:
+        w = w.sortBy(key)
+    w.saveAsTable(table)
