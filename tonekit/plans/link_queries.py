@@ -48,14 +48,17 @@ def people(spark, root):
 
 
 def handles(spark, root):
-    c = read_table(spark, root, "customer", ["c_custkey"]).filter(F.col("c_custkey") % 3 == 0)
+    """Two snapshots of every person's social record; the handle is empty for two thirds
+    of them (a nullable field, as in the real snapshots) and a later snapshot assigns
+    some handles to a different person (the earliest snapshot must win)."""
+    c = read_table(spark, root, "customer", ["c_custkey"])
     k = F.col("c_custkey")
-    base = c.select(F.concat(F.lit("C"), k.cast("string")).alias("handle"),
+    base = c.select(F.when(k % 3 == 0, F.concat(F.lit("C"), k.cast("string"))).alias("handle"),
                     F.concat(F.lit("P"), k.cast("string")).alias("bioguide"),
                     F.concat(F.lit("social-"), (k % 4).cast("string")).alias("snapshot"))
-    later = c.filter(k % 6 == 0).select(F.concat(F.lit("c"), k.cast("string")).alias("handle"),
-                                        F.concat(F.lit("P"), (k + 1).cast("string")).alias("bioguide"),
-                                        F.lit("social-9").alias("snapshot"))
+    later = c.select(F.when(k % 6 == 0, F.concat(F.lit("c"), k.cast("string"))).alias("handle"),
+                     F.concat(F.lit("P"), (k + 1).cast("string")).alias("bioguide"),
+                     F.lit("social-9").alias("snapshot"))
     return base.unionByName(later)
 
 
@@ -131,13 +134,15 @@ people AS (SELECT 'P' || CAST(c.c_custkey AS VARCHAR) AS bioguide, {_FIRST.repla
                        {_LAST.replace('floor(k', 'floor(c.c_custkey')} END AS official_full,
                   [n.n_name] AS states, e.last_term_end
            FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN ends e ON e.k = c.c_custkey),
-handles AS (SELECT 'C' || CAST(c_custkey AS VARCHAR) AS handle, 'P' || CAST(c_custkey AS VARCHAR) AS bioguide,
-                   'social-' || CAST(c_custkey % 4 AS VARCHAR) AS snapshot FROM customer WHERE c_custkey % 3 = 0
+handles AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'C' || CAST(c_custkey AS VARCHAR) END AS handle,
+                   'P' || CAST(c_custkey AS VARCHAR) AS bioguide, 'social-' || CAST(c_custkey % 4 AS VARCHAR) AS snapshot
+            FROM customer
             UNION ALL
-            SELECT 'c' || CAST(c_custkey AS VARCHAR), 'P' || CAST(c_custkey + 1 AS VARCHAR), 'social-9'
-            FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 6 = 0),
+            SELECT CASE WHEN c_custkey % 6 = 0 THEN 'c' || CAST(c_custkey AS VARCHAR) END,
+                   'P' || CAST(c_custkey + 1 AS VARCHAR), 'social-9' FROM customer),
 seen AS (SELECT h, bioguide FROM (SELECT lower(handle) AS h, bioguide,
-           row_number() OVER (PARTITION BY lower(handle) ORDER BY snapshot, bioguide) AS r FROM handles) z WHERE r = 1),
+           row_number() OVER (PARTITION BY lower(handle) ORDER BY snapshot, bioguide) AS r
+           FROM handles WHERE handle IS NOT NULL) z WHERE r = 1),
 s1 AS (SELECT a.author_handle, s.bioguide, 'handle' AS match_method FROM authors a JOIN seen s ON s.h = lower(a.author_handle)),
 rest AS (SELECT * FROM authors WHERE author_handle NOT IN (SELECT author_handle FROM s1)),
 parsed AS (SELECT author_handle, state, n1, strpos(n1, ',') > 0 AS comma,
@@ -204,3 +209,14 @@ WHERE is_congress AND bioguide IS NULL ORDER BY n_tweets DESC, author_handle LIM
 def unmatched_top(spark, root):
     """The 30 unmatched congressional authors with most messages."""
     return L.match_report(linked(spark, root))[1]
+
+
+@register("match_coverage", _l("""SELECT count(*) AS authors, count(bioguide) AS matched,
+       ROUND(sum(CASE WHEN bioguide IS NOT NULL THEN n_tweets ELSE 0 END) / sum(n_tweets), 6) AS message_coverage
+FROM linked WHERE is_congress"""))
+def match_coverage(spark, root):
+    """Matched congressional authors and the message-weighted coverage."""
+    c = linked(spark, root).filter("is_congress")
+    return c.agg(F.count(F.lit(1)).alias("authors"), F.count("bioguide").alias("matched"),
+                 (F.sum(F.when(F.col("bioguide").isNotNull(), F.col("n_tweets")).otherwise(0))
+                  / F.sum("n_tweets")).alias("message_coverage"))

@@ -180,3 +180,13 @@ def statement_messages(spark, root):
     """The statement's messages in time order (rows, not a collected list)."""
     _, rows = R.statement(named(spark, root), "name", "User 4", ["00-04 night", "05-08 morning"], "Biden")
     return rows
+
+
+@register("calmest_authors", _f(f"""SELECT f.author, nm.name, nm.nm_party AS party, count(*) AS n, ROUND(avg(angry), 6) AS share_angry
+FROM f JOIN nm USING (author) GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_CELL}
+ORDER BY avg(angry), f.author LIMIT 8"""))
+def calmest_authors(spark, root):
+    """F12 (bottom-k): the eight authors with the lowest angry share, lowest first."""
+    d = named(spark, root).drop("party").withColumnRenamed("nm_party", "party")
+    cells = d.groupBy("author", "name", "party").agg(F.count(F.lit(1)).alias("n"), F.avg("angry").alias("share_angry"))
+    return cells.filter(F.col("n") >= MIN_CELL).orderBy("share_angry", "author").limit(8)

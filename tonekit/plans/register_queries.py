@@ -250,3 +250,11 @@ def model_scores(spark, root):
 def sample_repeatable(spark, root):
     """A repeatable fixed-size sample (the top-k of a seeded hash of the id)."""
     return SC.repeatable_sample(_docs(spark, root), 50, seed=7).select("msg_id", "lang")
+
+
+@register("top_angry_texts", O.with_views("""SELECT msg_id, ROUND(anger, 6) AS anger FROM s
+ORDER BY anger DESC, msg_id LIMIT 12""", s=O.lexicon_sql(DOCS)))
+def top_angry_texts(spark, root):
+    """The twelve texts the scorer finds angriest (ties by id)."""
+    s = SC.lexicon_scores(_docs(spark, root)).select("msg_id", "anger")
+    return s.orderBy(F.desc("anger"), "msg_id").limit(12)
