@@ -69,11 +69,44 @@ def one_line(text, n: int = K.EXAMPLE_CHARS) -> Column:
     return F.substring(F.replace(_c(text), F.lit("\n"), F.lit(" ")), 1, n)
 
 
-@F.pandas_udf(StringType())
-def fold_ascii(s: pd.Series) -> pd.Series:
-    """C20 helper: accent-fold (NFKD, drop non-ASCII), lower-case, keep ``[a-z ]``, trim.
+def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
+    """Accent-folding table built by rule: every letter of the Latin ranges
+    U+00C0-U+024F and U+1E00-U+1EFF mapped to its NFKD decomposition with the
+    non-ASCII marks dropped (one-letter results go to ``translate``, longer ones such
+    as a ligature to a short replace list; letters without an ASCII base are left
+    to the ``[^a-z ]`` filter, as the decomposition would drop them too)."""
+    import unicodedata
+
+    src, dst, multi = [], [], []
+    for lo, hi in ((0x00C0, 0x024F), (0x1E00, 0x1EFF)):
+        for cp in range(lo, hi + 1):
+            ch = chr(cp)
+            folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
+            if len(folded) == 1:
+                src.append(ch)
+                dst.append(folded)
+            elif len(folded) > 1:
+                multi.append((ch, folded))
+    return "".join(src), "".join(dst), multi
+
+
+_FOLD_SRC, _FOLD_DST, _FOLD_MULTI = _fold_table()
+
+
+def fold_ascii(x) -> Column:
+    """C20: accent-fold, lower-case, keep ``[a-z ]``, trim -- in the JVM (``translate``
+    over a rule-built table), no Python worker."""
+    t = _c(x)
+    for ch, rep in _FOLD_MULTI:
+        t = F.replace(t, F.lit(ch), F.lit(rep))
+    t = F.lower(F.translate(t, _FOLD_SRC, _FOLD_DST))
+    return F.trim(F.regexp_replace(t, F.lit("[^a-z ]"), F.lit("")))
+
 
-    Vectorised over an Arrow batch; Spark has no Unicode normalisation built in."""
+@F.pandas_udf(StringType())
+def fold_ascii_nfkd(s: pd.Series) -> pd.Series:
+    """C20, full Unicode form: NFKD over any script in an Arrow-batched Python UDF
+    (Spark has no Unicode normalisation built in); slower than :func:`fold_ascii`."""
     out = (s.fillna("").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
            .str.lower().str.replace(r"[^a-z ]", "", regex=True).str.strip())
     return out.where(s.notna(), None)
