@@ -10,9 +10,9 @@ The driver data is a TPC-H-like star schema, so three views map it onto that mod
   document whose id is the order key modulo the document count.
 * ``msgs``   -- events as messages with real clock times; text is composed from
   ids so that retweet, call-out and reply forms occur.
-* ``docs``   -- documents scored by the built-in lexicon scorer; group = language.
+* ``docs``   -- documents, scored by the built-in lexicon scorer where scores are needed.
 
-Every view has a DuckDB twin in :mod:`tonekit.plans.oracle` with identical values.
+Every view has a DuckDB twin in :mod:`tonekit.plans.oracle_views` with identical values.
 """
 from __future__ import annotations
 
