@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import text as TX
+from ..session import materialize
 
 
 def author_summary(msgs: DataFrame, handle: str = "author_handle", name: str = "author_name",
@@ -89,15 +90,17 @@ def link_authors(authors: DataFrame, people: DataFrame, handles: DataFrame,
     ``people``: bioguide, first, last, nickname, official_full, states (array),
     last_term_end (ISO date string).  ``handles``: handle, bioguide, snapshot (the
     earliest snapshot wins for a handle)."""
-    a = authors.withColumn("_h", F.lower(handle))
+    # the author table (one row per handle) and its name candidates are read by every
+    # stage: materialise both once in the shared checkpoint folder
+    a = materialize(authors.withColumn("_h", F.lower(handle)))
+    cands_all = materialize(name_candidates(a).join(a.select(handle, state), handle))
     w = Window.partitionBy("_h").orderBy("snapshot", "bioguide")
     first_seen = (handles.filter(F.col("handle").isNotNull())
                   .select(F.lower("handle").alias("_h"), "bioguide", "snapshot")
                   .withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "snapshot"))
     by_handle = a.join(first_seen, "_h").select(handle, "bioguide", F.lit("handle").alias("match_method"))
 
-    rest = a.join(by_handle.select(handle), handle, "left_anti")
-    cands = name_candidates(rest).join(rest.select(handle, state), handle)
+    cands = cands_all.join(by_handle.select(handle), handle, "left_anti")
     keys = person_keys(people)
     j = cands.join(keys, ["first", "last"])
     j = j.filter(F.col(state).isNull() | F.array_contains("states", F.col(state)))
@@ -105,8 +108,7 @@ def link_authors(authors: DataFrame, people: DataFrame, handles: DataFrame,
     by_name = (j.withColumn("_r", F.row_number().over(pick)).filter("_r = 1")
                 .select(handle, "bioguide", F.lit("name").alias("match_method")))
 
-    rest2 = rest.join(by_name.select(handle), handle, "left_anti").filter(F.col(state).isNotNull())
-    c2 = name_candidates(rest2).join(rest2.select(handle, state), handle)
+    c2 = cands.join(by_name.select(handle), handle, "left_anti").filter(F.col(state).isNotNull())
     ppl = people.select("bioguide", "states", "last_term_end", TX.fold_ascii(F.col("last")).alias("last"))
     ppl = ppl.filter(F.col("last_term_end") >= cut_year)
     j2 = c2.join(ppl, "last").filter(F.array_contains("states", F.col(state)))

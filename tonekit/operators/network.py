@@ -72,23 +72,32 @@ def member_edges(edges: DataFrame, nodes: DataFrame, min_n: int = K.MIN_EDGE, gr
 
 def node_degrees(rt: DataFrame, dot: DataFrame, nodes: DataFrame, score: str = "anger") -> DataFrame:
     """K7/L3: weighted in/out degree per edge kind, cross-group in-degree and the
-    n-weighted score of cross call-outs received, for every node on either edge list."""
-    def deg(e, col, name, cross_only=False):
-        src = e.filter("is_cross") if cross_only else e
-        return src.groupBy(F.col(col).alias("id")).agg(F.sum("n").alias(name))
-
-    ids = (rt.select(F.col("src").alias("id")).union(rt.select(F.col("dst").alias("id")))
-             .union(dot.select(F.col("src").alias("id"))).union(dot.select(F.col("dst").alias("id"))).distinct())
-    cda = dot.filter("is_cross").groupBy(F.col("dst").alias("id")).agg(
-        (F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("cross_dot_anger"))
-    out = ids
-    for df_, col, name, cross in [(rt, "dst", "rt_in", False), (rt, "src", "rt_out", False),
-                                  (dot, "dst", "dot_in", False), (dot, "src", "dot_out", False),
-                                  (rt, "dst", "cross_rt_in", True), (dot, "dst", "cross_dot_in", True)]:
-        out = out.join(deg(df_, col, name, cross), "id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    out = out.join(cda, "id", "left")
+    n-weighted score of cross call-outs received, for every node on either edge list.
+
+    Each edge contributes one row to its target ("in") and one to its source ("out");
+    the two kinds are unioned and reduced by ONE grouped aggregate with conditional
+    sums -- no join between per-degree tables."""
+    def sides(e, kind):
+        cols = [F.col("n"), F.col(score).alias("_s"), F.col("is_cross")]
+        return (e.select(F.col("dst").alias("id"), F.lit(kind).alias("_k"), F.lit("in").alias("_d"), *cols)
+                 .unionByName(e.select(F.col("src").alias("id"), F.lit(kind).alias("_k"), F.lit("out").alias("_d"), *cols)))
+
+    u = sides(rt, "rt").unionByName(sides(dot, "dot"))
+
+    def total(kind, side, cross=False, value=None):
+        cond = (F.col("_k") == kind) & (F.col("_d") == side)
+        if cross:
+            cond = cond & F.col("is_cross")
+        return F.sum(F.when(cond, value if value is not None else F.col("n")))
+
+    deg = u.groupBy("id").agg(
+        F.coalesce(total("rt", "in"), F.lit(0)).alias("rt_in"), F.coalesce(total("rt", "out"), F.lit(0)).alias("rt_out"),
+        F.coalesce(total("dot", "in"), F.lit(0)).alias("dot_in"), F.coalesce(total("dot", "out"), F.lit(0)).alias("dot_out"),
+        F.coalesce(total("rt", "in", True), F.lit(0)).alias("cross_rt_in"),
+        F.coalesce(total("dot", "in", True), F.lit(0)).alias("cross_dot_in"),
+        (total("dot", "in", True, F.col("_s") * F.col("n")) / total("dot", "in", True)).alias("cross_dot_anger"))
     attrs = nodes.select("id", TX.clean_display_name(F.col("author_name")).alias("name"), "party", "state")
-    return out.join(attrs, "id", "left").select("id", "name", "party", "state", "rt_in", "rt_out", "dot_in",
+    return deg.join(attrs, "id", "left").select("id", "name", "party", "state", "rt_in", "rt_out", "dot_in",
                                                 "dot_out", "cross_rt_in", "cross_dot_in", "cross_dot_anger")
 
 
@@ -110,13 +119,17 @@ def network_summary(edges: DataFrame, score: str = "anger") -> DataFrame:
 
 
 def threshold_summary(edges: DataFrame, thresholds: Sequence[int]) -> DataFrame:
-    """The summary at several minimum edge weights (the edge table is small:
-    one row per connected pair, so a pass per threshold is cheap)."""
-    out = None
-    for t in thresholds:
-        s = network_summary(edges.filter(F.col("n") >= t)).select(F.lit(t).alias("min_n"), "*")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """The summary at several minimum edge weights in one pass: each edge is
+    paired with the (few, literal) thresholds it meets, then grouped by threshold."""
+    ts = F.array(*[F.lit(t) for t in thresholds])
+    e = edges.select("*", F.explode(F.filter(ts, lambda t: F.col("n") >= t)).alias("min_n"))
+    n, x = F.col("n"), F.col("is_cross")
+    return e.groupBy("min_n").agg(
+        F.count(F.lit(1)).alias("edges"), F.sum(n).alias("messages"),
+        F.avg(x.cast("int")).alias("cross_edge_share"),
+        (F.sum(F.when(x, n).otherwise(0)) / F.sum(n)).alias("cross_msg_share"),
+        (F.sum(F.when(~x, F.col("anger") * n)) / F.sum(F.when(~x, n))).alias("anger_same"),
+        (F.sum(F.when(x, F.col("anger") * n)) / F.sum(F.when(x, n))).alias("anger_cross"))
 
 
 def union_weights(rt: DataFrame, dot: DataFrame, weights=K.EDGE_WEIGHTS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import calendar as cal
 from ..functions import text as T
+from ..session import materialize as keep_once
 from .series import window_offsets
 
 
@@ -49,7 +50,7 @@ def distinctive_terms(msgs: DataFrame, peaks: DataFrame, text: str = "text", ts:
     in_win = hot.join(F.broadcast(weeks), "wk", "left_semi")  # bounded list of weeks
     if materialize:
         # read by three branches below: tokenise once, keep in the shared checkpoint folder
-        in_win = in_win.checkpoint()
+        in_win = keep_once(in_win)
     per_week = in_win.groupBy("wk").agg(F.count(F.lit(1)).alias("m"))
     sizes = per_week.join(win, "wk").groupBy("peak").agg(
         F.greatest(F.lit(1), F.sum(F.when(F.col("in_peak"), F.col("m")).otherwise(0))).alias("nw"),
@@ -135,8 +136,8 @@ def spike_report(msgs: DataFrame, min_week_n: int = K.MIN_N_WEEK, k: int = K.TOP
 
     series = baseline_and_spikes(weekly_series(msgs, min_n=min_week_n))
     # at most k rows, read by four branches: materialise once (shared checkpoint folder)
-    peaks = greedy_peaks(series, k=k, min_gap_days=min_gap_days).select(
-        "wk", "n", "anger", "baseline", "excess", "spike_score").checkpoint()
+    peaks = keep_once(greedy_peaks(series, k=k, min_gap_days=min_gap_days).select(
+        "wk", "n", "anger", "baseline", "excess", "spike_score"))
     terms = distinctive_terms(msgs, peaks.select("wk"), min_count=min_count, tokens=tokens,
                               materialize=materialize_terms)
     drivers = peak_drivers(msgs, peaks.select("wk"))

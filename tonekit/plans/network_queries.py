@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import network as N
 from . import oracle_views as O
+from ..session import materialize
 from .registry import register
 from .views import msgs
 
@@ -16,13 +17,16 @@ THRESHOLDS = [3, 4, 5]
 MAIN = "('Democrat', 'Republican')"
 
 
-def _net(spark, root):
+def _net(spark, root, keep_edges: bool = False):
     d = msgs(spark, root).filter(F.col("party").isNotNull())
     d = d.withColumn("angry", (F.col("anger") > K.ANGRY_THRESHOLD).cast("int"))
-    nodes = N.members(d)
-    alias = N.aliases(d)
+    # person-sized tables read by both edge kinds and the degree tables: keep them once
+    nodes = materialize(N.members(d))
+    alias = materialize(N.aliases(d))
     rt = N.member_edges(N.retweet_edges(d, alias, exclude_years=EXCLUDE_YEARS), nodes)
     dot = N.member_edges(N.dot_edges(d, alias), nodes)
+    if keep_edges:  # edge tables read twice each (as sources and as targets)
+        rt, dot = materialize(rt), materialize(dot)
     return d, nodes, alias, rt, dot
 
 
@@ -86,21 +90,21 @@ _DEG = "id, name, party, state, rt_in, rt_out, dot_in, dot_out, cross_rt_in, cro
 @register("node_degree", _q(f"SELECT {_DEG} FROM deg"))
 def node_degree(spark, root):
     """in/out degree per kind, cross in-degree, cross call-out score."""
-    _, nodes, _, rt, dot = _net(spark, root)
+    _, nodes, _, rt, dot = _net(spark, root, keep_edges=True)
     return N.node_degrees(rt, dot, nodes)
 
 
 @register("bridges", _q(f"SELECT {_DEG} FROM deg ORDER BY cross_rt_in DESC, id LIMIT {K.TOP_BRIDGES}"))
 def bridges(spark, root):
     """K8: the 12 nodes most retweeted across groups."""
-    _, nodes, _, rt, dot = _net(spark, root)
+    _, nodes, _, rt, dot = _net(spark, root, keep_edges=True)
     return N.top_nodes(N.node_degrees(rt, dot, nodes), "cross_rt_in")
 
 
 @register("lightning_rods", _q(f"SELECT {_DEG} FROM deg ORDER BY cross_dot_in DESC, id LIMIT {K.TOP_BRIDGES}"))
 def lightning_rods(spark, root):
     """K8: the 12 nodes most called out across groups."""
-    _, nodes, _, rt, dot = _net(spark, root)
+    _, nodes, _, rt, dot = _net(spark, root, keep_edges=True)
     return N.top_nodes(N.node_degrees(rt, dot, nodes), "cross_dot_in")
 
 
@@ -156,7 +160,7 @@ def edge_buckets(spark, root):
          row_number() OVER (PARTITION BY party ORDER BY rt_in + 4 * dot_in DESC, id) AS rank FROM deg) h WHERE rank <= 3"""))
 def hub_ranking(spark, root):
     """The top three hubs of each group by rt_in + 4 * dot_in."""
-    _, nodes, _, rt, dot = _net(spark, root)
+    _, nodes, _, rt, dot = _net(spark, root, keep_edges=True)
     return N.hubs(N.node_degrees(rt, dot, nodes))
 
 

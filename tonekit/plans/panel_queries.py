@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import panel as P
 from ..operators.rates import latest
+from ..session import materialize
 from . import oracle_views as O
 from .age_queries import AGE, age_view
 from .registry import register
@@ -17,7 +18,10 @@ VOLUME_MIN = 30      # per-author floor for the volume table (2,000 on the full
 
 
 def _slopes(spark, root):
-    d = age_view(spark, root).filter(F.col("party").isNotNull())
+    # both fits read the projected view twice (means, then centred sums): materialise
+    # the five columns once instead of re-running the view's joins four times
+    d = materialize(age_view(spark, root).filter(F.col("party").isNotNull()).select(
+        "year", "anger", "age_at_tweet", "author", "party"))
     raw = P.clustered_slope(d, "year", "anger", "age_at_tweet", "author", min_rows=MIN_ROWS, scale=10.0)
     adj = P.clustered_slope(d, "year", "anger", "age_at_tweet", "author", absorb="party", min_rows=MIN_ROWS, scale=10.0)
     return raw.select("year", "n", F.col("clusters").alias("members"), F.col("slope").alias("slope_per_decade"),
@@ -64,7 +68,7 @@ def _fe_cells(spark, root):
     d = age_view(spark, root)
     cells = P.panel_cells(d, "author", "year", "anger", "age_at_tweet", CELL_MIN,
                           extra=[F.min("party").alias("party")])  # E6: any value, made repeatable
-    return P.long_span_units(cells, "author", "year")
+    return materialize(P.long_span_units(cells, "author", "year"))  # author-year sized, read 3 times
 
 
 _FE = O.with_views(f"""

@@ -8,6 +8,7 @@ from ..functions import calendar as cal
 from ..operators import battery as B
 from ..operators import series as S
 from ..operators import terms as TM
+from ..session import materialize
 from . import oracle_views as O
 from .registry import register
 from .views import analysis_posts, msgs
@@ -112,7 +113,7 @@ drivers AS (SELECT v.wk, v.dem_excess, v.rep_excess,
 def spike_terms(spark, root):
     """Distinctive words and tags of each peak week."""
     d = analysis_posts(spark, root, tokens=True)
-    peaks = S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk").checkpoint()
+    peaks = materialize(S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk"))
     return TM.distinctive_terms(d, peaks, min_count=MIN_TERM, tokens="tokens")
 
 
@@ -122,7 +123,7 @@ FROM drivers"""))
 def driver_attribution(spark, root):
     """Which group drove each peak, and the peak week's top example."""
     d = analysis_posts(spark, root, with_text=True)
-    peaks = S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk").checkpoint()
+    peaks = materialize(S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk"))
     return TM.peak_drivers(d, peaks)
 
 

@@ -115,10 +115,9 @@ def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str
     if materialize and (scored or tokens or flags):
         # when several branches of one plan read the feature table, compute it once and
         # keep it in the shared checkpoint folder instead of re-deriving it per branch
-        from ..session import checkpoint_dir
+        from ..session import materialize
 
-        checkpoint_dir(spark)
-        docs = docs.checkpoint()
+        docs = materialize(docs)
     return (df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs)))
               .join(docs.withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc"))
 

@@ -61,3 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder (never a
+    local checkpoint): cuts the lineage of a table several branches read and survives
+    the loss of the executors that computed it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
