@@ -83,3 +83,26 @@ def test_resumable_scoring_skips_done_files(spark):
     pd.DataFrame({"msg_id": [3], "text": ["new"]}).to_parquet(os.path.join(src, "b.parquet"))
     out2 = score_new_files(spark, src, scorer, name=name)       # same checkpoint: only the new file
     assert out2 == out and sorted(r.msg_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_linkage_from_records_attaches_birthday(spark):
+    d = _tmp()
+    recs = [{"id": {"bioguide": "A1"}, "bio": {"birthday": "1969-01-28", "gender": "F"},
+             "name": {"first": "Linda", "last": "Sánchez", "nickname": None, "official_full": "Linda T. Sánchez"},
+             "terms": [{"type": "rep", "start": "2003-01-03", "end": "2025-01-03", "state": "CA"}]},
+            {"id": {"bioguide": "B2"}, "bio": {"birthday": "1949-04-15", "gender": "M"},
+             "name": {"first": "Joseph", "last": "Barton", "nickname": "Joe"},
+             "terms": [{"type": "rep", "start": "1985-01-03", "end": "2019-01-03", "state": "TX"}]}]
+    with open(os.path.join(d, "legislators.json"), "w", encoding="utf8") as fh:
+        json.dump(recs, fh)
+    people = L.people_from_records(S.read_json_records(spark, [os.path.join(d, "legislators.json")],
+                                                       schema=L.LEGISLATOR_SCHEMA))
+    authors = spark.createDataFrame([("lsanchez", "Sánchez, Linda", "CA"), ("jb", "Joe Barton R-TX", "TX"),
+                                     ("x", "Nobody Here", "NY")],
+                                    "author_handle string, author_name string, state string")
+    handles = spark.createDataFrame([], "handle string, bioguide string, snapshot string")
+    out = {r.author_handle: r for r in L.link_authors(authors, people, handles).collect()}
+    assert (out["lsanchez"].bioguide, out["lsanchez"].match_method) == ("A1", "name")
+    assert str(out["lsanchez"].birthday) == "1969-01-28" and out["lsanchez"].gender == "F"
+    assert (out["jb"].bioguide, out["jb"].match_method) == ("B2", "name")     # matched through the nickname
+    assert out["x"].bioguide is None and out["x"].match_method is None

@@ -118,7 +118,11 @@ def link_authors(authors: DataFrame, people: DataFrame, handles: DataFrame,
                    .select(handle, "bioguide", F.lit("lastname+state").alias("match_method")))
 
     matched = by_handle.unionByName(by_name).unionByName(by_last)
-    return authors.join(matched, handle, "left")
+    out = authors.join(matched, handle, "left")
+    extra = [c for c in ("birthday", "gender") if c in people.columns]
+    if extra:  # person attributes of the match (people-sized join)
+        out = out.join(people.select("bioguide", *extra), "bioguide", "left")
+    return out
 
 
 def match_report(linked: DataFrame, top: int = 30, handle: str = "author_handle") -> tuple[DataFrame, DataFrame]:
