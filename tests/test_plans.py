@@ -38,3 +38,26 @@ def test_battery_pushes_filter_and_prunes(spark):
     assert scans and all("o_orderpriority" not in s and "o_orderstatus" not in s for s in scans)
     li = [l for l in text.splitlines() if l.startswith("ReadSchema: struct<l_orderkey")]
     assert li and all("l_shipdate" not in s and "l_returnflag" not in s for s in li)
+
+
+def test_bucketed_id_join_needs_no_shuffle(spark):
+    """D1 at scale: messages and scores stored bucketed by the id join without an Exchange."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tonekit.sources.files import write_bucketed
+
+    tag = uuid.uuid4().hex[:8]
+    msgs = spark.range(2000).select(F.col("id").alias("msg_id"), (F.col("id") % 7).alias("author"))
+    scores = spark.range(2000).select(F.col("id").alias("msg_id"), (F.col("id") / 2000.0).alias("anger"))
+    write_bucketed(msgs, f"m_{tag}", "msg_id", 8)
+    write_bucketed(scores, f"s_{tag}", "msg_id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table(f"m_{tag}").join(spark.table(f"s_{tag}"), "msg_id")
+        text = plan_text(joined)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert joined.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

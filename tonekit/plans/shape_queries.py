@@ -67,3 +67,16 @@ def year_json(spark, root):
 
     cells = B.mean_battery(analysis_posts(spark, root), ["year"], min_n=30)
     return X.json_document(X.rounded_for_export(cells))
+
+
+@register("chamber_hours", O.with_views(f"""SELECT list(ROUND(s, 6) ORDER BY h) AS share, list(n ORDER BY h) AS n,
+       CAST(sum(n) AS BIGINT) AS total FROM (
+  SELECT hh.h, (SELECT avg(angry) FROM m WHERE m.hour_local = hh.h) AS s,
+         (SELECT count(*) FROM m WHERE m.hour_local = hh.h) AS n FROM (SELECT unnest({_HOURS}) AS h) hh) x""",
+                                         m=f"SELECT *, CAST(anger > 0.5 AS INTEGER) AS angry FROM ({O.MSGS_LOCAL}) q"))
+def chamber_hours(spark, root):
+    """The all-author 24-slot hourly share and counts (the chamber line of the
+    time-lapse), from the 24-row hourly aggregate."""
+    d = local_msgs(spark, root).withColumn("angry", (F.col("anger") > K.ANGRY_THRESHOLD).cast("int"))
+    prof = X.hour_profiles(d.withColumn("_all", F.lit(1)), "_all", "hour_local", "angry")
+    return prof.select("share", "n", "total")
