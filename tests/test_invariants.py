@@ -1,6 +1,5 @@
 """Relations between result columns that hold in the reference's published tables
 (SURVEY §5), checked on our outputs at sf0.01."""
-import datetime as dt
 import math
 
 import pytest

@@ -3,7 +3,6 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tonekit.operators import battery as B
 from tonekit.operators import enrich as EN
