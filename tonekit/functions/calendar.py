@@ -141,6 +141,6 @@ def month_label(d) -> Column:
     return F.date_format(_c(d), "MMM yyyy")
 
 
-def percent_text(p, digits: int = 0) -> Column:
-    """0.374 -> ``37%``."""
-    return F.concat(F.format_number(_c(p) * 100, digits), F.lit("%"))
+def percent_text(p) -> Column:
+    """0.374 -> ``37%`` (rounded half away from zero)."""
+    return F.concat(F.round(_c(p) * 100).cast("long").cast("string"), F.lit("%"))

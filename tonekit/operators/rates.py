@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.calendar import percent_text
 
 
 def latest(df: DataFrame, key: str, attrs: Sequence[str], ts: str = "ts", tie: str = "msg_id") -> DataFrame:
@@ -112,7 +113,7 @@ def rate_lookup(requests: DataFrame, cells: DataFrame, member_cells: DataFrame,
         F.coalesce(F.when(use_m, F.col("_mn")), F.col("_gn"), F.lit(0)).cast("long").alias("n"),
         F.when(use_m, desc_m).when(F.col("_gn").isNotNull(), desc_g)
          .otherwise(F.lit("no data for that combination")).alias("description"),
-    ).withColumn("verdict", verdict("p"))
+    ).withColumn("verdict", verdict("p")).withColumn("p_text", percent_text("p"))
 
 
 def statement(df: DataFrame, author: str, who, bands: Sequence[str], era_label: str,

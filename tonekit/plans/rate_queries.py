@@ -151,7 +151,8 @@ SELECT r.req, r.party, r.era, r.band, r.name,
                                                   'nothing known')
             ELSE 'no data for that combination' END AS description,
        CASE WHEN p >= 0.75 THEN 'it''s an angry tweet.' WHEN p >= 0.5 THEN 'it''s probably angry.'
-            WHEN p < 0.25 THEN 'it''s probably not angry.' ELSE 'it''s a coin flip.' END AS verdict
+            WHEN p < 0.25 THEN 'it''s probably not angry.' ELSE 'it''s a coin flip.' END AS verdict,
+       CAST(round(p * 100) AS BIGINT) || '%' AS p_text
 FROM req r
 LEFT JOIN gc g ON r.party IS NOT DISTINCT FROM g.party AND r.era IS NOT DISTINCT FROM g.era AND r.band IS NOT DISTINCT FROM g.band
 LEFT JOIN mc m ON r.name = m.name AND r.era IS NOT DISTINCT FROM m.era AND r.band IS NOT DISTINCT FROM m.band""")
