@@ -106,3 +106,20 @@ def test_linkage_from_records_attaches_birthday(spark):
     assert str(out["lsanchez"].birthday) == "1969-01-28" and out["lsanchez"].gender == "F"
     assert (out["jb"].bioguide, out["jb"].match_method) == ("B2", "name")     # matched through the nickname
     assert out["x"].bioguide is None and out["x"].match_method is None
+
+
+def test_score_missing_appends_only_new_ids(spark):
+    from tonekit.streaming.incremental import score_missing
+
+    d = _tmp()
+    out = os.path.join(d, "scores")
+    msgs = spark.createDataFrame([(1, "a"), (2, "bb")], "msg_id long, text string")
+
+    def scorer(df):
+        return df.select("msg_id", F.length("text").alias("score"))
+
+    assert score_missing(spark, msgs, out, scorer) == 2
+    more = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "ccc")], "msg_id long, text string")
+    assert score_missing(spark, more, out, scorer) == 1
+    assert score_missing(spark, more, out, scorer) == 0
+    assert sorted((r.msg_id, r.score) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 2), (3, 3)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -71,3 +71,27 @@ def run_weekly_stream(spark: SparkSession, source: str, prepare: Callable[[DataF
          .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
+
+
+def score_missing(spark: SparkSession, messages: DataFrame, out: str, scorer: Callable[[DataFrame], DataFrame],
+                  id_col: str = "msg_id") -> int:
+    """A11 for a static table: score only the messages whose id is not yet in the
+    Parquet output at ``out`` (an anti-join on the id), then append them.  Each append
+    is one job with Spark's commit protocol, so an interrupted run leaves either all
+    or none of its rows and the next run picks up the rest.  Returns rows appended."""
+    import os
+
+    from ..sources.files import write_parquet
+
+    todo = messages
+    try:
+        done = spark.read.parquet(out).select(id_col)
+        todo = messages.join(done, id_col, "left_anti")
+    except Exception:  # noqa: BLE001 -- nothing written yet
+        if os.path.exists(out):
+            raise
+    scored = materialize(scorer(todo))  # scored once, then counted and written
+    n = scored.count()
+    if n:
+        write_parquet(scored, out, mode="append")
+    return n
