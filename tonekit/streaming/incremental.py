@@ -79,7 +79,7 @@ def score_missing(spark: SparkSession, messages: DataFrame, out: str, scorer: Ca
     Parquet output at ``out`` (an anti-join on the id), then append them.  Each append
     is one job with Spark's commit protocol, so an interrupted run leaves either all
     or none of its rows and the next run picks up the rest.  Returns rows appended."""
-    import os
+    from pyspark.errors import AnalysisException
 
     from ..sources.files import write_parquet
 
@@ -87,8 +87,8 @@ def score_missing(spark: SparkSession, messages: DataFrame, out: str, scorer: Ca
     try:
         done = spark.read.parquet(out).select(id_col)
         todo = messages.join(done, id_col, "left_anti")
-    except Exception:  # noqa: BLE001 -- nothing written yet
-        if os.path.exists(out):
+    except AnalysisException as e:  # works for any file system the session reads
+        if "PATH_NOT_FOUND" not in str(e):
             raise
     scored = materialize(scorer(todo))  # scored once, then counted and written
     n = scored.count()
