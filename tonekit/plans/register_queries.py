@@ -25,13 +25,18 @@ TOP_MONTHS = 8
 POST_SCORES = ["anger", "negative", "disgust", "joy", "optimism", "fear", "sadness"]
 
 
-def register_view(spark, root, materialize: bool = False):
-    """Two-group posts with text, scored by the lexicon scorer, plus register flags."""
+def scored_view(spark, root, materialize: bool = False, flags: bool = False):
+    """Two-group posts with text scored by the lexicon scorer (and, with ``flags``, the
+    per-text register flags), plus the month."""
     d = analysis_posts(spark, root).filter(F.col("party").isin(*K.MAIN_GROUPS)).drop(*POST_SCORES)
     pats = {"civic_lang": CIVIC_T, "grat_lang": GRAT_T, **{f"_og_{g}": p for g, p in OUT_T.items()}}
-    d = attach_document_text(spark, root, d, scored=True, flags=pats, materialize=materialize)
-    d = d.withColumn("mo", cal.month_start("ts"))
-    return RG.add_registers(d, outgroup=OUT_T, flags_ready=True)
+    d = attach_document_text(spark, root, d, scored=True, flags=pats if flags else None, materialize=materialize)
+    return d.withColumn("mo", cal.month_start("ts"))
+
+
+def register_view(spark, root, materialize: bool = False):
+    """:func:`scored_view` plus the register flags and the tone columns."""
+    return RG.add_registers(scored_view(spark, root, materialize, flags=True), outgroup=OUT_T, flags_ready=True)
 
 
 def _reg_sql() -> str:
@@ -130,13 +135,13 @@ FROM (SELECT {key}, {conds} FROM r GROUP BY {key}
 @register("profile_distance", _dist_sql("year", 0))
 def profile_distance(spark, root):
     """H5: Euclidean distance between the two groups' mean emotion profiles, by year."""
-    return RG.profile_distance(register_view(spark, root), "year")
+    return RG.profile_distance(scored_view(spark, root), "year")
 
 
 @register("profile_distance_month", _dist_sql("mo", MIN_PROFILE))
 def profile_distance_month(spark, root):
     """H6: the same by month, both groups with at least a floor of messages."""
-    return RG.profile_distance(register_view(spark, root), "mo", min_n=MIN_PROFILE)
+    return RG.profile_distance(scored_view(spark, root), "mo", min_n=MIN_PROFILE)
 
 
 def _exemplar_sql() -> str:
@@ -170,7 +175,7 @@ SELECT mo, party, emo, regexp_replace(who0, '\\s+[DRI]-[A-Z]{{2}}$', '') AS who,
 @register("exemplars", _exemplar_sql())
 def exemplars(spark, root):
     """Per month, each group's most over-expressed emotion and its top message."""
-    r = register_view(spark, root, materialize=True)  # read twice: by the gaps and by the candidates
+    r = scored_view(spark, root, materialize=True)  # read twice: by the gaps and by the candidates
     gaps = RG.profile_distance(r, "mo", min_n=MIN_PROFILE)
     return RG.exemplars(r, gaps)
 
