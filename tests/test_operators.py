@@ -3,6 +3,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tonekit.operators import battery as B
 from tonekit.operators import enrich as EN
@@ -167,3 +168,35 @@ def test_mode_ties_smallest_and_majority(spark):
     out = {r.author_handle: r for r in L.author_summary(df).collect()}
     assert out["h"].author_name == "A" and out["h"].state == "NY" and out["h"].is_congress is False
     assert out["g"].author_name is None and out["g"].is_congress is True
+
+
+def test_network_edges_from_literal_texts(spark):
+    from tonekit.operators import network as N
+
+    rows = [  # (msg_id, author, handle, party, text, anger, ts)
+        (1, 1, "RepA", "Democrat", "RT @repb: x", 0.9),
+        (2, 1, "RepA", "Democrat", "RT @RepB: y", 0.1),
+        (3, 1, "RepA", "Democrat", "RT @repB: z", 0.2),
+        (4, 2, "RepB", "Republican", " .@RepA .@repa and .@RepC", 0.8),
+        (5, 2, "RepB", "Republican", "x.@RepA no match", 0.8),
+        (6, 2, "RepB", "Republican", "@RepA hi", 0.3),
+        (7, 3, "RepC", "Democrat", ".@RepA first", 0.6),
+        (8, 2, "RepB", "Republican", ".@RepA again", 0.7),
+    ]
+    df = spark.createDataFrame([r + (dt.datetime(2020, 1, 1, 0, 0, i),) for i, r in enumerate(rows)],
+                               "msg_id long, author long, handle string, party string, text string, anger double, "
+                               "ts timestamp_ntz").withColumn("year", F.year("ts"))
+    df = df.withColumn("author_name", F.concat(F.lit("Name "), F.col("author").cast("string"))).withColumn(
+        "state", F.lit("NY"))
+    alias = N.aliases(df)
+    rt = {(r.src, r.dst): r.n for r in N.retweet_edges(df, alias, exclude_years=[]).collect()}
+    assert rt == {(1, 2): 3}                                   # handle matched case-insensitively
+    dot = {(r.src, r.dst): r.n for r in N.dot_edges(df, alias).collect()}
+    assert dot == {(2, 1): 3, (2, 3): 1, (3, 1): 1}            # 'x.@A' is no call-out; a repeat counts twice
+    nodes = N.members(df)
+    edges = N.member_edges(N.dot_edges(df, alias), nodes, min_n=1)
+    cross = {(r.src, r.dst): r.is_cross for r in edges.collect()}
+    assert cross == {(2, 1): True, (2, 3): True, (3, 1): False}
+    kinds = {(r.kind, r.relation): r.n for r in
+             N.mention_kinds(df.withColumn("angry", (F.col("anger") > 0.5).cast("int")), alias, nodes).collect()}
+    assert kinds[("reply", "cross")] == 1 and kinds[("callout", "cross")] == 2 and kinds[("mention", "cross")] == 1
