@@ -98,15 +98,16 @@ def link_authors(authors: DataFrame, people: DataFrame, handles: DataFrame,
     first_seen = (handles.filter(F.col("handle").isNotNull())
                   .select(F.lower("handle").alias("_h"), "bioguide", "snapshot")
                   .withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "snapshot"))
-    by_handle = a.join(first_seen, "_h").select(handle, "bioguide", F.lit("handle").alias("match_method"))
+    # each stage's matches feed the later stages' anti-joins and the final union
+    by_handle = materialize(a.join(first_seen, "_h").select(handle, "bioguide", F.lit("handle").alias("match_method")))
 
     cands = cands_all.join(by_handle.select(handle), handle, "left_anti")
     keys = person_keys(people)
     j = cands.join(keys, ["first", "last"])
     j = j.filter(F.col(state).isNull() | F.array_contains("states", F.col(state)))
     pick = Window.partitionBy(handle).orderBy("rank", F.desc("last_term_end"), "bioguide")
-    by_name = (j.withColumn("_r", F.row_number().over(pick)).filter("_r = 1")
-                .select(handle, "bioguide", F.lit("name").alias("match_method")))
+    by_name = materialize(j.withColumn("_r", F.row_number().over(pick)).filter("_r = 1")
+                          .select(handle, "bioguide", F.lit("name").alias("match_method")))
 
     c2 = cands.join(by_name.select(handle), handle, "left_anti").filter(F.col(state).isNotNull())
     ppl = people.select("bioguide", "states", "last_term_end", TX.fold_ascii(F.col("last")).alias("last"))
