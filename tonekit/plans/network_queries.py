@@ -183,3 +183,12 @@ def rt_share(spark, root):
     """Share of retweets by year (collection-gap check)."""
     return msgs(spark, root).groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("text").rlike(K.RETWEET_PREFIX).cast("int")).alias("rt_share"))
+
+
+@register("cross_edges", _q(f"SELECT 'retweet' AS kind, {_EDGE_COLS} FROM rte WHERE is_cross UNION ALL "
+                            f"SELECT 'dot', {_EDGE_COLS} FROM dote WHERE is_cross"))
+def cross_edges(spark, root):
+    """K6: the edges joining the two main groups, both kinds."""
+    _, _, _, rt, dot = _net(spark, root, keep_edges=True)
+    return (rt.filter("is_cross").select(F.lit("retweet").alias("kind"), "*")
+            .unionByName(dot.filter("is_cross").select(F.lit("dot").alias("kind"), "*")))

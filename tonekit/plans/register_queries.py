@@ -11,6 +11,7 @@ from ..operators import scoring as SC
 from ..sources.files import read_table
 from . import oracle_views as O
 from .registry import register
+from .series_queries import _TOKENS as _TOKENS_SQL  # DuckDB twin of functions.text.tokens
 from .views import analysis_posts, attach_document_text
 
 # Test-scale analog lexicons: the published word lists (constants.CIVIC etc., the
@@ -263,3 +264,39 @@ def top_angry_texts(spark, root):
     """The twelve texts the scorer finds angriest (ties by id)."""
     s = SC.lexicon_scores(_docs(spark, root)).select("msg_id", "anger")
     return s.orderBy(F.desc("anger"), "msg_id").limit(12)
+
+
+# ---- text functions over whole documents (C17, C19, C22) ----------------------------------
+
+@register("normalise_text", O.with_views(r"""SELECT msg_id,
+       trim(regexp_replace(regexp_replace(text, '@[\p{L}\p{N}_]+', '@user', 'g'), 'https?://\S+', 'http', 'g')) AS text
+FROM d""", d=DOCS))
+def normalise_text(spark, root):
+    """The classifier input form of every whole document."""
+    from ..functions import text as TX
+
+    return _docs(spark, root).select("msg_id", TX.model_input("text").alias("text"))
+
+
+@register("tidy_texts", O.with_views(f"""SELECT msg_id,
+       CASE WHEN length(t1) <= {K.TIDY_MAX} THEN t1
+            ELSE regexp_replace(substr(t1, 1, {K.TIDY_CUT}), ' [^ ]*$', '') || '…' END AS text
+FROM (SELECT msg_id, trim(regexp_replace(replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '&amp;', '&'),
+                                         '\\s+', ' ', 'g')) AS t1 FROM d) x""", d=DOCS))
+def tidy_texts(spark, root):
+    """Links dropped, entities unescaped, spaces collapsed, cut at a word edge."""
+    from ..functions import text as TX
+
+    return _docs(spark, root).select("msg_id", TX.tidy_text("text").alias("text"))
+
+
+@register("text_tokens", O.with_views(
+    "SELECT msg_id, len(t) AS n_tokens, array_to_string(list_sort(t), ' ') AS tokens FROM (SELECT msg_id, "
+    + _TOKENS_SQL + " AS t FROM d) x", d=DOCS))
+def text_tokens(spark, root):
+    """The distinct tokens of every whole document (sorted, space-joined) and their number."""
+    from ..functions import text as TX
+
+    t = _docs(spark, root).select("msg_id", TX.tokens("text").alias("t"))
+    return t.select("msg_id", F.size("t").cast("long").alias("n_tokens"),
+                    F.array_join(F.array_sort("t"), " ").alias("tokens"))

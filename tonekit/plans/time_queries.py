@@ -145,3 +145,21 @@ def party_age_by_year(spark, root):
     return d.groupBy("year").agg(
         F.avg(F.when(F.col("party") == "Democrat", F.col("age_at_tweet"))).alias("dem"),
         F.avg(F.when(F.col("party") == "Republican", F.col("age_at_tweet"))).alias("rep"))
+
+
+@register("local_hour", _m("SELECT state, hour_local, count(*) AS n FROM m GROUP BY state, hour_local"))
+def local_hour(spark, root):
+    """Messages by normalised state and home-zone hour."""
+    return local_msgs(spark, root).groupBy("state", "hour_local").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("argmax_hour", _m(f"""SELECT year, hour_local, ROUND(anger_dev, 6) AS anger_dev FROM (
+  SELECT *, row_number() OVER (PARTITION BY year ORDER BY anger_dev DESC, hour_local) AS rn FROM (
+    SELECT year, hour_local, anger - sum(anger * n) OVER (PARTITION BY year) / sum(n) OVER (PARTITION BY year) AS anger_dev
+    FROM (SELECT year, hour_local, count(*) AS n, avg(anger) AS anger FROM m GROUP BY 1, 2 HAVING count(*) >= {MIN_N}) c) x) y
+WHERE rn = 1"""))
+def argmax_hour(spark, root):
+    """F8: the angriest local hour of each year (largest deviation; ties -> earlier hour)."""
+    cells = B.mean_battery(local_msgs(spark, root), ["year", "hour_local"], means=("anger",), share_of=None,
+                           se_of=None, min_n=MIN_N)
+    return B.argmax_per_group(B.deviation_within(cells, "year"), "year", "anger_dev", ["hour_local"])
