@@ -61,3 +61,13 @@ def test_bucketed_id_join_needs_no_shuffle(spark):
         assert joined.count() == 2000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+PYTHON_OK = {"model_scores", "ols_pvalues"}   # a Python model; erfc over the result rows
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP - PYTHON_OK))
+def test_stays_in_the_jvm(spark, name):
+    text = plan_text(E.queries()[name](spark, SF))
+    for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert node not in text, (name, node)
