@@ -129,3 +129,10 @@ SPARSE_RETWEET_YEARS = [2023, 2024]
 
 # ---- FIXED VALUES: forecast -------------------------------------------------------
 VERDICT_CUTS = [(0.75, ">="), (0.5, ">="), (0.25, "<")]
+VERDICT_TEXTS = ["it's an angry tweet.", "it's probably angry.", "it's probably not angry."]
+VERDICT_ELSE = "it's a coin flip."
+# how a lookup answer names what was known
+MEMBER_FORMS = {"era": " during %s", "band": ", %s"}
+CELL_FORMS = {"group": "a %s", "era": "during %s", "band": "at %s"}
+NOTHING_KNOWN = "nothing known"
+NO_DATA = "no data for that combination"

@@ -7,10 +7,8 @@ Patterns go through ``F.lit`` (never through SQL text), so backslashes are liter
 """
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import constants as K
 
@@ -26,11 +24,6 @@ def rx_replace(x, pattern: str, repl: str) -> Column:
     return F.regexp_replace(_c(x), F.lit(pattern), F.lit(repl))
 
 
-def rx_test(x, pattern: str) -> Column:
-    """Does the pattern match anywhere."""
-    return _c(x).rlike(pattern)
-
-
 def rx_group(x, pattern: str, group: int = 1) -> Column:
     """C14: first match's group, '' when there is no match."""
     return F.regexp_extract(_c(x), pattern, group)
@@ -69,57 +62,66 @@ def one_line(text, n: int = K.EXAMPLE_CHARS) -> Column:
     return F.substring(F.replace(_c(text), F.lit("\n"), F.lit(" ")), 1, n)
 
 
-def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
-    """Accent-folding table built by rule: every letter of the Latin ranges
-    U+00C0-U+024F and U+1E00-U+1EFF mapped to its NFKD decomposition with the
-    non-ASCII marks dropped (one-letter results go to ``translate``, longer ones such
-    as a ligature to a short replace list; letters without an ASCII base are left
-    to the ``[^a-z ]`` filter, as the decomposition would drop them too)."""
+def _fold_table() -> tuple[str, str, str]:
+    """Folding table built by rule: every character outside ASCII whose compatibility
+    decomposition (NFKD) keeps an ASCII part -- accented, full-width, styled, circled and
+    ligature letters alike.
+
+    Characters that become one letter or blank go straight into ``translate``; those that
+    become several are listed in the third string, in code point order. Whatever is not
+    listed decomposes to nothing in ASCII and falls to the ``[^a-z ]`` filter."""
+    import sys
     import unicodedata
 
-    src, dst, multi = [], [], []
-    for lo, hi in ((0x00C0, 0x024F), (0x1E00, 0x1EFF)):
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-            if len(folded) == 1:
-                src.append(ch)
-                dst.append(folded)
-            elif len(folded) > 1:
-                multi.append((ch, folded))
-    return "".join(src), "".join(dst), multi
+    src, dst, several = [], [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        plain = unicodedata.normalize("NFKD", ch)
+        if plain == ch:
+            continue
+        kept = "".join(c for c in plain.lower() if c == " " or "a" <= c <= "z")
+        if len(kept) == 1:
+            src.append(ch)
+            dst.append(kept)
+        elif len(kept) > 1:
+            several.append(ch)
+    return "".join(src), "".join(dst), "".join(several)
+
+
+_FOLD_SRC, _FOLD_DST, _FOLD_SEVERAL = _fold_table()
 
 
-_FOLD_SRC, _FOLD_DST, _FOLD_MULTI = _fold_table()
+def _several() -> Column:
+    """Map of the characters that fold to several letters."""
+    import unicodedata
+
+    pairs = []
+    for ch in _FOLD_SEVERAL:
+        kept = "".join(c for c in unicodedata.normalize("NFKD", ch).lower() if c == " " or "a" <= c <= "z")
+        pairs += [F.lit(ch), F.lit(kept)]
+    return F.create_map(*pairs)
 
 
 def fold_ascii(x) -> Column:
-    """C20: accent-fold, lower-case, keep ``[a-z ]``, trim -- in the JVM (``translate``
-    over a rule-built table), no Python worker."""
+    """C20: fold to ASCII (accents, full-width and styled letters, ligatures), lower-case,
+    keep ``[a-z ]``, trim -- in the JVM over rule-built tables, no Python worker.
+
+    Letters that fold to several are rare: only texts that hold one are taken apart."""
     t = _c(x)
-    for ch, rep in _FOLD_MULTI:
-        t = F.replace(t, F.lit(ch), F.lit(rep))
+    many = "[" + _FOLD_SEVERAL + "]"
+    spread = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(_several(), c), c)), "")
+    t = F.when(t.rlike(many), spread).otherwise(t)
     t = F.lower(F.translate(t, _FOLD_SRC, _FOLD_DST))
     return F.trim(F.regexp_replace(t, F.lit("[^a-z ]"), F.lit("")))
 
 
-@F.pandas_udf(StringType())
-def fold_ascii_nfkd(s: pd.Series) -> pd.Series:
-    """C20, full Unicode form: NFKD over any script in an Arrow-batched Python UDF
-    (Spark has no Unicode normalisation built in); slower than :func:`fold_ascii`."""
-    out = (s.fillna("").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
-           .str.lower().str.replace(r"[^a-z ]", "", regex=True).str.strip())
-    return out.where(s.notna(), None)
-
-
 def tokens(text, pattern: str = K.TOKEN_PATTERN, stop=K.STOP_WORDS) -> Column:
     """Distinct lower-case word and ``#tag`` tokens of a whole message, links and
     handles removed first, stop words dropped (a tag is checked without its ``#``)."""
     t = rx_replace(F.lower(_c(text)), K.LINK + "|@" + UWORD + "+", " ")
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    # the pattern admits at most one leading '#': drop it for the stop-word test
-    bare = lambda w: F.when(w.startswith("#"), F.substring(w, 2, 1 << 20)).otherwise(w)
-    kept = F.filter(found, lambda w: ~bare(w).isin(*sorted(set(stop))))
+    # a tag is tested without its '#'
+    kept = F.filter(found, lambda w: ~F.ltrim(w, F.lit("#")).isin(*sorted(set(stop))))
     return F.array_distinct(kept)
 
 

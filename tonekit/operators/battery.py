@@ -39,7 +39,8 @@ def mean_battery(
     """Per key: ``n``, mean of each score, share over the threshold, standard error.
 
     Column order follows the published tables: keys, n, [members], first mean,
-    share, remaining means, extras, ``<se_of>_se``.  ``HAVING n >= min_n``; sorted by keys.
+    share, remaining means, extras, ``<se_of>_se``.  ``HAVING n >= min_n``.  Not sorted: the
+    consumers window or join the cells next, and sort last where they print them.
     """
     keys = _cols(keys)
     if where is not None:
@@ -50,12 +51,11 @@ def mean_battery(
     for i, m in enumerate(means):
         aggs.append(F.avg(m).alias(m))
         if i == 0 and share_of:
-            aggs.append(F.avg((F.col(share_of) > F.lit(threshold)).cast("int")).alias(share_name))
+            aggs.append(F.avg(angry_flag(share_of, threshold)).alias(share_name))
     aggs.extend(extra)
     if se_of:
         aggs.append((F.stddev_samp(se_of) / F.sqrt(F.count(F.lit(1)))).alias(f"{se_of}_se"))
-    out = df.groupBy(*keys).agg(*aggs).filter(F.col("n") >= min_n)
-    return out.orderBy(*keys) if keys else out
+    return df.groupBy(*keys).agg(*aggs).filter(F.col("n") >= min_n)
 
 
 def deviation_within(cells: DataFrame, within: str | Sequence[str], col: str = "anger",
@@ -68,13 +68,10 @@ def deviation_within(cells: DataFrame, within: str | Sequence[str], col: str = "
     return cells.withColumn(out or f"{col}_dev", F.col(col) - base)
 
 
-def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str = "n",
-                  out: str | None = None) -> DataFrame:
-    """``sum(x*w)/sum(w)`` per key (partial-aggregable)."""
+def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str = "n", count: str = "cells") -> DataFrame:
+    """``sum(x*w)/sum(w)`` per key (partial-aggregable) and the number of cells."""
     return df.groupBy(*_cols(keys)).agg(
-        (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(out or value),
-        F.sum(weight).alias(f"{weight}_total") if weight == "n" else F.sum(weight).alias(f"{weight}_sum"),
-    )
+        F.count(F.lit(1)).alias(count), (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(value))
 
 
 def error_bar(se: str = "anger_se", z: float = 1.96) -> Column:

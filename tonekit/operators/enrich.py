@@ -38,12 +38,12 @@ def normalise_state(state="state", aliases: dict = K.STATE_ALIASES) -> F.Column:
 
 
 def dedup_first(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
-    """keep one row per id -- the smallest by ``order`` (then by every other column,
-    so the pick is repeatable).  Expressed as ``min_by`` in a grouped aggregate, which
-    Spark combines map-side: an id repeated a million times is reduced before the
-    shuffle instead of being sorted in one task as a row_number window would."""
+    """keep one row per id -- the smallest by ``order``, ties by a hash of the whole row,
+    so the pick is repeatable.  A grouped ``min_by``: Spark sorts each task's rows by id,
+    keeps one row per id and task before the shuffle, and merges those; an id repeated a
+    million times arrives as one row per task."""
     others = [c for c in df.columns if c != id_col]
-    rank = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in others if c not in order])
+    rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in others]))
     best = df.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in others]), rank).alias("_r"))
     return best.select(id_col, *[F.col(f"_r.{c}").alias(c) for c in others])
 

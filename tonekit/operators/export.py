@@ -53,14 +53,6 @@ def parallel_arrays(df: DataFrame, order: Sequence[str], cols: Sequence[str],
     return out.select(*group, *[F.transform("_r", field(c)).alias(c) for c in cols])
 
 
-def records(df: DataFrame, group: Sequence[str], order: Sequence[str], fields: Sequence[str],
-            out: str = "records") -> DataFrame:
-    """Per group, the list of records (structs) ordered by ``order``."""
-    rec = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order],
-                                               *[F.col(c) for c in fields if c not in order])))
-    return df.groupBy(*group).agg(rec.alias(out))
-
-
 def json_document(df: DataFrame, out: str = "json") -> DataFrame:
     """A one-row table holding the whole (small) result as compact JSON arrays."""
     arr = parallel_arrays(df, df.columns[:1], df.columns)
@@ -95,5 +87,5 @@ def circular_lerp(series: DataFrame, targets: DataFrame, x: str = "h", y: str =
     tg = tg.withColumn("_j", (F.col("_i") + 1) % bins)
     s0 = series.select(F.col(x).cast("int").alias("_i"), F.col(y).alias("_v0"))
     s1 = series.select(F.col(x).cast("int").alias("_j"), F.col(y).alias("_v1"))
-    out = tg.join(F.broadcast(s0), "_i").join(F.broadcast(s1), "_j")  # the series has `bins` rows
+    out = tg.join(s0, "_i").join(s1, "_j")
     return out.select(t, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_f")).alias(y))

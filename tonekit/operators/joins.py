@@ -1,36 +1,16 @@
-"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it.
+"""Join helper for tables whose size the schema fixes.
 
-The library's own joins against derived tables (authors, aliases, per-group means)
-carry no hint: with AQE on, Spark measures each such table when its stage
-materialises and converts the join to a broadcast only when the measured size is
-under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` -- a checked size with the
-sort-merge join (and skew splitting) as the way beyond it, and no second pass over
-the data to count it.  Explicit broadcasts are kept for tables whose size is fixed
-by construction (:func:`fixed_broadcast`).  :func:`sized_broadcast` is for callers
-holding a cheap-to-count dimension read from storage.
+Joins against derived tables carry no hint: with AQE on, Spark measures each side when its
+stage materialises, broadcasts it below ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+and keeps a sort-merge join (with skew splitting) beyond it.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows above which a derived dimension is joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  Reads at most ``max_rows + 1``
-    rows (the limit stops the scan early), so the check is bounded on any input."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged
-    (AQE then picks sort-merge, splitting skewed partitions)."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
-
 
 def fixed_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast for tables whose size is fixed by construction (literal lookups,
-    a bounded list of peaks).  Callers document the bound."""
+    """Broadcast for tables whose size is fixed by construction (literal lookups, a bounded
+    list of peaks). Callers document the bound."""
     return F.broadcast(df)

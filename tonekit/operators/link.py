@@ -1,31 +1,30 @@
 """Entity linkage: message authors -> people.
 
-The reference matches row by row with dictionaries.  Here every stage is a join:
+Matching is a cascade of three stages:
 
 1. handle      -- lower-cased handle against the social-handle table (earliest
                   snapshot first);
 2. name        -- (first, last) keys of the author's name, last-name candidates
                   longest first, against every (first | nickname | first word of the
-                  official name, last) key of each person; filtered by the author's
-                  state when known; several -> the most recent last term;
+                  official name, last) key of each person; in the author's state when
+                  known; several -> the most recent last term;
 3. last+state  -- last-name candidate + state, people whose last term ends in or after
                   a cut year, only when exactly one person qualifies.
 
-An author matched in a stage leaves the later ones (``left_anti``); within a stage
-the preference is the candidate rank, then the tie-breaks.  All tables involved are
-people- or author-sized; the message table is read once for the author summary.
+The people are reduced to one answer per key before authors meet them, so no join
+pairs namesakes.  All tables involved are people- or author-sized; the message table
+is read once for the author summary.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import text as TX
-from ..session import materialize
 
 
 def author_summary(msgs: DataFrame, handle: str = "author_handle", name: str = "author_name",
@@ -33,14 +32,23 @@ def author_summary(msgs: DataFrame, handle: str = "author_handle", name: str = "
                    congress=K.CONGRESS_CHAMBERS) -> DataFrame:
     """Per handle, the most common name and state (NULLs ignored, ties ->
     smallest, all NULL -> NULL), whether most messages carry a congressional chamber
-    (NULL counts as no) and the message count.  Mode is a built-in aggregate, so it
-    combines partially like the others."""
-    in_set = F.coalesce(F.col(chamber).isin(*congress), F.lit(False)).cast("int")
-    return msgs.groupBy(handle).agg(
-        F.mode(name, deterministic=True).alias(name),
-        F.mode(state, deterministic=True).alias(state),
-        (F.avg(in_set) > 0.5).alias("is_congress"),
-        F.count(F.lit(1)).alias("n_tweets"))
+    (NULL counts as no) and the message count.
+
+    The messages are counted once per (handle, name, state, in chamber); the modes are
+    taken from those counts in two steps, so no task holds all values of a handle."""
+    in_set = F.coalesce(F.col(chamber).isin(*congress), F.lit(False))
+    cells = msgs.groupBy(handle, name, state, in_set.alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def mode(c: str) -> DataFrame:
+        counts = cells.filter(F.col(c).isNotNull()).groupBy(handle, c).agg(F.sum("_n").alias("_n"))
+        return counts.groupBy(handle).agg(F.min(F.struct(-F.col("_n"), F.col(c))).alias("_m")).select(
+            handle, F.col(f"_m.{c}").alias(c))
+
+    total = cells.groupBy(handle).agg(
+        (F.sum(F.when(F.col("_in"), F.col("_n")).otherwise(0)) / F.sum("_n") > 0.5).alias("is_congress"),
+        F.sum("_n").alias("n_tweets"))
+    return (total.join(mode(name), handle, "left").join(mode(state), handle, "left")
+            .select(handle, name, state, "is_congress", "n_tweets"))
 
 
 def name_candidates(authors: DataFrame, handle: str = "author_handle", name: str = "author_name") -> DataFrame:
@@ -89,43 +97,50 @@ def link_authors(authors: DataFrame, people: DataFrame, handles: DataFrame,
 
     ``people``: bioguide, first, last, nickname, official_full, states (array),
     last_term_end (ISO date string).  ``handles``: handle, bioguide, snapshot (the
-    earliest snapshot wins for a handle)."""
-    # the author table (one row per handle) and its name candidates are read by every
-    # stage: materialise both once in the shared checkpoint folder
-    a = materialize(authors.withColumn("_h", F.lower(handle)))
-    cands_all = materialize(name_candidates(a).join(a.select(handle, state), handle))
-    w = Window.partitionBy("_h").orderBy("snapshot", "bioguide")
-    first_seen = (handles.filter(F.col("handle").isNotNull())
-                  .select(F.lower("handle").alias("_h"), "bioguide", "snapshot")
-                  .withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "snapshot"))
-    # each stage's matches feed the later stages' anti-joins and the final union
-    by_handle = materialize(a.join(first_seen, "_h").select(handle, "bioguide", F.lit("handle").alias("match_method")))
-
-    cands = cands_all.join(by_handle.select(handle), handle, "left_anti")
+    earliest snapshot wins for a handle).  An empty or NULL state is unknown.
+
+    The people are first reduced to the one answer of each key -- best person per (first,
+    last, state) and per (first, last), the only person per (last, state) -- so every join
+    of authors is one-to-one and its rows grow with the candidates, whatever namesakes
+    there are."""
+    a = authors.select("*", F.lower(handle).alias("_h"), F.nullif(F.col(state), F.lit("")).alias("_s"))
+    seen = (handles.filter(F.col("handle").isNotNull()).groupBy(F.lower("handle").alias("_h"))
+            .agg(F.min(F.struct("snapshot", "bioguide")).alias("_m")).select("_h", F.col("_m.bioguide").alias("_b1")))
+    a = a.join(seen, "_h", "left")
+    cands = name_candidates(a.filter(F.col("_b1").isNull())).join(a.select(handle, "_s"), handle)
+
     keys = person_keys(people)
-    j = cands.join(keys, ["first", "last"])
-    j = j.filter(F.col(state).isNull() | F.array_contains("states", F.col(state)))
-    pick = Window.partitionBy(handle).orderBy("rank", F.desc("last_term_end"), "bioguide")
-    by_name = materialize(j.withColumn("_r", F.row_number().over(pick)).filter("_r = 1")
-                          .select(handle, "bioguide", F.lit("name").alias("match_method")))
-
-    c2 = cands.join(by_name.select(handle), handle, "left_anti").filter(F.col(state).isNotNull())
-    ppl = people.select("bioguide", "states", "last_term_end", TX.fold_ascii(F.col("last")).alias("last"))
-    ppl = ppl.filter(F.col("last_term_end") >= cut_year)
-    j2 = c2.join(ppl, "last").filter(F.array_contains("states", F.col(state)))
-    uniq = j2.groupBy(handle, "rank").agg(F.count(F.lit(1)).alias("_k"), F.min("bioguide").alias("bioguide"))
-    pick2 = Window.partitionBy(handle).orderBy("rank")
-    by_last = (uniq.filter("_k = 1").withColumn("_r", F.row_number().over(pick2)).filter("_r = 1")
-                   .select(handle, "bioguide", F.lit("lastname+state").alias("match_method")))
-
-    matched = by_handle.unionByName(by_name).unionByName(by_last)
-    out = authors.join(matched, handle, "left")
-    extra = [c for c in ("birthday", "gender") if c in people.columns]
+    by_state = _best(keys.withColumn("_s", F.explode(F.array_distinct("states"))), ["first", "last", "_s"], "_bs")
+    anywhere = _best(keys, ["first", "last"], "_ba")
+    last = people.filter(F.col("last_term_end") >= cut_year).select(
+        "bioguide", TX.fold_ascii(F.col("last")).alias("last"), F.explode(F.array_distinct("states")).alias("_s"))
+    only = last.groupBy("last", "_s").agg(F.count(F.lit(1)).alias("_k"), F.min("bioguide").alias("_b3")).filter("_k = 1")
+    c = (cands.join(by_state, ["first", "last", "_s"], "left").join(anywhere, ["first", "last"], "left")
+         .join(only.drop("_k"), ["last", "_s"], "left"))
+    by_name = F.when(F.col("_s").isNull(), F.col("_ba")).otherwise(F.col("_bs"))
+
+    def first(hit):
+        """The match of the longest candidate that has one."""
+        return F.min(F.when(hit.isNotNull(), F.struct(F.col("rank"), hit.alias("b"))))["b"]
+
+    found = c.groupBy(handle).agg(first(by_name).alias("_b2"), first(F.col("_b3")).alias("_b3"))
+    out = a.join(found, handle, "left")
+    method = (F.when(F.col("_b1").isNotNull(), "handle").when(F.col("_b2").isNotNull(), "name")
+              .when(F.col("_b3").isNotNull(), "lastname+state"))
+    out = out.select(*authors.columns, F.coalesce("_b1", "_b2", "_b3").alias("bioguide"), method.alias("match_method"))
+    extra = [x for x in ("birthday", "gender") if x in people.columns]
     if extra:  # person attributes of the match (people-sized join)
         out = out.join(people.select("bioguide", *extra), "bioguide", "left")
     return out
 
 
+def _best(keys: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Per key the person with the latest last term (a missing one counts as earliest); ties go
+    to the smallest id."""
+    one = keys.groupBy(*by, "last_term_end").agg(F.min("bioguide").alias(out))
+    return one.groupBy(*by).agg(F.max(F.struct("last_term_end", out))[out].alias(out))
+
+
 def match_report(linked: DataFrame, top: int = 30, handle: str = "author_handle") -> tuple[DataFrame, DataFrame]:
     """Counts by method among congressional authors with the message-weighted
     coverage, and the top unmatched authors by message count."""
@@ -170,8 +185,11 @@ def people_from_records(people_json: DataFrame) -> DataFrame:
 
 def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
     """A5: social-handle snapshots (YAML or JSON lists of records) as
-    (handle, bioguide, snapshot) rows; files are parsed in Python workers, one file per
-    row of a ``binaryFile`` read, so many snapshot files parse in parallel."""
+    (handle, bioguide, snapshot) rows, earliest first.
+
+    The order is that of ``paths``: ``snapshot`` starts with the position of the path (a
+    folder or glob counts once) and ends with the file name.  Each path is one
+    ``binaryFile`` read; the files are parsed in Python workers, so many parse in parallel."""
     import json as _json
 
     import pandas as pd
@@ -183,14 +201,17 @@ def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
 
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for at, path, content in zip(pdf["at"], pdf["path"], pdf["content"]):
                 text = bytes(content).decode("utf8")
                 data = _json.loads(text) if path.endswith(".json") else yaml.safe_load(text)
                 for e in data or []:
                     tw = (e.get("social") or {}).get("twitter")
                     if tw:
-                        rows.append((str(tw), e["id"]["bioguide"], path.rsplit("/", 1)[-1]))
+                        rows.append((str(tw), e["id"]["bioguide"], f"{at:06d}/{path.rsplit('/', 1)[-1]}"))
             yield pd.DataFrame(rows, columns=["handle", "bioguide", "snapshot"])
 
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.select("path", "content").mapInPandas(parse, schema)
+    files = None
+    for i, p in enumerate(paths):
+        one = spark.read.format("binaryFile").load(p).select(F.lit(i).alias("at"), "path", "content")
+        files = one if files is None else files.unionByName(one)
+    return files.mapInPandas(parse, schema)

@@ -1,9 +1,9 @@
 """Interaction networks from message text.
 
-Edges come from handles found in the text (retweet prefix, ``.@`` call-outs),
-resolved through an alias table (handle -> person) and counted per (src, dst): a
-grouped aggregate with map-side combine, so a hub with millions of in-edges costs
-one partial row per task.  Node tables are built by ``groupBy`` on the edge lists;
+Edges come from handles found in the text (retweet prefix, ``.@`` call-outs). They are
+counted per (source, handle) first -- a hub with millions of mentions costs one partial
+row per source and task -- and only the counts are resolved through the alias table
+(handle -> person).  Node tables are built by ``groupBy`` on the edge lists;
 nothing is collected.
 """
 from __future__ import annotations
@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as TX
-from .rates import latest
+from .rates import latest_of
 
 
 def members(df: DataFrame, person: str = "author", attrs: Sequence[str] = ("author_name", "party", "state"),
             ts: str = "ts", tie: str = "msg_id") -> DataFrame:
-    """K1: one row per person -- latest non-NULL attributes and the message count."""
-    lat = latest(df, person, list(attrs), ts, tie)
-    cnt = df.groupBy(person).agg(F.count(F.lit(1)).alias("n_msgs"))
-    return lat.join(cnt, person).withColumnRenamed(person, "id")
+    """K1: one row per person -- latest non-NULL attributes and the message count, in one
+    aggregate."""
+    per = df.groupBy(person).agg(*latest_of(attrs, ts, tie), F.count(F.lit(1)).alias("n_msgs"))
+    return per.withColumnRenamed(person, "id")
 
 
 def aliases(df: DataFrame, handle: str = "handle", person: str = "author") -> DataFrame:
@@ -40,9 +40,7 @@ def retweet_edges(df: DataFrame, alias: DataFrame, person: str = "author", text:
         rt = rt.filter(~F.col(year).isin(*exclude_years))
     rt = rt.select(F.col(person).alias("src"), F.col(score).alias("_s"),
                    F.lower(TX.rx_group(text, K.RETWEET_TARGET)).alias("h"))
-    a = alias
-    return rt.join(a, "h").groupBy("src", F.col("id").alias("dst")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_s").alias(score))
+    return _resolved(rt, alias, score)
 
 
 def dot_edges(df: DataFrame, alias: DataFrame, person: str = "author", text: str = "text",
@@ -52,9 +50,15 @@ def dot_edges(df: DataFrame, alias: DataFrame, person: str = "author", text: str
     m = df.filter(~TX.is_retweet(text)).select(
         F.col(person).alias("src"), F.col(score).alias("_s"),
         F.explode(TX.rx_all(text, K.DOT_MENTION)).alias("h"))
-    m = m.withColumn("h", F.lower("h"))
-    return m.join(alias, "h").groupBy("src", F.col("id").alias("dst")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_s").alias(score))
+    return _resolved(m.withColumn("h", F.lower("h")), alias, score)
+
+
+def _resolved(mentions: DataFrame, alias: DataFrame, score: str) -> DataFrame:
+    """Mentions (src, h, _s) counted per (src, handle) first, so the alias join sees one row a
+    pair and not the messages of a viral handle; then summed per person."""
+    per = mentions.groupBy("src", "h").agg(F.count(F.lit(1)).alias("n"), F.count("_s").alias("_k"), F.sum("_s").alias("_t"))
+    return per.join(alias, "h").groupBy("src", F.col("id").alias("dst")).agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("_t"), F.sum("_k")).alias(score))
 
 
 def member_edges(edges: DataFrame, nodes: DataFrame, min_n: int = K.MIN_EDGE, group: str = "party",
@@ -162,15 +166,23 @@ def mention_kinds(df: DataFrame, alias: DataFrame, nodes: DataFrame, person: str
                   group: str = "party", flag: str = "angry", main=K.MAIN_GROUPS) -> DataFrame:
     """Each non-retweet addressing a member is a reply (starts with ``@``), a
     call-out (``.@``) or a plain mention; by same/cross group of the first handle,
-    the share of flagged messages."""
+    the share of flagged messages.  Counted per (kind, group, handle) before any join."""
     t = F.col(text)
     kind = (F.when(t.rlike(r"^@\w"), "reply").when(t.rlike(K.DOT_MENTION), "callout")
              .when(t.rlike(r"@\w"), "mention"))
-    m = df.filter(~TX.is_retweet(text)).select(person, group, flag, kind.alias("kind"),
+    m = df.filter(~TX.is_retweet(text)).select(group, flag, kind.alias("kind"),
                                                F.lower(TX.rx_group(text, r"@(\w+)")).alias("h"))
-    m = m.filter(F.col("kind").isNotNull()).join(alias, "h")
-    tgt = nodes.select(F.col("id"), F.col(group).alias("tg"))
-    m = m.join(tgt, "id")
+    m = m.filter(F.col("kind").isNotNull()).groupBy("kind", group, "h").agg(
+        F.count(F.lit(1)).alias("n"), F.count(flag).alias("_k"), F.sum(flag).alias("_t"))
+    target = alias.join(nodes.select("id", F.col(group).alias("tg")), "id").select("h", "tg")
+    m = m.join(target, "h")
     rel = (F.when((F.col(group) == F.col("tg")), "same")
             .when(F.col(group).isin(*main) & F.col("tg").isin(*main), "cross").otherwise("other"))
-    return m.groupBy("kind", rel.alias("relation")).agg(F.count(F.lit(1)).alias("n"), F.avg(flag).alias("share_angry"))
+    return m.groupBy("kind", rel.alias("relation")).agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("_t"), F.sum("_k")).alias("share_angry"))
+
+
+def scaled_degrees(nodes: DataFrame, by: str = "rt_in") -> DataFrame:
+    """node size as the square root of a degree over the largest one (0 to 1)."""
+    top = nodes.agg(F.max(by)).first()[0]
+    return nodes.withColumn("size", F.sqrt(F.col(by) / F.lit(float(top) if top else 1.0)))

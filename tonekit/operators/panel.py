@@ -1,5 +1,5 @@
-"""Per-group regressions with cluster-robust errors, fixed effects, rank correlation
-(F9, F10, F15-F17, E14, E15, D6, D7).
+"""Per-group regressions with cluster-robust errors, fixed effects, rank statistics
+(F9, F10, F15-F17, E14-E16, D6, D7).
 
 The regressions are closed forms over grouped sums, so they run as ordinary
 aggregations however many rows a group holds:
@@ -11,21 +11,17 @@ aggregations however many rows a group holds:
     var(b)   = G/(G-1) * (N-1)/(N-K) * sum_c s_c^2 / (sum w x~^2)^2
 
 with N rows, G clusters and K parameters of the full dummy model (the small-sample
-factor is the usual one of cluster-robust OLS software).  Pass 1 computes the
-means, pass 2 the per-cluster sums A_c, B_c, pass 3 reduces them per group to the
-five sums the slope and the meat need -- each a grouped aggregate, with only the
-means table joined back on its keys.
+factor is the usual one of cluster-robust OLS software).  The rows are read once, into
+the sums w, wx, wy, wxx, wxy of each (group, category, cluster); means, A_c and B_c
+follow from those sums, so no join ever meets the rows.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
 
 def _cols(x) -> list[str]:
@@ -44,23 +40,27 @@ def clustered_slope(df: DataFrame, group: str | Sequence[str] | None, y: str, x:
     slope, se, z (slope and se times ``scale``).  Rows with NULL y, x, cluster, absorb
     or weight are dropped; groups under ``min_rows`` rows are skipped.
 
-    Joins only on real keys: means go back to the rows on (group, absorb); the
-    cluster sums A_c, B_c are reduced per group to sum A, sum B, sum A^2, sum AB,
-    sum B^2, from which slope and meat follow without another pass."""
+    One aggregate of the rows gives the sums per (group, absorb, cluster); centring and
+    the cluster sums A_c, B_c are arithmetic on them."""
     g = _cols(group)
     centre_keys = g + _cols(absorb)
     if not centre_keys:
         raise ValueError("clustered_slope needs a group or an absorbed category to centre within")
     need = [y, x, cluster] + _cols(absorb) + _cols(weight)
     d = df.select(*g, *need).dropna(subset=need)
-    d = d.withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
-    means = d.groupBy(*centre_keys).agg((F.sum(F.col("_w") * F.col(x)) / F.sum("_w")).alias("_mx"),
-                                        (F.sum(F.col("_w") * F.col(y)) / F.sum("_w")).alias("_my"))
-    c = d.join(means, centre_keys)
-    c = c.withColumn("_xt", F.col(x) - F.col("_mx")).withColumn("_yt", F.col(y) - F.col("_my"))
-    per_cluster = c.groupBy(*g, cluster).agg(F.sum(F.col("_w") * F.col("_xt") * F.col("_yt")).alias("_a"),
-                                             F.sum(F.col("_w") * F.col("_xt") * F.col("_xt")).alias("_b"),
-                                             F.count(F.lit(1)).alias("_rows"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    cells = d.groupBy(*dict.fromkeys([*centre_keys, cluster])).agg(
+        F.sum(w).alias("_w"), F.sum(w * xs).alias("_x"), F.sum(w * ys).alias("_y"), F.sum(w * xs * xs).alias("_xx"),
+        F.sum(w * xs * ys).alias("_xy"), F.count(F.lit(1)).alias("_rows"))
+    means = cells.groupBy(*centre_keys).agg((F.sum("_x") / F.sum("_w")).alias("_mx"),
+                                            (F.sum("_y") / F.sum("_w")).alias("_my"))
+    c = cells.join(means, centre_keys)
+    mx, my = F.col("_mx"), F.col("_my")
+    per_cluster = c.groupBy(*g, cluster).agg(
+        F.sum(F.col("_xy") - my * F.col("_x") - mx * F.col("_y") + mx * my * F.col("_w")).alias("_a"),
+        F.sum(F.col("_xx") - 2 * mx * F.col("_x") + mx * mx * F.col("_w")).alias("_b"),
+        F.sum("_rows").alias("_rows"))
     a, b = F.col("_a"), F.col("_b")
     tot = per_cluster.groupBy(*g).agg(
         F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("clusters"), F.sum(a).alias("_sxy"),
@@ -83,25 +83,41 @@ def clustered_slope(df: DataFrame, group: str | Sequence[str] | None, y: str, x:
                       F.try_divide(slope, se).alias("z"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided normal p-value ``erfc(|z| / sqrt 2)`` -- Spark has no erfc built in; this
-    runs over result rows only (one per group)."""
-    return z.abs().map(lambda v: math.erfc(v / math.sqrt(2.0)) if pd.notna(v) else float("nan"))
+def normal_p(z: str | Column) -> Column:
+    """Two-sided normal p-value ``erfc(|z| / sqrt 2)`` from built-in functions.
+
+    Below 2 by the all-positive series of erf, from 2 on by the continued fraction of erfc
+    (evaluated from its tail), which keeps its relative precision however small p is."""
+    x = F.abs(F.col(z) if isinstance(z, str) else z) / F.lit(math.sqrt(2.0))
+    bell = F.exp(-x * x)
+    term = F.aggregate(F.sequence(F.lit(1), F.lit(60)),
+                       F.struct(x.alias("t"), x.alias("s")),
+                       lambda a, k: F.struct((a["t"] * 2 * x * x / (2 * k + 1)).alias("t"),
+                                             (a["s"] + a["t"] * 2 * x * x / (2 * k + 1)).alias("s")))
+    near = F.lit(1.0) - F.lit(2 / math.sqrt(math.pi)) * bell * term["s"]
+    tail = F.aggregate(F.sequence(F.lit(80), F.lit(1)), F.lit(0.0), lambda a, k: k / 2.0 / (x + a))
+    far = bell / F.lit(math.sqrt(math.pi)) / (x + tail)
+    return F.when(x < 2.0, near).when(x >= 2.0, far)
 
 
 def with_p(df: DataFrame, z: str = "z", out: str = "p") -> DataFrame:
-    return df.withColumn(out, normal_p(F.col(z)))
+    return df.withColumn(out, normal_p(z))
 
 
 def panel_cells(df: DataFrame, unit: str, period: str, y: str, x: str, min_n: int,
                 extra: Sequence[Column] = ()) -> DataFrame:
     """E14/D6/F17 input: per (unit, period) cell, the mean of ``y`` minus the period
-    mean over all rows, the mean of ``x`` and the row count; cells under ``min_n`` dropped."""
-    pm = df.groupBy(period).agg(F.avg(y).alias("_pm"))
-    d = df.join(pm, period)
-    return d.groupBy(unit, period).agg(F.avg(F.col(y) - F.col("_pm")).alias(f"{y}_dev"), F.avg(x).alias(x),
-                                       F.count(F.lit(1)).alias("n"), *extra).filter(F.col("n") >= min_n)
+    mean over all rows, the mean of ``x`` and the row count; cells under ``min_n`` dropped
+    (after the period mean, which covers every row).
+
+    The mean of ``y`` less the period mean is the mean of the differences, so the period
+    means are taken from the cells and meet them, not the rows."""
+    cells = df.groupBy(unit, period).agg(F.sum(y).alias("_sy"), F.count(y).alias("_ny"), F.avg(x).alias(x),
+                                         F.count(F.lit(1)).alias("n"), *extra)
+    pm = cells.groupBy(period).agg((F.sum("_sy") / F.sum("_ny")).alias("_pm"))
+    out = cells.join(pm, period).withColumn(f"{y}_dev", F.try_divide(F.col("_sy"), F.col("_ny")) - F.col("_pm"))
+    rest = [c for c in cells.columns if c not in (unit, period, "_sy", "_ny", x, "n")]
+    return out.filter(F.col("n") >= min_n).select(unit, period, f"{y}_dev", x, "n", *rest)
 
 
 def long_span_units(cells: DataFrame, unit: str, period: str, min_span: int = 5, min_count: int = 6) -> DataFrame:
@@ -117,23 +133,50 @@ def within_unit_slope(cells: DataFrame, unit: str, y: str, x: str, weight: str =
                       min_units: int = 20, scale: float = 10.0) -> DataFrame:
     """fixed-effects WLS of ``y`` on ``x`` with one effect per unit, weights
     ``weight``, errors clustered by unit; NULL estimates when fewer than ``min_units``."""
-    res = clustered_slope(cells, None, y, x, unit, absorb=unit, weight=weight, scale=scale)
+    res = with_p(clustered_slope(cells, None, y, x, unit, absorb=unit, weight=weight, scale=scale))
+    enough = F.col("clusters") >= min_units
     return res.select(F.col("clusters").alias("members"), F.col("n").alias("member_years"),
-                      F.when(F.col("clusters") >= min_units, F.col("slope")).alias("slope_per_decade"),
-                      F.when(F.col("clusters") >= min_units, F.col("se")).alias("se"),
-                      F.when(F.col("clusters") >= min_units, F.col("z")).alias("z"))
+                      F.when(enough, F.col("slope")).alias("slope_per_decade"),
+                      *[F.when(enough, F.col(c)).alias(c) for c in ("se", "z", "p")])
+
+
+def positions(df: DataFrame, x: str, buckets: int = 128) -> DataFrame:
+    """Per distinct value of ``x``: its count ``c`` and the number of rows ``before`` it.
 
+    Values are cut into ranges at approximate quantiles; running sums inside a range and an
+    offset from the totals of the ranges (``buckets`` rows at most) replace one global sort."""
+    some = df.filter(F.col(x).isNotNull())
+    cuts = sorted(set(some.approxQuantile(x, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    counts = some.groupBy(x).agg(F.count(F.lit(1)).alias("c")).withColumn("_b", part)
+    inner = Window.partitionBy("_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("_b").agg(F.sum("c").alias("_t"))
+    offset = ranges.select("_b", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    return (counts.withColumn("_in", F.coalesce(F.sum("c").over(inner), F.lit(0))).join(offset, "_b")
+            .select(x, "c", (F.col("_o") + F.col("_in")).alias("before")))
 
-def average_rank(x: str, order_by_tie: str | None = None) -> Column:
-    """F9 helper: average rank (ties share the mean of their positions), over the
-    whole (aggregated, one row per unit) table."""
-    w = Window.orderBy(F.col(x))
-    wt = Window.partitionBy(F.col(x))
-    return F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0
+
+def exact_median(df: DataFrame, x: str) -> DataFrame:
+    """The interpolated median of ``x`` from :func:`positions` (one row)."""
+    n = df.filter(F.col(x).isNotNull()).count()
+    lo, hi = (n - 1) // 2, n // 2
+    at = positions(df, x)
+
+    def holds(k: int) -> Column:
+        return (F.col("before") <= k) & (F.col("before") + F.col("c") > k)
+
+    mid = [F.max(F.when(holds(k), F.col(x))) for k in (lo, hi)]
+    return at.agg(((mid[0] + mid[1]) / 2).alias("median"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman's rho = Pearson correlation of the average ranks.  Runs on a table
-    with one row per unit (e.g. per author), whose size is the unit count."""
-    r = df.select(average_rank(a).alias("_ra"), average_rank(b).alias("_rb"))
+    """Spearman's rho = Pearson correlation of the average ranks (ties share the mean of
+    their positions); rows with a NULL in either are left out."""
+    d = df.select(a, b).dropna()
+
+    def ranks(x: str, out: str) -> DataFrame:
+        return positions(d, x).select(x, (F.col("before") + (F.col("c") + 1) / 2.0).alias(out))
+
+    r = d.join(ranks(a, "_ra"), a).join(ranks(b, "_rb"), b)
     return r.agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,8 @@
 
 Registers are boolean columns from regex tests; shares are grouped averages.
 Profile distance is one conditional aggregate per key (mean of each score for
-each of the two groups), so no pivot and no self-join; the exemplar pick joins
-messages to the bounded table of monthly picks (two rows a month).
+each of the two groups), so no pivot and no self-join; the exemplars' ids come out of the
+same aggregate, and texts are fetched for the winners alone.
 """
 from __future__ import annotations
 
@@ -102,20 +102,30 @@ def register_shares(df: DataFrame, keys: Sequence[str], min_n: int = 0) -> DataF
 
 def profile_distance(df: DataFrame, key: str, scores: Sequence[str] = tuple(K.EMOTIONS), group: str = "party",
                      groups: Sequence[str] = tuple(K.MAIN_GROUPS), min_n: int = 0,
-                     labels: Sequence[str] = ("Democrats higher", "Republicans higher")) -> DataFrame:
+                     labels: Sequence[str] = ("Democrats higher", "Republicans higher"),
+                     best_of: tuple[str, str] | None = None) -> DataFrame:
     """H5/H6: per key, the gap vector (mean of group A minus mean of group B), its
     Euclidean norm, the score with the largest absolute gap (first in ``scores`` on
     ties) and its sign.  Keys where either group is missing or under ``min_n`` rows
-    are skipped.  One grouped aggregate; partial aggregation applies."""
+    are skipped.  One grouped aggregate; partial aggregation applies.
+
+    ``best_of`` (flag, id): also, per group and score, the (score, -id) of the flagged row
+    with the highest score (ties: smallest id) as ``_best_a_<score>`` and ``_best_b_<score>``."""
     a, b = groups
     ga, gb = F.col(group) == a, F.col(group) == b
     aggs = [F.count(F.when(ga, 1)).alias("_na"), F.count(F.when(gb, 1)).alias("_nb")]
     for s in scores:
         aggs += [F.avg(F.when(ga, F.col(s))).alias(f"_a_{s}"), F.avg(F.when(gb, F.col(s))).alias(f"_b_{s}")]
+    if best_of:
+        ok, tie = best_of
+        for s in scores:
+            top = F.struct(F.col(s).alias("s"), (-F.col(tie)).alias("i"))
+            aggs += [F.max(F.when(g & F.col(ok), top)).alias(f"_best_{t}_{s}") for t, g in (("a", ga), ("b", gb))]
     m = df.groupBy(key).agg(*aggs).filter((F.col("_na") > 0) & (F.col("_nb") > 0)
                                           & (F.col("_na") >= min_n) & (F.col("_nb") >= min_n))
     gaps = [(F.col(f"_a_{s}") - F.col(f"_b_{s}")).alias(f"gap_{s}") for s in scores]
-    m = m.select(key, *gaps)
+    best = [f"_best_{t}_{s}" for s in scores for t in "ab"] if best_of else []
+    m = m.select(key, *gaps, *best)
     sq = None
     for s in scores:
         t = F.col(f"gap_{s}") * F.col(f"gap_{s}")
@@ -125,35 +135,37 @@ def profile_distance(df: DataFrame, key: str, scores: Sequence[str] = tuple(K.EM
     big = F.array_max(arr)
     return m.select(key, F.sqrt(sq).alias("distance"), big["name"].alias("biggest_gap"),
                     F.when(big["g"] > 0, labels[0]).otherwise(labels[1]).alias("gap_sign"),
-                    *[f"gap_{s}" for s in scores])
+                    *[f"gap_{s}" for s in scores], *best)
+
+
+def exemplar_text_ok(text: str = "text") -> Column:
+    """H7: no retweet, of exemplar length, and not a link alone."""
+    lo, hi = K.EXEMPLAR_LEN
+    return (~TX.is_retweet(text) & F.length(text).between(lo, hi)
+            & (F.length(TX.rx_replace(text, K.LINK, "")) >= K.EXEMPLAR_MIN_NO_LINK))
 
 
-def exemplars(df: DataFrame, gaps: DataFrame, key: str = "mo", scores: Sequence[str] = tuple(K.EMOTIONS),
-              group: str = "party", groups: Sequence[str] = tuple(K.MAIN_GROUPS), text: str = "text",
-              author: str = "author_name", tie: str = "msg_id") -> DataFrame:
+def exemplars(df: DataFrame, key: str = "mo", scores: Sequence[str] = tuple(K.EMOTIONS), group: str = "party",
+              groups: Sequence[str] = tuple(K.MAIN_GROUPS), ok: str = "text_ok", tie: str = "msg_id",
+              min_n: int = 0) -> DataFrame:
     """H7: per key and group, the score where the group most exceeds the other (max gap
-    for A, min gap for B; first in order on ties), then that group's highest-scoring
-    message on that score for the key, after the retweet / length / link-only filters.
-    Returns key, group, emo, who, text, score."""
+    for A, min gap for B; first in order on ties), then the id of that group's
+    highest-scoring row on that score among those flagged ``ok`` (ties: smallest id).
+    Returns key, group, emo, id, score.
+
+    Gaps and candidates come out of one aggregate of the rows, which carry no text; the
+    caller fetches author and text of the few winning ids."""
     a, b = groups
-    arr = F.array(*[F.struct(F.col(f"gap_{s}").alias("g"), F.lit(-i).alias("neg_i"), F.lit(s).alias("name"))
-                    for i, s in enumerate(scores)])
-    arr_neg = F.array(*[F.struct((-F.col(f"gap_{s}")).alias("g"), F.lit(-i).alias("neg_i"), F.lit(s).alias("name"))
-                        for i, s in enumerate(scores)])
-    picks = gaps.select(key, F.array(F.struct(F.lit(a).alias("grp"), F.array_max(arr)["name"].alias("emo")),
-                                     F.struct(F.lit(b).alias("grp"), F.array_max(arr_neg)["name"].alias("emo"))
-                                     ).alias("_p")).select(key, F.inline("_p"))
-    lo, hi = K.EXEMPLAR_LEN
-    cand = df.filter(~TX.is_retweet(text) & F.length(text).between(lo, hi)
-                     & (F.length(TX.rx_replace(text, K.LINK, "")) >= K.EXEMPLAR_MIN_NO_LINK))
-    # picks: two rows per key, bounded by the number of keys -> broadcast
-    j = cand.join(F.broadcast(picks), (cand[key] == picks[key]) & (cand[group] == picks["grp"])).drop(picks[key])
-    chosen = None
-    for s in scores:
-        chosen = F.when(F.col("emo") == s, F.col(s)) if chosen is None else chosen.when(F.col("emo") == s, F.col(s))
-    j = j.withColumn("_score", chosen)
-    best = j.groupBy(key, F.col("grp").alias(group), "emo").agg(
-        F.max_by(F.struct(F.col(author).alias("who"), F.col(text).alias("t"), F.col("_score").alias("s")),
-                 F.struct(F.col("_score"), -F.col(tie))).alias("_b"))
-    return best.select(key, group, "emo", TX.clean_display_name(F.col("_b.who")).alias("who"),
-                       TX.tidy_text(F.col("_b.t")).alias("text"), F.round(F.col("_b.s"), 2).alias("score"))
+    prof = profile_distance(df, key, scores, group, groups, min_n, best_of=(ok, tie))
+
+    def pick(grp: str, side: str, sign: int):
+        arr = F.array(*[F.struct((sign * F.col(f"gap_{s}")).alias("g"), F.lit(-i).alias("neg_i"), F.lit(s).alias("name"),
+                                 F.col(f"_best_{side}_{s}").alias("best")) for i, s in enumerate(scores)])
+        # the best row plays no part in the choice: gap, then order, decide
+        top = F.array_max(F.transform(arr, lambda x: F.struct(x["g"], x["neg_i"])))
+        win = F.element_at(F.filter(arr, lambda x: x["neg_i"] == top["neg_i"]), 1)
+        return F.struct(F.lit(grp).alias(group), win["name"].alias("emo"), (-win["best"]["i"]).alias("id"),
+                        win["best"]["s"].alias("score"))
+
+    rows = prof.select(key, F.inline(F.array(pick(a, "a", 1), pick(b, "b", -1))))
+    return rows.filter(F.col("id").isNotNull())

@@ -4,15 +4,18 @@ Two paths:
 
 * ``score_batches`` -- any Python model behind a factory, run with ``mapInPandas``:
   the model is built once per task, texts are sorted by length inside each
-  partition to cut padding (M4), and batches go through Arrow.  The default factory
-  is a small hashed linear model so the path runs without downloaded weights.
+  partition to cut padding (M4), batches go through Arrow, and all heads are scored
+  in one pass.  The stand-in model computes the lexicon scores, so the path runs
+  without downloaded weights and SQL can check it.
 * ``lexicon_scores`` -- a deterministic scorer written entirely in Spark SQL
-  expressions (word-list hits plus punctuation and capitals), which stays in
-  whole-stage codegen.  It is a stand-in, not the classifiers the published
-  figures came from.
+  expressions (word-list hits plus punctuation and capitals), evaluated in the JVM;
+  the word-list steps are array functions with lambdas, which run outside
+  whole-stage codegen.  It is a stand-in, not the classifiers the published figures
+  came from.
 """
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -55,7 +58,7 @@ def _features(text: Column) -> dict[str, Column]:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
     n_chars = F.greatest(F.length(text), F.lit(1))
     excl = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
-    caps = F.length(F.regexp_replace(text, F.lit("[^A-Z]"), F.lit("")))
+    caps = F.length(text) - F.length(F.translate(text, string.ascii_uppercase, ""))
     return {"words": words, "excl": F.log1p(excl.cast("double")), "caps": caps / n_chars}
 
 
@@ -125,40 +128,51 @@ def report_labels(df: DataFrame, labels: Sequence[str] = tuple(K.EMOTIONS), floo
 
 # ---- Python-model path -------------------------------------------------------------------
 
-def hashed_linear_factory(labels: Sequence[str], dim: int = 1 << 12, seed: int = 7):
-    """A tiny deterministic text model: hashed bag of words -> linear logits.
-    Stands in for a downloaded classifier; built once per task by the factory call."""
+def lexicon_model(labels: Sequence[str] = tuple(K.EMOTIONS) + tuple(K.SENTIMENTS)):
+    """Factory of a Python model with the logits of :func:`lexicon_logits`, one column per
+    label; stands in for a downloaded classifier, and the SQL scorer reproduces it."""
 
     def build():
-        import zlib
+        import re
+        from collections import Counter
 
-        rng = np.random.default_rng(seed)
-        w = rng.normal(0, 0.5, size=(dim, len(labels))).astype(np.float32)
-        bias = rng.normal(-1.0, 0.3, size=len(labels)).astype(np.float32)
+        column = {}
+        for j, lab in enumerate(labels):
+            for w in LEXICON[lab]:
+                column.setdefault(w, []).append(j)
+        b, wh, we, wc = (np.array([WEIGHTS[lab][i] for lab in labels]) for i in range(4))
+        drop_caps = str.maketrans("", "", string.ascii_uppercase)
+        find = re.compile("[a-z]+").findall
 
         def predict(texts: list[str]) -> np.ndarray:
-            x = np.zeros((len(texts), dim), dtype=np.float32)
+            hits = np.zeros((len(texts), len(labels)))
+            excl, caps = np.zeros(len(texts)), np.zeros(len(texts))
             for i, t in enumerate(texts):
-                for tok in t.lower().split():
-                    x[i, zlib.crc32(tok.encode()) % dim] += 1.0
-            norms = np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1.0)
-            return (x / norms) @ w + bias
+                counts = Counter(find(t.lower()))
+                for w in counts.keys() & column.keys():
+                    hits[i, column[w]] += counts[w]
+                excl[i] = t.count("!")
+                caps[i] = (len(t) - len(t.translate(drop_caps))) / max(1, len(t))
+            return b + wh * np.log1p(hits) + we * np.log1p(excl)[:, None] + wc * caps[:, None]
 
         return predict
 
     return build
 
 
-def score_batches(df: DataFrame, labels: Sequence[str], factory: Callable[[], Callable[[list[str]], np.ndarray]],
-                  id_col: str = "msg_id", text: str = "text", multilabel: bool = True,
+def score_batches(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]],
+                  heads: Sequence[tuple[Sequence[str], bool]], id_col: str = "msg_id", text: str = "text",
                   batch_size: int = 256) -> DataFrame:
-    """M1/M2/M4: score texts with a Python model in Arrow batches inside each task.
-
-    Rows are sorted by text length within each partition (no shuffle) so batches
-    hold texts of similar length; the model is created once per task."""
-    labels = list(labels)
-    schema = T.StructType([df.schema[id_col]] + [T.StructField(l, T.FloatType()) for l in labels])
+    """M1/M2/M4: score texts with a Python model in Arrow batches, all heads in one pass.
+
+    ``heads``: (labels, multilabel) of consecutive logit columns -- independent sigmoids, or
+    a softmax.  Rows are sorted by text length within each partition (no shuffle) so batches
+    hold texts of similar length; the model is created once per task.  A null text is
+    scored as an empty one."""
+    names = [lab for labels, _ in heads for lab in labels]
+    schema = T.StructType([df.schema[id_col]] + [T.StructField(n, T.DoubleType()) for n in names])
     src = df.select(id_col, TX.model_input(text).alias("_t")).sortWithinPartitions(F.length("_t"))
+    bounds = np.cumsum([0] + [len(labels) for labels, _ in heads]).tolist()
 
     def run(batches):
         predict = factory()
@@ -166,15 +180,13 @@ def score_batches(df: DataFrame, labels: Sequence[str], factory: Callable[[], Ca
             texts = pdf["_t"].fillna("").tolist()
             outs = []
             for i in range(0, len(texts), batch_size):
-                logits = predict(texts[i:i + batch_size])
-                if multilabel:
-                    p = 1.0 / (1.0 + np.exp(-logits))
-                else:
-                    z = logits - logits.max(1, keepdims=True)
-                    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+                p = predict(texts[i:i + batch_size])
+                for (_, multilabel), lo, hi in zip(heads, bounds, bounds[1:]):
+                    z = p[:, lo:hi]
+                    e = np.exp(z - z.max(1, keepdims=True))
+                    p[:, lo:hi] = 1.0 / (1.0 + np.exp(-z)) if multilabel else e / e.sum(1, keepdims=True)
                 outs.append(p)
-            probs = np.vstack(outs) if outs else np.zeros((0, len(labels)))
-            res = pd.DataFrame(probs.astype(np.float32), columns=labels)
+            res = pd.DataFrame(np.vstack(outs) if outs else np.zeros((0, len(names))), columns=names)
             res.insert(0, id_col, pdf[id_col].values)
             yield res
 
@@ -182,9 +194,10 @@ def score_batches(df: DataFrame, labels: Sequence[str], factory: Callable[[], Ca
 
 
 def repeatable_sample(df: DataFrame, n: int, seed: int, key: str = "msg_id") -> DataFrame:
-    """Exactly ``n`` rows, the same ones on every run: order by a seeded hash
-    of the id and keep the first ``n`` (a top-k, so no global sort of the table)."""
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(n).drop("_h")
+    """Exactly ``n`` rows, the same ones on every run and engine: order by the MD5 of
+    seed and id and keep the first ``n`` (a top-k, so no global sort of the table)."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
 def model_comparison(df: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 """Distinctive terms and drivers of peaks.
 
-Design for scale: tokens are counted once per message and pre-aggregated to
-``(period, token) -> messages`` BEFORE meeting the peaks, so the range join touches
-the per-period vocabulary, not the messages.  The peak windows are an equi-join on
-the period against a table bounded by ``k * window`` rows.
+Design for scale: one aggregate turns the messages of the peaks' surroundings into
+``(week, token) -> messages``, and that small table meets the peak windows by an
+equi-join on the week.  Drivers are sums per week and group and the id of the week's
+highest-scoring message; texts are fetched for the winning ids alone.
 """
 from __future__ import annotations
 
@@ -16,58 +16,42 @@ from ..functions import text as T
 from ..session import materialize as keep_once
 from .series import window_offsets
 
+ALL = ""  # stands for "any message" among the tokens, so one aggregate also counts messages
 
-def token_counts(msgs: DataFrame, text: str = "text", ts: str = "ts", score: str = "anger",
-                 threshold: float = K.ANGRY_THRESHOLD, tokens: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """I1 (first half): over messages whose score passes the threshold, the number of
-    messages containing each token per week, and the number of such messages per week.
-    ``tokens`` names a column holding the distinct tokens already (C22 applied upstream)."""
+
+def token_counts(msgs: DataFrame, weeks: DataFrame, text: str = "text", ts: str = "ts", score: str = "anger",
+                 threshold: float = K.ANGRY_THRESHOLD, tokens: str | None = None) -> DataFrame:
+    """Over messages of ``weeks`` (wk) whose score passes the threshold, the number of
+    messages with each token per week; the token ``ALL`` counts every such message.
+    ``tokens`` names a column that holds the distinct tokens already (C22 applied upstream)."""
     toks = F.col(tokens) if tokens else T.tokens(text)
     hot = msgs.filter(F.col(score) > threshold).select(cal.week_start(ts).alias("wk"), toks.alias("_t"))
-    per_token = hot.select("wk", F.explode("_t").alias("token")).groupBy("wk", "token").agg(
-        F.count(F.lit(1)).alias("c"))
-    per_week = hot.groupBy("wk").agg(F.count(F.lit(1)).alias("m"))
-    return per_token, per_week
+    hot = hot.join(weeks, "wk", "left_semi")
+    return (hot.select("wk", F.explode(F.concat(F.array(F.lit(ALL)), F.coalesce("_t", F.array().cast("array<string>"))))
+                       .alias("token")).groupBy("wk", "token").agg(F.count(F.lit(1)).alias("c")))
 
 
 def distinctive_terms(msgs: DataFrame, peaks: DataFrame, text: str = "text", ts: str = "ts",
                       score: str = "anger", min_count: int = K.MIN_TERM_COUNT, top_words: int = K.TOP_WORDS,
                       top_tags: int = K.TOP_TAGS, tokens: str | None = None,
-                      threshold: float = K.ANGRY_THRESHOLD, materialize: bool = True) -> DataFrame:
+                      threshold: float = K.ANGRY_THRESHOLD) -> DataFrame:
     """Per peak week, tokens over-represented in the week vs the surrounding
     weeks (-6..+7, the week itself excluded), smoothed log ratio
     ``ln((cw+1)/nw) - ln((cb+1)/nb)``, ``cw >= min_count``; top words and top tags
     joined by spaces (ties: score rounded to 9 dp desc, then token asc).
 
-    Plan: (1) count tokens of the peak weeks only and keep those reaching the floor
-    -- the only tokens that can be reported; (2) count the surrounding weeks for those
-    candidate tokens alone (a semi-join before the shuffle), pre-aggregated to
-    (week, token) before meeting the bounded window table."""
-    toks = F.col(tokens) if tokens else T.tokens(text)
-    hot = msgs.filter(F.col(score) > threshold).select(cal.week_start(ts).alias("wk"), toks.alias("_t"))
-    win = F.broadcast(window_offsets(peaks))  # bounded: k peaks x 14 weeks
-    weeks = win.select("wk").distinct()
-    in_win = hot.join(F.broadcast(weeks), "wk", "left_semi")  # bounded list of weeks
-    if materialize:
-        # read by three branches below: tokenise once, keep in the shared checkpoint folder
-        in_win = keep_once(in_win)
-    per_week = in_win.groupBy("wk").agg(F.count(F.lit(1)).alias("m"))
-    sizes = per_week.join(win, "wk").groupBy("peak").agg(
-        F.greatest(F.lit(1), F.sum(F.when(F.col("in_peak"), F.col("m")).otherwise(0))).alias("nw"),
-        F.greatest(F.lit(1), F.sum(F.when(~F.col("in_peak"), F.col("m")).otherwise(0))).alias("nb"))
-    peak_weeks = peaks.select(F.col("wk"))
-    cand = (in_win.join(F.broadcast(peak_weeks), "wk", "left_semi")
-                  .select(F.col("wk").alias("peak"), F.explode("_t").alias("token"))
-                  .groupBy("peak", "token").agg(F.count(F.lit(1)).alias("cw"))
-                  .filter(F.col("cw") >= min_count))
-    cand_tokens = cand.select("token").distinct()
-    per_token = (in_win.select("wk", F.explode("_t").alias("token"))
-                       .join(cand_tokens, "token", "left_semi")
-                       .groupBy("wk", "token").agg(F.count(F.lit(1)).alias("c")))
-    around = per_token.join(win.filter(~F.col("in_peak")), "wk").groupBy("peak", "token").agg(
-        F.sum("c").alias("cb"))
-    counts = cand.join(around, ["peak", "token"], "left").withColumn("cb", F.coalesce(F.col("cb"), F.lit(0)))
-    scored = counts.join(sizes, "peak").withColumn(
+    The messages are read once, by :func:`token_counts`; everything after works on the
+    (week, token) counts."""
+    win = window_offsets(peaks)
+    per = token_counts(msgs, win.select("wk").distinct(), text, ts, score, threshold, tokens)
+    here = F.col("in_peak")
+    counts = per.join(win, "wk").groupBy("peak", "token").agg(
+        F.coalesce(F.sum(F.when(here, F.col("c"))), F.lit(0)).alias("cw"),
+        F.coalesce(F.sum(F.when(~here, F.col("c"))), F.lit(0)).alias("cb"))
+    of_peak = Window.partitionBy("peak")
+    size = lambda c: F.greatest(F.lit(1), F.max(F.when(F.col("token") == ALL, F.col(c))).over(of_peak))
+    kept = counts.filter((F.col("token") == ALL) | (F.col("cw") >= min_count))
+    scored = kept.withColumn("nw", size("cw")).withColumn("nb", size("cb")).filter(F.col("token") != ALL).withColumn(
         "score", F.log((F.col("cw") + 1) / F.col("nw")) - F.log((F.col("cb") + 1) / F.col("nb")))
     scored = scored.withColumn("is_tag", F.col("token").startswith("#"))
     # equal ratios computed along different paths differ in the last bit; rank on 9 decimals
@@ -76,32 +60,28 @@ def distinctive_terms(msgs: DataFrame, peaks: DataFrame, text: str = "text", ts:
         F.when(F.col("is_tag"), F.col("r") <= top_tags).otherwise(F.col("r") <= top_words))
 
     def joined(tag: bool):
-        sel = ranked.filter(F.col("is_tag") == tag)
-        return sel.groupBy("peak").agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "token"))), lambda s: s["token"]),
-                         " ").alias("hashtags" if tag else "keywords"))
+        best = F.sort_array(F.collect_list(F.when(F.col("is_tag") == tag, F.struct("r", "token"))))
+        return F.array_join(F.transform(best, lambda s: s["token"]), " ")
 
-    base = peaks.select(F.col("wk").alias("peak"))
-    out = base.join(joined(False), "peak", "left").join(joined(True), "peak", "left")
+    lists = ranked.groupBy("peak").agg(joined(False).alias("keywords"), joined(True).alias("hashtags"))
+    out = peaks.select(F.col("wk").alias("peak")).join(lists, "peak", "left")
     return out.select(F.col("peak").alias("wk"), F.coalesce("keywords", F.lit("")).alias("keywords"),
                       F.coalesce("hashtags", F.lit("")).alias("hashtags"))
 
 
 def peak_drivers(msgs: DataFrame, peaks: DataFrame, ts: str = "ts", score: str = "anger", group: str = "party",
-                 groups=K.MAIN_GROUPS, margin: float = K.DRIVER_MARGIN, author: str = "author_name",
-                 text: str = "text", tie: str = "msg_id") -> DataFrame:
+                 groups=K.MAIN_GROUPS, margin: float = K.DRIVER_MARGIN, tie: str = "msg_id") -> DataFrame:
     """Each group's mean in the peak week minus its own mean in the surrounding
-    weeks; ``Dem``/``Rep``/``both`` by a margin on the raw values; and the week's
-    highest-scoring message (author + one-line text)."""
+    weeks; ``Dem``/``Rep``/``both`` by a margin on the raw values; and the id of the week's
+    highest-scoring message (``example_id``; ties: the smallest id)."""
     d, r = groups[0], groups[1]
     g, x = F.col(group), F.col(score)
-    # pre-aggregate per week (sums and counts are additive), then meet the bounded window table
+    # sums and counts per week are additive: the messages are reduced before they meet the windows
     per_wk = msgs.groupBy(cal.week_start(ts).alias("wk")).agg(
         F.sum(F.when(g == d, x)).alias("_ds"), F.count(F.when(g == d, x)).alias("_dn"),
         F.sum(F.when(g == r, x)).alias("_rs"), F.count(F.when(g == r, x)).alias("_rn"),
-        F.max_by(F.struct(F.col(author).alias("a"), F.col(text).alias("x")),
-                 F.struct(x, -F.col(tie))).alias("_ex"))
-    m = per_wk.join(F.broadcast(window_offsets(peaks)), "wk")
+        F.max(F.struct(x.alias("x"), (-F.col(tie)).alias("i"))).alias("_ex"))
+    m = per_wk.join(window_offsets(peaks), "wk")
     inside = F.col("in_peak")
 
     def mean(s, n, flag):
@@ -111,34 +91,37 @@ def peak_drivers(msgs: DataFrame, peaks: DataFrame, ts: str = "ts", score: str =
     agg = m.groupBy("peak").agg(
         (mean("_ds", "_dn", True) - mean("_ds", "_dn", False)).alias("dem_excess"),
         (mean("_rs", "_rn", True) - mean("_rs", "_rn", False)).alias("rep_excess"),
-        F.max_by(F.col("_ex"), F.when(inside, F.lit(1))).alias("_ex"))
+        F.max(F.when(inside, F.col("_ex"))).alias("_ex"))
     driven = (F.when(F.col("dem_excess") > F.col("rep_excess") + margin, "Dem")
                .when(F.col("rep_excess") > F.col("dem_excess") + margin, "Rep").otherwise("both"))
     return agg.select(F.col("peak").alias("wk"), "dem_excess", "rep_excess", driven.alias("driven_by"),
-                      F.col("_ex.a").alias("example_author"), T.one_line(F.col("_ex.x")).alias("example"))
+                      (-F.col("_ex.i")).alias("example_id"))
 
 
 def label_lookup(df: DataFrame, labels: DataFrame | None, key: str = "wk", out: str = "event") -> DataFrame:
-    """Attach caller-supplied labels by key (broadcast: a hand-made list); '' when missing."""
+    """Attach caller-supplied labels (key, label) by key; '' when missing."""
     if labels is None:
         return df.withColumn(out, F.lit(""))
-    lab = F.broadcast(labels.select(F.col(labels.columns[0]).alias(key), F.col(labels.columns[1]).alias(out)))
+    lab = labels.select(F.col(labels.columns[0]).alias(key), F.col(labels.columns[1]).alias(out))
     return df.join(lab, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
 def spike_report(msgs: DataFrame, min_week_n: int = K.MIN_N_WEEK, k: int = K.TOP_SPIKES,
                  min_count: int = K.MIN_TERM_COUNT, labels: DataFrame | None = None,
                  min_gap_days: int = K.MIN_GAP_DAYS, tokens: str | None = None,
-                 materialize_terms: bool = True) -> DataFrame:
+                 token_msgs: DataFrame | None = None) -> DataFrame:
     """The seismograph table: greedy peaks of excess over the rolling baseline, each
-    described by its distinctive terms, its drivers and example, and a label."""
+    described by its distinctive terms, its drivers, the id of its example and a label.
+
+    ``token_msgs``: the same messages with their tokens, where attaching those is dear; the
+    series and the drivers then read ``msgs`` without texts."""
     from .series import baseline_and_spikes, greedy_peaks, weekly_series
 
     series = baseline_and_spikes(weekly_series(msgs, min_n=min_week_n))
-    # at most k rows, read by four branches: materialise once (shared checkpoint folder)
+    # k rows at most, read by three branches: kept once in the shared checkpoint folder
     peaks = keep_once(greedy_peaks(series, k=k, min_gap_days=min_gap_days).select(
         "wk", "n", "anger", "baseline", "excess", "spike_score"))
-    terms = distinctive_terms(msgs, peaks.select("wk"), min_count=min_count, tokens=tokens,
-                              materialize=materialize_terms)
+    terms = distinctive_terms(msgs if token_msgs is None else token_msgs, peaks.select("wk"), min_count=min_count,
+                              tokens=tokens)
     drivers = peak_drivers(msgs, peaks.select("wk"))
     return label_lookup(peaks.join(terms, "wk", "left").join(drivers, "wk", "left"), labels)

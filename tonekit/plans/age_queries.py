@@ -7,6 +7,7 @@ from .. import constants as K
 from ..functions import calendar as cal
 from ..operators import battery as B
 from ..operators.enrich import add_in_office
+from ..operators.export import spine_align
 from . import oracle_views as O
 from .registry import register
 from .views import analysis_posts, author_terms, posts
@@ -76,18 +77,24 @@ def in_office_flag(spark, root):
 
 
 _ERA_SQL = " ".join(f"WHEN ts < TIMESTAMP '{c}' THEN '{lab}'" for c, lab in POST_ERAS)
+_HOLDER_SQL = "map {" + ", ".join(f"'{e}': '{p}'" for e, p in zip(POST_ERA_ORDER, K.ERA_PARTY)) + "}[s.era]"
 _SPINE = " UNION ALL ".join(f"SELECT '{p}' AS party, '{e}' AS era" for p in K.MAIN_GROUPS for e in POST_ERA_ORDER)
 
 
-@register("era_group_grid", O.with_views(f"""SELECT s.party, s.era, c.n, ROUND(c.anger, 6) AS anger
+POST_ERA_HOLDER = dict(zip(POST_ERA_ORDER, K.ERA_PARTY))  # the party that holds the office in each era
+
+
+@register("era_group_grid", O.with_views(f"""SELECT s.party, s.era, {_HOLDER_SQL} AS holder, c.n, ROUND(c.anger, 6) AS anger
 FROM ({_SPINE}) s LEFT JOIN (
   SELECT party, CASE {_ERA_SQL} ELSE '{POST_ERA_LAST}' END AS era, count(*) AS n, avg(anger) AS anger
   FROM d WHERE party IN ('Democrat', 'Republican') GROUP BY 1, 2) c ON c.party = s.party AND c.era = s.era""",
                                          d=O.D_POSTS))
 def era_group_grid(spark, root):
-    """Group x era grid, aligned to the full spine (missing cells NULL)."""
+    """Group x era grid with the holder's party, aligned to the full spine (missing
+    cells NULL)."""
     d = analysis_posts(spark, root).filter(F.col("party").isin(*K.MAIN_GROUPS))
     d = d.withColumn("era", cal.era("ts", POST_ERAS, POST_ERA_LAST))
     cells = d.groupBy("party", "era").agg(F.count(F.lit(1)).alias("n"), F.avg("anger").alias("anger"))
-    spine = spark.createDataFrame([(p, e) for p in K.MAIN_GROUPS for e in POST_ERA_ORDER], "party string, era string")
-    return spine.join(cells, ["party", "era"], "left")
+    spine = spark.createDataFrame([(p, e, POST_ERA_HOLDER[e]) for p in K.MAIN_GROUPS for e in POST_ERA_ORDER],
+                                  "party string, era string, holder string")
+    return spine_align(cells, spine, ["party", "era"])

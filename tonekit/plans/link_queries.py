@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import link as L
+from ..operators.joins import fixed_broadcast
 from ..sources.files import read_table
 from . import oracle_views as O
 from .registry import register
@@ -35,7 +36,7 @@ def _names(k):
 
 def people(spark, root):
     c = read_table(spark, root, "customer", ["c_custkey", "c_nationkey"])
-    n = F.broadcast(read_table(spark, root, "nation", ["n_nationkey", "n_name"]))
+    n = fixed_broadcast(read_table(spark, root, "nation", ["n_nationkey", "n_name"]))  # 25 rows by the schema
     ends = author_terms(spark, root).groupBy("author").agg(F.date_format(F.max("term_end"), "yyyy-MM-dd").alias("last_term_end"))
     k = F.col("c_custkey")
     first, last = _names(k)
@@ -65,7 +66,7 @@ def handles(spark, root):
 def author_messages(spark, root):
     o = read_table(spark, root, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
     c = read_table(spark, root, "customer", ["c_custkey", "c_nationkey"])
-    n = F.broadcast(read_table(spark, root, "nation", ["n_nationkey", "n_name"]))
+    n = fixed_broadcast(read_table(spark, root, "nation", ["n_nationkey", "n_name"]))  # 25 rows by the schema
     d = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
     k = F.col("o_custkey")
     first, last = _names(k)
@@ -80,7 +81,8 @@ def author_messages(spark, root):
         cond = F.col("o_orderpriority") == p
         chamber = F.when(cond, ch) if chamber is None else chamber.when(cond, ch)
     return d.select(F.concat(F.lit("c"), k.cast("string")).alias("author_handle"), name.alias("author_name"),
-                    F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("state"),
+                    F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 13 == 0, F.lit(""))
+                     .otherwise(F.col("n_name")).alias("state"),
                     chamber.otherwise("other").alias("chamber"))
 
 
@@ -109,7 +111,7 @@ LINK_SQL = f"""
 , msgs AS (SELECT 'c' || CAST(k AS VARCHAR) AS author_handle,
              CASE fmt WHEN 0 THEN fi || ' ' || la WHEN 1 THEN la || ', ' || fi WHEN 2 THEN fi || ' ' || la || ' R-TX'
                       WHEN 3 THEN fi || ' Q. ' || la || ' Jr.' ELSE la END AS author_name,
-             CASE WHEN k % 11 = 0 THEN NULL ELSE n_name END AS state,
+             CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '' ELSE n_name END AS state,
              CASE {_CH} ELSE 'other' END AS chamber
       FROM (SELECT o.o_orderkey, o.o_custkey AS k, o.o_orderpriority, n.n_name,
                    (o.o_custkey + CASE WHEN o.o_orderkey % 4 = 0 THEN 1 ELSE 0 END) % 5 AS fmt,
@@ -144,7 +146,7 @@ seen AS (SELECT h, bioguide FROM (SELECT lower(handle) AS h, bioguide,
            row_number() OVER (PARTITION BY lower(handle) ORDER BY snapshot, bioguide) AS r
            FROM handles WHERE handle IS NOT NULL) z WHERE r = 1),
 s1 AS (SELECT a.author_handle, s.bioguide, 'handle' AS match_method FROM authors a JOIN seen s ON s.h = lower(a.author_handle)),
-rest AS (SELECT * FROM authors WHERE author_handle NOT IN (SELECT author_handle FROM s1)),
+rest AS (SELECT * REPLACE (nullif(state, '') AS state) FROM authors WHERE author_handle NOT IN (SELECT author_handle FROM s1)),
 parsed AS (SELECT author_handle, state, n1, strpos(n1, ',') > 0 AS comma,
                   string_split_regex(n1, '\\s+') AS words
            FROM (SELECT author_handle, state,

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import panel as P
-from ..operators.rates import latest
-from ..session import materialize
+from ..operators.rates import latest_of
 from . import oracle_views as O
 from .age_queries import AGE, age_view
 from .registry import register
@@ -18,15 +17,21 @@ VOLUME_MIN = 30      # per-author floor for the volume table (2,000 on the full
 
 
 def _slopes(spark, root):
-    # both fits read the projected view twice (means, then centred sums): materialise
-    # the five columns once instead of re-running the view's joins four times
-    d = materialize(age_view(spark, root).filter(F.col("party").isNotNull()).select(
-        "year", "anger", "age_at_tweet", "author", "party"))
+    d = age_view(spark, root).filter(F.col("party").isNotNull()).select(
+        "year", "anger", "age_at_tweet", "author", "party")
     raw = P.clustered_slope(d, "year", "anger", "age_at_tweet", "author", min_rows=MIN_ROWS, scale=10.0)
     adj = P.clustered_slope(d, "year", "anger", "age_at_tweet", "author", absorb="party", min_rows=MIN_ROWS, scale=10.0)
-    return raw.select("year", "n", F.col("clusters").alias("members"), F.col("slope").alias("slope_per_decade"),
+    both = raw.select("year", "n", F.col("clusters").alias("members"), F.col("slope").alias("slope_per_decade"),
                       "se", "z").join(
         adj.select("year", F.col("slope").alias("slope_per_decade_party_adj"), F.col("z").alias("z_party_adj")), "year")
+    return P.with_p(P.with_p(both, "z", "p"), "z_party_adj", "p_party_adj")
+
+
+def _p_sql(z: str) -> str:
+    """Two-sided normal p by Simpson's rule over the density beyond |z| (12 standard
+    deviations in 2,000 steps): independent of the series in ``panel.normal_p``."""
+    return (f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i % 2000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* exp(-pow(abs({z}) + i * 0.006, 2) / 2))) * 0.002 * sqrt(2 / pi())")
 
 
 def _slope_sql(centre: str, kexpr: str, tag: str) -> str:
@@ -45,66 +50,70 @@ _OLS = O.with_views(f"""
 sizes AS (SELECT year, count(*) AS n, count(DISTINCT c) AS clusters, count(DISTINCT party) AS cats FROM base GROUP BY year
           HAVING count(*) >= {MIN_ROWS}),""" + _slope_sql("one", "2", "raw") + "," + _slope_sql("party", "s.cats + 1", "adj") + """
 SELECT s.year, s.n, s.clusters AS members, ROUND(10 * o.slope, 6) AS slope_per_decade, ROUND(10 * o.se, 6) AS se,
-       ROUND(o.slope / o.se, 6) AS z, ROUND(10 * q.slope, 6) AS slope_per_decade_party_adj, ROUND(q.slope / q.se, 6) AS z_party_adj
+       ROUND(o.slope / o.se, 6) AS z, ROUND(10 * q.slope, 6) AS slope_per_decade_party_adj, ROUND(q.slope / q.se, 6) AS z_party_adj,
+       ROUND(""" + _p_sql("(o.slope / o.se)") + ", 6) AS p, ROUND(" + _p_sql("(q.slope / q.se)") + """, 6) AS p_party_adj
 FROM sizes s JOIN rawr o USING (year) JOIN adjr q USING (year)""", a=AGE).replace(")\n\n, base AS", "),\nbase AS")
 
 
 @register("ols_by_year", _OLS)
 def ols_by_year(spark, root):
-    """Per year, OLS slope of score on age (x10 = per decade) with errors
-    clustered by author; raw and adjusted for group (category partialled out)."""
+    """Per year, OLS slope of score on age (x10 = per decade) with errors clustered
+    by author and two-sided normal p; raw and adjusted for group (category partialled out)."""
     return _slopes(spark, root)
 
 
-@register("ols_pvalues")
+@register("ols_pvalues", f"SELECT year, z, p, z_party_adj, p_party_adj FROM ({_OLS}) x")
 def ols_pvalues(spark, root):
-    """The same slopes with two-sided normal p-values (erfc in a vectorised
-    UDF over the result rows; DuckDB has no erfc, so this is a rows-only check)."""
-    s = _slopes(spark, root)
-    return P.with_p(P.with_p(s, "z", "p"), "z_party_adj", "p_party_adj")
+    """The z and p of both slopes."""
+    return _slopes(spark, root).select("year", "z", "p", "z_party_adj", "p_party_adj")
 
 
 def _fe_cells(spark, root):
     d = age_view(spark, root)
     cells = P.panel_cells(d, "author", "year", "anger", "age_at_tweet", CELL_MIN,
                           extra=[F.min("party").alias("party")])  # E6: any value, made repeatable
-    return materialize(P.long_span_units(cells, "author", "year"))  # author-year sized, read 3 times
-
-
-_FE = O.with_views(f"""
-, y AS (SELECT year, avg(anger) AS ymean FROM a GROUP BY 1),
-wp AS (SELECT author, a.year, avg(anger - ymean) AS anger_dev, avg(age_at_tweet) AS age_at_tweet, count(*) AS n
-       FROM a JOIN y USING (year) GROUP BY 1, 2 HAVING count(*) >= {CELL_MIN}),
-keep AS (SELECT author FROM wp GROUP BY author HAVING max(year) - min(year) >= 5 AND count(*) >= 6),
-c AS (SELECT wp.* FROM wp JOIN keep USING (author)),
-m AS (SELECT author, sum(n * age_at_tweet) / sum(n) AS mx, sum(n * anger_dev) / sum(n) AS my FROM c GROUP BY author),
-pc AS (SELECT author, sum(n * (age_at_tweet - mx) * (anger_dev - my)) AS a, sum(n * (age_at_tweet - mx) * (age_at_tweet - mx)) AS bb
-       FROM c JOIN m USING (author) GROUP BY author),
-t AS (SELECT sum(a) / sum(bb) AS slope, sum(bb) AS sxx, count(*) AS g FROM pc),
-mt AS (SELECT sum((a - slope * bb) * (a - slope * bb)) AS meat FROM pc, t),
-nn AS (SELECT count(*) AS n FROM c),
-r AS (SELECT g, n, slope, sqrt(g / (g - 1) * (n - 1) / (n - (g + 1)) * meat / (sxx * sxx)) AS se FROM t, mt, nn)
-SELECT g AS members, n AS member_years,
-       CASE WHEN g >= {K.MIN_MEMBERS_FE} THEN ROUND(10 * slope, 6) END AS slope_per_decade,
-       CASE WHEN g >= {K.MIN_MEMBERS_FE} THEN ROUND(10 * se, 6) END AS se,
-       CASE WHEN g >= {K.MIN_MEMBERS_FE} THEN ROUND(slope / se, 6) END AS z FROM r""", a=AGE).replace(")\n\n, y AS", "),\ny AS")
+    return P.long_span_units(cells, "author", "year")
+
+
+# Oracle: year means and spans as window totals over the messages and the cells.
+_CELLS = f"""
+means AS (SELECT author, year, party, age_at_tweet, anger - avg(anger) OVER (PARTITION BY year) AS off FROM a),
+cell AS (SELECT author, year, avg(off) AS anger_dev, avg(age_at_tweet) AS age_at_tweet, count(*) AS n, min(party) AS party
+         FROM means GROUP BY author, year),
+kept AS (SELECT * FROM cell WHERE n >= {CELL_MIN}
+         QUALIFY max(year) OVER (PARTITION BY author) - min(year) OVER (PARTITION BY author) >= 5
+             AND count(*) OVER (PARTITION BY author) >= 6)"""
+
+
+def _fe(body: str) -> str:
+    return O.with_views("", a=AGE).rstrip() + "," + _CELLS + "\n" + body
+
+
+_FE = _fe(f"""
+, dev AS (SELECT author, n, age_at_tweet - sum(n * age_at_tweet) OVER u / sum(n) OVER u AS x,
+               anger_dev - sum(n * anger_dev) OVER u / sum(n) OVER u AS y
+        FROM kept WINDOW u AS (PARTITION BY author)),
+fit AS (SELECT *, sum(n * x * y) OVER () / sum(n * x * x) OVER () AS b, sum(n * x * x) OVER () AS sxx FROM dev),
+scores AS (SELECT author, any_value(b) AS b, any_value(sxx) AS sxx, sum(n * x * (y - b * x)) AS s, count(*) AS cells
+           FROM fit GROUP BY author),
+done AS (SELECT count(*) AS g, CAST(sum(cells) AS BIGINT) AS rows, any_value(b) AS b,
+              sqrt(count(*) / (count(*) - 1) * (sum(cells) - 1) / (sum(cells) - count(*) - 1) * sum(s * s)) / any_value(sxx) AS se
+       FROM scores HAVING count(*) > 0)
+SELECT g AS members, rows AS member_years, ROUND(CASE WHEN g >= {K.MIN_MEMBERS_FE} THEN 10 * b END, 6) AS slope_per_decade,
+       ROUND(CASE WHEN g >= {K.MIN_MEMBERS_FE} THEN 10 * se END, 6) AS se,
+       ROUND(CASE WHEN g >= {K.MIN_MEMBERS_FE} THEN b / se END, 6) AS z,
+       ROUND(CASE WHEN g >= {K.MIN_MEMBERS_FE} THEN {_p_sql("(b / se)")} END, 6) AS p FROM done""").replace("\n\n, dev", ",\ndev")
 
 
 @register("fe_wls", _FE)
 def fe_wls(spark, root):
-    """Within-author slope (author fixed effects, weights n,
-    clustered by author) on year-demeaned author-year cells of long-span authors."""
+    """Within-author slope (author fixed effects, weights n, clustered by
+    author, two-sided normal p) on year-demeaned author-year cells of long-span authors."""
     return P.within_unit_slope(_fe_cells(spark, root), "author", "anger_dev", "age_at_tweet")
 
 
-@register("panel_cells", O.with_views(f"""
-, y AS (SELECT year, avg(anger) AS ymean FROM a GROUP BY 1),
-wp AS (SELECT author, a.year, avg(anger - ymean) AS anger_dev, avg(age_at_tweet) AS age_at_tweet, count(*) AS n,
-              min(party) AS party
-       FROM a JOIN y USING (year) GROUP BY 1, 2 HAVING count(*) >= {CELL_MIN}),
-keep AS (SELECT author FROM wp GROUP BY author HAVING max(year) - min(year) >= 5 AND count(*) >= 6)
-SELECT author, year, ROUND(anger_dev, 6) AS anger_dev, ROUND(age_at_tweet, 6) AS age_at_tweet, n, party
-FROM wp JOIN keep USING (author)""", a=AGE).replace(")\n\n, y AS", "),\ny AS"))
+@register("panel_cells", _fe("SELECT author, year, ROUND(anger_dev, 6) AS anger_dev, ROUND(age_at_tweet, 6) AS age_at_tweet, "
+                             "n, party FROM kept"))
 def panel_cells(spark, root):
     """The author-year cells kept for the fixed-effects fit."""
     return _fe_cells(spark, root)
@@ -115,16 +124,14 @@ def panel_cells(spark, root):
 def _volume(spark, root):
     d = msgs(spark, root).withColumn("angry", (F.col("anger") > K.ANGRY_THRESHOLD).cast("int"))
     per = d.groupBy("author").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("angry").alias("share_angry"),
+        *latest_of(["author_name", "party", "state"]), F.count(F.lit(1)).alias("n"), F.avg("angry").alias("share_angry"),
         (F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))) + 1).alias("active_days"))
     per = per.withColumn("tweets_per_day", F.col("n") / F.col("active_days")).withColumn(
         "tweets_per_year", F.col("tweets_per_day") * F.lit(K.DAYS_PER_YEAR))
-    nm = latest(d, "author", ["author_name", "party", "state"])
     per = per.withColumn("angry_per_day", F.col("tweets_per_day") * F.col("share_angry")).withColumn(
         "calm_per_day", F.col("tweets_per_day") * (F.lit(1.0) - F.col("share_angry")))  # B20
-    return per.join(nm, "author").select("author", F.col("author_name").alias("name"), "party", "state", "n",
-                                         "active_days", "tweets_per_year", "tweets_per_day", "share_angry",
-                                         "angry_per_day", "calm_per_day")
+    return per.select("author", F.col("author_name").alias("name"), "party", "state", "n", "active_days",
+                      "tweets_per_year", "tweets_per_day", "share_angry", "angry_per_day", "calm_per_day")
 
 
 _VOL = f"""SELECT author, arg_max(author_name, (ts, msg_id)) AS name, arg_max(party, (ts, msg_id)) AS party,
@@ -156,8 +163,9 @@ def loudest(spark, root):
        ROUND(avg(CAST(share_angry AS DOUBLE)), 6) AS mean_share FROM v""", m=O.MSGS, v=_VOL))
 def median_rate(spark, root):
     """The median per-day rate over authors and the mean angry share."""
-    return _volume(spark, root).agg(F.median("tweets_per_day").alias("median_per_day"),
-                                    F.avg("share_angry").alias("mean_share"))
+    v = _volume(spark, root)
+    mid = P.exact_median(v, "tweets_per_day").select(F.col("median").alias("median_per_day"))
+    return mid.withColumn("mean_share", F.lit(v.agg(F.avg("share_angry")).first()[0]))
 
 
 @register("spearman_volume", O.with_views("""SELECT ROUND(corr(ra, rb), 6) AS rho, count(*) AS n FROM (

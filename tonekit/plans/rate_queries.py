@@ -23,140 +23,145 @@ def forecast_view(spark, root):
              .withColumn("era", cal.era("ts")))
 
 
-def named(spark, root):
-    """Forecast view with each author's latest display name, group and state."""
-    d = forecast_view(spark, root)
-    nm = R.latest(d, "author", ["author_name", "party", "state"]).select(
-        "author", F.col("author_name").alias("name"), F.col("party").alias("nm_party"), F.col("state").alias("nm_state"))
-    return d.join(nm, "author")
-
-
-_BAND_SQL = " ".join(f"WHEN hour_local BETWEEN {lo} AND {hi} THEN '{lab}'" for lo, hi, lab in K.HOUR_BANDS)
-_ERA_SQL = " ".join(f"WHEN ts < TIMESTAMP '{cut}' THEN '{lab}'" for cut, lab in K.ERA_CUTS)
-FORECAST = f"""SELECT m.*, CAST(anger > 0.5 AS INTEGER) AS angry,
-       CASE {_BAND_SQL} ELSE '{K.HOUR_BAND_ELSE}' END AS band,
-       CASE {_ERA_SQL} ELSE '{K.ERA_LAST}' END AS era
+def forecast_cells(spark, root):
+    """The messages counted once per author, attributes, era and band."""
+    return R.message_cells(forecast_view(spark, root))
+
+
+def _names(cells):
+    """Per author the latest display name, group and state."""
+    return R.latest_from_cells(cells).select("author", F.col("author_name").alias("name"), "party", "state")
+
+
+# Oracle: era and band by position in a list, the newest message of each author names them.
+_BANDS = [next((lab for lo, hi, lab in K.HOUR_BANDS if lo <= h <= hi), K.HOUR_BAND_ELSE) for h in range(24)]
+_CUTS = "[" + ", ".join(f"TIMESTAMP '{c}'" for c, _ in K.ERA_CUTS) + "]"
+FORECAST = f"""SELECT m.*, CASE WHEN anger > 0.5 THEN 1 ELSE 0 END AS angry, {_BANDS}[hour_local + 1] AS band,
+       {[lab for _, lab in K.ERA_CUTS] + [K.ERA_LAST]}[1 + len(list_filter({_CUTS}, lambda c: c <= m.ts))] AS era
 FROM ({O.MSGS_LOCAL}) m"""
-NM = """SELECT author, arg_max(author_name, ts) AS name, arg_max(party, ts) AS nm_party, arg_max(state, ts) AS nm_state
-FROM f GROUP BY author"""
+WHO = """SELECT DISTINCT ON (author) author, author_name AS name, party AS latest_party, state AS latest_state FROM f
+ORDER BY author, ts DESC, msg_id DESC"""
+PER_AUTHOR = """SELECT f.* EXCLUDE (author_name, party, state), w.* EXCLUDE (author) FROM f JOIN who w ON w.author = f.author"""
 
 
 def _f(body: str) -> str:
-    return O.with_views(body, f=FORECAST, nm=NM)
+    return O.with_views(body, f=FORECAST, who=WHO, na=PER_AUTHOR)
 
 
-@register("rate_cells", _f(f"""SELECT era, party, band, count(*) AS n, ROUND(avg(angry), 6) AS share_angry FROM f
-WHERE party IN ('Democrat', 'Republican') GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_CELL}"""))
+@register("rate_cells", _f(f"""SELECT party, era, band, count(*) AS n, ROUND(sum(angry) / count(*), 6) AS share_angry
+FROM f SEMI JOIN (VALUES ('Democrat'), ('Republican')) g(party) USING (party) GROUP BY ALL HAVING n >= {MIN_CELL}"""))
 def rate_cells(spark, root):
     """Era x group x hour band, share of angry messages."""
     return R.rate_cells(forecast_view(spark, root), ["era", "party", "band"], min_n=MIN_CELL,
                         where=F.col("party").isin(*K.MAIN_GROUPS))
 
 
-@register("author_leaderboard", _f(f"""SELECT f.author, nm.name, nm.nm_party AS party, nm.nm_state AS state, count(*) AS n,
-       ROUND(avg(angry), 6) AS share_angry, ROUND(avg(anger), 6) AS mean_anger
-FROM f JOIN nm USING (author) GROUP BY 1, 2, 3, 4 HAVING count(*) >= {MIN_CELL}"""))
+@register("author_leaderboard", _f(f"""SELECT author, name, latest_party AS party, latest_state AS state, count(*) AS n,
+       ROUND(sum(angry) / count(*), 6) AS share_angry, ROUND(avg(anger), 6) AS mean_anger
+FROM na GROUP BY ALL HAVING n >= {MIN_CELL}"""))
 def author_leaderboard(spark, root):
     """Per author (latest name/group/state), share and mean, n >= floor."""
-    d = named(spark, root).withColumnRenamed("party", "_p").withColumnRenamed("state", "_s")
-    d = d.withColumnRenamed("nm_party", "party").withColumnRenamed("nm_state", "state")
-    return R.rate_cells(d, ["author", "name", "party", "state"], min_n=MIN_CELL, mean_of="anger")
+    cells = forecast_cells(spark, root)
+    per = R.pooled(cells, ["author"], MIN_CELL, mean="mean_anger").join(_names(cells), "author")
+    return per.select("author", "name", "party", "state", "n", "share_angry", "mean_anger").orderBy(
+        F.desc("share_angry"), "author")
 
 
-@register("author_cells", _f(f"""SELECT f.author, nm.name, nm.nm_party AS party, era, band, count(*) AS n,
-       ROUND(avg(angry), 6) AS share_angry
-FROM f JOIN nm USING (author) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= {MIN_MEMBER_CELL}"""))
+@register("author_cells", _f(f"""SELECT author, name, latest_party AS party, era, band, count(*) AS n,
+       ROUND(sum(angry) / count(*), 6) AS share_angry FROM na GROUP BY author, name, latest_party, era, band
+HAVING n >= {MIN_MEMBER_CELL}"""))
 def author_cells(spark, root):
     """Author x era x band cells."""
-    d = named(spark, root).drop("party").withColumnRenamed("nm_party", "party")
-    return R.rate_cells(d, ["author", "name", "party", "era", "band"], min_n=MIN_MEMBER_CELL)
+    cells = forecast_cells(spark, root)
+    per = R.pooled(cells, ["author", "era", "band"], MIN_MEMBER_CELL).join(_names(cells), "author")
+    return per.select("author", "name", "party", "era", "band", "n", "share_angry")
 
 
-@register("night_day_contrast", _f(f"""SELECT m.author, nm.name, nm.nm_party AS party, n, n_night,
-       ROUND(daytime, 6) AS daytime, ROUND(nighttime, 6) AS nighttime, ROUND(nighttime - daytime, 6) AS night_minus_day
-FROM (SELECT author, avg(CASE WHEN band = '09-17 work' THEN angry END) AS daytime,
-             avg(CASE WHEN band IN ('21-23 late', '00-04 night') THEN angry END) AS nighttime,
-             CAST(sum(CASE WHEN band IN ('21-23 late', '00-04 night') THEN 1 ELSE 0 END) AS BIGINT) AS n_night,
-             count(*) AS n FROM f GROUP BY author) m
-JOIN nm USING (author) WHERE n_night >= {MIN_NIGHT}"""))
+@register("night_day_contrast", _f(f"""SELECT author, name, latest_party AS party, count(*) AS n,
+       count(*) FILTER (dark) AS n_night, ROUND(avg(angry) FILTER (band = '09-17 work'), 6) AS daytime,
+       ROUND(avg(angry) FILTER (dark), 6) AS nighttime,
+       ROUND(avg(angry) FILTER (dark) - avg(angry) FILTER (band = '09-17 work'), 6) AS night_minus_day
+FROM (SELECT *, hour_local >= 21 OR hour_local <= 4 AS dark FROM na) x GROUP BY author, name, latest_party
+HAVING n_night >= {MIN_NIGHT}"""))
 def night_day_contrast(spark, root):
     """Night owls -- late-hour share minus working-hours share, per author."""
-    d = forecast_view(spark, root)
-    nd = R.night_day(d, "author", min_night=MIN_NIGHT)
-    nm = R.latest(d, "author", ["author_name", "party"]).withColumnRenamed("author_name", "name")
-    return nd.join(nm, "author").select("author", "name", "party", "n", "n_night", "daytime", "nighttime",
-                                        "night_minus_day")
-
-
-def _ladder_steps():
-    c = F.col
-    dem = c("party") == "Democrat"
-    return [
-        ("nothing", F.lit(True)),
-        ("hour band = 00-04", c("band") == "00-04 night"),
-        ("party = Democrat", dem),
-        ("party = Democrat, era = Biden", dem & (c("era") == "Biden")),
-        ("party = Democrat, era = Biden, 09-17", dem & (c("era") == "Biden") & (c("band") == "09-17 work")),
-        ("User 4, era = Biden, 09-17", (c("name") == "User 4") & (c("era") == "Biden") & (c("band") == "09-17 work")),
-        ("party = Democrat, era = Biden, 00-04", dem & (c("era") == "Biden") & (c("band") == "00-04 night")),
-    ]
-
-
-@register("info_ladder", _f("""SELECT 'nothing' AS known, ROUND(avg(angry), 6) AS p FROM f
-UNION ALL SELECT 'hour band = 00-04', ROUND(avg(angry), 6) FROM f WHERE band = '00-04 night'
-UNION ALL SELECT 'party = Democrat', ROUND(avg(angry), 6) FROM f WHERE party = 'Democrat'
-UNION ALL SELECT 'party = Democrat, era = Biden', ROUND(avg(angry), 6) FROM f WHERE party = 'Democrat' AND era = 'Biden'
-UNION ALL SELECT 'party = Democrat, era = Biden, 09-17', ROUND(avg(angry), 6) FROM f
-          WHERE party = 'Democrat' AND era = 'Biden' AND band = '09-17 work'
-UNION ALL SELECT 'User 4, era = Biden, 09-17', ROUND(avg(angry), 6) FROM f JOIN nm USING (author)
-          WHERE nm.name = 'User 4' AND era = 'Biden' AND band = '09-17 work'
-UNION ALL SELECT 'party = Democrat, era = Biden, 00-04', ROUND(avg(angry), 6) FROM f
-          WHERE party = 'Democrat' AND era = 'Biden' AND band = '00-04 night'"""))
+    cells = forecast_cells(spark, root)
+    return R.night_day(cells, "author", min_night=MIN_NIGHT).join(_names(cells), "author").select(
+        "author", "name", "party", "n", "n_night", "daytime", "nighttime", "night_minus_day")
+
+
+# (label, group, era, band, name): what is known at each step, None for anything
+STEPS = [
+    ("nothing", None, None, None, None),
+    ("hour band = 00-04", None, None, "00-04 night", None),
+    ("party = Democrat", "Democrat", None, None, None),
+    ("party = Democrat, era = Biden", "Democrat", "Biden", None, None),
+    ("party = Democrat, era = Biden, 09-17", "Democrat", "Biden", "09-17 work", None),
+    ("User 4, era = Biden, 09-17", None, "Biden", "09-17 work", "User 4"),
+    ("party = Democrat, era = Biden, 00-04", "Democrat", "Biden", "00-04 night", None),
+]
+_STEP_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in s) + ")" for s in STEPS)
+
+
+@register("info_ladder", _f(f"""SELECT s.known, ROUND(avg(x.angry), 6) AS p
+FROM (VALUES {_STEP_ROWS}) s(known, party, era, band, name)
+LEFT JOIN (SELECT f.*, w.name FROM f JOIN who w USING (author)) x
+  ON coalesce(s.party = x.party, s.party IS NULL) AND coalesce(s.era = x.era, s.era IS NULL)
+ AND coalesce(s.band = x.band, s.band IS NULL) AND coalesce(s.name = x.name, s.name IS NULL) GROUP BY s.known"""))
 def info_ladder(spark, root):
     """The information ladder in one pass, baseline first then by p."""
-    return R.ladder_order(R.ladder(named(spark, root), _ladder_steps()))
+    cells = forecast_cells(spark, root)
+    cells = cells.join(_names(cells).select("author", "name"), "author")
+
+    def known(step):
+        cond = F.lit(True)
+        for c, v in zip(("party", "era", "band", "name"), step[1:]):
+            cond = cond if v is None else cond & (F.col(c) == v)
+        return cond
+
+    return R.ladder_order(R.ladder(cells, [(s[0], known(s)) for s in STEPS]))
 
 
 def _lookup_inputs(spark, root):
-    d = named(spark, root)
-    cells = R.rate_cells(d, ["party", "era", "band"], min_n=MIN_CELL, where=F.col("party").isin(*K.MAIN_GROUPS))
-    mcells = R.rate_cells(d, ["name", "era", "band"], min_n=MIN_MEMBER_CELL)
-    authors = d.select("author", "name", F.col("nm_party").alias("party")).distinct()
-    asked = authors.select(F.concat(F.lit("m"), F.col("author").cast("string")).alias("req"), "party",
-                           F.lit(None).cast("string").alias("era"), F.lit(LOOKUP_BAND).alias("band"), "name")
-    by_group = authors.select(F.concat(F.lit("g"), F.col("author").cast("string")).alias("req"), "party",
-                              F.lit(None).cast("string").alias("era"), F.lit(None).cast("string").alias("band"),
-                              F.lit(None).cast("string").alias("name"))
-    return asked.unionByName(by_group), cells, mcells
+    cells = forecast_cells(spark, root)
+    names = _names(cells)
+    by_group = R.pooled(cells.filter(F.col("party").isin(*K.MAIN_GROUPS)), ["party", "era", "band"], MIN_CELL)
+    by_member = R.pooled(cells.join(names.select("author", "name"), "author"), ["name", "era", "band"], MIN_MEMBER_CELL)
+    unknown = F.lit(None).cast("string")
+    asked = names.select(F.concat(F.lit("m"), F.col("author").cast("string")).alias("req"), "party",
+                         unknown.alias("era"), F.lit(LOOKUP_BAND).alias("band"), "name")
+    general = names.select(F.concat(F.lit("g"), F.col("author").cast("string")).alias("req"), "party",
+                           unknown.alias("era"), unknown.alias("band"), unknown.alias("name"))
+    return asked.unionByName(general), by_group, by_member
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
 _LOOKUP_SQL = _f(f"""
-, cells AS (SELECT party, era, band, count(*) AS n, avg(angry) AS share_angry FROM f
-            WHERE party IN ('Democrat', 'Republican') GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_CELL}),
-mcells AS (SELECT nm.name, era, band, count(*) AS n, avg(angry) AS share_angry FROM f JOIN nm USING (author)
-           GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_MEMBER_CELL}),
-gc AS (SELECT party, era, band, sum(share_angry * n) AS sn, sum(n) AS sn_n FROM cells GROUP BY CUBE (party, era, band)),
-mc AS (SELECT name, era, band, sum(share_angry * n) AS sn, sum(n) AS sn_n FROM mcells
-       GROUP BY GROUPING SETS ((name, era, band), (name, era), (name, band), (name))),
-authors AS (SELECT DISTINCT author, name, nm_party AS party FROM f JOIN nm USING (author)),
-req AS (SELECT 'm' || CAST(author AS VARCHAR) AS req, party, CAST(NULL AS VARCHAR) AS era, '{LOOKUP_BAND}' AS band, name
-        FROM authors
-        UNION ALL
-        SELECT 'g' || CAST(author AS VARCHAR), party, NULL, NULL, NULL FROM authors)
-SELECT r.req, r.party, r.era, r.band, r.name,
-       ROUND(CASE WHEN m.sn_n IS NOT NULL THEN m.sn / m.sn_n WHEN g.sn_n IS NOT NULL THEN g.sn / g.sn_n END, 6) AS p,
-       CAST(coalesce(m.sn_n, g.sn_n, 0) AS BIGINT) AS n,
-       CASE WHEN m.sn_n IS NOT NULL THEN r.name || coalesce(' during ' || r.era, '') || coalesce(', ' || r.band, '')
-            WHEN g.sn_n IS NOT NULL THEN coalesce(nullif(concat_ws(', ', 'a ' || r.party, 'during ' || r.era, 'at ' || r.band), ''),
-                                                  'nothing known')
-            ELSE 'no data for that combination' END AS description,
-       CASE WHEN p >= 0.75 THEN 'it''s an angry tweet.' WHEN p >= 0.5 THEN 'it''s probably angry.'
-            WHEN p < 0.25 THEN 'it''s probably not angry.' ELSE 'it''s a coin flip.' END AS verdict,
-       CAST(round(p * 100) AS BIGINT) || '%' AS p_text
-FROM req r
-LEFT JOIN gc g ON r.party IS NOT DISTINCT FROM g.party AND r.era IS NOT DISTINCT FROM g.era AND r.band IS NOT DISTINCT FROM g.band
-LEFT JOIN mc m ON r.name = m.name AND r.era IS NOT DISTINCT FROM m.era AND r.band IS NOT DISTINCT FROM m.band""")
-_LOOKUP_SQL = _LOOKUP_SQL.replace(")\n\n, cells AS", ")\n, cells AS")
+, gcell AS (SELECT party, era, band, sum(angry) AS k, count(*) AS n FROM f WHERE party IN ('Democrat', 'Republican')
+            GROUP BY ALL HAVING n >= {MIN_CELL}),
+mcell AS (SELECT name, era, band, sum(angry) AS k, count(*) AS n FROM na GROUP BY ALL HAVING n >= {MIN_MEMBER_CELL}),
+asks AS (SELECT kind || CAST(author AS VARCHAR) AS req, latest_party AS party, CAST(NULL AS VARCHAR) AS era,
+                CASE kind WHEN 'm' THEN '{LOOKUP_BAND}' END AS band, CASE kind WHEN 'm' THEN name END AS name
+         FROM who, (VALUES ('m'), ('g')) t(kind)),
+mans AS (SELECT req, sum(k) / sum(n) AS p, sum(n) AS n FROM asks a JOIN mcell c
+         ON c.name = a.name AND coalesce(c.era = a.era, a.era IS NULL) AND coalesce(c.band = a.band, a.band IS NULL) GROUP BY 1),
+gans AS (SELECT req, sum(k) / sum(n) AS p, sum(n) AS n FROM asks a JOIN gcell c
+         ON coalesce(c.party = a.party, a.party IS NULL) AND coalesce(c.era = a.era, a.era IS NULL)
+        AND coalesce(c.band = a.band, a.band IS NULL) GROUP BY 1),
+ans AS (SELECT a.*, m.req IS NOT NULL AS by_member, g.req IS NOT NULL AS by_group, coalesce(m.p, g.p) AS p,
+               CAST(coalesce(m.n, g.n, 0) AS BIGINT) AS n
+        FROM asks a LEFT JOIN mans m USING (req) LEFT JOIN gans g USING (req))
+SELECT req, party, era, band, name, ROUND(p, 6) AS p, n,
+       CASE WHEN by_member THEN concat(name, ' during ' || era, ', ' || band)
+            WHEN NOT by_group THEN '{K.NO_DATA}' WHEN party IS NULL AND era IS NULL AND band IS NULL THEN '{K.NOTHING_KNOWN}'
+            ELSE array_to_string(list_filter(['a ' || party, 'during ' || era, 'at ' || band], lambda x: x IS NOT NULL), ', ')
+       END AS description,
+       {_sql_list([*K.VERDICT_TEXTS, K.VERDICT_ELSE])}[coalesce(list_position([p >= 0.75, p >= 0.5, p < 0.25], true), 4)] AS verdict,
+       CAST(CAST(round(p * 100) AS BIGINT) AS VARCHAR) || '%' AS p_text
+FROM ans""").replace(")\n\n, gcell", "),\ngcell")
 
 
 @register("rate_lookup", _LOOKUP_SQL)
@@ -166,28 +171,32 @@ def rate_lookup(spark, root):
     return R.rate_lookup(req, cells, mcells)
 
 
-@register("statement_card", _f("""SELECT ROUND(avg(angry), 6) AS p, count(*) AS n, CAST(min(ts) AS DATE) AS "from",
-       CAST(max(ts) AS DATE) AS "to" FROM f JOIN nm USING (author)
-WHERE nm.name = 'User 4' AND band IN ('00-04 night', '05-08 morning') AND era = 'Biden'"""))
+_STATED = "FROM na WHERE name = 'User 4' AND era = 'Biden' AND hour_local <= 8"
+
+
+def _stated(spark, root):
+    ids = _names(forecast_cells(spark, root)).filter(F.col("name") == "User 4")
+    return R.statement(forecast_view(spark, root), ids, ["00-04 night", "05-08 morning"], "Biden")
+
+
+@register("statement_card", _f(f"""SELECT ROUND(avg(angry), 6) AS p, count(*) AS n, CAST(min(ts) AS DATE) AS "from",
+       CAST(max(ts) AS DATE) AS "to" {_STATED}"""))
 def statement_card(spark, root):
     """The statement summary for one author, hour range and era."""
-    summary, _ = R.statement(named(spark, root), "name", "User 4", ["00-04 night", "05-08 morning"], "Biden")
-    return summary
+    return _stated(spark, root)[0]
 
 
-@register("statement_messages", _f("""SELECT ts AS t, angry AS a, text AS x FROM f JOIN nm USING (author)
-WHERE nm.name = 'User 4' AND band IN ('00-04 night', '05-08 morning') AND era = 'Biden'"""))
+@register("statement_messages", _f(f"SELECT ts AS t, angry AS a, text AS x {_STATED}"))
 def statement_messages(spark, root):
     """The statement's messages in time order (rows, not a collected list)."""
-    _, rows = R.statement(named(spark, root), "name", "User 4", ["00-04 night", "05-08 morning"], "Biden")
-    return rows
+    return _stated(spark, root)[1]
 
 
-@register("calmest_authors", _f(f"""SELECT f.author, nm.name, nm.nm_party AS party, count(*) AS n, ROUND(avg(angry), 6) AS share_angry
-FROM f JOIN nm USING (author) GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_CELL}
-ORDER BY avg(angry), f.author LIMIT 8"""))
+@register("calmest_authors", _f(f"""SELECT author, name, latest_party AS party, count(*) AS n,
+       ROUND(sum(angry) / count(*), 6) AS share_angry FROM na GROUP BY author, name, latest_party HAVING n >= {MIN_CELL}
+ORDER BY sum(angry) / count(*), author LIMIT 8"""))
 def calmest_authors(spark, root):
     """F12 (bottom-k): the eight authors with the lowest angry share, lowest first."""
-    d = named(spark, root).drop("party").withColumnRenamed("nm_party", "party")
-    cells = d.groupBy("author", "name", "party").agg(F.count(F.lit(1)).alias("n"), F.avg("angry").alias("share_angry"))
-    return cells.filter(F.col("n") >= MIN_CELL).orderBy("share_angry", "author").limit(8)
+    cells = forecast_cells(spark, root)
+    low = R.pooled(cells, ["author"], MIN_CELL).orderBy("share_angry", "author").limit(8)
+    return low.join(_names(cells), "author").select("author", "name", "party", "n", "share_angry")

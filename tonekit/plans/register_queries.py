@@ -6,17 +6,20 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import calendar as cal
+from ..functions import text as TX
 from ..operators import registers as RG
 from ..operators import scoring as SC
+from ..operators import terms as TM
 from ..sources.files import read_table
 from . import oracle_views as O
 from .registry import register
 from .series_queries import _TOKENS as _TOKENS_SQL  # DuckDB twin of functions.text.tokens
-from .views import analysis_posts, attach_document_text
+from .views import analysis_posts, attach_document_text, msgs, winners_with_text
 
 # Test-scale analog lexicons: the published word lists (constants.CIVIC etc., the
-# library defaults) never occur in the driver's invented prose, so these queries use
-# words that do occur, to exercise the same operators with non-empty results.
+# library defaults) never occur in the driver's invented documents, so the queries over
+# those use words that do occur; ``published_registers`` runs the published lists over
+# the composed messages.
 CIVIC_T = r"(licensed?|\bmit\b)"
 GRAT_T = r"(apache|\bfrom\b)"
 OUT_T = {"Democrat": r"(\bthis\b|\bwith\b)", "Republican": r"(\bthat\b|\bfor\b)"}
@@ -26,38 +29,47 @@ TOP_MONTHS = 8
 POST_SCORES = ["anger", "negative", "disgust", "joy", "optimism", "fear", "sadness"]
 
 
-def scored_view(spark, root, materialize: bool = False, flags: bool = False):
-    """Two-group posts with text scored by the lexicon scorer (and, with ``flags``, the
-    per-text register flags), plus the month."""
+def scored_view(spark, root, also: dict | None = None, flags: bool = False):
+    """Two-group posts with the scores of their text by the lexicon scorer (and, with
+    ``flags``, the per-text register flags), plus the month; the text itself stays behind."""
     d = analysis_posts(spark, root).filter(F.col("party").isin(*K.MAIN_GROUPS)).drop(*POST_SCORES)
     pats = {"civic_lang": CIVIC_T, "grat_lang": GRAT_T, **{f"_og_{g}": p for g, p in OUT_T.items()}}
-    d = attach_document_text(spark, root, d, scored=True, flags=pats if flags else None, materialize=materialize)
+    d = attach_document_text(spark, root, d, scored=True, flags=pats if flags else None, also=also, keep_text=False)
     return d.withColumn("mo", cal.month_start("ts"))
 
 
-def register_view(spark, root, materialize: bool = False):
+def register_view(spark, root):
     """:func:`scored_view` plus the register flags and the tone columns."""
-    return RG.add_registers(scored_view(spark, root, materialize, flags=True), outgroup=OUT_T, flags_ready=True)
+    return RG.add_registers(scored_view(spark, root, flags=True), outgroup=OUT_T, flags_ready=True)
+
+
+# Oracle: tones by the largest score of a list, the out-group pattern by lookup, and every
+# share as a filtered count.
+def _any_word(p: str) -> str:
+    return f"regexp_matches(lower(text), '{RG.portable_re2(p)}')"
+
+
+def _tones(positive, negative) -> str:
+    return (f"list_max([{', '.join(positive)}]) > 0.5 AND list_max([{', '.join(negative)}]) <= 0.5 AS warm, "
+            f"list_max([{', '.join(negative)}]) > 0.5 AS hostile")
 
 
 def _reg_sql() -> str:
-    low = "lower(text)"
-    og = " ".join(f"WHEN party = '{g}' THEN regexp_matches({low}, '{RG.portable_re2(p)}')" for g, p in OUT_T.items())
-    pos = "(" + " OR ".join(f"{e} > 0.5" for e in K.POSITIVE_EMOTIONS) + ") AND " + " AND ".join(
-        f"{e} <= 0.5" for e in K.NEGATIVE_EMOTIONS)
-    neg = " OR ".join(f"{e} > 0.5" for e in K.NEGATIVE_EMOTIONS)
-    src = f"SELECT * EXCLUDE ({', '.join(POST_SCORES)}) FROM ({O.D_POSTS_TEXT}) p WHERE party IN ('Democrat', 'Republican')"
-    return f"""SELECT s.*, CAST(date_trunc('month', ts) AS DATE) AS mo, ({pos}) AS positive_tone, ({neg}) AS negative_tone,
-       regexp_matches({low}, '{RG.portable_re2(CIVIC_T)}') AS civic_lang, regexp_matches({low}, '{RG.portable_re2(GRAT_T)}') AS grat_lang,
-       CASE {og} ELSE FALSE END AS outgroup
+    src = f"SELECT * EXCLUDE ({', '.join(POST_SCORES)}) FROM ({O.D_POSTS_TEXT}) p WHERE list_contains({K.MAIN_GROUPS}, party)"
+    about = "map {" + ", ".join(f"'{g}': {_any_word(p)}" for g, p in OUT_T.items()) + "}[party]"
+    return f"""SELECT s.*, CAST(ts - INTERVAL (day(ts) - 1) DAY AS DATE) AS mo, {_tones(K.POSITIVE_EMOTIONS, K.NEGATIVE_EMOTIONS)},
+       {_any_word(CIVIC_T)} AS has_civic, {_any_word(GRAT_T)} AS has_thanks, {about} AS about_others
 FROM ({O.lexicon_sql(src)}) s"""
 
 
 REG = _reg_sql()
-SHARES = """count(*) AS n, ROUND(avg(CAST(positive_tone AND civic_lang AS INTEGER)), 6) AS civic,
-       ROUND(avg(CAST(positive_tone AND grat_lang AS INTEGER)), 6) AS gratitude,
-       ROUND(avg(CAST(negative_tone AND outgroup AS INTEGER)), 6) AS polarizing,
-       ROUND(avg(CAST(civic_lang AS INTEGER)), 6) AS any_civic_lang, ROUND(avg(CAST(outgroup AS INTEGER)), 6) AS any_outgroup"""
+def _share(cond: str, name: str) -> str:
+    return f"ROUND(count(*) FILTER ({cond}) / count(*), 6) AS {name}"
+
+
+SHARES = "count(*) AS n, " + ", ".join(_share(c, n) for c, n in (
+    ("warm AND has_civic", "civic"), ("warm AND has_thanks", "gratitude"), ("hostile AND about_others", "polarizing"),
+    ("has_civic", "any_civic_lang"), ("about_others", "any_outgroup")))
 
 
 def _r(body):
@@ -76,8 +88,8 @@ def register_month_party(spark, root):
     return RG.register_shares(register_view(spark, root), ["mo", "party"])
 
 
-@register("outgroup_lexicon", _r("""SELECT party, count(*) AS n, CAST(count_if(outgroup) AS BIGINT) AS outgroup_msgs,
-       CAST(count_if(civic_lang) AS BIGINT) AS civic_msgs FROM r GROUP BY party"""))
+@register("outgroup_lexicon", _r("""SELECT party, count(*) AS n, count(*) FILTER (about_others) AS outgroup_msgs,
+       count(*) FILTER (has_civic) AS civic_msgs FROM r GROUP BY party"""))
 def outgroup_lexicon(spark, root):
     """H2: the group-dependent out-group pattern, counted per group."""
     return register_view(spark, root).groupBy("party").agg(
@@ -85,15 +97,49 @@ def outgroup_lexicon(spark, root):
         F.count_if("civic_lang").alias("civic_msgs"))
 
 
-@register("register_calendar", _r(f"SELECT mo, {SHARES}, '' AS event FROM r GROUP BY mo HAVING count(*) >= {MIN_MONTH}"))
+# Event labels by month: a table of (month, nation) made from the nations, for every other
+# month of the span, so some months have no label.
+_EVENTS_SQL = "SELECT CAST(DATE '1995-01-01' + to_months(CAST(2 * n_nationkey AS INTEGER)) AS DATE) AS mo, n_name AS event FROM nation"
+
+
+def month_events(spark, root):
+    n = read_table(spark, root, "nation", ["n_nationkey", "n_name"])
+    return n.select(F.add_months(F.lit("1995-01-01").cast("date"), (2 * F.col("n_nationkey")).cast("int")).alias("mo"),
+                    F.col("n_name").alias("event"))
+
+
+@register("register_calendar", _r(f"""SELECT x.*, coalesce(e.event, '') AS event
+FROM (SELECT mo, {SHARES} FROM r GROUP BY mo HAVING count(*) >= {MIN_MONTH}) x LEFT JOIN ({_EVENTS_SQL}) e USING (mo)"""))
 def register_calendar(spark, root):
-    """Pooled monthly registers with an (empty) event label."""
-    cal_ = RG.register_shares(register_view(spark, root), ["mo"], min_n=MIN_MONTH)
-    return cal_.withColumn("event", F.lit(""))
+    """Pooled monthly registers with the event label of the month, '' without one."""
+    months = RG.register_shares(register_view(spark, root), ["mo"], min_n=MIN_MONTH)
+    return TM.label_lookup(months, month_events(spark, root), key="mo")
 
 
-_MONTH_REG = f"""SELECT mo, avg(CAST(positive_tone AND civic_lang AS INTEGER)) AS civic,
-       avg(CAST(negative_tone AND outgroup AS INTEGER)) AS polarizing FROM r GROUP BY mo HAVING count(*) >= {MIN_MONTH}"""
+# The published patterns over the composed messages, which hold civic and thankful phrases;
+# some get a closing word about the other side.
+_SAID = """SELECT *, text || CASE WHEN msg_id % 7 = 0 THEN ' against the radical left' WHEN msg_id % 11 = 0 THEN ' despite the GOP'
+                              ELSE '' END AS said FROM m WHERE party IS NOT NULL"""
+
+
+def _published(p: str) -> str:
+    return f"regexp_matches(lower(said), '{RG.portable_re2(p)}')"
+
+
+@register("published_registers", O.with_views(f"""SELECT party, topic, {SHARES} FROM (
+  SELECT *, {_tones(['joy'], ['anger', 'disgust'])}, {_published(K.CIVIC)} AS has_civic, {_published(K.GRATITUDE)} AS has_thanks,
+         coalesce(map {{'Democrat': {_published(K.DEM_OUT)}, 'Republican': {_published(K.REP_OUT)}}}[party], false) AS about_others
+  FROM ({_SAID}) y) x GROUP BY party, topic""", m=O.MSGS))
+def published_registers(spark, root):
+    """H1-H3 with the published civic, gratitude and out-group patterns, by group and topic."""
+    i = F.col("msg_id")
+    d = msgs(spark, root).filter(F.col("party").isNotNull()).withColumn("text", F.concat(
+        "text", F.when(i % 7 == 0, " against the radical left").when(i % 11 == 0, " despite the GOP").otherwise("")))
+    return RG.register_shares(RG.add_registers(d, pos=["joy"], neg=["anger", "disgust"]), ["party", "topic"])
+
+
+_MONTH_REG = f"""SELECT mo, count(*) FILTER (warm AND has_civic) / count(*) AS civic,
+       count(*) FILTER (hostile AND about_others) / count(*) AS polarizing FROM r GROUP BY mo HAVING count(*) >= {MIN_MONTH}"""
 
 
 @register("register_top_months", _r(f"""SELECT ranked_by, mo, strftime(mo, '%b %Y') AS label, rank, ROUND(civic, 6) AS civic,
@@ -176,9 +222,10 @@ SELECT mo, party, emo, regexp_replace(who0, '\\s+[DRI]-[A-Z]{{2}}$', '') AS who,
 @register("exemplars", _exemplar_sql())
 def exemplars(spark, root):
     """Per month, each group's most over-expressed emotion and its top message."""
-    r = scored_view(spark, root, materialize=True)  # read twice: by the gaps and by the candidates
-    gaps = RG.profile_distance(r, "mo", min_n=MIN_PROFILE)
-    return RG.exemplars(r, gaps)
+    r = scored_view(spark, root, also={"text_ok": RG.exemplar_text_ok("text")})
+    won = winners_with_text(spark, root, RG.exemplars(r, min_n=MIN_PROFILE), "id")  # two rows a month
+    return won.select("mo", "party", "emo", TX.clean_display_name(F.col("author_name")).alias("who"),
+                      TX.tidy_text("text").alias("text"), F.round("score", 2).alias("score"))
 
 
 # ---- scoring -----------------------------------------------------------------------------
@@ -243,16 +290,15 @@ def score_correlations(spark, root):
     return SC.correlations(SC.lexicon_scores(_docs(spark, root)), _CORR)
 
 
-@register("model_scores")
+@register("model_scores", O.with_views(
+    "SELECT msg_id, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in LABELS) + " FROM s", s=O.lexicon_sql(DOCS)))
 def model_scores(spark, root):
-    """M1/M2/M4: Python-model path -- hashed linear model in Arrow batches (rows only)."""
-    docs = _docs(spark, root)
-    emo = SC.score_batches(docs, K.EMOTIONS, SC.hashed_linear_factory(K.EMOTIONS))
-    sent = SC.score_batches(docs, K.SENTIMENTS, SC.hashed_linear_factory(K.SENTIMENTS, seed=11), multilabel=False)
-    return emo.join(sent, "msg_id")
+    """M1/M2/M4: Python-model path -- emotions and sentiment in one pass of Arrow batches."""
+    return SC.score_batches(_docs(spark, root), SC.lexicon_model(), [(K.EMOTIONS, True), (K.SENTIMENTS, False)])
 
 
-@register("sample_repeatable")
+@register("sample_repeatable", O.with_views(
+    "SELECT msg_id, lang FROM d ORDER BY md5('7:' || CAST(msg_id AS VARCHAR)), msg_id LIMIT 50", d=DOCS))
 def sample_repeatable(spark, root):
     """A repeatable fixed-size sample (the top-k of a seeded hash of the id)."""
     return SC.repeatable_sample(_docs(spark, root), 50, seed=7).select("msg_id", "lang")
@@ -273,8 +319,6 @@ def top_angry_texts(spark, root):
 FROM d""", d=DOCS))
 def normalise_text(spark, root):
     """The classifier input form of every whole document."""
-    from ..functions import text as TX
-
     return _docs(spark, root).select("msg_id", TX.model_input("text").alias("text"))
 
 
@@ -285,8 +329,6 @@ FROM (SELECT msg_id, trim(regexp_replace(replace(regexp_replace(text, 'https?://
                                          '\\s+', ' ', 'g')) AS t1 FROM d) x""", d=DOCS))
 def tidy_texts(spark, root):
     """Links dropped, entities unescaped, spaces collapsed, cut at a word edge."""
-    from ..functions import text as TX
-
     return _docs(spark, root).select("msg_id", TX.tidy_text("text").alias("text"))
 
 
@@ -295,8 +337,6 @@ def tidy_texts(spark, root):
     + _TOKENS_SQL + " AS t FROM d) x", d=DOCS))
 def text_tokens(spark, root):
     """The distinct tokens of every whole document (sorted, space-joined) and their number."""
-    from ..functions import text as TX
-
     t = _docs(spark, root).select("msg_id", TX.tokens("text").alias("t"))
     return t.select("msg_id", F.size("t").cast("long").alias("n_tokens"),
                     F.array_join(F.array_sort("t"), " ").alias("tokens"))

@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, root: str) -> DataFrame:
             prepare(spark)
-            return rounded(fn(spark, root))
+            return fn(spark, root)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -33,8 +33,9 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round floating columns for a stable cross-engine comparison."""
+def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """``df`` with floating columns rounded, to be compared with the oracle statements (which
+    round alike); for checkers only, the queries themselves return unrounded values."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):

@@ -5,17 +5,20 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import calendar as cal
+from ..functions import text as T
 from ..operators import battery as B
 from ..operators import series as S
 from ..operators import terms as TM
 from ..session import materialize
+from ..sources.files import read_table
 from . import oracle_views as O
 from .registry import register
-from .views import analysis_posts, msgs
+from .views import analysis_posts, msgs, winners_with_text
 
 MIN_WEEK = 20   # weekly floor at test scale (500 on the full corpus)
 MIN_TERM = 3    # distinctive-term floor at test scale (15 on the full corpus)
 MIN_N = 30
+EXTRA_MEANS = ["disgust", "fear", "sadness", "joy"]
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(K.STOP_WORDS)))
 _TOKENS = (r"list_distinct(list_filter(regexp_extract_all(regexp_replace(lower(text), 'https?://\S+|@[\p{L}\p{N}_]+', ' ', 'g'), "
@@ -27,7 +30,8 @@ w0 AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS wk, count(*) AS n, avg(ang
               avg(CASE WHEN party = 'Democrat' THEN anger END) AS anger_dem,
               avg(CASE WHEN party = 'Republican' THEN anger END) AS anger_rep,
               CAST(sum(CASE WHEN party = 'Democrat' THEN 1 ELSE 0 END) AS BIGINT) AS n_dem,
-              CAST(sum(CASE WHEN party = 'Republican' THEN 1 ELSE 0 END) AS BIGINT) AS n_rep
+              CAST(sum(CASE WHEN party = 'Republican' THEN 1 ELSE 0 END) AS BIGINT) AS n_rep,
+              {', '.join(f"avg({c}) AS {c}" for c in EXTRA_MEANS)}
        FROM d GROUP BY 1 HAVING count(*) >= {MIN_WEEK}),
 w1 AS (SELECT *, CASE WHEN count(anger) OVER w13 >= 5 THEN median(anger) OVER w13 END AS baseline,
               CASE WHEN count(anger_dem) OVER w13 >= 5 THEN median(anger_dem) OVER w13 END AS base_dem,
@@ -48,14 +52,17 @@ def _series(body: str) -> str:
 
 
 def _series_posts(spark, root):
-    return S.baseline_and_spikes(S.weekly_series(analysis_posts(spark, root), min_n=MIN_WEEK))
+    return S.baseline_and_spikes(S.weekly_series(analysis_posts(spark, root), min_n=MIN_WEEK, extra_means=EXTRA_MEANS))
 
 
 @register("weekly_series", _series("""SELECT wk, n, ROUND(anger, 6) AS anger, ROUND(share_angry, 6) AS share_angry,
-       ROUND(anger_dem, 6) AS anger_dem, ROUND(anger_rep, 6) AS anger_rep, n_dem, n_rep FROM w0"""))
+       ROUND(anger_dem, 6) AS anger_dem, ROUND(anger_rep, 6) AS anger_rep, n_dem, n_rep,
+       """ + ", ".join(f"ROUND({c}, 6) AS {c}" for c in (*EXTRA_MEANS, "baseline", "excess", "spike_score", "dem_excess",
+                                                        "rep_excess")) + " FROM w3"))
 def weekly_series(spark, root):
-    """The weekly battery with per-group means and counts, thin weeks dropped."""
-    return S.weekly_series(analysis_posts(spark, root), min_n=MIN_WEEK)
+    """The weekly battery with per-group means and counts, the extra means and the
+    baseline columns, thin weeks dropped."""
+    return _series_posts(spark, root)
 
 
 @register("rolling_baseline", _series("""SELECT wk, n, ROUND(anger, 6) AS anger, ROUND(baseline, 6) AS baseline,
@@ -109,12 +116,31 @@ drivers AS (SELECT v.wk, v.dem_excess, v.rep_excess,
             LEFT JOIN documents t ON t.doc_id = v.ex_id % (SELECT count(*) FROM documents))"""
 
 
+def _peaks(spark, root):
+    """The peak weeks, K.TOP_SPIKES at most: kept once, the branches of a report read them."""
+    series = S.baseline_and_spikes(S.weekly_series(analysis_posts(spark, root), min_n=MIN_WEEK))
+    return materialize(S.greedy_peaks(series).select("wk"))
+
+
+def _with_example(spark, root, drivers):
+    """Author and one-line text of each peak's example."""
+    out = winners_with_text(spark, root, drivers, "example_id")  # a row a peak
+    return (out.withColumn("example_author", F.col("author_name")).withColumn("example", T.one_line("text"))
+            .drop("example_id", "author_name", "text"))
+
+
+def week_events(spark, root):
+    """Labels for every eighth week from 1995 on, made from the nations; other weeks have none."""
+    n = read_table(spark, root, "nation", ["n_nationkey", "n_name"])
+    return n.select(F.date_add(F.lit("1995-01-02").cast("date"), (56 * F.col("n_nationkey")).cast("int")).alias("wk"),
+                    F.col("n_name").alias("event"))
+
+
 @register("spike_terms", _series(_TERMS_SQL + "\nSELECT wk, keywords, hashtags FROM terms"))
 def spike_terms(spark, root):
     """Distinctive words and tags of each peak week."""
     d = analysis_posts(spark, root, tokens=True)
-    peaks = materialize(S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk"))
-    return TM.distinctive_terms(d, peaks, min_count=MIN_TERM, tokens="tokens")
+    return TM.distinctive_terms(d, _peaks(spark, root), min_count=MIN_TERM, tokens="tokens")
 
 
 @register("driver_attribution", _series(_TERMS_SQL + """
@@ -122,20 +148,20 @@ SELECT wk, ROUND(dem_excess, 6) AS dem_excess, ROUND(rep_excess, 6) AS rep_exces
 FROM drivers"""))
 def driver_attribution(spark, root):
     """Which group drove each peak, and the peak week's top example."""
-    d = analysis_posts(spark, root, with_text=True)
-    peaks = materialize(S.greedy_peaks(S.baseline_and_spikes(S.weekly_series(d, min_n=MIN_WEEK))).select("wk"))
-    return TM.peak_drivers(d, peaks)
+    return _with_example(spark, root, TM.peak_drivers(analysis_posts(spark, root), _peaks(spark, root)))
 
 
 @register("seismograph", _series(_TERMS_SQL + """
 SELECT p.wk, p.n, ROUND(p.anger, 6) AS anger, ROUND(p.baseline, 6) AS baseline, ROUND(p.excess, 6) AS excess,
        ROUND(p.spike_score, 6) AS spike_score, t.keywords, t.hashtags, ROUND(r.dem_excess, 6) AS dem_excess,
-       ROUND(r.rep_excess, 6) AS rep_excess, r.driven_by, r.example_author, r.example, '' AS event
-FROM peaks p LEFT JOIN terms t USING (wk) LEFT JOIN drivers r USING (wk)"""))
+       ROUND(r.rep_excess, 6) AS rep_excess, r.driven_by, r.example_author, r.example, coalesce(e.event, '') AS event
+FROM peaks p LEFT JOIN terms t USING (wk) LEFT JOIN drivers r USING (wk)
+LEFT JOIN (SELECT DATE '1995-01-02' + CAST(56 * n_nationkey AS INTEGER) AS wk, n_name AS event FROM nation) e USING (wk)"""))
 def seismograph(spark, root):
     """The full spike table."""
-    d = analysis_posts(spark, root, tokens=True)
-    return TM.spike_report(d, min_week_n=MIN_WEEK, min_count=MIN_TERM, tokens="tokens")
+    report = TM.spike_report(analysis_posts(spark, root), min_week_n=MIN_WEEK, min_count=MIN_TERM, tokens="tokens",
+                             token_msgs=analysis_posts(spark, root, tokens=True), labels=week_events(spark, root))
+    return _with_example(spark, root, report)
 
 
 @register("moving_mean", O.with_views("""SELECT mo, n, ROUND(anger, 6) AS anger,

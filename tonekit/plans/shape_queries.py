@@ -9,15 +9,18 @@ from ..operators import export as X
 from . import oracle_views as O
 from .registry import register
 from .series_queries import _MONTH_CELLS, _month_cells
-from .views import local_msgs
+from .views import analysis_posts, local_msgs
 
 
-@register("pivot_dev", O.with_views(f"""PIVOT (SELECT month, year, ROUND(anger_dev, 6) AS anger_dev FROM ({_MONTH_CELLS}) x)
-ON year USING first(anger_dev) GROUP BY month""", d=O.D_POSTS))
+YEARS = list(range(1994, 2000))  # columns of the wide table
+
+
+@register("pivot_dev", O.with_views("SELECT month, " + ", ".join(
+    f'ROUND(max(anger_dev) FILTER (year = {y}), 6) AS "{y}"' for y in YEARS) + f" FROM ({_MONTH_CELLS}) x GROUP BY month",
+    d=O.D_POSTS))
 def pivot_dev(spark, root):
     """Month x year deviations, long -> wide (one column per year)."""
-    cells = _month_cells(spark, root).select("month", "year", F.round("anger_dev", 6).alias("anger_dev"))
-    return X.pivot_wide(cells, "month", "year", "anger_dev")
+    return X.pivot_wide(_month_cells(spark, root), "month", "year", "anger_dev", values=YEARS)
 
 
 @register("year_curves", O.with_views(f"""SELECT year, list(month ORDER BY month) AS x, list(ROUND(anger_dev, 6) ORDER BY month) AS dev
@@ -28,6 +31,26 @@ def year_curves(spark, root):
         "year", F.col("month").alias("x"), F.col("anger_dev").alias("dev"))
 
 
+@register("aligned_curves", O.with_views(f"""
+, c AS ({_MONTH_CELLS}),
+mean AS (SELECT month, sum(anger_dev * n) / sum(n) AS v FROM c GROUP BY month),
+ys AS (SELECT DISTINCT year FROM c UNION ALL SELECT NULL)
+SELECT ys.year, list(s.m ORDER BY s.m) AS x,
+       list(ROUND(CASE WHEN ys.year IS NULL THEN mean.v ELSE c.anger_dev END, 6) ORDER BY s.m) AS dev
+FROM ys, (SELECT unnest(range(1, 13)) AS m) s LEFT JOIN c ON c.year = ys.year AND c.month = s.m
+LEFT JOIN mean ON mean.month = s.m GROUP BY ys.year""", d=O.D_POSTS).replace(")\n\n, c AS", "),\nc AS"))
+def aligned_curves(spark, root):
+    """Every year's curve over the full month spine (NULL where a cell is missing)
+    and, with a NULL year, the n-weighted mean curve over years."""
+    cells = _month_cells(spark, root)
+    mean = cells.groupBy("month").agg((F.sum(F.col("anger_dev") * F.col("n")) / F.sum("n")).alias("anger_dev"))
+    rows = cells.select("year", "month", "anger_dev").unionByName(
+        mean.select(F.lit(None).cast("int").alias("year"), "month", "anger_dev"))
+    per = rows.groupBy("year").agg(F.map_from_entries(F.collect_list(F.struct("month", "anger_dev"))).alias("_m"))
+    spine = F.sequence(F.lit(1), F.lit(12))  # twelve entries a year
+    return per.select("year", spine.alias("x"), F.transform(spine, lambda m: F.try_element_at("_m", m)).alias("dev"))
+
+
 _HOURS = "range(0, 24)"
 
 
@@ -59,14 +82,17 @@ def hour_interp(spark, root):
     return X.circular_lerp(series, targets)
 
 
-@register("year_json")
-def year_json(spark, root):
-    """The yearly battery as one compact JSON document of parallel arrays
-    (floats to 4 dp, NaN -> null); rows-only (JSON text differs between engines)."""
-    from .views import analysis_posts
+_JSON_COLS = ["anger", "share_angry", "negative", "disgust", "joy", "optimism", "fear", "sadness", "anger_se"]
+
 
-    cells = B.mean_battery(analysis_posts(spark, root), ["year"], min_n=30)
-    return X.json_document(X.rounded_for_export(cells))
+@register("year_json", O.with_views("SELECT list(year ORDER BY year) AS year, list(n ORDER BY year) AS n, " + ", ".join(
+    f"list(ROUND({c}, 4) ORDER BY year) AS {c}" for c in _JSON_COLS)
+    + f" FROM ({O.battery_sql('d', ['year'], 30)}) x", d=O.D_POSTS))
+def year_json(spark, root):
+    """The yearly battery as parallel arrays (floats to 4 dp, NaN -> null), the
+    content of its JSON document; the JSON text itself is tested with the sinks."""
+    cells = X.rounded_for_export(B.mean_battery(analysis_posts(spark, root), ["year"], min_n=30))
+    return X.parallel_arrays(cells, ["year"], cells.columns)
 
 
 @register("chamber_hours", O.with_views(f"""SELECT list(ROUND(s, 6) ORDER BY h) AS share, list(n ORDER BY h) AS n,

@@ -1,30 +1,47 @@
-"""Incremental and streaming queries (A11, streaming weekly battery) -- rows-only checks."""
+"""Incremental and streaming queries (A11, streaming weekly battery)."""
 from __future__ import annotations
 
+import os
+import zlib
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.scoring import lexicon_scores
-from ..streaming.incremental import run_weekly_stream, score_new_files
+from ..session import checkpoint_dir
+from ..streaming.incremental import run_weekly_stream, score_new_files, weekly_battery
+from . import oracle_views as O
 from .registry import register
 from .views import msgs_from_events
 
+LABELS = [*K.EMOTIONS, *K.SENTIMENTS]
+
 
 def _score_docs(df):
-    return lexicon_scores(df.select(F.col("doc_id").alias("msg_id"), "text")).select(
-        "msg_id", *K.EMOTIONS, *K.SENTIMENTS)
+    return lexicon_scores(df.select(F.col("doc_id").alias("msg_id"), "text")).select("msg_id", *LABELS)
+
 
+def _kept(spark, name: str, root: str) -> str:
+    """The output of ``name`` for the tables of ``root``: the same path on every call, so a
+    repeated call resumes and finds nothing left to do."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{zlib.crc32(root.encode()):08x}")
 
-@register("resumable_scores")
+
+@register("resumable_scores", O.with_views(
+    "SELECT msg_id, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in LABELS) + " FROM s",
+    s=O.lexicon_sql("SELECT doc_id AS msg_id, text FROM documents")))
 def resumable_scores(spark, root):
     """Documents scored by a checkpointed file-source stream into Parquet."""
-    out = score_new_files(spark, root, _score_docs, glob="documents.parquet")
+    out = score_new_files(spark, root, _score_docs, _kept(spark, "document-scores", root), glob="documents.parquet")
     return spark.read.parquet(out)
 
 
-@register("weekly_stream")
+@register("weekly_stream", O.with_views("""SELECT wk, party, count(*) AS n, ROUND(avg(anger), 6) AS anger,
+       ROUND(avg(flag), 6) AS share_angry
+FROM (SELECT CAST(ts AS DATE) - CAST(isodow(ts) - 1 AS INTEGER) AS wk, party, anger, CASE WHEN anger > 0.5 THEN 1 ELSE 0 END AS flag
+      FROM m) x GROUP BY ALL""", m=O.MSGS))
 def weekly_stream(spark, root):
-    """Streaming extension: Monday-aligned weekly battery over the event feed with a
-    watermark (weeks still inside the watermark are not emitted yet)."""
-    out = run_weekly_stream(spark, root, msgs_from_events, glob="events.parquet")
-    return spark.read.parquet(out)
+    """Streaming extension: Monday-aligned weekly battery over the event feed, every week of
+    the backlog, late rows included."""
+    out = run_weekly_stream(spark, root, msgs_from_events, _kept(spark, "weekly-sums", root), glob="events.parquet")
+    return weekly_battery(spark.read.parquet(out))

@@ -12,6 +12,7 @@ from .views import analysis_posts, local_msgs
 
 MIN_N = 30  # the reference's sample floor; its full-corpus floors empty every cell at this scale
 MIN_N_WEEK = 5  # weekly party cells are thin at test scale
+UNFINISHED_YEAR = 2000  # the year the collection is still in
 MAIN = "party IN ('Democrat', 'Republican')"
 MSG_MEANS = ("anger", "negative", "disgust", "joy")
 
@@ -121,17 +122,16 @@ def election_pooled(spark, root):
     """The yearly cells pooled by the two flags, n-weighted."""
     cells = B.mean_battery(analysis_posts(spark, root), ["year", "is_election_year", "is_presidential"],
                            means=("anger",), share_of=None, se_of=None, min_n=MIN_N)
-    return cells.groupBy("is_election_year", "is_presidential").agg(
-        F.count(F.lit(1)).alias("years"),
-        (F.sum(F.col("anger") * F.col("n")) / F.sum("n")).alias("anger"))
+    return B.weighted_mean(cells, ["is_election_year", "is_presidential"], "anger", count="years")
 
 
 @register("final_stretch", _d("""SELECT year, ROUND(avg(CASE WHEN days_to_election <= 28 THEN anger END), 6) AS last4,
        ROUND(avg(CASE WHEN days_to_election > 28 THEN anger END), 6) AS rest
-FROM d WHERE is_election_year GROUP BY year"""))
+FROM d WHERE is_election_year AND year < {UNFINISHED_YEAR} GROUP BY year""".replace("{UNFINISHED_YEAR}", str(UNFINISHED_YEAR))))
 def final_stretch(spark, root):
-    """Last four weeks before the election vs the rest of the election year."""
-    d = analysis_posts(spark, root).filter("is_election_year")
+    """Last four weeks before the election vs the rest of the election year, finished
+    years only."""
+    d = analysis_posts(spark, root).filter(F.col("is_election_year") & (F.col("year") < UNFINISHED_YEAR))
     return d.groupBy("year").agg(
         F.avg(F.when(F.col("days_to_election") <= 28, F.col("anger"))).alias("last4"),
         F.avg(F.when(F.col("days_to_election") > 28, F.col("anger"))).alias("rest"))

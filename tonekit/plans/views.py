@@ -51,7 +51,7 @@ def order_scores(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, root: str, with_text: bool = False, with_terms: bool = False) -> DataFrame:
+def posts(spark: SparkSession, root: str, with_terms: bool = False) -> DataFrame:
     """Orders as messages.  Join order for scale: the fact-to-fact join with the
     per-order scores first (both keyed by the order id, the score side already
     partitioned by it), then ONE join with a customer-sized person table that carries
@@ -85,21 +85,24 @@ def posts(spark: SparkSession, root: str, with_text: bool = False, with_terms: b
         "negative", "disgust", "joy", "optimism", "fear", "sadness",
         *(["_terms"] if with_terms else []),
     )
-    if with_text:
-        base = attach_document_text(spark, root, base)
     return base
 
 
 def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str = "msg_id",
                          scored: bool = False, tokens: bool = False, flags: dict | None = None,
-                         materialize: bool = False) -> DataFrame:
+                         also: dict | None = None, keep_text: bool = True) -> DataFrame:
     """Give each message the whole text of document ``key mod #documents``.
 
     Text features are computed once per document, before the join, rather than once
     per message that reuses the text: ``scored`` adds the lexicon scores, ``tokens``
-    the distinct-token array, ``flags`` one boolean per named pattern."""
+    the distinct-token array, ``flags`` one boolean per named pattern, ``also`` further
+    named expressions over ``text``.  Without ``keep_text`` only the features travel.
+    The ids must be 0 to #documents - 1; a gap would lose messages and is an error."""
     docs = read_table(spark, root, "documents", ["doc_id", "text"])
-    n_docs = docs.count()
+    n_docs, low, high, ids = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"),
+                                      F.sum(F.col("doc_id").cast("decimal(38,0)"))).first()
+    if n_docs and (low, high, int(ids)) != (0, n_docs - 1, n_docs * (n_docs - 1) // 2):
+        raise ValueError("document ids are not 0 to n - 1")
     if scored:
         from ..operators.scoring import lexicon_scores
 
@@ -112,16 +115,30 @@ def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str
         from ..operators.registers import text_flags
 
         docs = text_flags(docs, flags)
-    if materialize and (scored or tokens or flags):
-        # when several branches of one plan read the feature table, compute it once and
-        # keep it in the shared checkpoint folder instead of re-deriving it per branch
-        from ..session import materialize
-
-        docs = materialize(docs)
+    for name, c in (also or {}).items():
+        docs = docs.withColumn(name, c)
+    if not keep_text:
+        docs = docs.drop("text")
     return (df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs)))
               .join(docs.withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc"))
 
 
+def winners_with_text(spark: SparkSession, root: str, winners: DataFrame, id_col: str) -> DataFrame:
+    """``winners`` (a few rows: k peaks, or two a month) with ``author_name`` and ``text`` of the
+    message named in ``id_col``.  They are few by construction, so they are broadcast to the
+    message and document tables and neither is shuffled."""
+    o = read_table(spark, root, "orders", ["o_orderkey", "o_custkey"])
+    c = read_table(spark, root, "customer", ["c_custkey", "c_name"])
+    w = fixed_broadcast(winners.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("o_orderkey")).distinct())
+    who = fixed_broadcast(o.join(w, "o_orderkey")).join(c, F.col("o_custkey") == c.c_custkey)
+    who = who.select(F.col("o_orderkey").alias(id_col), F.col("c_name").alias("author_name"))
+    docs = read_table(spark, root, "documents", ["doc_id", "text"])
+    n_docs = docs.count()
+    named = fixed_broadcast(who.withColumn("doc_id", F.pmod(F.col(id_col), F.lit(n_docs))))
+    text = docs.join(named, "doc_id").select(id_col, "author_name", "text")
+    return winners.join(text, id_col, "left")
+
+
 def author_terms(spark: SparkSession, root: str) -> DataFrame:
     """Two terms of office per customer, with a gap between them (for D4)."""
     c = read_table(spark, root, "customer", ["c_custkey"])
@@ -178,19 +195,18 @@ def msgs_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-def analysis_posts(spark: SparkSession, root: str, with_text: bool = False, tokens: bool = False,
-                   materialize: bool = False) -> DataFrame:
+def analysis_posts(spark: SparkSession, root: str, tokens: bool = False) -> DataFrame:
     """The analysis view ``d``: scored posts with calendar, election-cycle, age and
-    tenure features, restricted to messages written in office."""
+    tenure features, restricted to messages written in office; with ``tokens`` the distinct
+    tokens of each message's text."""
     from ..operators.enrich import add_age, add_calendar, in_office_flag, scored_view
 
     p = posts(spark, root, with_terms=True)
-    if with_text or tokens:
-        p = attach_document_text(spark, root, p, tokens=tokens, materialize=materialize)
     p = add_calendar(p)
     p = add_age(p)
     p = p.withColumn("in_office", in_office_flag("_terms")).drop("_terms")
-    return scored_view(p)  # scores are already joined in ``posts``; the test years need no range
+    p = scored_view(p)  # scores are already joined in ``posts``; the test years need no range
+    return attach_document_text(spark, root, p, tokens=True, keep_text=False) if tokens else p
 
 
 def local_msgs(spark: SparkSession, root: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Session helpers: one place for the settings every operator assumes."""
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,21 +48,21 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (tests, a laptop) is a fresh local folder set.
+    A ``local[...]`` session that names none gets a fresh folder: driver and tasks are one
+    process there. Anywhere else a folder of the driver alone would be lost to the executors,
+    so a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tonekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
 def materialize(df):
     """Reliable checkpoint of ``df`` into the shared checkpoint folder (never a
     local checkpoint): cuts the lineage of a table several branches read and survives

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +28,17 @@ def read_glob(spark: SparkSession, pattern: str | Sequence[str], columns: Sequen
     return df.select(*columns) if columns else df
 
 
-def first_existing(paths: Sequence[str]) -> str:
-    """A3 fallback: the first path (or glob) that exists, e.g. full labels, then a sample."""
-    import glob as _glob
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A3 fallback: the first path (or glob) that exists, e.g. full labels, then a sample.
 
+    Asked of Spark, so any file system the session reads will do."""
     for p in paths:
-        if _glob.glob(p):
+        try:
+            spark.read.format("binaryFile").load(p)
             return p
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
 
@@ -42,11 +47,7 @@ def read_json_records(spark: SparkSession, paths: Sequence[str], schema: T.Struc
     reader = spark.read.option("multiLine", "true")
     if schema is not None:
         reader = reader.schema(schema)
-    frames = [reader.json(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return reader.json(list(paths))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -5,25 +5,22 @@
   checkpoint records which files were done, so a rerun (after a crash or when new
   files land) scores only what is new; the file sink's commit log makes each batch
   all-or-nothing.  ``trigger(availableNow=True)`` processes the backlog and stops.
-* :func:`weekly_battery_stream` -- the weekly mean battery over an append-only feed:
-  event-time windows of seven days aligned on Mondays, a watermark bounding the
-  state kept for late messages, append output once a week is final.
+* :func:`run_weekly_stream` / :func:`weekly_battery` -- the weekly mean battery over an
+  append-only feed.  Each micro-batch adds its sums per week and group, keyed by the batch
+  id; reading adds them up.  No state is held and no watermark closes a week, so every
+  week of the backlog is there and a late row counts whenever it comes.
 """
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import checkpoint_dir, materialize
-
-
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}/out", f"{base}/{name}/checkpoint"
+from ..functions import calendar as cal
+from ..sources.files import write_parquet
 
 
 def _file_stream(spark: SparkSession, source: str, glob: str, **opts) -> DataFrame:
@@ -34,55 +31,65 @@ def _file_stream(spark: SparkSession, source: str, glob: str, **opts) -> DataFra
     return r.parquet(source)
 
 
-def score_new_files(spark: SparkSession, source: str, scorer: Callable[[DataFrame], DataFrame],
-                    glob: str = "*.parquet", name: str | None = None, max_files_per_trigger: int = 64) -> str:
+def score_new_files(spark: SparkSession, source: str, scorer: Callable[[DataFrame], DataFrame], out: str,
+                    glob: str = "*.parquet", max_files_per_trigger: int = 64) -> str:
     """Score every not-yet-scored file matching ``glob`` in folder ``source`` and
-    append the scores to ``<checkpoint dir>/<name>/out``; returns that path.  Safe to rerun."""
-    name = name or f"scores-{uuid.uuid4().hex[:8]}"
-    out, ckpt = _paths(spark, name)
+    append the scores to ``out``; returns that path.  ``out`` and the record of done files
+    beside it (``<out>.checkpoint``) are shared folders; calls with the same ``out`` resume."""
     stream = _file_stream(spark, source, glob, maxFilesPerTrigger=max_files_per_trigger)
-    q = (scorer(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+    q = (scorer(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out.rstrip("/") + ".checkpoint")
          .option("compression", "zstd").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
-def weekly_battery_stream(events: DataFrame, ts: str = "ts", score: str = "anger", group: str = "party",
-                          watermark: str = "14 days") -> DataFrame:
-    """Streaming weekly battery: n, mean score and share over the threshold per
-    Monday-aligned week and group; a week is emitted once the watermark passes it."""
-    # epoch day 0 (1970-01-01) is a Thursday: shifting window starts by 4 days aligns them on Mondays
-    w = F.window(F.col(ts), "7 days", "7 days", "4 days")
-    return (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-                  .groupBy(w.alias("w"), F.col(group))
-                  .agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias(score),
-                       F.avg((F.col(score) > K.ANGRY_THRESHOLD).cast("int")).alias("share_angry"))
-                  .select(F.to_date(F.col("w.start")).alias("wk"), group, "n", score, "share_angry"))
-
-
-def run_weekly_stream(spark: SparkSession, source: str, prepare: Callable[[DataFrame], DataFrame],
-                      glob: str = "*.parquet", name: str | None = None) -> str:
-    """Drive :func:`weekly_battery_stream` over the files under ``source`` to completion
-    into a Parquet sink; returns the output path."""
-    name = name or f"weekly-{uuid.uuid4().hex[:8]}"
-    out, ckpt = _paths(spark, name)
-    stream = _file_stream(spark, source, glob)
-    q = (weekly_battery_stream(prepare(stream)).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+def weekly_sums(events: DataFrame, ts: str = "ts", score: str = "anger", group: str = "party") -> DataFrame:
+    """Additive parts of the weekly battery: rows, scored rows, score sum and rows over the
+    threshold per Monday-aligned week and group."""
+    return events.groupBy(cal.week_start(ts).alias("wk"), group).agg(
+        F.count(F.lit(1)).alias("n"), F.count(score).alias("scored"), F.sum(score).alias("total"),
+        F.sum((F.col(score) > K.ANGRY_THRESHOLD).cast("int")).alias("angry"))
+
+
+def run_weekly_stream(spark: SparkSession, source: str, prepare: Callable[[DataFrame], DataFrame], out: str,
+                      glob: str = "*.parquet", max_files_per_trigger: int = 64) -> str:
+    """Add the :func:`weekly_sums` of every new file under ``source`` to ``out``, one folder a
+    micro-batch; a batch that is repeated after a failure overwrites its own folder."""
+    def add(batch: DataFrame, batch_id: int) -> None:
+        weekly_sums(prepare(batch)).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
+
+    q = (_file_stream(spark, source, glob, maxFilesPerTrigger=max_files_per_trigger).writeStream.foreachBatch(add)
+         .option("checkpointLocation", out.rstrip("/") + ".checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
+def weekly_battery(sums: DataFrame, group: str = "party", score: str = "anger") -> DataFrame:
+    """n, mean score and share over the threshold per week and group, over all batches so far."""
+    t = sums.groupBy("wk", group).agg(*[F.sum(c).alias(c) for c in ("n", "scored", "total", "angry")])
+    return t.select("wk", group, "n", F.try_divide("total", "scored").alias(score),
+                    F.try_divide("angry", "scored").alias("share_angry"))
+
+
+def late_rows(sums: DataFrame, days: int = 14) -> DataFrame:
+    """Per batch, the rows and how many of them were late: of a week that ended ``days`` days or
+    more before the newest week of any earlier batch."""
+    newest = sums.groupBy("batch").agg(F.max("wk").alias("newest"))  # one row a batch
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    seen = newest.select("batch", F.max("newest").over(before).alias("seen"))
+    late = F.col("wk") < F.date_sub("seen", days)
+    return sums.join(seen, "batch").groupBy("batch").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(late, F.col("n")).otherwise(0)).alias("late"))
+
+
 def score_missing(spark: SparkSession, messages: DataFrame, out: str, scorer: Callable[[DataFrame], DataFrame],
                   id_col: str = "msg_id") -> int:
     """A11 for a static table: score only the messages whose id is not yet in the
     Parquet output at ``out`` (an anti-join on the id), then append them.  Each append
     is one job with Spark's commit protocol, so an interrupted run leaves either all
-    or none of its rows and the next run picks up the rest.  Returns rows appended."""
-    from pyspark.errors import AnalysisException
-
-    from ..sources.files import write_parquet
-
+    or none of its rows and the next run picks up the rest.  Returns rows appended,
+    counted as they are written."""
     todo = messages
     try:
         done = spark.read.parquet(out).select(id_col)
@@ -90,8 +97,6 @@ def score_missing(spark: SparkSession, messages: DataFrame, out: str, scorer: Ca
     except AnalysisException as e:  # works for any file system the session reads
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    scored = materialize(scorer(todo))  # scored once, then counted and written
-    n = scored.count()
-    if n:
-        write_parquet(scored, out, mode="append")
-    return n
+    seen = Observation()
+    write_parquet(scorer(todo).observe(seen, F.count(F.lit(1)).alias("n")), out, mode="append")
+    return int(seen.get["n"])
