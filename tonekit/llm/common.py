@@ -57,6 +57,30 @@ def real_id(col: str | Column = "did") -> Column:
     return F.when(c != F.lit(NULL_ID), c)
 
 
+#: A bit table has 2**BITS bits: 2**(BITS - 6) rows of 16 bytes at most, four megabytes.
+BITS = 24
+
+
+def _slot(cols: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << BITS))
+
+
+def bit_table(keys: DataFrame, cols: list[str]) -> DataFrame:
+    """Marks of the keys in a table of fixed size, whatever their number."""
+    slots = keys.select(_slot(cols).alias("slot"))
+    return settled(slots.groupBy(F.shiftright("slot", 6).alias("_word"))
+                   .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits")), "bits")
+
+
+def marked(rows: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
+    """``rows`` with ``_maybe``: false only if the row's key is not in the table. The table is
+    broadcast, its size is fixed; a false mark costs the caller work, never a wrong result."""
+    out = rows.withColumn("_slot", _slot(cols)).withColumn("_word", F.shiftright("_slot", 6))
+    out = out.join(F.broadcast(table), "_word", "left")
+    bit = F.expr("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L")
+    return out.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_slot", "_word", "_bits")
+
+
 def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is not in ``drop`` (did, th); all columns stay.
 

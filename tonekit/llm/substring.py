@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ints, keyed, later_copies, real_id, settled, sized_batches
+from .common import bit_table, ints, keyed, later_copies, marked, real_id, settled, sized_batches
 
 LENGTH = 100
 #: Bytes of a trigger; LENGTH - TRIGGER + 1 of them compete in each string.
@@ -140,22 +140,31 @@ def _joined(did, th, start, end):
     return did[at], th[at], start[at], reach[last] - shift[at]
 
 
-_PHRASES = "key long, a long, r long, did long, th long, pos long, n long, known boolean"
-_STRINGS = "key long, w long, a long, did long, th long, pos long, n long, known boolean"
+#: Phrases of one trigger that a task compares at once; those of more frequent triggers are
+#: taken apart into strings.
+MANY = 4096
+#: A phrase's place and number of strings share one integer.
+_SIZE = 10
+#: A row is a phrase (p: place and size), or an interval known to repeat (p: -1 - start, r: end).
+_PHRASES = "a long, r long, did long, th long, p long"
+_STRINGS = "a long, b long, did long, th long, p long, q long, data binary"
 
 
-def _batch(cols: dict, known: tuple, names: list[str], length: int) -> pa.RecordBatch:
-    """Rows to deal out, and intervals that are known to repeat (dealt by text)."""
-    did, th, start, end = known
-    n = len(cols[names[0]])
+def _batch(cols: dict, known: tuple, end: str) -> pa.RecordBatch:
+    """Rows ``cols`` and known intervals; those have their end in column ``end`` and a spread key."""
+    did, th, start, stop = known
     zero = np.zeros(len(did), np.int64)
-    key = np.concatenate([cols["key"], did * 31 + start])
-    data = {"key": key, names[0]: np.concatenate([cols[names[0]], zero]),
-            names[1]: np.concatenate([cols[names[1]], zero]), "did": np.concatenate([cols["did"], did]),
-            "th": np.concatenate([cols["th"], th]), "pos": np.concatenate([cols["pos"], start]),
-            "n": np.concatenate([cols["n"], end - start - length + 1]),
-            "known": np.concatenate([np.zeros(n, bool), np.ones(len(did), bool)])}
-    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in data.items()})
+    more = {"a": did * 31 + start, "did": did, "th": th, "p": -1 - start, end: stop}
+    out = {k: pa.array(np.concatenate([v, more.get(k, zero)])) if k != "data" else
+           pa.array(v + [b""] * len(did), pa.binary()) for k, v in cols.items()}
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _repeats(order, new, did, th, pos):
+    """Of sorted rows, those that are neither the first of their key nor stand at its place."""
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    same = (did[order] == did[head]) & (th[order] == th[head]) & (pos[order] == pos[head])
+    return order[~new & ~same]
 
 
 def phrases(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER) -> DataFrame:
@@ -177,129 +186,163 @@ def phrases(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER) -> DataFram
                 continue
             a, r, row, pos, n = (np.concatenate(x) for x in zip(*got))
             a, r = a.view(np.int64), r.view(np.int64)
-            order, new = _first_of(a, r, did[row], th[row], pos)
-            rest, keep = order[~new], order[new]
-            # an equal row stands at the same place as the first: it is not a repeat of it
-            head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][~new]
-            same = (did[row[rest]] == did[row[head]]) & (th[row[rest]] == th[row[head]]) & (pos[rest] == pos[head])
-            rest = rest[~same]
-            known = _joined(did[row[rest]], th[row[rest]], pos[rest], pos[rest] + n[rest] + length - 1)
-            yield _batch({"key": a[keep], "a": a[keep], "r": r[keep], "did": did[row[keep]], "th": th[row[keep]],
-                          "pos": pos[keep], "n": n[keep]}, known, ["a", "r"], length)
+            did, th = did[row], th[row]
+            order, new = _first_of(a, r, did, th, pos)
+            keep, rest = order[new], _repeats(order, new, did, th, pos)
+            known = _joined(did[rest], th[rest], pos[rest], pos[rest] + n[rest] + length - 1)
+            yield _batch({"a": a[keep], "r": r[keep], "did": did[keep], "th": th[keep], "p": (pos[keep] << _SIZE) + n[keep]},
+                         known, "r")
 
     return docs.mapInArrow(run, _PHRASES)
 
 
-def _judge(rows: DataFrame) -> DataFrame:
-    """Of the phrases of each trigger, in corpus order: ``known`` where the phrase stood before;
-    else the distinct phrases of triggers that have several. The rest need no further look.
+def _judge(rows: DataFrame, length: int) -> DataFrame:
+    """Of the phrases of each trigger, in corpus order: known intervals where the phrase stood
+    before; else the distinct phrases of triggers that have several. The rest need no look.
 
     The pass over the sorted rows remembers one phrase: the first of the trigger, until a
     second distinct one shows that both are needed.
     """
+    names = ["a", "r", "did", "th", "p"]
+
     def scan(batches):
-        last = pending = None  # last: (a, r, did, th, pos) of the phrase's first row; pending: a held row
+        last = pending = None  # last: first row (a, r, did, th, p) of the phrase; pending: a held row
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            c = {n: ints(batch, n) for n in ("a", "r", "did", "th", "pos", "n")}
-            known = ints(batch, "known").astype(bool)
-            idx = np.flatnonzero(~known)
-            out = [batch.filter(pa.array(known))]
-            if len(idx):
-                v = {n: x[idx] for n, x in c.items()}
-                m = len(idx)
+            v = {n: ints(batch, n) for n in names}
+            out = [{n: x[v["p"] < 0] for n, x in v.items()}]
+            v = {n: x[v["p"] >= 0] for n, x in v.items()}
+            m = len(v["p"])
+            if m:
                 new_a, new_r = np.ones(m, bool), np.ones(m, bool)
                 new_a[1:] = v["a"][1:] != v["a"][:-1]
                 new_r[1:] = new_a[1:] | (v["r"][1:] != v["r"][:-1])
                 if last is not None:
-                    new_a[0] = v["a"][0] != last[0]
-                    new_r[0] = new_a[0] or v["r"][0] != last[1]
+                    new_a[0] = v["a"][0] != last["a"]
+                    new_r[0] = new_a[0] or v["r"][0] != last["r"]
                 head = np.maximum.accumulate(np.where(new_r, np.arange(m), -1))
                 again = np.zeros(m, bool)
-                for j, name in ((2, "did"), (3, "th"), (4, "pos")):
-                    again |= v[name] != np.where(head >= 0, v[name][np.maximum(head, 0)], last[j] if last else 0)
+                for n in ("did", "th", "p"):
+                    again |= v[n] != np.where(head >= 0, v[n][np.maximum(head, 0)], last[n] if last else 0)
                 again &= ~new_r
                 # a distinct phrase after the first of its trigger: it and the first are needed
-                second = new_r & ~new_a
-                starts = np.flatnonzero(new_a)
                 part = np.cumsum(new_a)
                 several = np.zeros(m + 1, bool)
-                several[part[second]] = True
+                several[part[new_r & ~new_a]] = True
                 need = new_r & several[part]
                 if pending is not None and several[0]:
                     out.append(pending)
+                if new_a.any() or several[0]:
                     pending = None
-                if len(starts):
-                    pending = None
-                    s = starts[-1]
-                    if not several[part[s]]:
-                        pending = batch.slice(int(idx[s]), 1)
-                elif several[0]:
-                    pending = None
-                h = head[-1]
-                last = (v["a"][-1], v["r"][-1], *((v[n][h] for n in ("did", "th", "pos")) if h >= 0 else last[2:]))
-                pick = np.concatenate([idx[again], idx[need]])
-                flag = np.concatenate([np.ones(again.sum(), bool), np.zeros(need.sum(), bool)])
-                part_rows = batch.take(pa.array(pick))
-                out.append(part_rows.set_column(part_rows.schema.get_field_index("known"), "known", pa.array(flag)))
-            for o in out:
-                if o.num_rows:
-                    yield o
-
-    dealt = rows.repartition("key").sortWithinPartitions("known", "a", "r", "did", "th", "pos")
-    return dealt.mapInArrow(scan, _PHRASES)
-
-
-def _strings(need: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Every string of the phrases in ``need``; repeats within a batch come as known intervals."""
-    per_text = need.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n", "a")).alias("ph"))
+                starts = np.flatnonzero(new_a)
+                if len(starts) and not several[part[starts[-1]]]:
+                    pending = {n: x[starts[-1]:starts[-1] + 1] for n, x in v.items()}
+                if head[-1] >= 0:
+                    last = {n: x[head[-1]] for n, x in v.items()}
+                pos, size = v["p"][again] >> _SIZE, v["p"][again] & ((1 << _SIZE) - 1)
+                out.append({"a": v["a"][again], "r": pos + size + length - 1, "did": v["did"][again], "th": v["th"][again],
+                            "p": -1 - pos})
+                out.append({n: x[need] for n, x in v.items()})
+            yield pa.RecordBatch.from_pydict({n: np.concatenate([o[n] for o in out]) for n in names})
+
+    return rows.repartition("a").sortWithinPartitions(*names).mapInArrow(scan, _PHRASES)
+
+
+def _expanded(need: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The needed phrases with their bytes. Those of a trigger with over MANY phrases come as
+    single strings instead, keyed by the string's hash (b: the trigger), and of equal strings in
+    a batch the first, the others as known intervals: no trigger and no string gathers rows."""
+    many = settled(need.groupBy("a").count().filter(F.col("count") > MANY).select("a", F.lit(True).alias("many")), "many")
+    per_text = settled(need.join(many, "a", "left").groupBy("did", "th").agg(
+        F.collect_list(F.struct("a", "p", F.coalesce("many", F.lit(False)).alias("many"))).alias("ph")), "needed")
+    where = marked(docs, bit_table(per_text, ["did", "th"]), ["did", "th"]).filter("_maybe")
 
     def run(batches):
-        for b in sized_batches(batches, BATCH_BYTES):
-            did, th, got = ints(b, "did"), ints(b, "th"), []
-            for i in range(b.num_rows):
-                raw = np.frombuffer(b.column("text")[i].as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                ph = b.column("ph")[i].values
-                pos, n, a = (ph.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-                o = np.argsort(pos)
-                pos, n, a = pos[o], n[o], a[o]
-                # phrases that lie close share one stretch of hashed bytes
-                cut = np.flatnonzero(np.append(True, (pos[1:] > pos[:-1] + n[:-1] + length)
-                                               | (pos[1:] // PIECE != pos[:-1] // PIECE)))
-                for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(pos)]):
-                    lo, hi = pos[s], (pos[s:e] + n[s:e]).max()
-                    w, _ = _hashes(raw[lo:hi + length - 1], length, 1)
-                    at = np.repeat(pos[s:e] - (np.cumsum(n[s:e]) - n[s:e]), n[s:e]) + np.arange(n[s:e].sum())
-                    got.append((w[at - lo], np.repeat(a[s:e], n[s:e]), np.full(len(at), i), at))
-            if not got:
+        for batch in sized_batches(batches, BATCH_BYTES):
+            did, th = ints(batch, "did"), ints(batch, "th")
+            rows = {n: [] for n in ("a", "did", "th", "p")}
+            data, strings = [], []
+            for i in range(batch.num_rows):
+                raw = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
+                ph = batch.column("ph")[i].values
+                a, p, apart = (ph.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                apart = apart.astype(bool)
+                pos, n = p >> _SIZE, p & ((1 << _SIZE) - 1)
+                data += [raw[x:x + k + length - 1] for x, k in zip(pos[~apart].tolist(), n[~apart].tolist())]
+                for name, x in (("a", a[~apart]), ("p", p[~apart]), ("did", np.full((~apart).sum(), did[i])),
+                                ("th", np.full((~apart).sum(), th[i]))):
+                    rows[name].append(x)
+                for x, k, t in zip(pos[apart].tolist(), n[apart].tolist(), a[apart].tolist()):
+                    w, _ = _hashes(np.frombuffer(raw, np.uint8, k + length - 1, x), length, 1)
+                    strings.append((w.view(np.int64), np.full(k, t), np.full(k, i), x + np.arange(k)))
+            cool = {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in rows.items()}
+            w, t, row, pos = (np.concatenate(x) for x in zip(*strings)) if strings else [np.zeros(0, np.int64)] * 4
+            wd, wt = did[row], th[row]
+            order, new = _first_of(w, t, wd, wt, pos)
+            keep, rest = order[new], _repeats(order, new, wd, wt, pos)
+            yield _batch({"a": np.concatenate([cool["a"], w[keep]]), "b": np.concatenate([cool["a"], t[keep]]),
+                          "did": np.concatenate([cool["did"], wd[keep]]), "th": np.concatenate([cool["th"], wt[keep]]),
+                          "p": np.concatenate([cool["p"], pos[keep]]), "q": np.zeros(len(data) + len(keep), np.int64),
+                          "data": data + [b""] * len(keep)},
+                         _joined(wd[rest], wt[rest], pos[rest], pos[rest] + length), "q")
+
+    return where.join(per_text, ["did", "th"]).select("did", "th", "text", "ph").mapInArrow(run, _STRINGS)
+
+
+def _shared_strings(rows: DataFrame, length: int) -> DataFrame:
+    """(did, th, start, end): strings of the phrases of one trigger that an earlier phrase has.
+
+    The strings are the suffixes of the trigger's phrases; sorted by content and corpus order,
+    all but the first of equals are repeats. Whole triggers are taken, as many as a batch has.
+    """
+    def run(batches):
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+                held = t.to_batches()[0] if t.num_rows else None
+            if held is None:
                 continue
-            w, a, row, pos = (np.concatenate(x) for x in zip(*got))
-            w = w.view(np.int64)
-            order, new = _first_of(w, a, did[row], th[row], pos)
-            rest, keep = order[~new], order[new]
-            head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][~new]
-            same = (did[row[rest]] == did[row[head]]) & (th[row[rest]] == th[row[head]]) & (pos[rest] == pos[head])
-            rest = rest[~same]
-            known = _joined(did[row[rest]], th[row[rest]], pos[rest], pos[rest] + length)
-            yield _batch({"key": w[keep], "w": w[keep], "a": a[keep], "did": did[row[keep]], "th": th[row[keep]],
-                          "pos": pos[keep], "n": np.ones(len(keep), np.int64)}, known, ["w", "a"], length)
-
-    return docs.join(per_text, ["did", "th"]).select("did", "th", "text", "ph").mapInArrow(run, _STRINGS)
+            a = ints(held, "a")
+            new = np.append(True, a[1:] != a[:-1])
+            cut = held.num_rows if b is None else int(np.flatnonzero(new)[-1])  # the last one may go on
+            if cut:
+                part = held.slice(0, cut)
+                did, th, p = (ints(part, n) for n in ("did", "th", "p"))
+                pos, n = p >> _SIZE, p & ((1 << _SIZE) - 1)
+                data = part.column("data").to_pylist()
+                w, _ = _hashes(np.frombuffer(b"".join(data), np.uint8), length, 1)
+                row = np.repeat(np.arange(cut), n)
+                off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.cumsum(n + length - 1) - (n + length - 1)
+                order, first = _first_of(np.cumsum(new[:cut])[row], w[begin[row] + off].view(np.int64), row, off, off)
+                gone = np.zeros(len(row), bool)
+                gone[_repeats(order, first, did[row], th[row], pos[row] + off)] = True
+                edge = gone & ~np.append(False, gone[:-1] & (row[1:] == row[:-1]))
+                last = gone & ~np.append(gone[1:] & (row[1:] == row[:-1]), False)
+                s = np.flatnonzero(edge)
+                yield pa.RecordBatch.from_pydict({
+                    "did": did[row[s]], "th": th[row[s]], "start": pos[row[s]] + off[s],
+                    "end": pos[row[s]] + off[np.flatnonzero(last)] + length})
+            held = held.slice(cut) if cut < held.num_rows else None
+
+    return rows.select("a", "did", "th", "p", "data").repartition("a").sortWithinPartitions("a", "did", "th", "p").mapInArrow(
+        run, "did long, th long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER) -> DataFrame:
     """(did, th, start, end): stretches of bytes covered by strings of ``length`` bytes that start
     earlier too, for ``docs`` (did, th, text). Stretches of a row may overlap."""
-    judged = settled(_judge(phrases(docs, length, k)), "phrases")
-    strings = _strings(judged.filter("not known").select("did", "th", "pos", "n", "a"), docs, length)
-    strings = settled(strings, "strings")
-    single = later_copies(strings.filter("not known").select("w", "a", "did", "th", "pos", "n"),
-                          ["w", "a"], ["did", "th", "pos"])
-    span = [F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (length - 1)).alias("end")]
-    return (judged.filter("known").select("did", "th", *span)
-            .unionByName(strings.filter("known").select("did", "th", *span))
-            .unionByName(single.select("did", "th", *span)))
+    judged = settled(_judge(phrases(docs, length, k), length), "phrases")
+    rows = settled(_expanded(judged.filter("p >= 0").select("a", "did", "th", "p"), docs, length), "strings")
+    strings = rows.filter("p >= 0 and length(data) = 0").select("a", "b", "did", "th", "p")
+    later = later_copies(strings, ["a", "b"], ["did", "th", "p"])
+    start = (-1 - F.col("p")).alias("start")
+    return (judged.filter("p < 0").select("did", "th", start, F.col("r").alias("end"))
+            .unionByName(rows.filter("p < 0").select("did", "th", start, F.col("q").alias("end")))
+            .unionByName(_shared_strings(rows.filter("length(data) > 0"), length))
+            .unionByName(later.select("did", "th", F.col("p").alias("start"), (F.col("p") + length).alias("end"))))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +380,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(
                 [b.column("did"), *[pa.array(v, t) for v, t in zip(out.values(), kinds)]], ["doc_id", *out])
 
-    out = rows.join(per_text, ["did", "th"], "left").select("did", "text", "spans").mapInArrow(
+    # texts without a repeat are told apart by the bit table and never shuffled
+    parted = marked(rows, bit_table(spans, ["did", "th"]), ["did", "th"])
+    none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans")
+    whole = (parted.filter("_maybe").join(per_text, ["did", "th"], "left").select("did", "text", "spans")
+             .unionByName(parted.filter("not _maybe").select("did", "text", none)))
+    out = whole.mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", real_id("doc_id"))
 
