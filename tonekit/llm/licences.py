@@ -48,6 +48,8 @@ TEMPLATES = {
                 "Licensed for personal use only.", "Copyright notice and permission terms apply."],
 }
 NONE, UNKNOWN = "none", "unknown"
+# FIXED VALUES: words that name a licence or its object whatever the family
+GENERAL = ["license", "licensed", "licence", "copyright"]
 CLASSES = [NONE, *sorted(TEMPLATES)]
 #: Bounds of the training sample: other paragraphs from the corpus, and variants of each template.
 OTHERS = 4000
@@ -121,24 +123,28 @@ def _variants(spark: SparkSession) -> DataFrame:
 
 def train(docs: DataFrame) -> Model:
     """Fit on the variants and on at most OTHERS paragraphs of ``docs`` (did, th, text): those of
-    smallest hash among all, without those that hold half of a template. An empty table is
-    no obstacle: the variants alone are left."""
+    smallest hash among all, without those that hold half of a template or one of the GENERAL
+    words. An empty table is no obstacle: the variants alone are left."""
     spark = docs.sparkSession
     known = templates(spark)
     lines = paragraphs(docs).withColumn("w", words(F.col("p"))).filter(F.size("w") >= 3)
     others = lines.orderBy(F.xxhash64("did", "th", "para")).limit(OTHERS).select(F.array_distinct("w").alias("u"), "w")
     phrases = [F.array(*[F.lit(x) for x in r.w]) for r in known.select("w").collect()]
     alike = F.greatest(*[F.size(F.array_intersect("u", t)) / F.size(F.array_distinct(t)) for t in phrases])
-    others = settled(others.filter(alike < 0.5).select("w", "u"), "others")
+    names = F.arrays_overlap("u", F.array(*[F.lit(w) for w in GENERAL]))
+    others = settled(others.filter((alike < 0.5) & ~names).select("w", "u"), "others")
     n = others.count()
     common = others.select(F.explode("u").alias("x")).groupBy("x").count().filter(F.col("count") > COMMON * n)
     rare = known.select(F.explode("w").alias("x")).distinct().join(common, "x", "left_anti")
-    licence = sorted(r.x for r in rare.filter(F.length("x") > 1).collect())
+    licence = sorted({r.x for r in rare.filter(F.length("x") > 1).collect()} | set(GENERAL))
     literal = F.array(*[F.lit(w) for w in licence])
     code = F.create_map(*[F.lit(x) for i, c in enumerate(CLASSES) for x in (c, float(i))])
     rows = _variants(spark).select(code[F.col("family")].alias("label"), "v", "w").unionByName(
         others.select(F.lit(0.0).alias("label"), F.pmod(F.xxhash64("w"), F.lit(VARIANTS)).cast("int").alias("v"), "w"))
-    rows = settled(rows.withColumn("g", grams(F.col("w"), literal)), "training")
+    # these words alone say licence language, and no more
+    shared = spark.createDataFrame([(w, v) for w in GENERAL for v in range(8)], "x string, v int").select(
+        code[F.lit(UNKNOWN)].alias("label"), "v", F.array("x").alias("w"))
+    rows = settled(rows.unionByName(shared).withColumn("g", grams(F.col("w"), literal)), "training")
     fold = rows.filter("v % 4 <> 3")
     vectors = CountVectorizer(inputCol="g", outputCol="features", binary=True).fit(fold)
     fitted = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60).fit(
