@@ -26,9 +26,10 @@ BATCH_BYTES = 4 << 20
 REMEMBER = 400_000
 #: Symbols are stored in 16 bits; nonterminals start above the largest id.
 SYMBOLS = 1 << 16
-ROUNDS = 6
-PAIRS = 1024
+PAIRS = 4096
 LEAST = 24
+#: Rounds end when one removes less than this share of the symbols.
+GAIN = 0.08
 
 SHARD = ("part int, seq int, start long, total long, dids binary, ths binary, counts binary, "
          "base int, rules binary, lengths binary, symbols binary")
@@ -48,8 +49,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model, self.normal = self.tok.model, self.tok.normalizer.normalize_str
-        # FIXED VALUES: the pattern and byte alphabet of the tokenizer file
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.cut = self.tok.pre_tokenizer.pre_tokenize_str
+        # FIXED VALUES: the byte alphabet of the tokenizer file
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -58,21 +59,30 @@ class Encoder:
 
     def forget(self) -> None:
         self.words: dict[str, tuple] = {}
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.known: dict[str, int] = {_END: 0}
+        self.flat, self.used = np.full(1 << 16, END_ID, np.uint16), 1
+        self.first, self.size = np.zeros(1 << 14, np.int32), np.ones(1 << 14, np.int32)
 
     def word(self, w: str) -> tuple:
+        """Ids of one word in the byte alphabet, by the library's model."""
         got = self.words.get(w)
         if got is None:
-            mapped = w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
-            got = self.words[w] = tuple(t.id for t in self.model.tokenize(mapped))
+            got = self.words[w] = tuple([t.id for t in self.model.tokenize(w)])
         return got
 
+    def mapped(self, w: str) -> str:
+        return w.encode("utf-8").decode("latin-1").translate(self.bytes)
+
     def chunk(self, c: str) -> tuple:
-        # below U+0250 composing and lower-casing are the same in Python and the library
-        plain = unicodedata.normalize("NFC", c).lower() if max(c) < "\u0250" else self.normal(c)
-        return tuple(itertools.chain.from_iterable(map(self.word, self.cut(plain))))
+        """Ids of one chunk. Below U+0250 composing, lower-casing and letters are the same in
+        Python and the library, so plain words need not go through its normaliser and pattern."""
+        if max(c) < "\u0250":
+            plain = unicodedata.normalize("NFC", c).lower()
+            if plain.isalpha():
+                return self.word(self.mapped(plain))
+            if plain[:-1].isalpha() and plain[-1] in ",.":
+                return self.word(self.mapped(plain[:-1])) + self.word(plain[-1])
+        return tuple(itertools.chain.from_iterable([self.word(w) for w, _ in self.cut(self.normal(c))]))
 
     def _learn(self, chunks: list[str]) -> None:
         ids = [self.chunk(c) for c in chunks]
@@ -82,7 +92,7 @@ class Encoder:
         while n + len(chunks) > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
         self.size[n:n + len(ids)] = size
         self.first[n:n + len(ids)] = self.used + np.cumsum(size) - size
         self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, total)
@@ -93,21 +103,25 @@ class Encoder:
         """(ids of all texts, each ended by END_ID; number of ids of each text)."""
         if len(self.known) > REMEMBER:
             self.forget()
-        # str.split also cuts at the separators 1C to 1F, which are no white space to the library
-        cut = [[x for x in self.blank.split(t) if x] if _SEPARATOR(t) else t.split() for t in texts]
-        known = self.known
-        self._learn([c for c in set(itertools.chain.from_iterable(cut)) if c not in known])
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        code = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(n.sum()))
+        chunks, bound = [], [0]
+        for t in texts:
+            # str.split also cuts at the separators 1C to 1F, which are no white space to the library
+            chunks += [x for x in self.blank.split(t) if x] if _SEPARATOR(t) else t.split()
+            chunks.append(_END)
+            bound.append(len(chunks))
+        code = list(map(self.known.get, chunks))
+        if None in code:
+            self._learn(list(dict.fromkeys([c for c, k in zip(chunks, code) if k is None])))
+            code = map(self.known.__getitem__, chunks)
+        code = np.fromiter(code, np.int32, len(chunks))
         size = self.size[code]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        bound = np.concatenate(([0], np.cumsum(n)))
-        counts = ends[bound[1:]] - ends[bound[:-1]]
-        at = np.arange(ends[-1]) + np.repeat(self.first[code] - ends[:-1], size)
-        ids = np.insert(self.flat[at], np.cumsum(counts), END_ID)
-        return ids, counts + 1
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[code] - ends + size, size)
+        return self.flat[at], np.diff(np.concatenate(([0], ends))[bound])
 
 
+#: Stands for the end of a text among its chunks; no chunk holds a blank.
+_END = " end "
 _SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 
@@ -116,12 +130,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
+def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST, gain: float = GAIN):
     """(rules, lengths, symbols): each round gives the most frequent pairs of neighbours (at
     least ``least`` occurrences) a nonterminal and replaces them from left to right."""
     x, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
     length = np.ones(SYMBOLS, np.int64)
-    for _ in range(rounds):
+    was = np.inf
+    while len(x) <= (1 - gain) * was:
+        was = len(x)
         room = min(pairs, SYMBOLS - base - len(rules))
         if len(x) < 2 * least or room <= 0:
             break
@@ -135,12 +151,16 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
         if len(often) > room:
             often = often[np.argpartition(count[often], len(often) - room)[-room:]]
         chosen = np.sort(ordered[begin[often]])
-        lefts = np.zeros(SYMBOLS, bool)
-        lefts[chosen >> 16] = True
-        at = np.flatnonzero(lefts[x[:-1]])
-        slot = np.minimum(np.searchsorted(chosen, both[at]), len(chosen) - 1)
-        hit = chosen[slot] == both[at]
-        at, slot = at[hit], slot[hit]
+        # each chosen pair's number, by a table over the left and right symbols that occur in one
+        lefts, rights = np.unique(chosen >> 16), np.unique(chosen & 0xFFFF)
+        left, right = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
+        left[lefts] = np.arange(1, len(lefts) + 1) * (len(rights) + 1)
+        right[rights] = np.arange(1, len(rights) + 1)
+        number = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int32)
+        number[left[chosen >> 16] + right[chosen & 0xFFFF]] = np.arange(len(chosen))
+        slot = number[left[x[:-1]] + right[x[1:]]]
+        at = np.flatnonzero(slot >= 0)
+        slot = slot[at]
         # of neighbouring occurrences that share a symbol, every second one from the left
         run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
