@@ -84,14 +84,16 @@ def marked(rows: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
 def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is not in ``drop`` (did, th); all columns stay.
 
-    The rows travel as one struct, so no column name of ``docs`` can clash. ``drop`` is
-    settled first: small, it is broadcast and texts are not shuffled; large, it is not.
+    The rows travel as one struct, so no column name of ``docs`` can clash. Rows that the bit
+    table of ``drop`` doesn't mark stay where they are; only marked ones meet ``drop`` itself.
     """
     drop = settled(drop.select(F.col("did").alias("_did"), F.col("th").alias("_th")).distinct(), "drop")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_did"),
                        text_key(text_col).alias("_th"))
-    return rows.join(drop, ["_did", "_th"], "left_anti").select("_row.*")
+    parted = marked(rows, bit_table(drop, ["_did", "_th"]), ["_did", "_th"])
+    kept = parted.filter("_maybe").join(drop, ["_did", "_th"], "left_anti")
+    return parted.filter("not _maybe").select("_row.*").unionByName(kept.select("_row.*"))
 
 
 def sized_batches(batches, limit: int, column: str = "text"):
