@@ -197,8 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = settled(prints.groupBy("fp").agg(F.min(real_id()).alias("own")), "first")
     found = settled(components(links(first, bits)), "components")
     least = found.join(first, found.node == first.fp).groupBy("root").agg(F.min("own").alias("component"))
-    of = first.join(found.join(least, "root").select(F.col("node").alias("fp"), "component"), "fp", "left") \
-        .select("fp", F.coalesce("component", "own").alias("component_id"))
+    of = first.join(found.join(least, "root").select(F.col("node").alias("fp"), "component"), "fp", "left")
+    # written, so that a fingerprint of many rows meets it in a plain join, which Spark can split
+    of = settled(of.select("fp", F.coalesce("component", "own").alias("component_id")), "components")
     return prints.join(of, "fp").select(
         real_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
         F.col("th").alias("text_key"))
