@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, settled, text_key
+from .common import NULL_ID, bit_table, marked, settled, text_key
 
 #: Characters of a text that the prefix hash covers.
 PREFIX = 256
-#: The survivors' filter has 2**BITS bits: 2**(BITS - 6) rows of 16 bytes, one megabyte.
-BITS = 22
 
 
 def normalised(text: str = "text") -> Column:
@@ -22,14 +20,10 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("n", "ph"), F.lit(1 << BITS))
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sha, keep_id, group_size) of every text that more than one row has.
 
-    1. length and prefix hash of each row are written once (a few bytes a row);
+    1. rows are counted by length and prefix hash, and the counts written (a few bytes each);
     2. lengths that one row alone has go, then (length, prefix hash) pairs that one row has;
     3. what is left is marked in a bit table of fixed size, which is broadcast; the second
        scan hashes whole texts only where the bit is set. A false mark costs a hash and
@@ -40,16 +34,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("t"))
     signed = base.select("id", "t", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, PREFIX)).alias("ph"))
-    signs = settled(signed.select("n", "ph"), "signs")
-    lengths = signs.groupBy("n").count().filter("count > 1").select("n")
-    pairs = signs.join(lengths, "n", "left_semi").groupBy("n", "ph").count().filter("count > 1")
-    bits = (pairs.select(_slot().alias("slot"))
-            .groupBy(F.shiftright("slot", 6).alias("word"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")))
-    bits = settled(bits, "bits")
-    left = (signed.withColumn("slot", _slot()).withColumn("word", F.shiftright("slot", 6))
-            .join(F.broadcast(bits), "word")
-            .filter(F.expr("(shiftrightunsigned(bits, cast(slot % 64 as int)) & 1L) = 1L")))
+    signs = settled(signed.select("n", "ph").groupBy("n", "ph").agg(F.count("*").alias("c")), "signs")
+    lengths = signs.groupBy("n").agg(F.sum("c").alias("rows")).filter("rows > 1").select("n")
+    pairs = signs.filter("c > 1").join(lengths, "n", "left_semi")
+    left = marked(signed, bit_table(pairs, ["n", "ph"]), ["n", "ph"]).filter("_maybe")
     return (left.select("id", F.sha2("t", 256).alias("sha")).groupBy("sha")
             .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))
 
