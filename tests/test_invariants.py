@@ -94,7 +94,7 @@ def test_final_stretch_and_weeks_are_consistent(q):
 
 def test_weekly_stream_weeks_are_mondays_and_counts_match_batch(q, spark):
     s = q("weekly_stream")
-    assert len(s) > 0 and all(w.weekday() == 0 for w in s.wk)
+    assert all(w.weekday() == 0 for w in s.wk)
     from pyspark.sql import functions as F
 
     from tonekit.functions import calendar as cal
@@ -103,4 +103,4 @@ def test_weekly_stream_weeks_are_mondays_and_counts_match_batch(q, spark):
     batch = (msgs(spark, SF).groupBy(cal.week_start("ts").alias("wk"), "party").agg(F.count(F.lit(1)).alias("n"))
              .toPandas())
     merged = s.merge(batch, on=["wk", "party"], suffixes=("_stream", "_batch"))
-    assert len(merged) == len(s) and (merged.n_stream == merged.n_batch).all()   # NULL group rows too
+    assert len(merged) == len(s) == len(batch) == 20 and (merged.n_stream == merged.n_batch).all()   # NULL group rows too

@@ -6,8 +6,10 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from tonekit.plans import QUERIES, load_all
 
 SF = "/root/testdata/sf0.001"
+load_all()
 SKIP = {"resumable_scores", "weekly_stream"}   # these run a stream to completion when built
 
 
@@ -18,7 +20,7 @@ def plan_text(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_no_cartesian_or_nested_loop(spark, name):
     text = plan_text(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in text, name
@@ -63,10 +65,10 @@ def test_bucketed_id_join_needs_no_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-PYTHON_OK = {"model_scores", "ols_pvalues"}   # a Python model; erfc over the result rows
+PYTHON_OK = {"model_scores"}   # a Python model
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP - PYTHON_OK))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP - PYTHON_OK))
 def test_stays_in_the_jvm(spark, name):
     text = plan_text(E.queries()[name](spark, SF))
     for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):

@@ -34,15 +34,17 @@ def test_nested_json_people_and_terms(spark):
     assert terms.count() == 3 and terms.filter(F.col("term_party").isNull()).count() == 1
 
 
-def test_snapshot_handles_earliest_wins(spark):
+def test_snapshot_order_is_that_of_the_paths(spark):
+    """The dated files come first, the current one last, though its name sorts first."""
     d = _tmp()
     with open(os.path.join(d, "social-2019.yaml"), "w") as fh:
         fh.write("- id: {bioguide: A1}\n  social: {twitter: RepLinda}\n- id: {bioguide: B2}\n  social: {}\n")
-    with open(os.path.join(d, "social-2021.json"), "w") as fh:
+    with open(os.path.join(d, "legislators-social-media.json"), "w") as fh:
         json.dump([{"id": {"bioguide": "Z9"}, "social": {"twitter": "replinda"}}], fh)
-    h = L.snapshot_handles(spark, [os.path.join(d, "social-2019.yaml"), os.path.join(d, "social-2021.json")])
+    h = L.snapshot_handles(spark, [os.path.join(d, "social-2019.yaml"), os.path.join(d, "legislators-social-media.json")])
     rows = sorted(tuple(r) for r in h.collect())
-    assert rows == [("RepLinda", "A1", "social-2019.yaml"), ("replinda", "Z9", "social-2021.json")]
+    assert rows == [("RepLinda", "A1", "000000/social-2019.yaml"),
+                    ("replinda", "Z9", "000001/legislators-social-media.json")]
     authors = spark.createDataFrame([("replinda", "Linda Sánchez", "CA")], "author_handle string, author_name string, state string")
     people = spark.createDataFrame([], "bioguide string, first string, last string, nickname string, official_full string, "
                                        "states array<string>, last_term_end string")
@@ -63,7 +65,7 @@ def test_csv_parquet_lines_and_idempotent_write(spark):
     with open(os.path.join(d, "lines.txt"), "w") as fh:
         fh.write("first text\n\n   \nsecond text\n")
     assert [r.text for r in S.read_lines(spark, os.path.join(d, "lines.txt")).collect()] == ["first text", "second text"]
-    assert S.first_existing([os.path.join(d, "missing*"), os.path.join(d, "pq")]).endswith("pq")
+    assert S.first_existing(spark, [os.path.join(d, "missing*"), os.path.join(d, "pq")]).endswith("pq")
 
 
 def test_resumable_scoring_skips_done_files(spark):
@@ -77,11 +79,11 @@ def test_resumable_scoring_skips_done_files(spark):
     def scorer(df):
         return df.select("msg_id", F.length("text").alias("score"))
 
-    name = "resume-" + os.path.basename(d)
-    out = score_new_files(spark, src, scorer, name=name)
+    target = os.path.join(d, "scores")
+    out = score_new_files(spark, src, scorer, target)
     assert spark.read.parquet(out).count() == 2
     pd.DataFrame({"msg_id": [3], "text": ["new"]}).to_parquet(os.path.join(src, "b.parquet"))
-    out2 = score_new_files(spark, src, scorer, name=name)       # same checkpoint: only the new file
+    out2 = score_new_files(spark, src, scorer, target)       # same output: only the new file
     assert out2 == out and sorted(r.msg_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
@@ -123,3 +125,57 @@ def test_score_missing_appends_only_new_ids(spark):
     assert score_missing(spark, more, out, scorer) == 1
     assert score_missing(spark, more, out, scorer) == 0
     assert sorted((r.msg_id, r.score) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_weekly_stream_counts_late_rows(spark):
+    """Every week of the backlog is there, also the last ones and those of late files."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from tonekit.streaming.incremental import late_rows, run_weekly_stream, weekly_battery
+
+    d = _tmp()
+    src, out = os.path.join(d, "in"), os.path.join(d, "sums")
+    os.makedirs(src)
+
+    def put(name, days):
+        pd.DataFrame({"ts": [dt.datetime(2024, 1, 1) + dt.timedelta(days=x) for x in days], "party": "D",
+                      "anger": [0.25 + 0.5 * (x % 2) for x in days]}).to_parquet(os.path.join(src, name), coerce_timestamps="us")
+
+    put("a.parquet", [0, 1, 40, 41])
+    run_weekly_stream(spark, src, lambda x: x, out)
+    put("b.parquet", [2, 3, 42])       # two rows are five weeks late
+    run_weekly_stream(spark, src, lambda x: x, out)
+    run_weekly_stream(spark, src, lambda x: x, out)   # nothing new: nothing counted twice
+    sums = spark.read.parquet(out)
+    got = {(str(r.wk), r.n, r.anger, r.share_angry) for r in weekly_battery(sums).collect()}
+    assert got == {("2024-01-01", 4, 0.5, 0.5), ("2024-02-05", 2, 0.5, 0.5), ("2024-02-12", 1, 0.25, 0.0)}
+    assert {r.batch: (r.rows, r.late) for r in late_rows(sums).collect()} == {0: (4, 0), 1: (3, 2)}
+
+
+def test_json_document_text(spark):
+    from tonekit.operators import export as X
+
+    df = spark.createDataFrame([(2, float("nan")), (1, 0.123456)], "year int, v double")
+    doc = X.json_document(X.rounded_for_export(df)).first().json
+    assert json.loads(doc) == {"year": [1, 2], "v": [0.1235, None]}
+
+
+def test_missing_shared_folder_is_an_error():
+    import pytest
+
+    from tonekit.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://cluster:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())

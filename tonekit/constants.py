@@ -13,7 +13,6 @@ EMOTIONS = ["anger", "disgust", "fear", "sadness", "joy", "optimism", "love", "t
             "anticipation", "pessimism", "surprise"]
 SENTIMENTS = ["negative", "neutral", "positive"]
 # Columns reported by the default mean battery, in report order.
-BATTERY_MEANS = ["anger", "share_angry", "negative", "disgust", "joy", "optimism", "fear", "sadness"]
 ANGRY_THRESHOLD = 0.5
 
 # ---- FIXED VALUES: categorical normalisation --------------------------------------
@@ -51,12 +50,10 @@ DAY_BAND = "09-17 work"
 # eras: label applies to timestamps before the cut (midnight UTC); the last label has no end
 ERA_CUTS = [("2017-01-20", "Obama"), ("2021-01-20", "Trump"), ("2025-01-20", "Biden")]
 ERA_LAST = "Trump II"
-ERA_ORDER = ["Obama", "Trump", "Biden", "Trump II"]
 ERA_PARTY = ["D", "R", "D", "R"]
 # generations by birth year (inclusive upper bounds)
 GENERATION_CUTS = [(1945, "Silent"), (1964, "Boomer"), (1980, "Gen X"), (1996, "Millennial")]
 GENERATION_LAST = "Gen Z"
-GENERATIONS = ["Silent", "Boomer", "Gen X", "Millennial", "Gen Z"]
 AGE_BIN_YEARS = 5
 AGE_RANGE = (25, 95)
 DAYS_PER_YEAR = 365.25
@@ -64,15 +61,9 @@ DAYS_PER_CYCLE = 730.5
 
 # ---- FIXED VALUES: result floors (full corpus / sample) ---------------------------
 MIN_N_TIME = 300
-MIN_N_TIME_SAMPLE = 30
-MIN_N_AGE = 200
 MIN_N_FORECAST_CELL = 2000
-MIN_N_MEMBER_CELL = 200
 MIN_N_NIGHT = 300
 MIN_N_WEEK = 500
-MIN_N_PROFILE_MONTH = 2000
-MIN_N_CALENDAR = 5000
-MIN_ROWS_SLOPE = 1000
 MIN_MEMBERS_FE = 20
 MIN_EDGE = 3
 
@@ -113,7 +104,6 @@ RETWEET_TARGET = r"^RT @(\w+)"
 DOT_MENTION = r"(?:^|\s)\.@(\w+)"
 LINK = r"https?://\S+"
 DISPLAY_SUFFIX = r"\s+[DRI]-[A-Z]{2}$"
-NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv"]
 TIDY_MAX = 220
 TIDY_CUT = 217
 EXEMPLAR_LEN = (70, 280)
