@@ -86,8 +86,10 @@ _JSON_COLS = ["anger", "share_angry", "negative", "disgust", "joy", "optimism",
 
 
 @register("year_json", O.with_views("SELECT list(year ORDER BY year) AS year, list(n ORDER BY year) AS n, " + ", ".join(
-    f"list(ROUND({c}, 4) ORDER BY year) AS {c}" for c in _JSON_COLS)
-    + f" FROM ({O.battery_sql('d', ['year'], 30)}) x", d=O.D_POSTS))
+    f"list(ROUND({c}, 4) ORDER BY year) AS {c}" for c in _JSON_COLS) + f""" FROM (
+  SELECT year, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in _JSON_COLS if c not in ("share_angry", "anger_se"))},
+         count(*) FILTER (anger > 0.5) / count(*) AS share_angry, stddev_samp(anger) / sqrt(count(*)) AS anger_se
+  FROM d GROUP BY year HAVING count(*) >= 30) x""", d=O.D_POSTS))
 def year_json(spark, root):
     """The yearly battery as parallel arrays (floats to 4 dp, NaN -> null), the
     content of its JSON document; the JSON text itself is tested with the sinks."""
