@@ -23,7 +23,7 @@ from .common import ints, keyed, real_id, settled, sized_batches
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BATCH_BYTES = 4 << 20
-REMEMBER = 400_000
+REMEMBER = 700_000
 #: Symbols are stored in 16 bits; nonterminals start above the largest id.
 SYMBOLS = 1 << 16
 PAIRS = 4096
@@ -245,7 +245,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     "part": pa.array([r["part"]] * len(counts), pa.int32()),
                     "did": np.frombuffer(r["dids"], "<i8"), "local": r["start"] + ends - counts, "n_tokens": counts,
                     "ids_crc32": pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64()),
-                    "ids": pa.array([d.astype(np.int32) for d in docs], pa.list_(pa.int32()))})
+                    "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))})
 
     rows = shards.mapInArrow(run, "part int, did long, local long, n_tokens long, ids_crc32 long, ids array<int>")
     # one row a part: the running sum is over as many rows as the writing job had tasks
