@@ -41,13 +41,26 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+#: Rows in an Arrow batch: whole texts are long, and Spark's default of 10,000 holds too many.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches bounded to ARROW_ROWS rows, so that neither a
+    Python worker nor the JVM beside it holds more than a few megabytes of texts at once."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return docs
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, th, text) of each row: id with null as NULL_ID, text hash, text with null as empty.
 
     Only the two named columns are read, so other columns can have any name.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
+    return bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
                        text_key(text).alias("th"), text.alias("text"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, real_id, settled, sized_batches
+from .common import bounded_batches, keyed, real_id, settled, sized_batches
 
 GRAM = 4
 BINS = 1 << 16
@@ -60,7 +60,7 @@ def train(rows: DataFrame) -> DataFrame:
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bin": at, "n": n[at]})
 
-    part = rows.filter("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    part = bounded_batches(rows).filter("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text"))
     return (part.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, real_id, settled, sized_batches, text_key
+from .common import NULL_ID, bounded_batches, real_id, settled, sized_batches, text_key
 
 #: Labelled documents that the classifier is fitted on at most (those of smallest id hash).
 SAMPLE = 20_000
@@ -58,7 +58,7 @@ def describe(text: str) -> list[float]:
 
 def features(docs: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, th, host, path, f): features of every row; null host or path counts as ''."""
-    base = docs.select(F.col(id_col), F.col(text_col), F.coalesce(host, F.lit("")).alias("_h"),
+    base = bounded_batches(docs).select(F.col(id_col), F.col(text_col), F.coalesce(host, F.lit("")).alias("_h"),
                        F.coalesce(path, F.lit("")).alias("_p"))
     rows = base.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
                        text_key(text_col).alias("th"), F.col("_h").alias("host"), F.col("_p").alias("path"),
