@@ -22,7 +22,7 @@ from .common import keyed, sized_batches
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text taken at once, and distinct pieces a worker remembers.
 BATCH_BYTES = 4 << 20
-REMEMBER = 400_000
+REMEMBER = 150_000
 #: Longer pieces are merged with a heap: the matrix takes a round for each merge.
 MATRIX_BYTES = 256
 _NONE = np.int64(1 << 40)
@@ -93,6 +93,7 @@ class Bpe:
         self.table = PairTable(np.ascontiguousarray(key), np.ascontiguousarray(rank))
         self.known: dict[str, tuple] = {}
         self.decimal = [str(i) for i in range(len(self.tokens))]
+        self.whole = list(range(len(self.tokens)))  # one object an id, however many pieces hold it
 
     # -- merging ---------------------------------------------------------------------------
     def merge_matrix(self, ids: np.ndarray) -> list[np.ndarray]:
@@ -175,7 +176,7 @@ class Bpe:
                 size = np.array([len(pieces[i]) for i in some])
                 ids[np.arange(width) >= size[:, None]] = -1
                 for i, x in zip(some, self.merge_matrix(ids)):
-                    out[i] = tuple(x.tolist())
+                    out[i] = tuple([self.whole[k] for k in x.tolist()])
         return out
 
     # -- texts -----------------------------------------------------------------------------

@@ -121,6 +121,7 @@ def sized_batches(batches, limit: int, column: str = "text"):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on and serve other stages
 
 
 def ints(batch: pa.RecordBatch, name: str) -> np.ndarray:

@@ -129,7 +129,8 @@ def search(index: DataFrame, items: list[tuple[str | None, str]], n: int = WINDO
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 dids, ths, counts = (np.frombuffer(row[c], "<i8") for c in ("dids", "ths", "counts"))
                 ends = np.frombuffer(row["ends"], "<i8")
                 starts, held = _starts(counts, gap), np.cumsum(counts) - counts
