@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -41,16 +42,24 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-#: Rows in an Arrow batch: whole texts are long, and Spark's default of 10,000 holds too many.
+#: Rows and bytes in an Arrow batch: texts and index shards are long, and Spark's defaults of
+#: 10,000 rows and 64 MB, in the JVM and in the worker of each task, hold too many.
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def bounded_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, with the session's Arrow batches bounded to ARROW_ROWS rows, so that neither a
-    Python worker nor the JVM beside it holds more than a few megabytes of texts at once."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """``docs``, with the session's Arrow batches bounded to ARROW_ROWS rows and about ARROW_BYTES
+    (one row at least), so that neither a Python worker nor the JVM beside it holds more than a
+    few megabytes of texts at once. Settings of the session that are lower stay."""
+    conf = docs.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= ARROW_ROWS:
         conf.set(name, str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmgtp]?)b?", conf.get(name).lower())  # "67108864b", "64m"
+    if not now or not 0 < int(now[1]) << 10 * " kmgtp".index(now[2] or " ") <= ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
     return docs
 
 
