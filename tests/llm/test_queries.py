@@ -31,3 +31,19 @@ def test_nothing_else_imports_the_operators():
             for node in ast.walk(ast.parse(f.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, (ast.Import, ast.ImportFrom)) else []
                 assert "llm" not in f"{getattr(node, 'module', '')}.{'.'.join(names)}".split("."), f
+
+
+def test_arrow_batches_are_bounded_and_lower_settings_stay(spark):
+    from tonekit.llm import common as C
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        for given, held in (("64m", str(C.ARROW_BYTES)), ("67108864b", str(C.ARROW_BYTES)), ("2m", "2m"), ("1000", "1000")):
+            spark.conf.set(size, given)
+            C.bounded_batches(spark.range(1))
+            assert spark.conf.get(size) == held
+            assert 0 < int(spark.conf.get(rows)) <= C.ARROW_ROWS
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
