@@ -82,6 +82,29 @@ def test_chunks_are_the_library(library, text):
     assert ids.tolist() == [*want, 1, 1, *want, 1] and counts.tolist() == [len(want) + 1, 1, len(want) + 1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", " ", "\n", "\x1c",
+                                 "one", "e", "\u0301", "É", "don't", "漢", "7"]), max_size=12).map("".join))
+def test_added_tokens_are_the_library(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_store.VOCABULARY)
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    ids, counts = token_store.encoder(path).batch([text, text])
+    assert ids.tolist() == [*want, 1, *want, 1] and counts.tolist() == [len(want) + 1] * 2
+
+
+def test_added_tokens_in_the_store(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(token_store.VOCABULARY))
+    texts = ["one <|endoftext|> two", "a<|startoftext|>B<|endoftext|><|endoftext|>c", "plain"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [637, 49407, 1237]
+    got = rows_of(token_store.token_table(frame(spark, list(enumerate(texts)))), "doc_id", "ids")
+    assert [list(ids)[:len(w)] for (_, ids), w in zip(got, want)] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=400), st.integers(0, 400), st.integers(0, 400))
 def test_grammar_round_trip(ids, a, b):

@@ -40,6 +40,7 @@ class Encoder:
 
     The library's pattern never crosses white space, so each chunk between white space is
     encoded once: normalised, cut into words, and each new word given to the library's model.
+    The file's added tokens are cut out first, as they stand and also inside a word.
     """
 
     def __init__(self, path: str):
@@ -47,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        # the longest first, as the library does; without added tokens nothing matches
+        self.parts = re.compile("(" + ("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)") + ")")
         self.model, self.normal = self.tok.model, self.tok.normalizer.normalize_str
         self.cut = self.tok.pre_tokenizer.pre_tokenize_str
         # FIXED VALUES: the byte alphabet of the tokenizer file
@@ -76,6 +79,8 @@ class Encoder:
     def chunk(self, c: str) -> tuple:
         """Ids of one chunk. Below U+0250 composing, lower-casing and letters are the same in
         Python and the library, so plain words need not go through its normaliser and pattern."""
+        if c in self.added:
+            return (self.added[c],)
         if max(c) < "\u0250":
             plain = unicodedata.normalize("NFC", c).lower()
             if plain.isalpha():
@@ -106,7 +111,8 @@ class Encoder:
         chunks, bound = [], [0]
         for t in texts:
             # str.split also cuts at the separators 1C to 1F, which are no white space to the library
-            chunks += [x for x in self.blank.split(t) if x] if _SEPARATOR(t) else t.split()
+            for part in self.parts.split(t) if any(a in t for a in self.added) else [t]:
+                chunks += [x for x in self.blank.split(part) if x] if _SEPARATOR(part) else part.split()
             chunks.append(_END)
             bound.append(len(chunks))
         code = list(map(self.known.get, chunks))
