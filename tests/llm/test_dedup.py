@@ -164,6 +164,32 @@ def test_sentence_passage_goes_and_clean_text_stays(spark):
     assert all(out[i].n_removed == 0 and out[i].kept_text == rows[i][1] for i in (0, 2, 4))
 
 
+def test_sentence_cuts_move_with_the_passage():
+    """Every passage of 50 words that two texts without stops share has a run in both, at any offset."""
+    passage = words(90, 50)
+    for k in range(40):
+        a, b = words(300 + k, k), words(400 + k, 7 + k % 5)
+        one, two = f"{b} {passage} {a}".strip(), f"{a} {passage} {b}".strip()
+        split = one.split(), two.split()
+        assert {tuple(split[0][i:i + 50]) for i in range(len(split[0]) - 49)} & {
+            tuple(split[1][i:i + 50]) for i in range(len(split[1]) - 49)}
+        got = sentence_spans.brute_force([(1, one), (2, two)])
+        assert got[0][2] == [] and got[1][2], k
+        w = [n for _, _, n in sentence_spans.sentences(two)]
+        assert max(w[1:-1]) <= sentence_spans.WINDOW and sum(w) == len(split[1])
+
+
+def test_sentence_passage_behind_other_words_goes(spark):
+    passage = words(91, 400)
+    rows = [(1, passage), (2, words(92, 3) + " " + passage), (3, words(93, 37) + " " + passage + " " + words(94, 30))]
+    out = {r.doc_id: r for r in sentence_spans.remove_repeated_sentences(frame(spark, rows)).collect()}
+    assert out[1].n_removed == 0 and out[1].kept_text == passage
+    middle = " ".join(passage.split()[20:380])
+    for i in (2, 3):
+        assert len(set(out[i].kept_text.split()) & set(middle.split())) < 40
+    assert out[3].kept_text.startswith(words(93, 20)) and out[3].kept_text.endswith(words(94, 30)[-20:])
+
+
 def test_later_copies_keeps_first_place(spark):
     rows = spark.createDataFrame([(1, 1, 5, 0), (1, 1, 3, 7), (1, 1, 3, 7), (1, 1, 3, 9), (1, 2, 1, 1), (2, 2, 1, 1)],
                                  "h long, g long, did long, pos long")

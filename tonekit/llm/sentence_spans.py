@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +20,70 @@ from .common import ints, keyed, later_copies, real_id, settled, sized_batches
 
 SENTENCES = 3
 WORDS = 16
-#: A sentence of more words is cut after every so many, or a text without stops is one sentence.
+#: A sentence of more words is cut by its words, or a text without stops is one sentence.
 LONGEST = 16
+#: Of so many consecutive words of a long sentence, at least one ends a piece.
+WINDOW = 8
 BATCH_BYTES = 8 << 20
+REMEMBER = 200_000
 _STOP = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 _WORD = re.compile(r"\S+")
 
 
+@lru_cache(REMEMBER)
+def _rank(word: str) -> int:
+    """A word's place in the order by which cuts are chosen: the same in every process."""
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def cuts(words: list[str], window: int = WINDOW) -> list[int]:
+    """The words after which a long sentence is cut: of every ``window`` consecutive words that of
+    least rank, the last one of equals. A cut depends only on words less than ``window`` away, so
+    a passage has the same cuts inside whatever stands before it."""
+    rank = list(map(_rank, words))
+    out, at = [], -1
+    for end in range(window, len(rank) + 1):
+        if at < end - window:
+            low = min(rank[end - window:end])
+            at = end - 1
+            while rank[at] != low:
+                at -= 1
+        elif rank[end - 1] <= rank[at]:
+            at = end - 1
+        else:
+            continue
+        out.append(at)
+    return out
+
+
 def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each sentence: cut after stops and at line ends; long ones in pieces.
+    """(start, end, words) of each sentence: cut after stops and at line ends; those of more than
+    ``longest`` words in pieces (see :func:`cuts`).
 
     A sentence starts at its first word; what stands between it and the next belongs to it.
     """
     out, at = [], 0
     for stop in itertools.chain((m.span() for m in _STOP.finditer(text)), [(len(text), len(text))]):
         words = [m.start() for m in _WORD.finditer(text, at, stop[0])]
-        for i in range(0, len(words), longest):
-            out.append((words[i], stop[1], min(longest, len(words) - i)))
-            if i:
-                a, _, n = out[-2]
-                out[-2] = (a, words[i], n)
+        if len(words) > longest:
+            first = 0
+            for last in cuts(_WORD.findall(text, at, stop[0])):
+                if last + 1 < len(words):
+                    out.append((words[first], words[last + 1], last + 1 - first))
+                    first = last + 1
+            out.append((words[first], stop[1], len(words) - first))
+        elif words:
+            out.append((words[0], stop[1], len(words)))
         at = stop[1]
     return out
 
 
 def runs(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int]]:
     """(first, number of sentences) of the shortest run from each sentence that is long enough."""
-    got = sentences(text)
+    return _runs(sentences(text), least, words)
+
+
+def _runs(got: list[tuple[int, int, int]], least: int, words: int) -> list[tuple[int, int]]:
     total = np.concatenate(([0], np.cumsum([n for _, _, n in got], dtype=np.int64)))
     first = np.arange(len(got))
     end = np.maximum(first + least, np.searchsorted(total, total[first] + words))
@@ -58,7 +97,7 @@ def _hashed(text: str, least: int, words: int):
 
     got = sentences(text)
     part = [" ".join(text[a:b].split()) for a, b, _ in got]
-    for first, n in runs(text, least, words):
+    for first, n in _runs(got, least, words):
         h = xxhash.xxh3_128_intdigest("\n".join(part[first:first + n]).encode("utf-8", "surrogatepass"))
         yield first, n, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
