@@ -190,6 +190,30 @@ def test_sentence_passage_behind_other_words_goes(spark):
     assert out[3].kept_text.startswith(words(93, 20)) and out[3].kept_text.endswith(words(94, 30)[-20:])
 
 
+def wide(seed: int, n: int, first: int = 0x4e00, last: int = 0x9f00) -> str:
+    return "".join(map(chr, np.random.default_rng(seed).integers(first, last, n)))
+
+
+def test_sentences_without_blanks(spark):
+    chinese = "。".join(wide(i, 9 + i) for i in range(12)) + "。"
+    japanese = "".join(f"「{wide(30 + i, 8, 0x3041, 0x3096)}！」" for i in range(6))
+    thai = wide(50, 300, 0x0e01, 0x0e2e)
+    rows = [(1, chinese), (2, chinese), (3, wide(60, 7) + "。" + chinese), (4, japanese), (5, japanese + "終"), (6, thai),
+            (7, wide(61, 5, 0x0e01, 0x0e2e) + thai), (8, "。".join(wide(70 + i, 20) for i in range(9)))]
+    out = {r.doc_id: r for r in sentence_spans.remove_repeated_sentences(frame(spark, rows)).collect()}
+    assert out[1].n_removed == out[4].n_removed == out[6].n_removed == out[8].n_removed == 0
+    assert all(out[i].kept_text == rows[i - 1][1] for i in (1, 4, 6, 8))
+    assert out[2].kept_text == "" and out[2].n_removed == out[2].n_sentences >= 12
+    assert out[3].kept_text == rows[2][1][:8] and out[5].kept_text == "終" and len(out[7].kept_text) < 40
+    assert [(r.doc_id, r.n_sentences, list(r.removed)) for _, r in sorted(out.items())] == sentence_spans.brute_force(rows)
+
+
+def test_wide_stops_keep_every_character():
+    text = "一二三。」 四五六！？七八\n九十。\n「abc。def」 x. y"
+    got = sentence_spans.sentences(text)
+    assert [text[a:b] for a, b, _ in got] == ["一二三。」 ", "四五六！？", "七八\n", "九十。\n", "「abc。", "def」 x. ", "y"]
+
+
 def test_later_copies_keeps_first_place(spark):
     rows = spark.createDataFrame([(1, 1, 5, 0), (1, 1, 3, 7), (1, 1, 3, 7), (1, 1, 3, 9), (1, 2, 1, 1), (2, 2, 1, 1)],
                                  "h long, g long, did long, pos long")

@@ -2,7 +2,8 @@
 
 From every sentence the shortest run is hashed that has at least SENTENCES sentences and
 WORDS words, so single words and short stock phrases never make a repeat. Every run but the
-first of its kind in the corpus marks its sentences.
+first of its kind in the corpus marks its sentences. In scripts without blanks (Chinese,
+Japanese, Thai and others) each character counts as a word.
 """
 from __future__ import annotations
 
@@ -26,8 +27,16 @@ LONGEST = 16
 WINDOW = 8
 BATCH_BYTES = 8 << 20
 REMEMBER = 200_000
-_STOP = re.compile(r"(?<=[.!?。！？])\s+|\n+")
-_WORD = re.compile(r"\S+")
+#: Scripts written without blanks: Thai to Tibetan, Myanmar, Khmer, kana, bopomofo, Han.
+_WIDE = ("\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf"
+         "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+#: The wide stops end a sentence without white space after them; closing marks go with them.
+_STOP = re.compile(r"(?<=[.!?。！？｡])\s+|\n+|(?<=[。！？｡])(?![。！？｡])[」』”’）》〉】〕]*\s*")
+#: A word runs from blank to blank; where a script has no blanks, each character is one.
+_WORD = re.compile(rf"[{_WIDE}][^\w\s]*|[^\s{_WIDE}]+")
+#: The same for texts without any of these characters, and faster.
+_PLAIN_STOP, _PLAIN_WORD = re.compile(r"(?<=[.!?])\s+|\n+"), re.compile(r"\S+")
+_IS_WIDE = re.compile(rf"[{_WIDE}。！？｡]").search
 
 
 @lru_cache(REMEMBER)
@@ -63,11 +72,13 @@ def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int, int]]:
     A sentence starts at its first word; what stands between it and the next belongs to it.
     """
     out, at = [], 0
-    for stop in itertools.chain((m.span() for m in _STOP.finditer(text)), [(len(text), len(text))]):
-        words = [m.start() for m in _WORD.finditer(text, at, stop[0])]
+    plain = text.isascii() or not _IS_WIDE(text)
+    stops, word = (_PLAIN_STOP, _PLAIN_WORD) if plain else (_STOP, _WORD)
+    for stop in itertools.chain((m.span() for m in stops.finditer(text)), [(len(text), len(text))]):
+        words = [m.start() for m in word.finditer(text, at, stop[0])]
         if len(words) > longest:
             first = 0
-            for last in cuts(_WORD.findall(text, at, stop[0])):
+            for last in cuts(word.findall(text, at, stop[0])):
                 if last + 1 < len(words):
                     out.append((words[first], words[last + 1], last + 1 - first))
                     first = last + 1
