@@ -112,6 +112,28 @@ def test_licence_rough_rows(spark, rough, nothing):
     assert rows == [(1, "mit"), (2, "none"), (3, "apache"), (4, "none"), (5, "unknown"), (5, "unknown")]
 
 
+def test_licence_wrapped_notices(spark):
+    """Each family's notices, wrapped and commented, alone and before other lines without a blank one."""
+    import textwrap
+
+    marks = {"": "{}", "#": "# {}", "//": "// {}", "*": " * {}", "dnl": "dnl {}"}
+    rows, want = [], {}
+    for family, notices in licences.TEMPLATES.items():
+        for t in notices:
+            for k, mark in enumerate(marks.values()):
+                wrapped = [mark.format(x) for x in textwrap.wrap(t, 24 if k % 2 else 40)]
+                after = [words(len(rows) + i, 8) for i in range(12 * (k % 2))]
+                text = "\n".join([words(7, 9), mark.format(""), "/*", *wrapped, *after, " */", "", words(8, 9)])
+                rows.append((len(rows), text))
+                want[len(rows) - 1] = family
+    others = read(spark, "documents").select(F.expr("doc_id + 100000").alias("doc_id"), "text")
+    docs = frame(spark, rows).select("doc_id", "text").unionByName(others)
+    got = {r.doc_id: r for r in licences.scan(docs).filter("doc_id < 100000").collect()}
+    wrong = [(i, f, got[i].licence, rows[i][1]) for i, f in want.items() if got[i].licence != f]
+    assert not wrong, wrong
+    assert all(f in got[i].families for i, f in want.items())
+
+
 # -- language --------------------------------------------------------------------------------
 def test_language_held_out(spark):
     docs = read(spark, "documents")

@@ -59,6 +59,8 @@ COMMON = 0.002
 PENALTY = 2e-4
 CERTAIN = 0.6
 ALIKE = 0.5
+#: Lines that are also scored together inside a longer paragraph.
+SPAN = 8
 
 
 def words(text: Column) -> Column:
@@ -84,6 +86,32 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             .filter(F.length(F.trim("p")) > 0))
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """(did, th, para, lines): the paragraphs of each text, between lines without letter or digit.
+
+    Comment marks are no letters, so a line of nothing else is blank; those that are words
+    (rem, dnl) go, and the others part no words.
+    """
+    bare = F.regexp_replace("text", r"(?imd)^[ \t]*(?:rem|dnl)(?=\s|$)", "")
+    bare = F.regexp_replace(bare, r"(?md)^[^\p{L}\p{N}\n]+$", "")
+    return (docs.select("did", "th", F.posexplode(F.split(bare, "\n\n+")).alias("para", "p"))
+            .select("did", "th", "para", F.filter(F.split("p", "\n"), lambda x: x != "").alias("lines")))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(did, th, para, part, wrapped, p): what is scored of each paragraph. Every line, as a notice
+    of its own; where there are more, the whole paragraph with its line ends as blanks, and in a
+    long one also every SPAN lines, half of them shared, so text around a notice doesn't hide it."""
+    n = F.size("lines")
+    starts = F.when(n > SPAN, F.sequence(F.lit(1), n, F.lit(SPAN // 2))).otherwise(F.array().cast("array<int>"))
+    some = F.transform(starts, lambda i: F.array_join(F.slice("lines", i, F.lit(SPAN)), " "))
+    whole = F.when(n > 1, F.array(F.array_join("lines", " "))).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(F.transform("lines", lambda x: F.struct(F.lit(False).alias("wrapped"), x.alias("p"))),
+                     F.transform(F.concat(whole, some), lambda x: F.struct(F.lit(True).alias("wrapped"), x.alias("p"))))
+    return blocks(docs).select("did", "th", "para", F.posexplode(parts).alias("part", "x")).select(
+        "did", "th", "para", "part", "x.wrapped", "x.p")
+
+
 def templates(spark: SparkSession) -> DataFrame:
     rows = [(f, i, t) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
     return spark.createDataFrame(rows, "family string, t int, p string").withColumn("w", words(F.col("p")))
@@ -167,17 +195,18 @@ def train(docs: DataFrame) -> Model:
 
 
 def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """(did, th, para, family, probability, similarity) of the paragraphs with licence language.
+    """(did, th, para, wrapped, family, probability, similarity) of the paragraphs with licence language.
 
-    Texts without a licence word have no feature and are passed over after one look at their
+    A paragraph stands between blank lines; its lines are scored alone and together
+    (:func:`passages`). Texts without a licence word have no feature and are passed over after one look at their
     words. A predicted family is confirmed if the paragraph holds at least ALIKE of the n-grams
     of one of its templates; otherwise, and where the probability is under CERTAIN, it is
-    ``unknown``.
+    ``unknown``. Lines taken together count only if they hold that much of a template.
     """
     spark = docs.sparkSession
     some = docs.filter(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), model.literal))
-    rows = paragraphs(some).withColumn("w", words(F.col("p"))).filter(F.arrays_overlap("w", model.literal))
-    keys = ["did", "th", "para", "g"]
+    rows = passages(some).withColumn("w", words(F.col("p"))).filter(F.arrays_overlap("w", model.literal))
+    keys = ["did", "th", "para", "part", "wrapped", "g"]
     rows = rows.withColumn("g", grams(F.col("w"), model.literal))
     z = model.logits(rows, keys).withColumn("q", model.probabilities(F.col("z")))
     best = F.array_position("q", F.array_max("q")).cast("int")
@@ -188,7 +217,8 @@ def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     alike = F.array_max(F.transform("tgs", lambda t: F.size(F.array_intersect(t, "g")) / F.greatest(F.size(t), F.lit(1))))
     z = z.withColumn("similarity", alike).withColumn("probability", F.array_max("q"))
     sure = (F.col("probability") >= CERTAIN) & (F.col("similarity") >= ALIKE)
-    return z.select("did", "th", "para", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"),
+    z = z.filter(~F.col("wrapped") | (F.col("similarity") >= ALIKE))
+    return z.select("did", "th", "para", "wrapped", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"),
                     "probability", "similarity").distinct()
 
 
@@ -196,8 +226,9 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     """One row per document: doc_id, licence, probability, similarity, n_paragraphs, families.
 
     ``licence`` is that of the paragraph of highest probability among confirmed families (ties:
-    the first paragraph), ``unknown`` if all licence paragraphs are, ``none`` without any; null
-    and empty texts are ``none``. Rows that repeat id and text have the same result. Other
+    the first paragraph), ``unknown`` if all licence paragraphs are, ``none`` without any. Paragraphs
+    stand between blank lines, comment marks and line ends inside them don't matter; one whose
+    family only shows over several lines is not ``unknown`` for its single lines. Null and empty texts are ``none``. Rows that repeat id and text have the same result. Other
     columns are not read; whole texts are scanned. An empty table gives no rows.
     """
     rows = keyed(docs, id_col, text_col)
@@ -205,8 +236,14 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     found = scan_paragraphs(rows, model)
     by = F.struct((F.col("family") != UNKNOWN).alias("a"), F.col("probability").alias("b"), (-F.col("para")).alias("c"),
                   F.col("family").alias("family"), F.col("similarity").alias("similarity"))
-    per_text = found.groupBy("did", "th").agg(F.max(by).alias("m"), F.count("*").alias("n"),
-                                              F.array_sort(F.collect_set("family")).alias("families"))
+    over = F.collect_set(F.when(F.col("wrapped") & (F.col("family") != UNKNOWN), F.col("family")))
+    lines = F.collect_set(F.when(~F.col("wrapped") | (F.col("family") == UNKNOWN), F.col("family")))
+    per_para = found.groupBy("did", "th", "para").agg(F.max(by).alias("m"), over.alias("o"), lines.alias("l"))
+    per_para = per_para.withColumn("f", F.array_union("o", F.when(
+        F.size(F.array_except("o", "l")) > 0, F.array_remove("l", UNKNOWN)).otherwise(F.col("l"))))
+    per_text = per_para.groupBy("did", "th").agg(
+        F.max("m").alias("m"), F.count("*").alias("n"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("families"))
     return rows.select("did", "th").join(per_text, ["did", "th"], "left").select(
         real_id().alias("doc_id"), F.coalesce("m.family", F.lit(NONE)).alias("licence"),
         F.coalesce("m.b", F.lit(0.0)).alias("probability"), F.coalesce("m.similarity", F.lit(0.0)).alias("similarity"),
