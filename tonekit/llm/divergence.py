@@ -37,10 +37,11 @@ UNIT, ADD = 1_000_000_000, 5
 BATCH_BYTES = 1 << 20
 #: Bytes of one text that are cut into terms at once.
 PIECE = 1 << 20
-#: Counters that a counting task holds before it gives them out, whatever the number of groups.
-HELD = 400_000
+#: Counters that a counting task holds before it gives them out, whatever the number of groups, and rows it gives out at once.
+HELD = 300_000
+GIVEN = 20_000
 #: Postings of a block of the index, about (a block is one task's share; its terms are whole).
-BLOCK = 1_000_000
+BLOCK = 250_000
 #: Pairs of groups that one task gives out, about.
 PAIRS = 2_000_000
 #: Postings that a group's row scatters in one step, about.
@@ -69,55 +70,42 @@ def terms_of(text: bytes):
 
 
 def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, d): partial sums of the occurrences of terms by group (d = 0) and, with an
-    empty source, of the documents of the language that have the term (n = 0).
+    """(lang, source, term, n, d): partial sums by group of the occurrences of each term and of the rows that have it.
 
     A task adds up over its rows, so a group with a third of all rows is one row per term and task.
     """
     rows = bounded_batches(docs).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in (
         (lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
-    def given(counts, documents):
-        for (lang, source), c in counts.items():
-            yield from ((lang, source, t.decode(), n, 0) for t, n in c.items())
-        for lang, c in documents.items():
-            yield from ((lang, "", t.decode(), 0, d) for t, d in c.items())
-
-    def batches_of(counts, documents):
-        rows = []
-        for r in given(counts, documents):
-            rows.append(r)
-            if len(rows) == 20_000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
     def run(batches):
-        counts, documents, held = {}, {}, 0
+        held, size = {}, 0
         for b in sized_batches(batches, BATCH_BYTES):
             texts = b.column("text").cast(pa.binary())
             for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), texts):
-                c, d = counts.setdefault((lang, source), Counter()), documents.setdefault(lang, Counter())
-                before, seen = len(c) + len(d), set()
+                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                before, seen = len(n), set()
                 for terms in terms_of(text.as_py()):
-                    c.update(terms)
+                    n.update(terms)
                     seen.update(terms)
                 d.update(seen)
-                held += len(c) + len(d) - before
-                if held > HELD:
-                    yield from batches_of(counts, documents)
-                    counts, documents, held = {}, {}, 0
-        yield from batches_of(counts, documents)
+                size += len(n) - before
+                if size > HELD:
+                    yield from _sums(held)
+                    held, size = {}, 0
+        yield from _sums(held)
 
     return rows.mapInArrow(run, "lang string, source string, term string, n long, d long")
 
 
-def _batch(rows) -> pa.RecordBatch:
-    lang, source, term, n, d = zip(*rows)
-    return pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "source": pa.array(source, pa.string()),
-                                       "term": pa.array(term, pa.string()), "n": pa.array(n, pa.int64()),
-                                       "d": pa.array(d, pa.int64())})
+def _sums(held):
+    for (lang, source), (n, d) in held.items():
+        terms = list(n)
+        for a in range(0, len(terms), GIVEN):
+            part = terms[a:a + GIVEN]
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.repeat(lang, len(part)), "source": pa.repeat(source, len(part)),
+                "term": pa.array(part, pa.binary()).cast(pa.string()),
+                "n": pa.array([n[t] for t in part], pa.int64()), "d": pa.array([d[t] for t in part], pa.int64())})
 
 
 def share(n: str, total: str, terms: str) -> Column:
@@ -127,22 +115,25 @@ def share(n: str, total: str, terms: str) -> Column:
                   f" div ({wide(total)} + {ADD} * {wide(terms)}) end")
 
 
-def kept_counts(docs: DataFrame, min_docs: int = MIN_DOCS, **columns) -> DataFrame:
-    """(lang, source, term, n): occurrences in each group of the terms that at least ``min_docs`` documents
-    of the language have. Counts are written before they meet the kept terms."""
-    sums = settled(occurrences(docs, **columns).groupBy("lang", "source", "term")
-                   .agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "terms")
-    kept = sums.filter(F.col("d") >= min_docs).select("lang", "term")
-    return settled(sums.filter("n > 0").drop("d").join(kept, ["lang", "term"]), "counts")
+def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, **columns) -> DataFrame:
+    """(lang, term, n, cells): the terms that at least ``min_docs`` documents of the language have, with
+    their occurrences in all and by source. The tasks' sums are unique within a task and are dealt out
+    by group and term before they are added up, so neither a hot group nor a frequent term is one key."""
+    sums = occurrences(docs, **columns).repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return settled(sums.groupBy("lang", "term").agg(
+        F.sum("d").alias("d"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("cells"))
+        .filter(F.col("d") >= min_docs).drop("d"), "terms")
 
 
-def groups_of(docs: DataFrame, counts: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def groups_of(docs: DataFrame, kept: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, g, total, all, terms, z, blocks, parts) of every group that occurs: its number by source
     within the language, N of the group and of the language, V, the baseline, and how the work is dealt."""
     here = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in (
         (lang_col, "lang"), (source_col, "source"))]).distinct()
-    total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("cells"))
-    by_lang = counts.groupBy("lang").agg(F.countDistinct("term").alias("terms"))
+    total = kept.select("lang", F.inline("cells")).groupBy("lang", "source").agg(
+        F.sum("n").alias("total"), F.count("*").alias("cells"))
+    by_lang = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     lang = Window.partitionBy("lang")
     g = (here.join(total, ["lang", "source"], "left").join(by_lang, "lang", "left")
          .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"),
@@ -155,9 +146,10 @@ def groups_of(docs: DataFrame, counts: DataFrame, lang_col: str = "lang", source
                             F.coalesce(share("0", "total", "terms"), F.lit(0)).alias("z")), "groups")
 
 
-def term_index(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def term_index(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """The term-major index: (lang, term, block, parts, q, postings), postings (g, p) by g, q the language's share."""
-    cells = counts.join(groups, ["lang", "source"]).withColumn("p", share("n", "total", "terms"))
+    cells = kept.select("lang", "term", F.inline("cells")).join(groups, ["lang", "source"]).withColumn(
+        "p", share("n", "total", "terms"))
     each = cells.groupBy("lang", "term").agg(
         F.sort_array(F.collect_list(F.struct("g", "p"))).alias("postings"), F.sum("n").alias("n"),
         *[F.max(c).alias(c) for c in ("all", "terms", "blocks", "parts")])
@@ -245,9 +237,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, text_
     table gives no rows. A text of any length is read in pieces cut between terms.
     """
     columns = {"text_col": text_col, "lang_col": lang_col, "source_col": source_col}
-    counts = kept_counts(docs, min_docs, **columns)
-    groups = groups_of(docs, counts, lang_col, source_col)
-    index = term_index(counts, groups)
+    kept = kept_terms(docs, min_docs, **columns)
+    groups = groups_of(docs, kept, lang_col, source_col)
+    index = term_index(kept, groups)
     names = groups.select("lang", "g", "source")
     both = settled(distances(groups, index), "distances").select(
         "lang", "value", F.explode(F.expr("array(struct(a as g, b as h), struct(b as g, a as h))")).alias("e"))
