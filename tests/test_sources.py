@@ -42,7 +42,7 @@ def test_snapshot_order_is_that_of_the_paths(spark):
     with open(os.path.join(d, "legislators-social-media.json"), "w") as fh:
         json.dump([{"id": {"bioguide": "Z9"}, "social": {"twitter": "replinda"}}], fh)
     h = L.snapshot_handles(spark, [os.path.join(d, "social-2019.yaml"), os.path.join(d, "legislators-social-media.json")])
-    rows = sorted(tuple(r) for r in h.collect())
+    rows = sorted((r.handle, r.bioguide, r.snapshot) for r in h.collect())
     assert rows == [("RepLinda", "A1", "000000/social-2019.yaml"),
                     ("replinda", "Z9", "000001/legislators-social-media.json")]
     authors = spark.createDataFrame([("replinda", "Linda Sánchez", "CA")], "author_handle string, author_name string, state string")

@@ -1,15 +1,21 @@
-"""Incremental and streaming queries (A11, streaming weekly battery)."""
+"""Incremental and streaming queries (A11, streaming weekly batteries).
+
+Each call starts from a new folder, so it reads its whole table; that calls with one folder go on
+where the last one stopped, and notice changed files, is what ``rescored_files`` shows."""
 from __future__ import annotations
 
 import os
-import zlib
+import uuid
 
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.scoring import lexicon_scores
 from ..session import checkpoint_dir
-from ..streaming.incremental import run_weekly_stream, score_new_files, weekly_battery
+from ..sources.files import read_table
+from ..streaming import manifest as M
+from ..streaming.incremental import run_weekly_stream, weekly_battery
+from ..streaming.windows import all_weeks, run_weekly_windows
 from . import oracle_views as O
 from .registry import register
 from .views import msgs_from_events
@@ -18,22 +24,41 @@ LABELS = [*K.EMOTIONS, *K.SENTIMENTS]
 
 
 def _score_docs(df):
-    return lexicon_scores(df.select(F.col("doc_id").alias("msg_id"), "text")).select("msg_id", *LABELS)
+    rows = df.select(F.col("doc_id").alias("msg_id"), "text", M.FILE)
+    return lexicon_scores(rows).select("msg_id", *LABELS, M.FILE)
+
+
+def _new(spark, name: str) -> str:
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def _kept(spark, name: str, root: str) -> str:
-    """The output of ``name`` for the tables of ``root``: the same path on every call, so a
-    repeated call resumes and finds nothing left to do."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{zlib.crc32(root.encode()):08x}")
+_SCORES = O.with_views("SELECT msg_id, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in LABELS) + " FROM s",
+                       s=O.lexicon_sql("SELECT doc_id AS msg_id, text FROM documents"))
 
 
-@register("resumable_scores", O.with_views(
-    "SELECT msg_id, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in LABELS) + " FROM s",
-    s=O.lexicon_sql("SELECT doc_id AS msg_id, text FROM documents")))
+@register("resumable_scores", _SCORES)
 def resumable_scores(spark, root):
-    """Documents scored by a checkpointed file-source stream into Parquet."""
-    out = score_new_files(spark, root, _score_docs, _kept(spark, "document-scores", root), glob="documents.parquet")
-    return spark.read.parquet(out)
+    """The documents scored file by file under a manifest, and merged into one table."""
+    out = _new(spark, "document-scores")
+    M.update(spark, os.path.join(root, "documents.parquet"), _score_docs, out)
+    return M.merge(spark, out, f"{out}/final", key="msg_id")
+
+
+@register("rescored_files", _SCORES)
+def rescored_files(spark, root):
+    """The same scores over four part tables of the documents, reached by a first call that ends
+    early, a part with other texts that is replaced, a part that is deleted and one that comes later."""
+    src, out = _new(spark, "document-parts"), _new(spark, "part-scores")
+    docs = read_table(spark, root, "documents", ["doc_id", "text"]).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(4)))
+    old = docs.withColumn("text", F.when(F.col("part") == 2, F.reverse("text")).otherwise(F.col("text")))
+    old.filter("part < 3").write.partitionBy("part").parquet(src)
+    docs.filter("part = 0").withColumn("doc_id", -F.col("doc_id") - 1).drop("part").write.parquet(f"{src}/part=9")
+    M.update(spark, src, _score_docs, out, max_files=2, max_steps=2)
+    for part in (2, 3):
+        docs.filter(F.col("part") == part).drop("part").write.mode("overwrite").parquet(f"{src}/part={part}")
+    docs.filter("false").drop("part").write.mode("overwrite").parquet(f"{src}/part=9")
+    M.update(spark, src, _score_docs, out, max_files=3)
+    return M.merge(spark, out, f"{out}/final")
 
 
 @register("weekly_stream", O.with_views("""SELECT wk, party, count(*) AS n, ROUND(avg(anger), 6) AS anger,
@@ -43,5 +68,32 @@ FROM (SELECT CAST(ts AS DATE) - CAST(isodow(ts) - 1 AS INTEGER) AS wk, party, an
 def weekly_stream(spark, root):
     """Streaming extension: Monday-aligned weekly battery over the event feed, every week of
     the backlog, late rows included."""
-    out = run_weekly_stream(spark, root, msgs_from_events, _kept(spark, "weekly-sums", root), glob="events.parquet")
+    out = run_weekly_stream(spark, os.path.join(root, "events.parquet"), msgs_from_events, _new(spark, "weekly-sums"))
     return weekly_battery(spark.read.parquet(out))
+
+
+SLICE_DAYS, LATE_SLICES, WATERMARK_DAYS = 8, 2, 3
+
+
+@register("weekly_windows", O.with_views(f"""SELECT wk, party, count(*) AS n, count(*) FILTER (NOT late AND over) AS n_closed,
+       count(*) FILTER (NOT late AND NOT over) AS n_open, count(*) FILTER (late) AS n_late, ROUND(avg(anger), 6) AS anger,
+       ROUND(avg(CAST(anger > 0.5 AS INTEGER)), 6) AS share_angry
+FROM (SELECT m.wk, party, anger, coalesce(m.wk + 7 + INTERVAL {WATERMARK_DAYS} DAY <= w.seen, false) AS late,
+             m.wk + 7 + INTERVAL {WATERMARK_DAYS} DAY <= (SELECT max(ts) FROM m) AS over
+      FROM m JOIN w USING (slice)) x GROUP BY ALL""",
+    m=f"""SELECT CAST(ts AS DATE) - CAST(isodow(ts) - 1 AS INTEGER) AS wk, party, anger, ts,
+       CAST(epoch(ts) AS BIGINT) // {86400 * SLICE_DAYS} + CASE WHEN msg_id % 10 = 0 THEN {LATE_SLICES} ELSE 0 END AS slice FROM ({O.MSGS}) q""",
+    w="""SELECT slice, max(newest) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+FROM (SELECT slice, max(ts) AS newest FROM m GROUP BY slice) x"""))
+def weekly_windows(spark, root):
+    """Streaming extension: the weekly battery from event-time state. The events land in slices of
+    eight days, a tenth of them two slices late, and the stream runs after each; rows of closed
+    weeks, open weeks and late rows add up to all events."""
+    src, out = _new(spark, "event-slices"), _new(spark, "weekly-windows")
+    events = read_table(spark, root, "events")
+    late = F.when(F.col("event_id") % 10 == 0, LATE_SLICES).otherwise(0)
+    sliced = events.withColumn("slice", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (86400 * SLICE_DAYS)) + late)
+    for r in sliced.select("slice").distinct().orderBy("slice").collect():  # one a slice of days
+        sliced.filter(F.col("slice") == r.slice).drop("slice").write.mode("append").parquet(src)
+        run_weekly_windows(spark, src, msgs_from_events, out, delay=f"{WATERMARK_DAYS} days")
+    return all_weeks(spark, out)

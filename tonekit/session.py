@@ -45,6 +45,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders made for local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
@@ -57,8 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="tonekit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        # the setting belongs to the core and cannot be changed in a running session
+        d = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tonekit-ckpt-")
+        _LOCAL[spark.sparkContext.applicationId] = d
     spark.sparkContext.setCheckpointDir(d)
     return d
 

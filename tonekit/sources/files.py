@@ -7,6 +7,7 @@ commit protocol makes output atomic per job.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -44,7 +45,7 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
 
 def read_json_records(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """A4: files holding one JSON array of nested records each, concatenated by name."""
-    reader = spark.read.option("multiLine", "true")
+    reader = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(list(paths))
@@ -70,9 +71,58 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
+#: Empty file that says that a folder was written to the end; hidden from readers by its name.
+COMMITTED = "_COMMITTED"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop configuration: local disk, HDFS or an object store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def folder_and_glob(spark: SparkSession, path: str, glob: str) -> tuple[str, str]:
+    """(folder, glob) of a table's files, for readers that want a folder: a table that is one file lies
+    in its parent and matches its name."""
+    fs, p = _hadoop(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return p.getParent().toString(), p.getName()
+    return path, glob
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` was written to the end: by :func:`write_committed`, or by a Spark job that left its own mark."""
+    marks = [_hadoop(spark, f"{path.rstrip('/')}/{name}") for name in (COMMITTED, "_SUCCESS")]
+    return any(fs.exists(p) for fs, p in marks)
+
+
+def write_committed(df: DataFrame, path: str, rebuild: bool = False, partition_by: Sequence[str] = ()) -> bool:
+    """Idempotent build step. Skipped if ``path`` was written to the end, unless ``rebuild``;
+    True if it was written now.
+
+    The table is written beside ``path``, takes its place when whole, and is then marked. A folder
+    without the mark is what a crashed run left: it is replaced. While a table is rebuilt the old one
+    stays readable until the new one is whole.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    if not rebuild and committed(spark, path):
+        return False
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    # Spark's own mark would travel with the files, and a move need not be atomic in an object store
+    w = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(staging)
+    fs, final = _hadoop(spark, path)
+    if fs.exists(final):
+        fs.delete(final, True)
+    if not fs.rename(_hadoop(spark, staging)[1], final):
+        raise OSError(f"{staging} could not be moved to {path}")
+    fs.create(_hadoop(spark, f"{path}/{COMMITTED}")[1], True).close()
+    return True
+
+
 def write_if_absent(df: DataFrame, path: str, rebuild: bool = False, partition_by: Sequence[str] = ()) -> None:
-    """Idempotent build step -- skip when the output exists unless ``rebuild``."""
-    write_parquet(df, path, mode="overwrite" if rebuild else "ignore", partition_by=partition_by)
+    """:func:`write_committed` for callers that need no answer."""
+    write_committed(df, path, rebuild, partition_by)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

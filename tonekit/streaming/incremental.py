@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import calendar as cal
-from ..sources.files import write_parquet
+from ..sources.files import folder_and_glob, write_parquet
 
 
-def _file_stream(spark: SparkSession, source: str, glob: str, **opts) -> DataFrame:
+def file_stream(spark: SparkSession, source: str, glob: str, **opts) -> DataFrame:
+    """A stream of the Parquet files under the folder ``source`` (or of the one file that it is), with the
+    schema they have now."""
+    source, glob = folder_and_glob(spark, source, glob)
     schema = spark.read.option("pathGlobFilter", glob).parquet(source).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     for k, v in opts.items():
@@ -36,7 +39,7 @@ def score_new_files(spark: SparkSession, source: str, scorer: Callable[[DataFram
     """Score every not-yet-scored file matching ``glob`` in folder ``source`` and
     append the scores to ``out``; returns that path.  ``out`` and the record of done files
     beside it (``<out>.checkpoint``) are shared folders; calls with the same ``out`` resume."""
-    stream = _file_stream(spark, source, glob, maxFilesPerTrigger=max_files_per_trigger)
+    stream = file_stream(spark, source, glob, maxFilesPerTrigger=max_files_per_trigger)
     q = (scorer(stream).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", out.rstrip("/") + ".checkpoint")
          .option("compression", "zstd").outputMode("append").trigger(availableNow=True).start())
@@ -59,7 +62,7 @@ def run_weekly_stream(spark: SparkSession, source: str, prepare: Callable[[DataF
     def add(batch: DataFrame, batch_id: int) -> None:
         weekly_sums(prepare(batch)).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
-    q = (_file_stream(spark, source, glob, maxFilesPerTrigger=max_files_per_trigger).writeStream.foreachBatch(add)
+    q = (file_stream(spark, source, glob, maxFilesPerTrigger=max_files_per_trigger).writeStream.foreachBatch(add)
          .option("checkpointLocation", out.rstrip("/") + ".checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
