@@ -39,13 +39,21 @@ def normalise_state(state="state", aliases: dict = K.STATE_ALIASES) -> F.Column:
 
 def dedup_first(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
     """keep one row per id -- the smallest by ``order``, ties by a hash of the whole row,
-    so the pick is repeatable.  A grouped ``min_by``: Spark sorts each task's rows by id,
-    keeps one row per id and task before the shuffle, and merges those; an id repeated a
-    million times arrives as one row per task."""
+    so the pick is repeatable (rows that agree in everything are one row).
+
+    The ids are counted first, without the rows. Rows whose id is theirs alone are passed on
+    where they stand: they meet the table of repeated ids by an anti-join, which Spark broadcasts
+    if that table is small. Only rows of repeated ids are grouped (``min_by``, combined in each
+    task before the shuffle, so an id repeated a million times arrives as one row per task).
+    A null id is an id like any other."""
     others = [c for c in df.columns if c != id_col]
     rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in others]))
-    best = df.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in others]), rank).alias("_r"))
-    return best.select(id_col, *[F.col(f"_r.{c}").alias(c) for c in others])
+    again = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    same = df[id_col].eqNullSafe(again["_id"])
+    best = df.join(again, same, "left_semi").groupBy(id_col).agg(
+        F.min_by(F.struct(*[F.col(c) for c in others]), rank).alias("_r"))
+    best = best.select(id_col, *[F.col(f"_r.{c}").alias(c) for c in others])
+    return df.join(again, same, "left_anti").select(id_col, *others).unionByName(best)
 
 
 def zone_table(spark: SparkSession, pairs=K.STATE_TZ) -> DataFrame:

@@ -64,6 +64,24 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, per_file: int = 10_000, mode: str = "overwrite") -> None:
+    """A4/A9 (array form): files that hold one JSON array of records each, about ``per_file`` of them."""
+    files = max(1, -(-df.count() // per_file))
+    rec = F.struct(*[F.col(c) for c in df.columns])
+    rows = df.select(rec.alias("_r")).withColumn("file", F.pmod(F.xxhash64(F.to_json("_r")), F.lit(files)))
+    arrays = rows.groupBy("file").agg(F.to_json(F.collect_list("_r"), {"ignoreNullFields": "false"}).alias("value"))
+    arrays.write.mode(mode).partitionBy("file").text(path)
+
+
+def json_dictionary(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], out: str = "json") -> DataFrame:
+    """A one-row table holding one compact JSON document ``{key: {column: [values, ...]}}``, the values
+    of each key in ``order``; for small results, whose keys and rows a page shows at once."""
+    per = parallel_arrays(df, order, cols, group=[key])
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"),
+                                                   F.struct(*[F.col(c) for c in cols]).alias("value"))))
+    return per.agg(F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias(out))
+
+
 def hour_profiles(df: DataFrame, who: str, hour: str, flag: str, slots: int = 24) -> DataFrame:
     """Per author, share of flagged messages and message count in each of
     ``slots`` hours as fixed-length arrays (0 / NULL for empty hours), plus the total."""

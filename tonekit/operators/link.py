@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,16 +185,17 @@ def people_from_records(people_json: DataFrame) -> DataFrame:
 
 def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
     """A5: social-handle snapshots (YAML or JSON lists of records) as
-    (handle, bioguide, snapshot) rows, earliest first.
+    (handle, bioguide, snapshot, at) rows, earliest first.
 
-    The order is that of ``paths``: ``snapshot`` starts with the position of the path (a
-    folder or glob counts once) and ends with the file name.  Each path is one
-    ``binaryFile`` read; the files are parsed in Python workers, so many parse in parallel."""
+    The order is that of ``paths``: ``at`` is the position of the path (a folder or glob counts
+    once, and may hold any number of files), ``snapshot`` starts with it and ends with the file
+    name.  All paths are one ``binaryFile`` read; a table of the paths' places, joined to the
+    files by their folders, gives the order.  The files are parsed in Python workers."""
     import json as _json
 
     import pandas as pd
 
-    schema = "handle string, bioguide string, snapshot string"
+    schema = "handle string, bioguide string, snapshot string, at int"
 
     def parse(batches):
         import yaml
@@ -203,15 +204,42 @@ def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
             rows = []
             for at, path, content in zip(pdf["at"], pdf["path"], pdf["content"]):
                 text = bytes(content).decode("utf8")
-                data = _json.loads(text) if path.endswith(".json") else yaml.safe_load(text)
+                data = _json.loads(text) if path.endswith(".json") or text.lstrip().startswith("[{") else yaml.safe_load(text)
                 for e in data or []:
                     tw = (e.get("social") or {}).get("twitter")
                     if tw:
-                        rows.append((str(tw), e["id"]["bioguide"], f"{at:06d}/{path.rsplit('/', 1)[-1]}"))
-            yield pd.DataFrame(rows, columns=["handle", "bioguide", "snapshot"])
-
-    files = None
-    for i, p in enumerate(paths):
-        one = spark.read.format("binaryFile").load(p).select(F.lit(i).alias("at"), "path", "content")
-        files = one if files is None else files.unionByName(one)
-    return files.mapInPandas(parse, schema)
+                        rows.append((str(tw), e["id"]["bioguide"], f"{at:06d}/{path.rsplit('/', 1)[-1]}", at))
+            yield pd.DataFrame(rows, columns=["handle", "bioguide", "snapshot", "at"])
+
+    places = spark.createDataFrame(_places(spark, paths), "root string, at int")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
+    # a file belongs to the first of the paths that is the file itself or a folder above it
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.call_function("substring_index", F.col("path"), F.lit("/"), n))
+    owner = files.select("path", F.explode(above).alias("root")).join(places, "root").groupBy("path").agg(F.min("at").alias("at"))
+    return files.join(owner, "path").mapInPandas(parse, schema)
+
+
+def _places(spark, paths: Sequence[str]) -> list[tuple[str, int]]:
+    """(qualified file or folder, position) of what each path or glob names; names only."""
+    out = []
+    for at, path in enumerate(paths):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += [(s.getPath().toString(), at) for s in fs.globStatus(p) or []]
+    return out
+
+
+def handle_intervals(handles: DataFrame, handle: str = "handle", person: str = "bioguide", at: str = "at") -> DataFrame:
+    """A5: (handle, person, from, to): the runs of consecutive snapshots that name a person's handle,
+    by snapshot number; ``to`` is the first snapshot without it, NULL if the last one still has it.
+    Handles differ by more than case.
+
+    Snapshots are few; a handle and person have one row a snapshot, so no window holds more."""
+    seen = handles.select(F.lower(F.col(handle)).alias(handle), person, at).distinct()
+    snaps = handles.select(at).distinct().withColumn("_k", F.row_number().over(Window.orderBy(at)))
+    runs = seen.join(F.broadcast(snaps), at).withColumn(
+        "_run", F.col("_k") - F.row_number().over(Window.partitionBy(handle, person).orderBy("_k")))
+    spans = runs.groupBy(handle, person, "_run").agg(F.min(at).alias("from"), (F.max("_k") + 1).alias("_k"))
+    after = snaps.select("_k", F.col(at).alias("to"))
+    return spans.join(F.broadcast(after), "_k", "left").select(handle, person, "from", "to")

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as TX
-from .rates import latest_of
+from .rates import latest
 
 
 def members(df: DataFrame, person: str = "author", attrs: Sequence[str] = ("author_name", "party", "state"),
             ts: str = "ts", tie: str = "msg_id") -> DataFrame:
-    """K1: one row per person -- latest non-NULL attributes and the message count, in one
-    aggregate."""
-    per = df.groupBy(person).agg(*latest_of(attrs, ts, tie), F.count(F.lit(1)).alias("n_msgs"))
+    """K1: one row per person -- latest non-NULL attributes and the message count."""
+    per = latest(df, person, attrs, ts, tie, sums=[F.count(F.lit(1)).alias("n_msgs")], totals=[F.sum("n_msgs").alias("n_msgs")])
     return per.withColumnRenamed(person, "id")
 
 

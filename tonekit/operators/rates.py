@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.calendar import percent_text
+from ..functions.ordering import newest
 
 
-def latest_of(attrs: Sequence[str], ts: str = "ts", tie: str = "msg_id") -> list[Column]:
-    """E5: aggregates that give each attribute as of its most recent non-NULL value (ties on
-    the timestamp broken by ``tie``); put them beside others in one ``agg``."""
-    order = F.struct(F.col(ts), F.col(tie))
-    return [F.max_by(F.col(a), F.when(F.col(a).isNotNull(), order)).alias(a) for a in attrs]
+def latest(df: DataFrame, key: str, attrs: Sequence[str], ts: str = "ts", tie: str = "msg_id",
+           sums: Sequence[Column] = (), totals: Sequence[Column] = ()) -> DataFrame:
+    """E5: per key, each attribute as of its most recent non-NULL value (ties on the timestamp broken
+    by ``tie``). ``sums`` are further aggregates of the rows, ``totals`` the aggregates that add
+    those up.
 
+    The rows are counted into cells of (key, attribute values) first, each with its newest (time,
+    id) as one number, so they are never sorted; the few cells of a key decide on its attributes."""
+    cells = df.groupBy(key, *attrs).agg(F.max(newest(ts, tie)).alias("newest"), *sums)
+    return cells.groupBy(key).agg(*_latest_of_cells(attrs), *totals)
 
-def latest(df: DataFrame, key: str, attrs: Sequence[str], ts: str = "ts", tie: str = "msg_id") -> DataFrame:
-    """E5: per key, each attribute as of its most recent non-NULL value."""
-    return df.groupBy(key).agg(*latest_of(attrs, ts, tie))
+
+def _latest_of_cells(attrs: Sequence[str]) -> list[Column]:
+    return [F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col("newest"))).alias(a) for a in attrs]
 
 
 def message_cells(df: DataFrame, key: str = "author", attrs: Sequence[str] = ("author_name", "party", "state"),
@@ -35,14 +40,13 @@ def message_cells(df: DataFrame, key: str = "author", attrs: Sequence[str] = ("a
     these cells, so the message table is read once and never joined."""
     return df.groupBy(key, *attrs, *dims).agg(
         F.count(F.lit(1)).alias("n"), F.sum(flag).alias("flagged"), F.sum(score).alias("score_sum"),
-        F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"))).alias("newest"))
+        F.max(newest(ts, tie)).alias("newest"))
 
 
 def latest_from_cells(cells: DataFrame, key: str = "author",
                       attrs: Sequence[str] = ("author_name", "party", "state")) -> DataFrame:
     """E5 over :func:`message_cells`: the newest cell with a non-NULL value decides."""
-    return cells.groupBy(key).agg(*[
-        F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col("newest"))).alias(a) for a in attrs])
+    return cells.groupBy(key).agg(*_latest_of_cells(attrs))
 
 
 def pooled(cells: DataFrame, keys: Sequence[str], min_n: int = 0, mean: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as TX
+from ..functions.ordering import highest, highest_id, highest_score
 
 _WORD = "A-Za-z0-9_"
 
@@ -109,8 +110,8 @@ def profile_distance(df: DataFrame, key: str, scores: Sequence[str] = tuple(K.EM
     ties) and its sign.  Keys where either group is missing or under ``min_n`` rows
     are skipped.  One grouped aggregate; partial aggregation applies.
 
-    ``best_of`` (flag, id): also, per group and score, the (score, -id) of the flagged row
-    with the highest score (ties: smallest id) as ``_best_a_<score>`` and ``_best_b_<score>``."""
+    ``best_of`` (flag, id): also, per group and score, the flagged row with the highest score
+    (ties: smallest id) as ``_best_a_<score>`` and ``_best_b_<score>``, packed by ``highest``."""
     a, b = groups
     ga, gb = F.col(group) == a, F.col(group) == b
     aggs = [F.count(F.when(ga, 1)).alias("_na"), F.count(F.when(gb, 1)).alias("_nb")]
@@ -119,8 +120,7 @@ def profile_distance(df: DataFrame, key: str, scores: Sequence[str] = tuple(K.EM
     if best_of:
         ok, tie = best_of
         for s in scores:
-            top = F.struct(F.col(s).alias("s"), (-F.col(tie)).alias("i"))
-            aggs += [F.max(F.when(g & F.col(ok), top)).alias(f"_best_{t}_{s}") for t, g in (("a", ga), ("b", gb))]
+            aggs += [F.max(F.when(g & F.col(ok), highest(s, tie))).alias(f"_best_{t}_{s}") for t, g in (("a", ga), ("b", gb))]
     m = df.groupBy(key).agg(*aggs).filter((F.col("_na") > 0) & (F.col("_nb") > 0)
                                           & (F.col("_na") >= min_n) & (F.col("_nb") >= min_n))
     gaps = [(F.col(f"_a_{s}") - F.col(f"_b_{s}")).alias(f"gap_{s}") for s in scores]
@@ -164,8 +164,8 @@ def exemplars(df: DataFrame, key: str = "mo", scores: Sequence[str] = tuple(K.EM
         # the best row plays no part in the choice: gap, then order, decide
         top = F.array_max(F.transform(arr, lambda x: F.struct(x["g"], x["neg_i"])))
         win = F.element_at(F.filter(arr, lambda x: x["neg_i"] == top["neg_i"]), 1)
-        return F.struct(F.lit(grp).alias(group), win["name"].alias("emo"), (-win["best"]["i"]).alias("id"),
-                        win["best"]["s"].alias("score"))
+        return F.struct(F.lit(grp).alias(group), win["name"].alias("emo"), highest_id(win["best"]).alias("id"),
+                        highest_score(win["best"]).alias("score"))
 
     rows = prof.select(key, F.inline(F.array(pick(a, "a", 1), pick(b, "b", -1))))
     return rows.filter(F.col("id").isNotNull())

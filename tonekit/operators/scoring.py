@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,9 +195,33 @@ def score_batches(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.
 
 def repeatable_sample(df: DataFrame, n: int, seed: int, key: str = "msg_id") -> DataFrame:
     """Exactly ``n`` rows, the same ones on every run and engine: order by the MD5 of
-    seed and id and keep the first ``n`` (a top-k, so no global sort of the table)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+    seed and id and keep the first ``n``.
+
+    A first pass over the ids finds a hash up to which at least ``n`` and hardly more rows lie
+    (:func:`hash_cut`); the second takes those, so the last task gets about ``n`` rows however many
+    tasks there are, instead of ``n`` from each."""
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    cut = hash_cut(df.select(text.alias("_h")), "_h", n)
+    few = df.withColumn("_h", text).withColumn("_b", hash_bin("_h")).filter(F.col("_b") <= cut.scalar())
+    return few.orderBy("_h", key).limit(n).drop("_h", "_b")
+
+
+def hash_bin(md5: str) -> Column:
+    """A bin number that grows with the hash: the length of its first 60 bits as a number, then the
+    11 bits from the first one set. Bins are a thousandth of their distance from zero wide, so the
+    lowest hashes are told apart however many there are."""
+    x = F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
+    size = F.length(F.bin(x))
+    return (size * 2048 + F.call_function("shiftright", x, F.greatest(size - 11, F.lit(0)))).cast("int")
+
+
+def hash_cut(hashes: DataFrame, md5: str, n: int) -> DataFrame:
+    """One row: the lowest bin such that bins up to it hold at least ``n`` of the hashes, or the last
+    bin if there are fewer. The bins are some 60,000 counts, whatever the number of rows."""
+    bins = hashes.groupBy(hash_bin(md5).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    return bins.withColumn("_upto", F.sum("_n").over(upto)).agg(
+        F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_b"))), F.max("_b")).alias("_cut"))
 
 
 def model_comparison(df: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import calendar as cal
 from ..functions import text as T
+from ..functions.ordering import highest, highest_id
 from ..session import materialize as keep_once
 from .series import window_offsets
 
@@ -80,7 +81,7 @@ def peak_drivers(msgs: DataFrame, peaks: DataFrame, ts: str = "ts", score: str =
     per_wk = msgs.groupBy(cal.week_start(ts).alias("wk")).agg(
         F.sum(F.when(g == d, x)).alias("_ds"), F.count(F.when(g == d, x)).alias("_dn"),
         F.sum(F.when(g == r, x)).alias("_rs"), F.count(F.when(g == r, x)).alias("_rn"),
-        F.max(F.struct(x.alias("x"), (-F.col(tie)).alias("i"))).alias("_ex"))
+        F.max(highest(x, tie)).alias("_ex"))
     m = per_wk.join(window_offsets(peaks), "wk")
     inside = F.col("in_peak")
 
@@ -95,7 +96,7 @@ def peak_drivers(msgs: DataFrame, peaks: DataFrame, ts: str = "ts", score: str =
     driven = (F.when(F.col("dem_excess") > F.col("rep_excess") + margin, "Dem")
                .when(F.col("rep_excess") > F.col("dem_excess") + margin, "Rep").otherwise("both"))
     return agg.select(F.col("peak").alias("wk"), "dem_excess", "rep_excess", driven.alias("driven_by"),
-                      (-F.col("_ex.i")).alias("example_id"))
+                      highest_id("_ex").alias("example_id"))
 
 
 def label_lookup(df: DataFrame, labels: DataFrame | None, key: str = "wk", out: str = "event") -> DataFrame:

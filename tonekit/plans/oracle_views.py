@@ -28,8 +28,10 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 JOIN ({SCORES}) s ON s.msg_id = o.o_orderkey"""
 
+NUMBERED = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents"  # texts are found by number
+
 POSTS_TEXT = f"""SELECT p.*, d.text FROM ({POSTS}) p
-JOIN documents d ON d.doc_id = p.msg_id % (SELECT count(*) FROM documents)"""
+JOIN ({NUMBERED}) d ON d.k = p.msg_id % (SELECT count(*) FROM documents)"""
 
 TERMS = """SELECT c_custkey AS author, DATE '1994-07-01' + CAST((c_custkey * 37) % 730 AS INTEGER) AS term_start,
        DATE '1994-07-01' + CAST((c_custkey * 37) % 730 AS INTEGER) + 1460 AS term_end FROM customer

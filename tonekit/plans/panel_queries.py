@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import panel as P
-from ..operators.rates import latest_of
+from ..operators.rates import latest
 from . import oracle_views as O
 from .age_queries import AGE, age_view
 from .registry import register
@@ -123,9 +123,10 @@ def panel_cells(spark, root):
 
 def _volume(spark, root):
     d = msgs(spark, root).withColumn("angry", (F.col("anger") > K.ANGRY_THRESHOLD).cast("int"))
-    per = d.groupBy("author").agg(
-        *latest_of(["author_name", "party", "state"]), F.count(F.lit(1)).alias("n"), F.avg("angry").alias("share_angry"),
-        (F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))) + 1).alias("active_days"))
+    per = latest(d, "author", ["author_name", "party", "state"], sums=[
+        F.count(F.lit(1)).alias("n"), F.sum("angry").alias("a"), F.min("ts").alias("from"), F.max("ts").alias("to")], totals=[
+        F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("share_angry"),
+        (F.datediff(F.to_date(F.max("to")), F.to_date(F.min("from"))) + 1).alias("active_days")])
     per = per.withColumn("tweets_per_day", F.col("n") / F.col("active_days")).withColumn(
         "tweets_per_year", F.col("tweets_per_day") * F.lit(K.DAYS_PER_YEAR))
     per = per.withColumn("angry_per_day", F.col("tweets_per_day") * F.col("share_angry")).withColumn(

@@ -212,7 +212,7 @@ best AS (SELECT c.mo, p.grp AS party, p.emo, arg_max(c.msg_id, ({chosen}, -c.msg
          FROM cand c JOIN picks p ON c.mo = p.mo AND c.party = p.grp GROUP BY 1, 2, 3),
 sel AS (SELECT b.*, cu.c_name AS who0, dt.text AS t FROM best b JOIN orders o ON o.o_orderkey = b.id
         JOIN customer cu ON cu.c_custkey = o.o_custkey
-        JOIN documents dt ON dt.doc_id = b.id % (SELECT count(*) FROM documents)),
+        JOIN ({O.NUMBERED}) dt ON dt.k = b.id % (SELECT count(*) FROM documents)),
 tid AS (SELECT *, {tidy0} AS t1 FROM sel)
 SELECT mo, party, emo, regexp_replace(who0, '\\s+[DRI]-[A-Z]{{2}}$', '') AS who,
        CASE WHEN length(t1) <= {K.TIDY_MAX} THEN t1 ELSE regexp_replace(substr(t1, 1, {K.TIDY_CUT}), ' [^ ]*$', '') || '…' END AS text,

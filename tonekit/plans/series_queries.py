@@ -113,7 +113,7 @@ drivers AS (SELECT v.wk, v.dem_excess, v.rep_excess,
                    c.c_name AS example_author,
                    substr(replace(t.text, chr(10), ' '), 1, {K.EXAMPLE_CHARS}) AS example
             FROM drv v LEFT JOIN orders o ON o.o_orderkey = v.ex_id LEFT JOIN customer c ON c.c_custkey = o.o_custkey
-            LEFT JOIN documents t ON t.doc_id = v.ex_id % (SELECT count(*) FROM documents))"""
+            LEFT JOIN ({O.NUMBERED}) t ON t.k = v.ex_id % (SELECT count(*) FROM documents))"""
 
 
 def _peaks(spark, root):

@@ -1,26 +1,33 @@
 """Export-shaped queries: pivots, per-year curves, hour profiles, interpolation, JSON."""
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import battery as B
 from ..operators import export as X
+from ..session import checkpoint_dir
 from . import oracle_views as O
 from .registry import register
 from .series_queries import _MONTH_CELLS, _month_cells
 from .views import analysis_posts, local_msgs
 
 
-YEARS = list(range(1994, 2000))  # columns of the wide table
-
-
-@register("pivot_dev", O.with_views("SELECT month, " + ", ".join(
-    f'ROUND(max(anger_dev) FILTER (year = {y}), 6) AS "{y}"' for y in YEARS) + f" FROM ({_MONTH_CELLS}) x GROUP BY month",
-    d=O.D_POSTS))
+@register("pivot_dev", O.with_views(f"""
+, c AS ({_MONTH_CELLS})
+SELECT m.month, list(y.year ORDER BY y.year) AS years, list(ROUND(c.anger_dev, 6) ORDER BY y.year) AS dev
+FROM (SELECT DISTINCT month FROM c) m, (SELECT DISTINCT year FROM c) y LEFT JOIN c ON c.month = m.month AND c.year = y.year
+GROUP BY m.month""", d=O.D_POSTS).replace(")\n\n, c AS", "),\nc AS"))
 def pivot_dev(spark, root):
-    """Month x year deviations, long -> wide (one column per year)."""
-    return X.pivot_wide(_month_cells(spark, root), "month", "year", "anger_dev", values=YEARS)
+    """Month x year deviations, long -> wide, one column for every year there is; here the
+    columns stand in one array beside their years, as a statement cannot name them beforehand."""
+    wide = X.pivot_wide(_month_cells(spark, root), "month", "year", "anger_dev")
+    years = wide.columns[1:]
+    return wide.select("month", F.array(*[F.lit(int(y)) for y in years]).alias("years"),
+                       F.array(*[F.col(f"`{y}`") for y in years]).alias("dev"))
 
 
 @register("year_curves", O.with_views(f"""SELECT year, list(month ORDER BY month) AS x, list(ROUND(anger_dev, 6) ORDER BY month) AS dev
@@ -91,10 +98,28 @@ _JSON_COLS = ["anger", "share_angry", "negative", "disgust", "joy", "optimism",
          count(*) FILTER (anger > 0.5) / count(*) AS share_angry, stddev_samp(anger) / sqrt(count(*)) AS anger_se
   FROM d GROUP BY year HAVING count(*) >= 30) x""", d=O.D_POSTS))
 def year_json(spark, root):
-    """The yearly battery as parallel arrays (floats to 4 dp, NaN -> null), the
-    content of its JSON document; the JSON text itself is tested with the sinks."""
+    """The yearly battery as one compact JSON document of parallel arrays (floats to 4 dp,
+    NaN -> null), written and read again."""
     cells = X.rounded_for_export(B.mean_battery(analysis_posts(spark, root), ["year"], min_n=30))
-    return X.parallel_arrays(cells, ["year"], cells.columns)
+    path = os.path.join(checkpoint_dir(spark), f"year-{uuid.uuid4().hex}")
+    X.json_document(cells).write.text(path)
+    return spark.read.schema(X.parallel_arrays(cells, ["year"], cells.columns).schema).json(path)
+
+
+@register("party_json", O.with_views("SELECT party, list(year ORDER BY year) AS year, list(n ORDER BY year) AS n, " + ", ".join(
+    f"list(ROUND({c}, 4) ORDER BY year) AS {c}" for c in ("anger", "joy")) + """ FROM (
+  SELECT party, year, count(*) AS n, avg(anger) AS anger, avg(joy) AS joy FROM d GROUP BY party, year HAVING count(*) >= 30) x
+GROUP BY party""", d=O.D_POSTS))
+def party_json(spark, root):
+    """One JSON document with a dictionary entry for each party, its yearly curve as parallel
+    arrays; written, read again as a map and spread to rows."""
+    cells = B.mean_battery(analysis_posts(spark, root), ["party", "year"], means=("anger", "joy"), min_n=30)
+    cols = ["year", "n", "anger", "joy"]
+    path = os.path.join(checkpoint_dir(spark), f"party-{uuid.uuid4().hex}")
+    X.json_dictionary(X.rounded_for_export(cells.select("party", *cols)), "party", ["year"], cols).write.text(path)
+    doc = spark.read.text(path).select(F.from_json(
+        "value", "map<string, struct<year: array<int>, n: array<bigint>, anger: array<double>, joy: array<double>>>").alias("d"))
+    return doc.select(F.explode("d").alias("party", "v")).select("party", "v.*")
 
 
 @register("chamber_hours", O.with_views(f"""SELECT list(ROUND(s, 6) ORDER BY h) AS share, list(n ORDER BY h) AS n,

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import link as L
-from ..operators.export import write_json_lines
+from ..operators.export import write_json_arrays, write_json_lines
+from ..operators.paging import row_index
 from ..session import checkpoint_dir
 from ..sources import files as S
 from . import oracle_views as O
 from .link_queries import _FIRST, _LAST, _names
 from .registry import register
-from .views import author_terms
+from .views import author_terms, posts, store_posts
 
 
 def _new(spark, name: str) -> str:
@@ -61,30 +62,29 @@ def text_lines(spark, root):
 
 
 def _records(spark, root):
-    """The customers as nested records with their terms, through JSON lines and back."""
-    path = _new(spark, "records")
+    """The customers as nested records with their terms."""
     c = S.read_table(spark, root, "customer", ["c_custkey", "c_nationkey"])
     k = F.col("c_custkey")
     first, last = _names(k)
     day = lambda x: F.date_format(x, "yyyy-MM-dd")
     terms = author_terms(spark, root).groupBy(F.col("author").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct(
         day("term_start").alias("start"), day("term_end").alias("end")))).alias("t"))
-    rec = c.join(terms, "c_custkey").select(
+    return c.join(terms, "c_custkey").select(
         F.struct(F.concat(F.lit("P"), k.cast("string")).alias("bioguide")).alias("id"),
         F.struct(F.lit("1950-02-01").alias("birthday"), F.when(k % 2 == 0, "F").alias("gender")).alias("bio"),
         F.struct(first.alias("first"), last.alias("last")).alias("name"),
         F.transform("t", lambda t: F.struct(F.lit("rep").alias("type"), t["start"].alias("start"), t["end"].alias("end"),
                                             F.col("c_nationkey").cast("string").alias("state"))).alias("terms"))
-    write_json_lines(rec, path)
-    return spark.read.schema(L.LEGISLATOR_SCHEMA).json(path)
 
 
 @register("record_terms", O.with_views("""SELECT 'P' || CAST(author AS VARCHAR) AS bioguide, 'rep' AS term_type, term_start, term_end,
        CAST(c_nationkey AS VARCHAR) AS term_state, CAST(NULL AS VARCHAR) AS term_party
 FROM t JOIN customer ON c_custkey = author""", t=O.TERMS))
 def record_terms(spark, root):
-    """Nested records written and read as JSON, one row per term."""
-    return L.explode_terms(_records(spark, root))
+    """Nested records written and read as JSON lines, one row per term."""
+    path = _new(spark, "records")
+    write_json_lines(_records(spark, root), path)
+    return L.explode_terms(spark.read.schema(L.LEGISLATOR_SCHEMA).json(path))
 
 
 @register("record_people", O.with_views(f"""SELECT 'P' || CAST(k AS VARCHAR) AS bioguide, {_FIRST} AS first, {_LAST} AS last,
@@ -92,6 +92,72 @@ def record_terms(spark, root):
        CAST(e AS VARCHAR) AS last_term_end, DATE '1950-02-01' AS birthday, CASE WHEN k % 2 = 0 THEN 'F' END AS gender
 FROM (SELECT author AS k, max(term_end) AS e FROM t GROUP BY author) x JOIN customer ON c_custkey = k""", t=O.TERMS))
 def record_people(spark, root):
-    """The flat person table of the nested records."""
-    return L.people_from_records(_records(spark, root))
+    """The flat person table of nested records that lie in two sets of files, each file one
+    JSON array: people of even states' numbers (the current ones) and the others."""
+    rec, paths = _records(spark, root), [_new(spark, "current"), _new(spark, "historical")]
+    even = F.col("terms")[0]["state"].cast("int") % 2 == 0
+    write_json_arrays(rec.filter(even), paths[0], per_file=500)
+    write_json_arrays(rec.filter(~even), paths[1], per_file=500)
+    return L.people_from_records(S.read_json_records(spark, paths, L.LEGISLATOR_SCHEMA))
+
+
+SNAPSHOTS = ["social-2015", "social-2017", "social-2019", "social-now"]  # in the order of time, not of names
+
+
+@register("handle_history", """WITH s AS (SELECT unnest(range(4)) AS i),
+h AS (SELECT i, c_custkey AS k, lower(CASE WHEN c_custkey % 5 = i THEN 'Alt' ELSE 'Rep' END || CAST(c_custkey AS VARCHAR)) AS handle
+      FROM customer, s WHERE (c_custkey + i) % 4 > 0),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY k, handle ORDER BY i) AS run FROM h)
+SELECT handle, 'P' || CAST(k AS VARCHAR) AS bioguide, CAST(min(i) AS INTEGER) AS "from",
+       CAST(CASE WHEN max(i) < 3 THEN max(i) + 1 END AS INTEGER) AS "to" FROM r GROUP BY k, handle, run""")
+def handle_history(spark, root):
+    """A5: four snapshots of the customers' handles, written as YAML lists, the newest as JSON arrays, and
+    read at once; per handle the snapshots during which a person had it. A quarter of the people is
+    missing from each snapshot, a fifth has another handle in it."""
+    base = _new(spark, "snapshots")
+    k = F.col("c_custkey")
+    person, people = F.concat(F.lit("P"), k.cast("string")), S.read_table(spark, root, "customer", ["c_custkey"])
+    paths = []
+    for at, name in enumerate(SNAPSHOTS):
+        handle = F.concat(F.when(k % 5 == at, "Alt").otherwise("Rep"), k.cast("string"))
+        there = (k + at) % 4 > 0
+        paths.append(f"{base}/{name}")
+        if name == "social-now":
+            write_json_arrays(people.filter(there).select(F.struct(person.alias("bioguide")).alias("id"),
+                                                          F.struct(handle.alias("twitter")).alias("social")), paths[-1], per_file=400)
+        else:
+            people.select(F.concat(F.lit("- id: {bioguide: "), person, F.lit("}\n  social: {twitter: "),
+                                   F.when(there, handle).otherwise(""), F.lit("}")).alias("value")).write.text(paths[-1])
+    found = L.snapshot_handles(spark, paths)
+    return L.handle_intervals(found)
+
+
+@register("pages_of_orders", """WITH o AS (SELECT o_orderkey, o_orderdate FROM orders)
+SELECT *, row_number() OVER (ORDER BY page, o_orderdate DESC, o_orderkey) - 1 AS pos FROM (
+  SELECT * FROM (SELECT o_orderkey, 0 AS page, o_orderdate FROM o ORDER BY o_orderdate DESC, o_orderkey LIMIT 700 OFFSET 0) a
+  UNION ALL SELECT * FROM (SELECT o_orderkey, 1, o_orderdate FROM o ORDER BY o_orderdate DESC, o_orderkey LIMIT 700 OFFSET 700) b
+  UNION ALL SELECT * FROM (SELECT o_orderkey, 2, o_orderdate FROM o ORDER BY o_orderdate DESC, o_orderkey LIMIT 700 OFFSET 1400) c) x""")
+def pages_of_orders(spark, root):
+    """the first three pages of 700 orders, newest first, and where in the order each row stands."""
+    o = S.read_table(spark, root, "orders", ["o_orderkey", "o_orderdate"])
+    index = row_index(o, [F.col("o_orderdate").desc_nulls_last(), "o_orderkey"])
+    pages = [index.page(i, 700, "pos").withColumn("page", F.lit(i)) for i in range(3)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+@register("row_numbers", """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS pos
+FROM lineitem""")
+def row_numbers(spark, root):
+    """every line item's place in the order of shipping."""
+    li = S.read_table(spark, root, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate"])
+    return row_index(li, ["l_shipdate", "l_orderkey", "l_linenumber"]).rows("pos").drop("l_shipdate")
+
+
+@register("colocated_posts", O.with_views("""SELECT year, party, count(*) AS n, ROUND(avg(anger), 6) AS anger, ROUND(avg(negative), 6) AS negative,
+       ROUND(avg(joy), 6) AS joy FROM p GROUP BY ALL""", p=O.POSTS))
+def colocated_posts(spark, root):
+    """The posts view over messages and scores that are stored bucketed by the id, so that the join of
+    the two fact tables moves no row of either."""
+    return posts(spark, root, stored=store_posts(spark, root)).groupBy("year", "party").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("anger", "negative", "joy")])
 

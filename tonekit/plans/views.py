@@ -16,11 +16,14 @@ Every view has a DuckDB twin in :mod:`tonekit.plans.oracle_views` with identical
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import fixed_broadcast
-from ..sources.files import read_table
+from ..operators.paging import row_index
+from ..sources.files import read_table, write_bucketed
 
 SEGMENT_PARTY = {"BUILDING": "Democrat", "FURNITURE": "Democrat",
                  "MACHINERY": "Republican", "HOUSEHOLD": "Republican"}
@@ -51,13 +54,34 @@ def order_scores(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, root: str, with_terms: bool = False) -> DataFrame:
+_ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"]
+
+
+def store_posts(spark: SparkSession, root: str, buckets: int | None = None) -> tuple[str, str]:
+    """Write messages and scores as catalogue tables of as many buckets each, by the id; returns their
+    names, for ``posts(stored=...)``. Written once, they serve every view that joins the two."""
+    tag = uuid.uuid4().hex
+    names = f"messages_{tag}", f"scores_{tag}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = read_table(spark, root, "orders", _ORDER_COLS)
+    # dealt out as the buckets are, so that a task writes one file of its own bucket
+    write_bucketed(orders.repartition(buckets, "o_orderkey"), names[0], "o_orderkey", buckets)
+    write_bucketed(order_scores(spark, root).repartition(buckets, "msg_id"), names[1], "msg_id", buckets)
+    return names
+
+
+def posts(spark: SparkSession, root: str, with_terms: bool = False, stored: tuple[str, str] | None = None) -> DataFrame:
     """Orders as messages.  Join order for scale: the fact-to-fact join with the
     per-order scores first (both keyed by the order id, the score side already
     partitioned by it), then ONE join with a customer-sized person table that carries
-    nation, region and -- with ``with_terms`` -- the folded terms of office."""
-    o = read_table(spark, root, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
-    msg = o.join(order_scores(spark, root), o.o_orderkey == F.col("msg_id"))
+    nation, region and -- with ``with_terms`` -- the folded terms of office.
+
+    ``stored``: the tables of :func:`store_posts`; the first join then reads co-located buckets."""
+    if stored:
+        o, scores = (spark.table(name) for name in stored)
+    else:
+        o, scores = read_table(spark, root, "orders", _ORDER_COLS), order_scores(spark, root)
+    msg = o.join(scores, o.o_orderkey == F.col("msg_id"))
     c = read_table(spark, root, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
     # nation (25 rows) and region (5 rows) have a fixed size by the schema's definition
     n = fixed_broadcast(read_table(spark, root, "nation", ["n_nationkey", "n_name", "n_regionkey"]))
@@ -88,6 +112,19 @@ def posts(spark: SparkSession, root: str, with_terms: bool = False) -> DataFrame
     return base
 
 
+def numbered_documents(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """(doc_id, text, _doc) of every document, ``_doc`` its number from 0 in the order of the ids, and
+    how many there are. Ids that are 0 to n - 1 already are their own numbers; others are numbered
+    by a row index over the ids."""
+    docs = read_table(spark, root, "documents", ["doc_id", "text"]).filter(F.col("doc_id").isNotNull())
+    n, low, high, ids, total = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.count_distinct("doc_id"),
+                                        F.sum(F.col("doc_id").cast("decimal(38,0)"))).first()
+    if n == ids and (not n or (low, high, int(total)) == (0, n - 1, n * (n - 1) // 2)):
+        return docs.withColumn("_doc", F.col("doc_id")), n
+    numbers = row_index(docs.select("doc_id").distinct(), ["doc_id"])
+    return docs.join(numbers.rows("_doc"), "doc_id"), numbers.size
+
+
 def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str = "msg_id",
                          scored: bool = False, tokens: bool = False, flags: dict | None = None,
                          also: dict | None = None, keep_text: bool = True) -> DataFrame:
@@ -96,13 +133,8 @@ def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str
     Text features are computed once per document, before the join, rather than once
     per message that reuses the text: ``scored`` adds the lexicon scores, ``tokens``
     the distinct-token array, ``flags`` one boolean per named pattern, ``also`` further
-    named expressions over ``text``.  Without ``keep_text`` only the features travel.
-    The ids must be 0 to #documents - 1; a gap would lose messages and is an error."""
-    docs = read_table(spark, root, "documents", ["doc_id", "text"])
-    n_docs, low, high, ids = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"),
-                                      F.sum(F.col("doc_id").cast("decimal(38,0)"))).first()
-    if n_docs and (low, high, int(ids)) != (0, n_docs - 1, n_docs * (n_docs - 1) // 2):
-        raise ValueError("document ids are not 0 to n - 1")
+    named expressions over ``text``.  Without ``keep_text`` only the features travel."""
+    docs, n_docs = numbered_documents(spark, root)
     if scored:
         from ..operators.scoring import lexicon_scores
 
@@ -119,8 +151,7 @@ def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str
         docs = docs.withColumn(name, c)
     if not keep_text:
         docs = docs.drop("text")
-    return (df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs)))
-              .join(docs.withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc"))
+    return df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs))).join(docs.drop("doc_id"), "_doc").drop("_doc")
 
 
 def winners_with_text(spark: SparkSession, root: str, winners: DataFrame, id_col: str) -> DataFrame:
@@ -132,10 +163,9 @@ def winners_with_text(spark: SparkSession, root: str, winners: DataFrame, id_col
     w = fixed_broadcast(winners.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("o_orderkey")).distinct())
     who = fixed_broadcast(o.join(w, "o_orderkey")).join(c, F.col("o_custkey") == c.c_custkey)
     who = who.select(F.col("o_orderkey").alias(id_col), F.col("c_name").alias("author_name"))
-    docs = read_table(spark, root, "documents", ["doc_id", "text"])
-    n_docs = docs.count()
-    named = fixed_broadcast(who.withColumn("doc_id", F.pmod(F.col(id_col), F.lit(n_docs))))
-    text = docs.join(named, "doc_id").select(id_col, "author_name", "text")
+    docs, n_docs = numbered_documents(spark, root)
+    named = fixed_broadcast(who.withColumn("_doc", F.pmod(F.col(id_col), F.lit(n_docs))))
+    text = docs.join(named, "_doc").select(id_col, "author_name", "text")
     return winners.join(text, id_col, "left")
 
 
