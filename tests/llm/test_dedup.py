@@ -246,3 +246,24 @@ def test_whole_table_against_brute_force(spark):
     assert got == brute_simhash(docs)
     got = [(i, n, list(g)) for i, n, g in rows_of(Q.op6_sentence_dedup(spark, root), "doc_id", "n_sentences", "removed")]
     assert got == sentence_spans.brute_force(docs)
+
+
+def test_pieces_are_the_sentences():
+    texts = [t for _, t in ROWS if t] + ["", " \n ", "a. b! c?  d\n\ne " + "w " * 40 + "end. x", "第一句。第二句！ third one. " * 9,
+                                         "x\x1cy\x85z. q\xa0r.\n s" * 12, ". . . a.b", "one.\r\n\r\ntwo"]
+    for t in texts:
+        got = list(sentence_spans._pieces(t))
+        assert [p[:3] for p in got] == sentence_spans.sentences(t)
+        assert [p[3] for p in got] == [" ".join(t[a:b].split()) for a, b, _ in sentence_spans.sentences(t)]
+
+
+def test_run_hashes_follow_the_sentences_alone():
+    r = np.random.default_rng(1)
+    part = r.integers(0, 2**64, (9, 2), dtype=np.uint64)
+    rows = np.concatenate([part, r.integers(0, 2**64, (5, 2), dtype=np.uint64), part, part[::-1]])
+    first = np.array([0, 14, 23, 0, 0, 14])
+    h, g = sentence_spans._run_hashes(rows, first, np.array([9, 23, 32, 8, 3, 17]))
+    assert h[0] == h[1] and g[0] == g[1] and h[4] == h[5] and g[4] == g[5]
+    assert len({(a, b) for a, b in zip(h.tolist(), g.tolist())}) == 4  # order and number count
+    zero = np.zeros((4, 2), np.uint64)
+    assert len(set(sentence_spans._run_hashes(zero, np.array([0, 0, 0]), np.array([1, 2, 3]))[0].tolist())) == 3

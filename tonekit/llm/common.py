@@ -137,8 +137,9 @@ def ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def later_copies(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+def later_copies(rows: DataFrame, keys: list[str], place: list[str], always: str | None = None) -> DataFrame:
     """The rows that have an equal ``keys`` row at a smaller ``place``; the first of each key goes.
+    Rows with a true ``always`` stay and are nobody's first; they are dealt out by their own keys.
 
     Rows at the same place as the first count as the first. One shuffle by the first key, a
     sort that may spill, and a pass that remembers one row: a key with any number of rows
@@ -154,6 +155,14 @@ def later_copies(rows: DataFrame, keys: list[str], place: list[str]) -> DataFram
             k = [ints(batch, c) for c in keys]
             p = [ints(batch, c) for c in place]
             n = batch.num_rows
+            if always:
+                stay = ints(batch, always)
+                here, batch = batch.filter(pa.array(stay)), batch.filter(pa.array(~stay))
+                yield here
+                if batch.num_rows == 0:
+                    continue
+                k, p = [x[~stay] for x in k], [x[~stay] for x in p]
+                n = batch.num_rows
             new = np.zeros(n, bool)
             for x in k:
                 new[1:] |= x[1:] != x[:-1]

@@ -102,41 +102,134 @@ def _runs(got: list[tuple[int, int, int]], least: int, words: int) -> list[tuple
     return list(zip(first[ok].tolist(), (end - first)[ok].tolist()))
 
 
-def _hashed(text: str, least: int, words: int):
-    """Run hashes (128 bits): of the words of its sentences, whatever white space parts them."""
-    import xxhash
+def _pieces(text: str):
+    """(start, end, words, normal text) of each sentence as :func:`sentences` cuts them; the normal text has
+    one blank where white space stood. Texts in scripts with blanks are split into words only once."""
+    if not text.isascii() and _IS_WIDE(text):
+        for a, b, n in sentences(text):
+            yield a, b, n, " ".join(text[a:b].split())
+        return
+    at = 0
+    for stop in itertools.chain((m.span() for m in _PLAIN_STOP.finditer(text)), [(len(text), len(text))]):
+        if stop[0] > at:
+            part = text[at:stop[0]]
+            words = part.split()
+            if len(words) > LONGEST:
+                starts = [at + m.start() for m in _PLAIN_WORD.finditer(part)]
+                first = 0
+                for last in cuts(words):
+                    if last + 1 < len(words):
+                        yield starts[first], starts[last + 1], last + 1 - first, " ".join(words[first:last + 1])
+                        first = last + 1
+                yield starts[first], stop[1], len(words) - first, " ".join(words[first:])
+            elif words:
+                yield at + len(part) - len(part.lstrip()), stop[1], len(words), " ".join(words)
+        at = stop[1]
+
+
+#: Odd factors of the two sums that make a run's hash of its sentences' hashes, and their inverses modulo 2**64.
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, factor, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _run_hashes(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each run of rows ``first`` to ``end`` of ``hashes`` (two columns): the sum of
+    the rows' hashes times powers of a factor that count from the run's start, by running sums, so a
+    sentence is hashed once however many runs it is in."""
+    out = []
+    for lane, (factor, inverse) in enumerate(zip(_FACTORS, _INVERSES)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, lane] * _powers(factor, len(hashes))[:-1])])
+        h = (sums[end] - sums[first]) * _powers(inverse, len(hashes))[first] + (end - first).astype(np.uint64) * np.uint64(factor)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(_FACTORS[1 - lane])
+        out.append((h ^ (h >> np.uint64(32))).view(np.int64))
+    return out
+
+
+#: A mark is packed into two numbers: sentence and number of sentences, first and last character. One with a
+#: negative first number says how many sentences its text has.
+_MOST = 1 << 16
 
-    got = sentences(text)
-    part = [" ".join(text[a:b].split()) for a, b, _ in got]
-    for first, n in _runs(got, least, words):
-        h = xxhash.xxh3_128_intdigest("\n".join(part[first:first + n]).encode("utf-8", "surrogatepass"))
-        yield first, n, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+_NONE = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _pack(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return (a.astype(np.int64) << bits) | b
 
 
 def span_rows(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(h, g, did, th, pos, n, known): every run of every text. Of equal runs in a batch only the
-    first goes on; the others are ``known`` repeats and are dealt by their own place."""
+    """(h, g, did, th, at, chars, known): every run of every text, and one row a text with its number of
+    sentences. Of equal runs in a batch only the first goes on as itself; the others are ``known``
+    repeats and are dealt by their own place, so a run that a third of the texts have is one row a batch."""
+    if max(least, words) >= _MOST:
+        raise ValueError(f"runs are of less than {_MOST} sentences")
+
     def run(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
         for b in sized_batches(batches, BATCH_BYTES):
+            # by place, so that of equal runs the first in the batch is the first in the corpus
+            b = b.take(pa.array(np.lexsort((ints(b, "th"), ints(b, "did")))))
             did, th = ints(b, "did"), ints(b, "th")
-            got = [(h, g, i, first, n) for i, t in enumerate(b.column("text"))
-                   for first, n, h, g in _hashed(t.as_py(), least, words)]
-            if not got:
-                continue
-            h, g, row, pos, n = np.array(got, np.int64).T
-            order = np.lexsort((pos, th[row], did[row], g, h))
+            start, end, many, digests, count = [], [], [], [], []
+            for t in b.column("text"):
+                was = len(start)
+                for a, e, n, part in _pieces(t.as_py()):
+                    start.append(a)
+                    end.append(e)
+                    many.append(n)
+                    digests.append(digest(part.encode("utf-8", "surrogatepass")))
+                count.append(len(start) - was)
+            count = np.array(count, np.int64)
+            last = np.cumsum(count)
+            start, end = np.array(start, np.int64), np.array(end, np.int64)
+            total = np.concatenate(([0], np.cumsum(np.array(many, np.int64))))
+            first = np.arange(len(start))
+            stop = np.maximum(first + least, np.searchsorted(total, total[:-1] + words))
+            row = np.repeat(np.arange(len(count)), count)
+            ok = stop <= last[row]
+            first, stop, row = first[ok], stop[ok], row[ok]
+            h, g = _run_hashes(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2), first, stop)
+            pos = first - (last - count)[row]
+            order = np.argsort(h, kind="stable")
             new = np.ones(len(order), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
             head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             same = (did[row[order]] == did[row[head]]) & (th[row[order]] == th[row[head]]) & (pos[order] == pos[head])
-            known = ~new & ~same
-            o = order[new | known]
-            known = known[new | known]
+            o = order[new | ~same]
+            known = ~new[new | ~same]
+            r = row[o]
+            again = np.concatenate([np.zeros(1, bool), (did[1:] == did[:-1]) & (th[1:] == th[:-1])])
+            some = np.flatnonzero((count > 0) & ~again)  # repeated rows are one place
+            own = did * 31 + th  # rows that need no partner are dealt by their place
             yield pa.RecordBatch.from_pydict({
-                "h": np.where(known, did[row[o]] * 31 + pos[o], h[o]), "g": g[o], "did": did[row[o]], "th": th[row[o]],
-                "pos": pos[o], "n": n[o], "known": pa.array(known)})
+                "h": np.concatenate([np.where(known, own[r] + pos[o], h[o]), own[some] - 1]),
+                "g": np.concatenate([g[o], np.zeros(len(some), np.int64)]),
+                "did": np.concatenate([did[r], did[some]]), "th": np.concatenate([th[r], th[some]]),
+                "at": np.concatenate([_pack(pos[o], (stop - first)[o], 16), -count[some]]),
+                "chars": np.concatenate([_pack(start[first[o]], end[stop[o] - 1], 32), np.zeros(len(some), np.int64)]),
+                "known": pa.array(np.concatenate([known, np.ones(len(some), bool)]))})
 
-    return docs.mapInArrow(run, "h long, g long, did long, th long, pos long, n long, known boolean")
+    return docs.mapInArrow(run, "h long, g long, did long, th long, at long, chars long, known boolean")
+
+
+def _united(chars: np.ndarray) -> list[tuple[int, int]]:
+    """The packed character spans, joined where they touch or overlap."""
+    out = []
+    for c in np.sort(chars).tolist():
+        a, e = c >> 32, c & 0xFFFFFFFF
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((a, e))
+    return out
 
 
 def remove_repeated_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
@@ -148,30 +241,34 @@ def remove_repeated_sentences(docs: DataFrame, least: int = SENTENCES, words: in
     null and empty texts lose nothing (kept_text of null is empty). Null ids come first, equal
     ids are ordered by text hash, rows with equal id and text are one place and get the same
     result. Other columns are not read; texts are never cut. An empty table gives no rows.
+
+    Runs are shuffled once, by hash; the marks that come out carry the characters they cover, so
+    a text is cut into sentences once.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = settled(span_rows(rows, least, words), "spans")
-    columns = ["did", "th", "pos", "n"]
-    later = later_copies(spans.filter("not known").select("h", "g", *columns), ["h", "g"], ["did", "th", "pos"])
-    marks = settled(spans.filter("known").select(*columns).unionByName(later.select(*columns)), "marks")
-    per_text = marks.groupBy("did", "th").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
+    later = later_copies(span_rows(rows, least, words), ["h", "g"], ["did", "th", "at"], always="known")
+    marks = settled(later.select("did", "th", "at", "chars"), "marks")
+    per_text = marks.groupBy("did", "th").agg(F.collect_set(F.struct("at", "chars")).alias("spans"))
 
     def run(batches):
         for b in sized_batches(batches, BATCH_BYTES):
             total, gone, kept = [], [], []
             for i in range(b.num_rows):
-                text = b.column("text")[i].as_py()
-                got = sentences(text)
-                drop = np.zeros(len(got) + 1, np.int64)
-                spans = b.column("spans")[i].values
-                if spans is not None:
-                    pos, n = (spans.field(j).to_numpy(zero_copy_only=False) for j in range(2))
-                    np.add.at(drop, pos, 1)
-                    np.add.at(drop, pos + n, -1)
-                drop = np.cumsum(drop[:-1]) > 0
-                total.append(len(got))
-                gone.append(np.flatnonzero(drop).tolist())
-                kept.append("".join(text[a:e] for (a, e, _), d in zip(got, drop) if not d) if drop.any() else text)
+                text, spans = b.column("text")[i].as_py(), b.column("spans")[i].values
+                at, chars = (spans.field(j).to_numpy(zero_copy_only=False) for j in range(2)) if spans is not None else _NONE
+                total.append(int(-at.min(initial=0)))
+                chars, at = chars[at >= 0], at[at >= 0]
+                drop = np.zeros(total[-1] + 1, np.int64)
+                np.add.at(drop, at >> 16, 1)
+                np.add.at(drop, (at >> 16) + (at & (_MOST - 1)), -1)
+                gone.append(np.flatnonzero(np.cumsum(drop[:-1]) > 0).tolist())
+                if len(at):
+                    out, upto = [], len(text) - len(text.lstrip())  # the first sentence's start
+                    for a, e in _united(chars):
+                        out.append(text[upto:a])
+                        upto = e
+                    text = "".join(out) + text[upto:]
+                kept.append(text)
             yield pa.RecordBatch.from_arrays(
                 [b.column("did"), pa.array(total, pa.int64()), pa.array([len(x) for x in gone], pa.int64()),
                  pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.string())],
