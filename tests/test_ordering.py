@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tonekit.functions import ordering as R
 from tonekit.operators import paging as P
+from tonekit.operators import sampling as SA
 from tonekit.operators import scoring as SC
 from tonekit.operators.enrich import dedup_first
 from tonekit.operators.rates import latest
@@ -132,8 +133,8 @@ def test_sample_is_the_lowest_hashes(spark, n):
 def test_sample_takes_few_rows_to_the_last_task(spark):
     df = spark.range(200_000, numPartitions=50).select(F.col("id").alias("msg_id"))
     h = F.md5(F.concat_ws(":", F.lit("7"), F.col("msg_id").cast("string")).cast("binary"))
-    cut = SC.hash_cut(df.select(h.alias("_h")), "_h", 1000).first()[0]
-    passed = df.select(h.alias("_h")).filter(SC.hash_bin("_h") <= cut).count()
+    cut = SA.hash_cut(df.select(h.alias("_h")), "_h", 1000).first()[0]
+    passed = df.select(h.alias("_h")).filter(SA.hash_bin("_h") <= cut).count()
     assert 1000 <= passed <= 1010  # a plain top-k sends 50 x 1000
     assert SC.repeatable_sample(df, 1000, 7).count() == 1000
 
@@ -141,5 +142,5 @@ def test_sample_takes_few_rows_to_the_last_task(spark):
 def test_hash_bins_grow_with_the_hash(spark):
     r = random.Random(3)
     hs = sorted([f"{r.getrandbits(60) >> r.randrange(60):015x}" + "0" * 17 for _ in range(500)] + ["0" * 32, "f" * 32])
-    bins = [x.b for x in spark.createDataFrame([(h,) for h in hs], "h string").select("h", SC.hash_bin("h").alias("b")).orderBy("h").collect()]
+    bins = [x.b for x in spark.createDataFrame([(h,) for h in hs], "h string").select("h", SA.hash_bin("h").alias("b")).orderBy("h").collect()]
     assert bins == sorted(bins) and len(set(bins)) > 400

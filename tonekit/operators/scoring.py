@@ -20,12 +20,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import text as TX
+from .sampling import hash_bin, hash_cut
 
 # Word lists of the lexicon scorer (ours; short on purpose -- callers pass their own).
 LEXICON = {
@@ -162,16 +163,20 @@ def lexicon_model(labels: Sequence[str] = tuple(K.EMOTIONS) + tuple(K.SENTIMENTS
 
 def score_batches(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]],
                   heads: Sequence[tuple[Sequence[str], bool]], id_col: str = "msg_id", text: str = "text",
-                  batch_size: int = 256) -> DataFrame:
+                  batch_size: int = 256, max_tokens: int | None = None) -> DataFrame:
     """M1/M2/M4: score texts with a Python model in Arrow batches, all heads in one pass.
 
     ``heads``: (labels, multilabel) of consecutive logit columns -- independent sigmoids, or
     a softmax.  Rows are sorted by text length within each partition (no shuffle) so batches
     hold texts of similar length; the model is created once per task.  A null text is
-    scored as an empty one."""
+    scored as an empty one; ``max_tokens`` cuts texts after that many tokens."""
     names = [lab for labels, _ in heads for lab in labels]
     schema = T.StructType([df.schema[id_col]] + [T.StructField(n, T.DoubleType()) for n in names])
-    src = df.select(id_col, TX.model_input(text).alias("_t")).sortWithinPartitions(F.length("_t"))
+    from .trained import truncated
+
+    t = TX.model_input(text)
+    t = truncated(t, max_tokens) if max_tokens else t
+    src = df.select(id_col, t.alias("_t")).sortWithinPartitions(F.length("_t"))
     bounds = np.cumsum([0] + [len(labels) for labels, _ in heads]).tolist()
 
     def run(batches):
@@ -206,24 +211,6 @@ def repeatable_sample(df: DataFrame, n: int, seed: int, key: str = "msg_id") ->
     return few.orderBy("_h", key).limit(n).drop("_h", "_b")
 
 
-def hash_bin(md5: str) -> Column:
-    """A bin number that grows with the hash: the length of its first 60 bits as a number, then the
-    11 bits from the first one set. Bins are a thousandth of their distance from zero wide, so the
-    lowest hashes are told apart however many there are."""
-    x = F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
-    size = F.length(F.bin(x))
-    return (size * 2048 + F.call_function("shiftright", x, F.greatest(size - 11, F.lit(0)))).cast("int")
-
-
-def hash_cut(hashes: DataFrame, md5: str, n: int) -> DataFrame:
-    """One row: the lowest bin such that bins up to it hold at least ``n`` of the hashes, or the last
-    bin if there are fewer. The bins are some 60,000 counts, whatever the number of rows."""
-    bins = hashes.groupBy(hash_bin(md5).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    return bins.withColumn("_upto", F.sum("_n").over(upto)).agg(
-        F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_b"))), F.max("_b")).alias("_cut"))
-
-
 def model_comparison(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """M6: mean probability per label and the share of rows where it is the arg-max."""
     arr = F.array(*[F.struct(F.col(l).alias("p"), F.lit(-i).alias("neg_i"), F.lit(l).alias("label"))
