@@ -167,3 +167,26 @@ def test_whole_table(spark, oracle, library):
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
         assert tokens[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["Word", "ÉCOLE", "éa", "ſ", "İx", "ß", "don", "'s", "'", "’s", "...", "$$$", "!!", ",", "_", "-", "7", "漢",
+                                 " ", "\n", "Ω", "ͅ", "ǅ", "ŉ"]), max_size=14).map("".join))
+def test_words_and_marks_are_the_library(library, text):
+    enc = token_store.encoder(public_tokenizers.path(token_store.VOCABULARY))
+    want = library.encode(text, add_special_tokens=False).ids
+    ids, counts = enc.batch([text, text])
+    assert ids.tolist() == [*want, 1, *want, 1] and counts.tolist() == [len(want) + 1] * 2
+
+
+def test_frequent_chunks_are_kept_when_others_are_forgotten(monkeypatch, library):
+    monkeypatch.setattr(token_store, "REMEMBER", 60)
+    monkeypatch.setattr(token_store, "TOGETHER", 7)
+    enc = token_store.Encoder(public_tokenizers.path(token_store.VOCABULARY))
+    for i in range(12):
+        texts = [f"often and often again {words(i, 30)}, {words(i + 100, 3)}!!", "", words(i % 3, 8)]
+        ids, counts = enc.batch(texts)
+        want = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+        if i > 3:
+            assert "often" in enc.chunks.code and len(enc.chunks) < 60 + 50

@@ -24,6 +24,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BATCH_BYTES = 4 << 20
 REMEMBER = 700_000
+#: New chunks that are encoded in one text.
+TOGETHER = 4096
 #: Symbols are stored in 16 bits; nonterminals start above the largest id.
 SYMBOLS = 1 << 16
 PAIRS = 4096
@@ -35,12 +37,46 @@ SHARD = ("part int, seq int, start long, total long, dids binary, ths binary, co
          "base int, rules binary, lengths binary, symbols binary")
 
 
+class Lists:
+    """Lists of ids by name, in growing arrays: name -> code -> place and size in one flat array."""
+
+    def __init__(self):
+        self.code: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.first, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n, total = len(self.code), len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(names) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.size[n:n + len(names)] = size
+        self.first[n:n + len(names)] = self.used + np.cumsum(size) - size
+        self.flat[self.used:self.used + total] = ids
+        self.used += total
+        self.code.update(zip(names, range(n, n + len(names))))
+
+    def joined(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the lists one after another, size of each)."""
+        size = self.size[code]
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[code] - ends + size, size)
+        return self.flat[at], size
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The library's pattern never crosses white space, so each chunk between white space is
-    encoded once: normalised, cut into words, and each new word given to the library's model.
-    The file's added tokens are cut out first, as they stand and also inside a word.
+    encoded once and remembered. Of a new chunk that is a plain word with marks behind it, word
+    and marks are told apart, as the pattern does, and the lower-case word is looked up. What is
+    new then goes to the library many pieces at a time, in one text with an added token of the
+    file between each two: the library takes added tokens out first and treats what stands
+    between them apart, as it would pieces alone, and no piece holds one.
     """
 
     def __init__(self, path: str):
@@ -48,65 +84,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        if self.tok.get_vocab_size() > SYMBOLS:
+            raise ValueError(f"ids are stored in 16 bits; the vocabulary has {self.tok.get_vocab_size()}")
         self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         # the longest first, as the library does; without added tokens nothing matches
         self.parts = re.compile("(" + ("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)") + ")")
-        self.model, self.normal = self.tok.model, self.tok.normalizer.normalize_str
-        self.cut = self.tok.pre_tokenizer.pre_tokenize_str
-        # FIXED VALUES: the byte alphabet of the tokenizer file
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.between = min(self.added, default=None)
         self.blank = regex.compile(r"\s+")
+        self.pieces = Lists()
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, tuple] = {}
-        self.known: dict[str, int] = {_END: 0}
-        self.flat, self.used = np.full(1 << 16, END_ID, np.uint16), 1
-        self.first, self.size = np.zeros(1 << 14, np.int32), np.ones(1 << 14, np.int32)
-
-    def word(self, w: str) -> tuple:
-        """Ids of one word in the byte alphabet, by the library's model."""
-        got = self.words.get(w)
-        if got is None:
-            got = self.words[w] = tuple([t.id for t in self.model.tokenize(w)])
-        return got
-
-    def mapped(self, w: str) -> str:
-        return w.encode("utf-8").decode("latin-1").translate(self.bytes)
-
-    def chunk(self, c: str) -> tuple:
-        """Ids of one chunk. Below U+0250 composing, lower-casing and letters are the same in
-        Python and the library, so plain words need not go through its normaliser and pattern."""
-        if c in self.added:
-            return (self.added[c],)
-        if max(c) < "\u0250":
-            plain = unicodedata.normalize("NFC", c).lower()
-            if plain.isalpha():
-                return self.word(self.mapped(plain))
-            if plain[:-1].isalpha() and plain[-1] in ",.":
-                return self.word(self.mapped(plain[:-1])) + self.word(plain[-1])
-        return tuple(itertools.chain.from_iterable([self.word(w) for w, _ in self.cut(self.normal(c))]))
+        """Start anew, with the chunks that came more than once if they are few enough."""
+        old = getattr(self, "chunks", None)
+        self.chunks = Lists()
+        self.chunks.add([_END], np.array([END_ID]), np.array([1]))
+        if old is not None:
+            often = self.seen[:len(old)] > 1
+            often[0] = False
+            if often.sum() < REMEMBER // 2:
+                self.chunks.add(list(itertools.compress(old.code, often.tolist())), *old.joined(np.flatnonzero(often)))
+        self.seen = np.zeros(len(self.chunks), np.int32)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each)."""
+        ids, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        together = TOGETHER if self.between else 1
+        mark = self.added[self.between] if self.between else -1
+        for a in range(0, len(pieces), together):
+            some = (self.between or "").join(pieces[a:a + together])
+            got = np.array(self.tok.encode_batch_fast([some], add_special_tokens=False)[0].ids, np.int64)
+            cut = np.flatnonzero(got == mark)
+            ids.append(np.delete(got, cut))
+            size.append(np.diff(np.concatenate(([-1], cut, [len(got)]))) - 1)
+        return np.concatenate(ids), np.concatenate(size)
 
     def _learn(self, chunks: list[str]) -> None:
-        ids = [self.chunk(c) for c in chunks]
-        n, total = len(self.known), sum(map(len, ids))
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(chunks) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        self.size[n:n + len(ids)] = size
-        self.first[n:n + len(ids)] = self.used + np.cumsum(size) - size
-        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, total)
-        self.used += total
-        self.known.update(zip(chunks, range(n, n + len(chunks))))
+        if len(self.pieces) > REMEMBER:
+            self.pieces = Lists()
+        if not len(self.pieces):
+            self.pieces.add(["", *self.added], np.array(list(self.added.values()), np.int64), np.array([0] + [1] * len(self.added)))
+        # each chunk as two pieces: a plain word in lower case and the marks behind it, or all of it and nothing.
+        # Below U+0250 composing, lower-casing and letters are the same in Python and the library
+        parts = []
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                parts += (unicodedata.normalize("NFC", word).lower(), c[len(word):])
+            else:
+                parts += (c, "")
+        new = [x for x in dict.fromkeys(parts) if x not in self.pieces.code]
+        self.pieces.add(new, *self._encoded(new))
+        ids, size = self.pieces.joined(np.fromiter(map(self.pieces.code.__getitem__, parts), np.int64, len(parts)))
+        self.chunks.add(chunks, ids, size.reshape(-1, 2).sum(axis=1))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each ended by END_ID; number of ids of each text)."""
-        if len(self.known) > REMEMBER:
+        if len(self.chunks) > REMEMBER:
             self.forget()
         chunks, bound = [], [0]
         for t in texts:
@@ -115,17 +149,24 @@ class Encoder:
                 chunks += [x for x in self.blank.split(part) if x] if _SEPARATOR(part) else part.split()
             chunks.append(_END)
             bound.append(len(chunks))
-        code = list(map(self.known.get, chunks))
-        if None in code:
-            self._learn(list(dict.fromkeys([c for c, k in zip(chunks, code) if k is None])))
-            code = map(self.known.__getitem__, chunks)
-        code = np.fromiter(code, np.int32, len(chunks))
-        size = self.size[code]
-        ends = np.cumsum(size, dtype=np.int64)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[code] - ends + size, size)
-        return self.flat[at], np.diff(np.concatenate(([0], ends))[bound])
-
-
+        code = list(map(self.chunks.code.get, chunks))
+        missing = [i for i, k in enumerate(code) if k is None]
+        if missing:
+            self._learn(list(dict.fromkeys([chunks[i] for i in missing])))
+            for i in missing:
+                code[i] = self.chunks.code[chunks[i]]
+        code = np.array(code, np.int32)
+        seen = np.bincount(code, minlength=len(self.chunks)).astype(np.int32)
+        seen[:len(self.seen)] += self.seen
+        self.seen = seen
+        ids, size = self.chunks.joined(code)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
+        return ids, np.diff(ends[bound])
+
+
+#: Marks that the library's pattern parts from the word before them and keeps together. The apostrophe is not
+#: one: with some letters it is a piece of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Stands for the end of a text among its chunks; no chunk holds a blank.
 _END = " end "
 _SEPARATOR = re.compile("[\x1c-\x1f]").search
