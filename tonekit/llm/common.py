@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sampling import bin_cut, log_bin
 from ..session import checkpoint_dir
 
 #: Stands for a null id where ids are ordered; null ids come first.
@@ -103,6 +104,16 @@ def marked(rows: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_slot", "_word", "_bits")
 
 
+def lowest(rows: DataFrame, order: Column, n: int) -> DataFrame:
+    """The rows among which the ``n`` of smallest ``order`` (a 64-bit hash) are, and hardly any others.
+
+    A pass over the hashes counts them in bins that are narrow where hashes are low, so what is
+    left to sort is about ``n`` rows, not ``n`` of every task."""
+    h = F.shiftright(order, 1) + F.lit(1 << 62)  # in the same order from 0 up
+    cut = bin_cut(rows.select(log_bin(h).alias("_b")), n)
+    return rows.filter(log_bin(h) <= cut.scalar())
+
+
 def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is not in ``drop`` (did, th); all columns stay.
 

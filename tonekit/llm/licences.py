@@ -13,7 +13,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, real_id, settled
+from .common import keyed, lowest, real_id, settled
 
 # FIXED VALUES: notices by which the licences are commonly declared
 TEMPLATES = {
@@ -155,8 +155,11 @@ def train(docs: DataFrame) -> Model:
     words. An empty table is no obstacle: the variants alone are left."""
     spark = docs.sparkSession
     known = templates(spark)
-    lines = paragraphs(docs).withColumn("w", words(F.col("p"))).filter(F.size("w") >= 3)
-    others = lines.orderBy(F.xxhash64("did", "th", "para")).limit(OTHERS).select(F.array_distinct("w").alias("u"), "w")
+    # three words or more, told without taking the line apart
+    lines = paragraphs(docs).filter(F.lower("p").rlike("(?:[a-z0-9]+[^a-z0-9]+){2}[a-z0-9]"))
+    place = F.xxhash64("did", "th", "para")
+    few = lowest(lines, place, OTHERS).orderBy(place).limit(OTHERS).withColumn("w", words(F.col("p")))
+    others = few.select(F.array_distinct("w").alias("u"), "w")
     phrases = [F.array(*[F.lit(x) for x in r.w]) for r in known.select("w").collect()]
     alike = F.greatest(*[F.size(F.array_intersect("u", t)) / F.size(F.array_distinct(t)) for t in phrases])
     names = F.arrays_overlap("u", F.array(*[F.lit(w) for w in GENERAL]))

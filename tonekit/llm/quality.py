@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bounded_batches, real_id, settled, sized_batches, text_key
+from .common import NULL_ID, bounded_batches, lowest, real_id, settled, sized_batches, text_key
 
 #: Labelled documents that the classifier is fitted on at most (those of smallest id hash).
 SAMPLE = 20_000
@@ -176,7 +176,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     known = labels.filter("doc_id is not null and quality is not null").groupBy(
         F.col("doc_id").cast("long").alias("did")).agg(F.min("quality").cast("double").alias("label"))
     feats = settled(features(docs, host, path).join(known, "did", "left"), "features")
-    some = (feats.filter("label is not null").select("f", "label", "did", "th")
+    some = (lowest(feats.filter("label is not null").select("f", "label", "did", "th"), F.xxhash64("did"), sample)
             .orderBy(F.xxhash64("did"), "th").limit(sample).select("f", "label").toArrow())
     y = some.column("label").to_numpy()
     x = np.array(some.column("f").to_pylist(), float).reshape(-1, len(FEATURES))
