@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import itertools
 import re
-import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +73,11 @@ class Encoder:
 
     The library's pattern never crosses white space, so each chunk between white space is
     encoded once and remembered. Of a new chunk that is a plain word with marks behind it, word
-    and marks are told apart, as the pattern does, and the lower-case word is looked up. What is
-    new then goes to the library many pieces at a time, in one text with an added token of the
-    file between each two: the library takes added tokens out first and treats what stands
-    between them apart, as it would pieces alone, and no piece holds one.
+    and marks are told apart, as the pattern does, and the lower-case word is looked up; a new
+    one needs the library's model alone. Other new pieces go to the whole library many at a
+    time, in one text with an added token of the file between each two: the library takes added
+    tokens out first and treats what stands between them apart, as it would pieces alone, and no
+    piece holds one.
     """
 
     def __init__(self, path: str):
@@ -91,6 +92,11 @@ class Encoder:
         self.parts = re.compile("(" + ("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)") + ")")
         self.between = min(self.added, default=None)
         self.blank = regex.compile(r"\s+")
+        self.model = self.tok.model.tokenize
+        # FIXED VALUES: the byte alphabet of the tokenizer file
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.pieces = Lists()
         self.forget()
 
@@ -98,16 +104,24 @@ class Encoder:
         """Start anew, with the chunks that came more than once if they are few enough."""
         old = getattr(self, "chunks", None)
         self.chunks = Lists()
-        self.chunks.add([_END], np.array([END_ID]), np.array([1]))
+        # code 0 ends a text, code 1 is what stands before blanks at a text's start and behind those at its end
+        self.chunks.add([_END, ""], np.array([END_ID]), np.array([1, 0]))
         if old is not None:
             often = self.seen[:len(old)] > 1
-            often[0] = False
+            often[:2] = False
             if often.sum() < REMEMBER // 2:
                 self.chunks.add(list(itertools.compress(old.code, often.tolist())), *old.joined(np.flatnonzero(often)))
         self.seen = np.zeros(len(self.chunks), np.int32)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of plain words in lower case, by the library's model."""
+        spelt = [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.bytes) for w in words]
+        ids = [[t.id for t in self.model(w)] for w in spelt]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(size.sum())), size
+
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, number of ids of each)."""
+        """(ids of all pieces, number of ids of each), by the whole library."""
         ids, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         together = TOGETHER if self.between else 1
         mark = self.added[self.between] if self.between else -1
@@ -124,44 +138,74 @@ class Encoder:
             self.pieces = Lists()
         if not len(self.pieces):
             self.pieces.add(["", *self.added], np.array(list(self.added.values()), np.int64), np.array([0] + [1] * len(self.added)))
-        # each chunk as two pieces: a plain word in lower case and the marks behind it, or all of it and nothing.
-        # Below U+0250 composing, lower-casing and letters are the same in Python and the library
+        # each chunk as two pieces: a plain word in lower case and the marks behind it, or all of it and nothing
         parts = []
         for c in chunks:
             word = c.rstrip(_MARKS)
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                parts += (unicodedata.normalize("NFC", word).lower(), c[len(word):])
+            if _plain(word):
+                parts += (word.lower(), c[len(word):])
             else:
                 parts += (c, "")
         new = [x for x in dict.fromkeys(parts) if x not in self.pieces.code]
-        self.pieces.add(new, *self._encoded(new))
+        plain = list(map(_plain, new))
+        words, others = list(itertools.compress(new, plain)), [x for x, p in zip(new, plain) if not p]
+        self.pieces.add(words, *self._words(words))
+        self.pieces.add(others, *self._encoded(others))
         ids, size = self.pieces.joined(np.fromiter(map(self.pieces.code.__getitem__, parts), np.int64, len(parts)))
         self.chunks.add(chunks, ids, size.reshape(-1, 2).sum(axis=1))
 
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each ended by END_ID; number of ids of each text)."""
+    def _codes(self, chunks: list[str]) -> np.ndarray:
+        """The code of every chunk; those not met before are learnt."""
+        code = np.fromiter(map(self.chunks.code.get, chunks, itertools.repeat(-1)), np.int32, len(chunks))
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing.tolist()]
+            names = list(dict.fromkeys(new))
+            n = len(self.chunks)
+            self._learn(names)
+            # names without repeats have got the codes from n on in their order
+            code[missing] = np.arange(n, n + len(new)) if len(names) == len(new) else [self.chunks.code[c] for c in new]
+        return code
+
+    def _parts(self, text: str) -> list[str]:
+        """The chunks of a text that may hold added tokens or the separators 1C to 1F, which are white
+        space to Arrow and Python but not to the library."""
+        return [x for part in self.parts.split(text) for x in self.blank.split(part) if x]
+
+    def batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each ended by END_ID; number of ids of each text). ``texts``: strings, as a
+        list or an Arrow array. Arrow splits them and finds equal chunks, so that a chunk of the batch is
+        one Python string and one look-up, however often it stands there."""
         if len(self.chunks) > REMEMBER:
             self.forget()
-        chunks, bound = [], [0]
-        for t in texts:
-            # str.split also cuts at the separators 1C to 1F, which are no white space to the library
-            for part in self.parts.split(t) if any(a in t for a in self.added) else [t]:
-                chunks += [x for x in self.blank.split(part) if x] if _SEPARATOR(part) else part.split()
-            chunks.append(_END)
-            bound.append(len(chunks))
-        code = list(map(self.chunks.code.get, chunks))
-        missing = [i for i, k in enumerate(code) if k is None]
-        if missing:
-            self._learn(list(dict.fromkeys([chunks[i] for i in missing])))
-            for i in missing:
-                code[i] = self.chunks.code[chunks[i]]
-        code = np.array(code, np.int32)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        own = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        for a in self.added:
+            own = pc.or_(own, pc.match_substring(texts, a))
+        special = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+        lists = pc.utf8_split_whitespace(pc.if_else(own, "", texts) if len(special) else texts)
+        each = lists.flatten().dictionary_encode()
+        code = self._codes(each.dictionary.to_numpy(zero_copy_only=False).tolist())[each.indices.to_numpy()] if len(each) else np.zeros(0, np.int32)
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64)  # of each text's chunks
+        if len(special):
+            more = [self._codes(self._parts(texts[i].as_py())) for i in special.tolist()]
+            n = np.zeros(len(ends), np.int64)
+            n[special] = list(map(len, more))
+            code = np.insert(code, np.repeat(ends[special], n[special]), np.concatenate(more))
+            ends = ends + np.cumsum(n)
+        code = np.insert(code, ends, 0)  # the end of a text has code 0
         seen = np.bincount(code, minlength=len(self.chunks)).astype(np.int32)
         seen[:len(self.seen)] += self.seen
         self.seen = seen
         ids, size = self.chunks.joined(code)
-        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
-        return ids, np.diff(ends[bound])
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
+        return ids, np.diff(upto[np.concatenate([np.zeros(1, np.int64), ends + np.arange(1, len(ends) + 1)])])
+
+
+def _plain(word: str) -> bool:
+    """Letters alone, below U+0250, where composing, lower-casing and letters are the same in Python and
+    the library. Lower case of a plain word may lie beyond; it is no plain word then."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 #: Marks that the library's pattern parts from the word before them and keeps together. The apostrophe is not
@@ -169,7 +213,6 @@ class Encoder:
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Stands for the end of a text among its chunks; no chunk holds a blank.
 _END = " end "
-_SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 
 @lru_cache(maxsize=2)
@@ -264,7 +307,7 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         enc = encoder(path)
         base = enc.tok.get_vocab_size()
         for b in sized_batches(batches, BATCH_BYTES):
-            ids, counts = enc.batch(b.column("text").to_pylist())
+            ids, counts = enc.batch(b.column("text"))
             rules, lengths, symbols = compress(ids, base)
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "start": [start], "total": [len(ids)],
