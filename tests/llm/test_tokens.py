@@ -190,3 +190,13 @@ def test_frequent_chunks_are_kept_when_others_are_forgotten(monkeypatch, library
         assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
         if i > 3:
             assert "often" in enc.chunks.code and len(enc.chunks) < 60 + 50
+
+
+def test_batches_are_gathered():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 3, 0, 40, 2, 2, 2, 9)]
+    rows = pa.table({"did": list(range(8)), "text": texts}).to_batches(max_chunksize=2)
+    got = [[t for t in b.column("text").to_pylist()] for b in token_store.gathered(rows, 10)]
+    assert [t for b in got for t in b] == texts and all(len(b) == 1 or sum(map(len, b)) <= 20 for b in got) and len(got) < 6
+    assert list(token_store.gathered(iter([]), 10)) == []

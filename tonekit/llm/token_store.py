@@ -22,7 +22,8 @@ from .common import ints, keyed, real_id, settled, sized_batches
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-BATCH_BYTES = 4 << 20
+#: Bytes of text in a shard, about.
+BATCH_BYTES = 8 << 20
 REMEMBER = 700_000
 #: New chunks that are encoded in one text.
 TOGETHER = 4096
@@ -289,6 +290,20 @@ def read_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base
     return expand(symbols[a:b], rules, base)[skip:skip + end - start]
 
 
+def gathered(batches, limit: int):
+    """Consecutive Arrow batches joined to about ``limit`` bytes of text; larger ones are cut."""
+    held, size = [], 0
+    for b in sized_batches(batches, limit):
+        more = pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
+        if held and size + more > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(b)
+        size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The shards of all documents in ascending id order, written to the shared folder.
 
@@ -306,7 +321,7 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         enc = encoder(path)
         base = enc.tok.get_vocab_size()
-        for b in sized_batches(batches, BATCH_BYTES):
+        for b in gathered(batches, BATCH_BYTES):
             ids, counts = enc.batch(b.column("text"))
             rules, lengths, symbols = compress(ids, base)
             yield pa.RecordBatch.from_pydict({
