@@ -267,3 +267,14 @@ def test_run_hashes_follow_the_sentences_alone():
     assert len({(a, b) for a, b in zip(h.tolist(), g.tolist())}) == 4  # order and number count
     zero = np.zeros((4, 2), np.uint64)
     assert len(set(sentence_spans._run_hashes(zero, np.array([0, 0, 0]), np.array([1, 2, 3]))[0].tolist())) == 3
+
+
+def test_suffix_ranks_are_the_sorted_suffixes():
+    r = np.random.default_rng(2)
+    for length in (1, 3, 8, 9, 16, 37, 100):
+        for raw in (r.integers(0, 2, 400).astype(np.uint8), np.tile(r.integers(0, 256, 90).astype(np.uint8), 5),
+                    np.zeros(length, np.uint8), np.zeros(length - 1, np.uint8)):
+            b = raw.tobytes()
+            pre = [b[i:i + length] for i in range(len(b) - length + 1)]
+            rank = {p: k for k, p in enumerate(sorted(set(pre)))}
+            assert substring.suffix_ranks(raw, length).tolist() == [rank[p] for p in pre]

@@ -254,3 +254,24 @@ def test_stages_on_rough_rows(spark, rough, nothing):
             assert out.count() <= len(ROWS)
             if name != "byte_bpe":
                 assert out.columns == docs.columns
+
+
+def test_stages_keep_one_row_of_what_repeats(spark):
+    import corpus_pipeline as P
+
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (1, text), (1, text.replace(" ", "  ")), (2, text), (None, "null " + text), (None, "null " + text),
+            (None, "null  " + text), (3, "other words that stand here alone"), (3, "quite another text of the same id"), (None, None), (None, "")]
+    docs = frame(spark, rows, clash=False)
+    got = rows_of(P.exact_dedup_stage(spark, docs, ROOT), "doc_id", "text")
+    ones = [t for i, t in got if i == 1]
+    nulls = [t for i, t in got if i is None and t]
+    assert len(ones) == 1 and len(nulls) == 1 and " ".join(nulls[0].split()) == "null " + text
+    assert [t for i, t in got if i == 3] == sorted(t for i, t in rows if i == 3) and not [t for i, t in got if i == 2]
+    assert len([t for i, t in got if not t]) == 1 and P.exact_dedup_stage(spark, docs, ROOT).columns == docs.columns
+    near = frame(spark, [(5, text), (5, text + "!"), (6, text), (7, "far from all the rest of them")], clash=False)
+    from tonekit.llm import simhash
+
+    assert len({r.component_id for r in simhash.near_duplicates(near).collect()}) <= 3
+    kept = rows_of(P.near_dedup_stage(spark, near, ROOT), "doc_id", "text")
+    assert [i for i, _ in kept].count(6) == 0 and (7, "far from all the rest of them") in kept

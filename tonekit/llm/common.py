@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,26 +81,35 @@ def real_id(col: str | Column = "did") -> Column:
     return F.when(c != F.lit(NULL_ID), c)
 
 
-#: A bit table has 2**BITS bits: 2**(BITS - 6) rows of 16 bytes at most, four megabytes.
-BITS = 24
+#: A bit table has 16 bits a key, and 2**LEAST_BITS to 2**MOST_BITS bits: 2**(MOST_BITS - 6) rows of 16 bytes,
+#: 32 megabytes, at most. Beyond some hundred million keys every row is marked and the saving is gone.
+LEAST_BITS, MOST_BITS = 20, 27
 
 
-def _slot(cols: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << BITS))
+def _slot(cols: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
 
 
-def bit_table(keys: DataFrame, cols: list[str]) -> DataFrame:
-    """Marks of the keys in a table of fixed size, whatever their number."""
-    slots = keys.select(_slot(cols).alias("slot"))
-    return settled(slots.groupBy(F.shiftright("slot", 6).alias("_word"))
-                   .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits")), "bits")
+@dataclass(frozen=True)
+class Bits:
+    table: DataFrame
+    bits: int
 
 
-def marked(rows: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
+def bit_table(keys: DataFrame, cols: list[str]) -> Bits:
+    """Marks of the keys in a table of bounded size, whatever their number. ``keys`` are counted first, so
+    they should be a written table."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+    slots = keys.select(_slot(cols, bits).alias("slot"))
+    return Bits(settled(slots.groupBy(F.shiftright("slot", 6).alias("_word"))
+                        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits")), "bits"), bits)
+
+
+def marked(rows: DataFrame, table: Bits, cols: list[str]) -> DataFrame:
     """``rows`` with ``_maybe``: false only if the row's key is not in the table. The table is
-    broadcast, its size is fixed; a false mark costs the caller work, never a wrong result."""
-    out = rows.withColumn("_slot", _slot(cols)).withColumn("_word", F.shiftright("_slot", 6))
-    out = out.join(F.broadcast(table), "_word", "left")
+    broadcast, its size is bounded; a false mark costs the caller work, never a wrong result."""
+    out = rows.withColumn("_slot", _slot(cols, table.bits)).withColumn("_word", F.shiftright("_slot", 6))
+    out = out.join(F.broadcast(table.table), "_word", "left")
     bit = F.expr("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L")
     return out.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_slot", "_word", "_bits")
 
@@ -129,6 +139,21 @@ def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col:
     return parted.filter("not _maybe").select("_row.*").unionByName(kept.select("_row.*"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of those that repeat id and text, whatever their other columns (the one of
+    smallest hash over all columns stays). Only rows whose key repeats are shuffled, and those are
+    combined in each task first."""
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_did"), text_key(text_col).alias("_th")]
+    again = settled(docs.select(*key).groupBy("_did", "_th").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "again")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key)
+    parted = marked(rows, bit_table(again, ["_did", "_th"]), ["_did", "_th"])
+    some = parted.filter("_maybe").drop("_maybe")
+    one = some.join(again, ["_did", "_th"], "left_semi").groupBy("_did", "_th").agg(
+        F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return (parted.filter("not _maybe").select("_row.*")
+            .unionByName(some.join(again, ["_did", "_th"], "left_anti").select("_row.*")).unionByName(one.select("_row.*")))
+
+
 def sized_batches(batches, limit: int, column: str = "text"):
     """Cut Arrow batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
     import pyarrow.compute as pc

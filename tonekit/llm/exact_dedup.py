@@ -25,7 +25,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     1. rows are counted by length and prefix hash, and the counts written (a few bytes each);
     2. lengths that one row alone has go, then (length, prefix hash) pairs that one row has;
-    3. what is left is marked in a bit table of fixed size, which is broadcast; the second
+    3. what is left is marked in a bit table of bounded size, which is broadcast; the second
        scan hashes whole texts only where the bit is set. A false mark costs a hash and
        nothing else, as the groups are formed by the full hash.
 
@@ -36,7 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = base.select("id", "t", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, PREFIX)).alias("ph"))
     signs = settled(signed.select("n", "ph").groupBy("n", "ph").agg(F.count("*").alias("c")), "signs")
     lengths = signs.groupBy("n").agg(F.sum("c").alias("rows")).filter("rows > 1").select("n")
-    pairs = signs.filter("c > 1").join(lengths, "n", "left_semi")
+    pairs = settled(signs.filter("c > 1").join(lengths, "n", "left_semi"), "pairs")
     left = marked(signed, bit_table(pairs, ["n", "ph"]), ["n", "ph"]).filter("_maybe")
     return (left.select("id", F.sha2("t", 256).alias("sha")).groupBy("sha")
             .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))

@@ -8,9 +8,11 @@ every 100-byte string lies in exactly one phrase, and phrases overlap by less th
 The parse of a text is its list of phrases, the dictionary the distinct phrases. Highly
 repetitive text has a small dictionary: a phrase that stood in the corpus before needs no
 further look, all its strings did too. Only where one trigger has several distinct phrases
-can strings be shared between unlike phrases; the suffixes of those phrases (one for each
-string) are sorted with their place in the corpus, and of equal ones all but the first are
-repeats. Both sorts are distributed by the trigger, respectively by the string.
+can strings be shared between unlike phrases. The dictionary is dealt out by trigger, and the
+suffix array of a trigger's phrases is built from their bytes, by prefix doubling up to 100
+bytes; suffixes of equal rank agree in 100 bytes or more. The parse says where each phrase
+stands first; with the places of its phrases a rank's suffixes come into corpus order, and
+all but the first of them are repeats.
 """
 from __future__ import annotations
 
@@ -19,6 +21,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +95,32 @@ def _parse(raw: np.ndarray, ends: np.ndarray, length: int, k: int):
     stop = np.minimum.reduceat(np.where(ok, len(least), np.arange(len(least))), first)
     size = np.minimum(stop, np.append(first[1:], len(least))) - first
     trigger = small[(least[first] & _PLACE).astype(np.int64)]
-    phrase = _mix(whole[first], whole[first + size - 1], 7) + size.astype(np.uint64)
+    data, digest = raw.tobytes(), xxhash.xxh3_64_intdigest
+    phrase = np.fromiter((digest(data[x:y]) for x, y in zip(first.tolist(), (first + size + length - 1).tolist())),
+                         np.uint64, len(first))
     return trigger, phrase, first, size, text[first]
 
 
+def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
+    """Rank by content of every suffix of ``raw`` that has ``length`` bytes, compared up to ``length``: the
+    suffix array, inverted, with one rank for suffixes whose common prefix is ``length`` or more.
+
+    Prefix doubling: ranks by w bytes and those w places on give ranks by up to 2 w bytes."""
+    n = len(raw) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    w = min(8, length)
+    key = np.zeros(len(raw) - w + 1, np.uint64)
+    for i in range(w):
+        key = (key << np.uint64(8)) | raw[i:len(raw) - w + 1 + i]
+    rank = np.unique(key, return_inverse=True)[1]
+    while w < length:
+        step = min(w, length - w)
+        rank = np.unique(rank[:-step].astype(np.uint64) << np.uint64(32) | rank[step:].astype(np.uint64), return_inverse=True)[1]
+        w += step
+    return rank
+
+
 def _pieces(texts: list[bytes], length: int):
     """Runs of (text, offset, bytes) of about PIECE bytes; long texts in overlapping pieces."""
     run, held = [], 0
@@ -293,8 +318,8 @@ def _expanded(need: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 def _shared_strings(rows: DataFrame, length: int) -> DataFrame:
     """(did, th, start, end): strings of the phrases of one trigger that an earlier phrase has.
 
-    The strings are the suffixes of the trigger's phrases; sorted by content and corpus order,
-    all but the first of equals are repeats. Whole triggers are taken, as many as a batch has.
+    The suffixes of the triggers' phrases are ranked by their bytes; of those with one rank all
+    but the first in corpus order are repeats. Whole triggers are taken, as many as a batch has.
     """
     def run(batches):
         held = None
@@ -311,12 +336,11 @@ def _shared_strings(rows: DataFrame, length: int) -> DataFrame:
                 part = held.slice(0, cut)
                 did, th, p = (ints(part, n) for n in ("did", "th", "p"))
                 pos, n = p >> _SIZE, p & ((1 << _SIZE) - 1)
-                data = part.column("data").to_pylist()
-                w, _ = _hashes(np.frombuffer(b"".join(data), np.uint8), length, 1)
+                rank = suffix_ranks(np.frombuffer(b"".join(part.column("data").to_pylist()), np.uint8), length)
                 row = np.repeat(np.arange(cut), n)
                 off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 begin = np.cumsum(n + length - 1) - (n + length - 1)
-                order, first = _first_of(np.cumsum(new[:cut])[row], w[begin[row] + off].view(np.int64), row, off, off)
+                order, first = _first_of(np.cumsum(new[:cut])[row], rank[begin[row] + off], row, off, off)
                 gone = np.zeros(len(row), bool)
                 gone[_repeats(order, first, did[row], th[row], pos[row] + off)] = True
                 edge = gone & ~np.append(False, gone[:-1] & (row[1:] == row[:-1]))
