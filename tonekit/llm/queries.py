@@ -45,7 +45,7 @@ def op7_simhash(spark, root):
 
 def op8_token_store(spark, root):
     """Place, number and checksum of every document's ids, read back from the shards."""
-    return token_store.token_table(table(spark, root, "documents")).drop("ids")
+    return token_store.token_table(table(spark, root, "documents"), with_ids=False)
 
 
 def op9_decontaminate(spark, root):

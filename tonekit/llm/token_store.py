@@ -140,19 +140,24 @@ class Encoder:
         if not len(self.pieces):
             self.pieces.add(["", *self.added], np.array(list(self.added.values()), np.int64), np.array([0] + [1] * len(self.added)))
         # each chunk as two pieces: a plain word in lower case and the marks behind it, or all of it and nothing
-        parts = []
-        for c in chunks:
+        heads, marks = [], {}
+        for i, c in enumerate(chunks):
             word = c.rstrip(_MARKS)
             if _plain(word):
-                parts += (word.lower(), c[len(word):])
+                heads.append(word.lower())
+                if len(word) < len(c):
+                    marks[i] = c[len(word):]
             else:
-                parts += (c, "")
-        new = [x for x in dict.fromkeys(parts) if x not in self.pieces.code]
+                heads.append(c)
+        new = [x for x in dict.fromkeys(itertools.chain(heads, marks.values())) if x not in self.pieces.code]
         plain = list(map(_plain, new))
         words, others = list(itertools.compress(new, plain)), [x for x, p in zip(new, plain) if not p]
         self.pieces.add(words, *self._words(words))
         self.pieces.add(others, *self._encoded(others))
-        ids, size = self.pieces.joined(np.fromiter(map(self.pieces.code.__getitem__, parts), np.int64, len(parts)))
+        code, find = np.zeros((len(chunks), 2), np.int64), self.pieces.code.__getitem__  # code 0: no ids
+        code[:, 0] = np.fromiter(map(find, heads), np.int64, len(heads))
+        code[list(marks), 1] = np.fromiter(map(find, marks.values()), np.int64, len(marks))
+        ids, size = self.pieces.joined(code.ravel())
         self.chunks.add(chunks, ids, size.reshape(-1, 2).sum(axis=1))
 
     def _codes(self, chunks: list[str]) -> np.ndarray:
@@ -336,8 +341,9 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     return settled(rows.mapInArrow(run, SHARD), "tokens")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """One row per document from the written shards: doc_id, start, n_tokens, ids_crc32, ids."""
+def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """One row per document from the written shards: doc_id, start, n_tokens, ids_crc32, ids. Without
+    ``with_ids`` the ids stay where they are read; the other columns are the same."""
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
@@ -346,26 +352,30 @@ def read_shards(shards: DataFrame) -> DataFrame:
                              r["base"]).astype("<u4")
                 ends = np.cumsum(counts)
                 docs = [ids[e - c:e] for e, c in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([r["part"]] * len(counts), pa.int32()),
-                    "did": np.frombuffer(r["dids"], "<i8"), "local": r["start"] + ends - counts, "n_tokens": counts,
-                    "ids_crc32": pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64()),
-                    "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))})
-
-    rows = shards.mapInArrow(run, "part int, did long, local long, n_tokens long, ids_crc32 long, ids array<int>")
+                cols = {"part": pa.array([r["part"]] * len(counts), pa.int32()),
+                        "did": np.frombuffer(r["dids"], "<i8"), "local": r["start"] + ends - counts, "n_tokens": counts,
+                        "ids_crc32": pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64())}
+                if with_ids:
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(cols)
+
+    rows = shards.mapInArrow(run, "part int, did long, local long, n_tokens long, ids_crc32 long"
+                             + (", ids array<int>" if with_ids else ""))
     # one row a part: the running sum is over as many rows as the writing job had tasks
     sums = shards.groupBy("part").agg(F.max(F.col("start") + F.col("total")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = settled(sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "bases")
     return rows.join(base, "part").select(
-        real_id().alias("doc_id"), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+        real_id().alias("doc_id"), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32",
+        *(["ids"] if with_ids else []))
 
 
-def token_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+                with_ids: bool = True) -> DataFrame:
     """One row per document, read back from the written shards: doc_id, start, n_tokens, ids_crc32, ids.
 
     Null texts count as empty and hold the end id alone. Null ids come first; rows with equal
     ids are ordered by text hash; repeated rows each have their own ids. Other columns are not
     read. A very long text is a shard of its own. An empty table gives no rows.
     """
-    return read_shards(write_shards(docs, path, id_col, text_col))
+    return read_shards(write_shards(docs, path, id_col, text_col), with_ids)
