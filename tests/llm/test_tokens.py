@@ -110,7 +110,7 @@ def test_added_tokens_in_the_store(spark):
 def test_grammar_round_trip(ids, a, b):
     ids = np.array(ids * 4, np.int64)
     rules, lengths, symbols = token_store.compress(ids, 10, least=4)
-    assert token_store.expand(symbols, rules, 10).tolist() == ids.tolist()
+    assert token_store.expand(symbols, rules, lengths, 10).tolist() == ids.tolist()
     a, b = sorted((min(a, len(ids)), min(b, len(ids))))
     if len(ids):
         assert token_store.read_range(symbols, rules, lengths, 10, a, b).tolist() == ids[a:b].tolist()

@@ -252,11 +252,11 @@ def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST,
         left, right = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
         left[lefts] = np.arange(1, len(lefts) + 1) * (len(rights) + 1)
         right[rights] = np.arange(1, len(rights) + 1)
-        number = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int32)
+        number = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int16)  # PAIRS at most
         number[left[chosen >> 16] + right[chosen & 0xFFFF]] = np.arange(len(chosen))
         slot = number[left[x[:-1]] + right[x[1:]]]
         at = np.flatnonzero(slot >= 0)
-        slot = slot[at]
+        slot = slot[at].astype(np.int32)
         # of neighbouring occurrences that share a symbol, every second one from the left
         run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
@@ -271,7 +271,7 @@ def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST,
     return rules, length[base:base + len(rules)], x
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+def _by_levels(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that ``symbols`` stand for; one pass for each level of the grammar."""
     x = symbols.astype(np.int64)
     while len(at := np.flatnonzero(x >= base)):
@@ -284,6 +284,17 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return x
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids that ``symbols`` stand for: the rules are expanded level by level, once, and every symbol
+    then copies its own expansion."""
+    table = np.concatenate([np.arange(base, dtype=np.uint16), _by_levels(base + np.arange(len(rules)), rules, base).astype(np.uint16)])
+    size = np.concatenate([np.ones(base, np.int32), lengths.astype(np.int32)])
+    first = (np.cumsum(size) - size).astype(np.int32)
+    many = size[symbols]
+    ends = np.cumsum(many, dtype=np.int64)
+    return table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[symbols] - ends + many, many)]
+
+
 def read_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, end: int):
     """Ids ``start`` to ``end`` of a shard, expanding only the symbols that cover them."""
     size = np.ones(len(symbols), np.int64)
@@ -292,7 +303,7 @@ def read_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base
     ends = np.cumsum(size)
     a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, end, side="left") + 1
     skip = start - (ends[a - 1] if a else 0)
-    return expand(symbols[a:b], rules, base)[skip:skip + end - start]
+    return expand(symbols[a:b], rules, lengths, base)[skip:skip + end - start]
 
 
 def gathered(batches, limit: int):
@@ -349,7 +360,7 @@ def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
             for r in batch.to_pylist():
                 counts = np.frombuffer(r["counts"], "<i8")
                 ids = expand(np.frombuffer(r["symbols"], "<u2"), np.frombuffer(r["rules"], "<u2").reshape(-1, 2),
-                             r["base"]).astype("<u4")
+                             np.frombuffer(r["lengths"], "<i8"), r["base"]).astype("<u4")
                 ends = np.cumsum(counts)
                 docs = [ids[e - c:e] for e, c in zip(ends.tolist(), counts.tolist())]
                 cols = {"part": pa.array([r["part"]] * len(counts), pa.int32()),
