@@ -297,3 +297,26 @@ def test_median_and_positions(spark):
         assert P.exact_median(df, "x").first()["median"] == float(np.median(x))
         got = {r.x: (r.c, r.before) for r in P.positions(df, "x", buckets=8).collect()}
         assert got == {float(v): (int((x == v).sum()), int((x < v).sum())) for v in set(x)}
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+@pytest.mark.parametrize("absorb", [None, "cat", "c"])
+def test_slopes_do_not_depend_on_where_x_begins(spark, weight, absorb):
+    rng = np.random.default_rng(8)
+    n = 600
+    rows = [("g", float(rng.integers(0, 40)), float(rng.normal()), int(i % 17), int(rng.integers(0, 3)), float(rng.integers(1, 5)))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, c int, cat int, w double").repartition(4)
+    far = df.withColumn("x", F.col("x") + 1e6).withColumn("y", F.col("y") + 0)
+    a, b = (P.clustered_slope(d, "g", "y", "x", "c", absorb=absorb, weight=weight).first() for d in (df, far))
+    assert a.slope == pytest.approx(b.slope, rel=1e-9, abs=1e-10) and a.se == pytest.approx(b.se, rel=1e-9, abs=1e-10)
+    # explicit regression on dummies, centred by hand
+    arr = np.array([r[1:] for r in rows], float)
+    w = arr[:, 4] if weight else np.ones(n)
+    k = {None: np.zeros(n), "cat": arr[:, 3], "c": arr[:, 2]}[absorb]
+    x, y = arr[:, 0].copy(), arr[:, 1].copy()
+    for v in np.unique(k):
+        m = k == v
+        x[m] -= np.average(x[m], weights=w[m])
+        y[m] -= np.average(y[m], weights=w[m])
+    assert a.slope == pytest.approx((w * x * y).sum() / (w * x * x).sum(), rel=1e-10)

@@ -104,6 +104,7 @@ RETWEET_TARGET = r"^RT @(\w+)"
 DOT_MENTION = r"(?:^|\s)\.@(\w+)"
 LINK = r"https?://\S+"
 DISPLAY_SUFFIX = r"\s+[DRI]-[A-Z]{2}$"
+NAME_SUFFIX = r",?\s+(Jr|Sr|II|III|IV)\.?$"
 TIDY_MAX = 220
 TIDY_CUT = 217
 EXEMPLAR_LEN = (70, 280)

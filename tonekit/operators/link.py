@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import text as TX
+from ..session import stored
 
 
 def author_summary(msgs: DataFrame, handle: str = "author_handle", name: str = "author_name",
@@ -34,48 +35,51 @@ def author_summary(msgs: DataFrame, handle: str = "author_handle", name: str = "
     smallest, all NULL -> NULL), whether most messages carry a congressional chamber
     (NULL counts as no) and the message count.
 
-    The messages are counted once per (handle, name, state, in chamber); the modes are
-    taken from those counts in two steps, so no task holds all values of a handle."""
+    The messages are counted once per (handle, name, state, in chamber), those counts once per
+    (handle, which attribute, value), and the few values of a handle decide; there is no join."""
     in_set = F.coalesce(F.col(chamber).isin(*congress), F.lit(False))
     cells = msgs.groupBy(handle, name, state, in_set.alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    both = F.array(*[F.struct(F.lit(i).alias("_k"), F.col(c).cast("string").alias("_v")) for i, c in enumerate((name, state))])
+    counts = cells.select(handle, "_n", F.when(F.col("_in"), F.col("_n")).otherwise(0).alias("_c"), F.inline(both)).groupBy(
+        handle, "_k", "_v").agg(F.sum("_n").alias("_n"), F.sum("_c").alias("_c"))
 
-    def mode(c: str) -> DataFrame:
-        counts = cells.filter(F.col(c).isNotNull()).groupBy(handle, c).agg(F.sum("_n").alias("_n"))
-        return counts.groupBy(handle).agg(F.min(F.struct(-F.col("_n"), F.col(c))).alias("_m")).select(
-            handle, F.col(f"_m.{c}").alias(c))
+    def mode(k: int, out: str):
+        known = (F.col("_k") == k) & F.col("_v").isNotNull()
+        return F.min(F.when(known, F.struct(-F.col("_n"), F.col("_v"))))["_v"].alias(out)
 
-    total = cells.groupBy(handle).agg(
-        (F.sum(F.when(F.col("_in"), F.col("_n")).otherwise(0)) / F.sum("_n") > 0.5).alias("is_congress"),
-        F.sum("_n").alias("n_tweets"))
-    return (total.join(mode(name), handle, "left").join(mode(state), handle, "left")
-            .select(handle, name, state, "is_congress", "n_tweets"))
+    first = F.col("_k") == 0  # every message counts once under each attribute
+    return counts.groupBy(handle).agg(
+        mode(0, name), mode(1, state),
+        (F.sum(F.when(first, F.col("_c"))) / F.sum(F.when(first, F.col("_n"))) > 0.5).alias("is_congress"),
+        F.sum(F.when(first, F.col("_n"))).alias("n_tweets"))
 
 
-def name_candidates(authors: DataFrame, handle: str = "author_handle", name: str = "author_name") -> DataFrame:
-    """(handle, first, last candidate, rank) -- rank 0 is the longest candidate.
+def name_candidates(authors: DataFrame, handle: str = "author_handle", name: str = "author_name",
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """(handle, first, last candidate, rank, columns to keep) -- rank 0 is the longest candidate.
 
     ``Last, First`` and ``First Middle Last`` forms; a trailing party-state tag and a
     generational suffix are removed first; one-word names give no candidates."""
     n = F.trim(TX.clean_display_name(F.col(name)))
-    n = F.trim(TX.rx_replace(n, r"(?i),?\s+(Jr|Sr|II|III|IV)\.?$", ""))
-    d = authors.select(handle, n.alias("_n"))
+    n = F.trim(TX.rx_replace(n, "(?i)" + K.NAME_SUFFIX, ""))
+    d = authors.select(handle, *keep, n.alias("_n"))
     comma = F.instr(F.col("_n"), ",") > 0
     last_part = F.trim(F.substring_index(F.col("_n"), ",", 1))
     first_part = F.trim(F.expr("substring(_n, instr(_n, ',') + 1)"))
     words = F.split(F.col("_n"), r"\s+")
-    d = d.select(handle, "_n",
+    d = d.select(handle, *keep, "_n",
                  F.when(comma, first_part).otherwise(F.element_at(words, 1)).alias("_first_raw"),
                  F.when(comma, F.split(last_part, r"\s+")).otherwise(
                      F.when(F.size(words) >= 2, F.slice(words, 2, F.size(words) - 1))).alias("_lp"),
                  (comma | (F.size(words) >= 2)).alias("_ok"))
     d = d.filter("_ok")
-    d = d.select(handle, "_first_raw", F.posexplode(F.transform(
+    d = d.select(handle, *keep, "_first_raw", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size("_lp")), lambda i: F.array_join(F.slice("_lp", i, F.size("_lp") - i + 1), " ")
     )).alias("rank", "_last_raw"))
     d = d.withColumn("first", F.element_at(F.split(TX.fold_ascii(F.col("_first_raw")), " "), 1))
     d = d.withColumn("first", F.when(F.col("first") == "", None).otherwise(F.col("first")))
     d = d.withColumn("last", TX.fold_ascii(F.col("_last_raw")))
-    return d.filter(F.col("last") != "").select(handle, "first", "last", "rank")
+    return d.filter(F.col("last") != "").select(handle, "first", "last", "rank", *keep)
 
 
 def person_keys(people: DataFrame) -> DataFrame:
@@ -100,30 +104,26 @@ def link_authors(authors: DataFrame, people: DataFrame, handles: DataFrame,
     earliest snapshot wins for a handle).  An empty or NULL state is unknown.
 
     The people are first reduced to the one answer of each key -- best person per (first,
-    last, state) and per (first, last), the only person per (last, state) -- so every join
-    of authors is one-to-one and its rows grow with the candidates, whatever namesakes
-    there are."""
-    a = authors.select("*", F.lower(handle).alias("_h"), F.nullif(F.col(state), F.lit("")).alias("_s"))
+    last, state) and per (first, last), the only person per (last, state) -- in one table, and
+    every candidate meets it once, by the keys it asks for; its rows grow with the candidates,
+    whatever namesakes there are. The authors, which two branches read, are written once."""
+    a = stored(authors, "authors").select("*", F.lower(handle).alias("_h"), F.nullif(F.col(state), F.lit("")).alias("_s"))
     seen = (handles.filter(F.col("handle").isNotNull()).groupBy(F.lower("handle").alias("_h"))
             .agg(F.min(F.struct("snapshot", "bioguide")).alias("_m")).select("_h", F.col("_m.bioguide").alias("_b1")))
     a = a.join(seen, "_h", "left")
-    cands = name_candidates(a.filter(F.col("_b1").isNull())).join(a.select(handle, "_s"), handle)
-
-    keys = person_keys(people)
-    by_state = _best(keys.withColumn("_s", F.explode(F.array_distinct("states"))), ["first", "last", "_s"], "_bs")
-    anywhere = _best(keys, ["first", "last"], "_ba")
-    last = people.filter(F.col("last_term_end") >= cut_year).select(
-        "bioguide", TX.fold_ascii(F.col("last")).alias("last"), F.explode(F.array_distinct("states")).alias("_s"))
-    only = last.groupBy("last", "_s").agg(F.count(F.lit(1)).alias("_k"), F.min("bioguide").alias("_b3")).filter("_k = 1")
-    c = (cands.join(by_state, ["first", "last", "_s"], "left").join(anywhere, ["first", "last"], "left")
-         .join(only.drop("_k"), ["last", "_s"], "left"))
-    by_name = F.when(F.col("_s").isNull(), F.col("_ba")).otherwise(F.col("_bs"))
-
-    def first(hit):
+    cands = name_candidates(a.filter(F.col("_b1").isNull()), handle, keep=["_s"])
+    # a candidate asks by full name, in its state if that is known, and by last name and state
+    asked = cands.select(handle, "rank", F.explode(F.array(
+        F.when(F.col("_s").isNull(), _key(ANYWHERE, "first", "last")).otherwise(_key(IN_STATE, "first", "last", "_s")),
+        F.when(F.col("_s").isNotNull(), _key(LAST_NAME, "last", "_s")))).alias("key")).filter(F.col("key").isNotNull())
+    hits = asked.join(person_answers(people, cut_year), "key")
+
+    def first(by_last: bool):
         """The match of the longest candidate that has one."""
-        return F.min(F.when(hit.isNotNull(), F.struct(F.col("rank"), hit.alias("b"))))["b"]
+        of = F.col("key").startswith(LAST_NAME) if by_last else ~F.col("key").startswith(LAST_NAME)
+        return F.min(F.when(of, F.struct("rank", "b")))["b"]
 
-    found = c.groupBy(handle).agg(first(by_name).alias("_b2"), first(F.col("_b3")).alias("_b3"))
+    found = hits.groupBy(handle).agg(first(False).alias("_b2"), first(True).alias("_b3"))
     out = a.join(found, handle, "left")
     method = (F.when(F.col("_b1").isNotNull(), "handle").when(F.col("_b2").isNotNull(), "name")
               .when(F.col("_b3").isNotNull(), "lastname+state"))
@@ -134,11 +134,33 @@ def link_authors(authors: DataFrame, people: DataFrame, handles: DataFrame,
     return out
 
 
-def _best(keys: DataFrame, by: list[str], out: str) -> DataFrame:
-    """Per key the person with the latest last term (a missing one counts as earliest); ties go
-    to the smallest id."""
-    one = keys.groupBy(*by, "last_term_end").agg(F.min("bioguide").alias(out))
-    return one.groupBy(*by).agg(F.max(F.struct("last_term_end", out))[out].alias(out))
+#: Kinds of keys: full name and state, full name, last name and state.
+IN_STATE, ANYWHERE, LAST_NAME = "s", "a", "l"
+
+
+def _key(kind: str, *parts: str):
+    """One string; NULL if a part is. The parts are folded names and state names, without control characters."""
+    out = F.lit(kind)
+    for p in parts:
+        out = F.concat(out, F.lit("\x1f"), F.col(p))
+    return out
+
+
+def person_answers(people: DataFrame, cut_year: str) -> DataFrame:
+    """(key, b): the person that each key stands for. Of several under a full name the one with the latest
+    last term (a missing one counts as earliest), ties to the smallest id; a last name and state stand for
+    a person only if no other with a term from ``cut_year`` on has them."""
+    full = person_keys(people).select("bioguide", "last_term_end", F.explode(F.concat(
+        F.array(_key(ANYWHERE, "first", "last")),
+        F.transform(F.array_distinct("states"), lambda s: F.concat(_key(IN_STATE, "first", "last"), F.lit("\x1f"), s)))).alias("key"))
+    last = people.filter(F.col("last_term_end") >= cut_year).select(
+        "bioguide", "last_term_end", TX.fold_ascii(F.col("last")).alias("last"), F.explode(F.array_distinct("states")).alias("_s"))
+    rows = full.unionByName(last.select("bioguide", "last_term_end", _key(LAST_NAME, "last", "_s").alias("key")))
+    # people of one key and last term first, so that a key many share is a row a term
+    terms = rows.filter(F.col("key").isNotNull()).groupBy("key", "last_term_end").agg(
+        F.min("bioguide").alias("b"), F.count(F.lit(1)).alias("_n"))
+    best = terms.groupBy("key").agg(F.max(F.struct("last_term_end", "b"))["b"].alias("b"), F.sum("_n").alias("_n"))
+    return best.filter((F.col("_n") == 1) | ~F.col("key").startswith(LAST_NAME)).select("key", "b")
 
 
 def match_report(linked: DataFrame, top: int = 30, handle: str = "author_handle") -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,9 @@ aggregations however many rows a group holds:
 
 with N rows, G clusters and K parameters of the full dummy model (the small-sample
 factor is the usual one of cluster-robust OLS software).  The rows are read once, into
-the sums w, wx, wy, wxx, wxy of each (group, category, cluster); means, A_c and B_c
-follow from those sums, so no join ever meets the rows.
+the weight, means and centred co-moments of each (group, category, cluster); A_c and B_c
+follow from those by the rule for merging two centred sums, so no join ever meets the rows
+and an x far from zero (a year, a time stamp) costs no digits.
 """
 from __future__ import annotations
 
@@ -40,26 +41,22 @@ def clustered_slope(df: DataFrame, group: str | Sequence[str] | None, y: str, x:
     slope, se, z (slope and se times ``scale``).  Rows with NULL y, x, cluster, absorb
     or weight are dropped; groups under ``min_rows`` rows are skipped.
 
-    One aggregate of the rows gives the sums per (group, absorb, cluster); centring and
-    the cluster sums A_c, B_c are arithmetic on them."""
+    One aggregate of the rows gives the co-moments per (group, absorb, cluster): Spark's own
+    variance and covariance, which tasks merge pairwise, or with weights sums of values less
+    their mean; centring and the cluster sums A_c, B_c are arithmetic on them."""
     g = _cols(group)
     centre_keys = g + _cols(absorb)
     if not centre_keys:
         raise ValueError("clustered_slope needs a group or an absorbed category to centre within")
     need = [y, x, cluster] + _cols(absorb) + _cols(weight)
     d = df.select(*g, *need).dropna(subset=need)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    cells = d.groupBy(*dict.fromkeys([*centre_keys, cluster])).agg(
-        F.sum(w).alias("_w"), F.sum(w * xs).alias("_x"), F.sum(w * ys).alias("_y"), F.sum(w * xs * xs).alias("_xx"),
-        F.sum(w * xs * ys).alias("_xy"), F.count(F.lit(1)).alias("_rows"))
-    means = cells.groupBy(*centre_keys).agg((F.sum("_x") / F.sum("_w")).alias("_mx"),
-                                            (F.sum("_y") / F.sum("_w")).alias("_my"))
+    cells = _comoments(d, list(dict.fromkeys([*centre_keys, cluster])), y, x, weight)
+    means = cells.groupBy(*centre_keys).agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_mx"),
+                                            (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_my"))
     c = cells.join(means, centre_keys)
-    mx, my = F.col("_mx"), F.col("_my")
+    dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
     per_cluster = c.groupBy(*g, cluster).agg(
-        F.sum(F.col("_xy") - my * F.col("_x") - mx * F.col("_y") + mx * my * F.col("_w")).alias("_a"),
-        F.sum(F.col("_xx") - 2 * mx * F.col("_x") + mx * mx * F.col("_w")).alias("_b"),
+        F.sum(F.col("_xy") + F.col("_w") * dx * dy).alias("_a"), F.sum(F.col("_xx") + F.col("_w") * dx * dx).alias("_b"),
         F.sum("_rows").alias("_rows"))
     a, b = F.col("_a"), F.col("_b")
     tot = per_cluster.groupBy(*g).agg(
@@ -83,6 +80,25 @@ def clustered_slope(df: DataFrame, group: str | Sequence[str] | None, y: str, x:
                       F.try_divide(slope, se).alias("z"))
 
 
+def _comoments(d: DataFrame, keys: list[str], y: str, x: str, weight: str | None) -> DataFrame:
+    """keys, _w (weight), _x and _y (means), _xx and _xy (centred sums of squares and products), _rows."""
+    xs, ys, rows = F.col(x).cast("double"), F.col(y).cast("double"), F.count(F.lit(1))
+    if not weight:
+        return d.groupBy(*keys).agg(
+            rows.cast("double").alias("_w"), F.avg(xs).alias("_x"), F.avg(ys).alias("_y"), (F.var_pop(xs) * rows).alias("_xx"),
+            (F.covar_pop(xs, ys) * rows).alias("_xy"), rows.alias("_rows"))
+    x0, y0 = (F.coalesce(d.agg(F.avg(c)).scalar(), F.lit(0.0)) for c in (xs, ys))  # any point near the values will do
+    w = F.col(weight).cast("double")
+    near = d.withColumn("_x0", x0).withColumn("_y0", y0).withColumn("_dx", xs - F.col("_x0")).withColumn("_dy", ys - F.col("_y0"))
+    s = near.groupBy(*keys).agg(
+        F.sum(w).alias("_w"), F.sum(w * F.col("_dx")).alias("_sx"), F.sum(w * F.col("_dy")).alias("_sy"),
+        F.sum(w * F.col("_dx") * F.col("_dx")).alias("_sxx"), F.sum(w * F.col("_dx") * F.col("_dy")).alias("_sxy"),
+        F.first("_x0").alias("_x0"), F.first("_y0").alias("_y0"), rows.alias("_rows"))
+    mx, my = F.try_divide("_sx", "_w"), F.try_divide("_sy", "_w")
+    return s.select(*keys, "_w", (F.col("_x0") + mx).alias("_x"), (F.col("_y0") + my).alias("_y"),
+                    (F.col("_sxx") - F.col("_sx") * mx).alias("_xx"), (F.col("_sxy") - F.col("_sx") * my).alias("_xy"), "_rows")
+
+
 def normal_p(z: str | Column) -> Column:
     """Two-sided normal p-value ``erfc(|z| / sqrt 2)`` from built-in functions.
 

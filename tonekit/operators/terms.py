@@ -1,13 +1,15 @@
 """Distinctive terms and drivers of peaks.
 
-Design for scale: one aggregate turns the messages of the peaks' surroundings into
-``(week, token) -> messages``, and that small table meets the peak windows by an
-equi-join on the week.  Drivers are sums per week and group and the id of the week's
-highest-scoring message; texts are fetched for the winning ids alone.
+Design for scale: one aggregate turns the messages into sums per week and group and
+``(week, token) -> messages``, written once; series, terms and drivers read those small
+tables, and meet the peak windows by an equi-join on the week.  Texts of examples are
+fetched for the winning ids alone.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -15,6 +17,7 @@ from ..functions import calendar as cal
 from ..functions import text as T
 from ..functions.ordering import highest, highest_id
 from ..session import materialize as keep_once
+from ..session import stored
 from .series import window_offsets
 
 ALL = ""  # stands for "any message" among the tokens, so one aggregate also counts messages
@@ -32,21 +35,89 @@ def token_counts(msgs: DataFrame, weeks: DataFrame, text: str = "text", ts: str
                        .alias("token")).groupBy("wk", "token").agg(F.count(F.lit(1)).alias("c")))
 
 
+@dataclass(frozen=True)
+class Weeks:
+    """What the spike table needs of the messages. ``groups``: per week and group the messages (n), those
+    with a score (scored), their sum (total), how many pass the threshold (flagged) and the packed
+    highest-scoring one (best). ``tokens``: per week and token, messages over the threshold."""
+
+    groups: DataFrame
+    tokens: DataFrame
+
+
+def _group_sums(score: str, tie: str, threshold: float) -> list[Column]:
+    x = F.col(score)
+    return [F.count(F.lit(1)).alias("n"), F.count(x).alias("scored"), F.sum(x).alias("total"),
+            F.sum((x > threshold).cast("long")).alias("flagged"), F.max(highest(x, tie)).alias("best")]
+
+
+_ADDED = [*[F.sum(c).alias(c) for c in ("n", "scored", "total", "flagged")], F.max("best").alias("best")]
+
+
+def week_groups(msgs: DataFrame, ts: str = "ts", score: str = "anger", group: str = "party", tie: str = "msg_id",
+                threshold: float = K.ANGRY_THRESHOLD) -> DataFrame:
+    """:class:`Weeks` ``groups`` alone."""
+    return msgs.groupBy(cal.week_start(ts).alias("wk"), F.col(group).alias("grp")).agg(*_group_sums(score, tie, threshold))
+
+
+def weeks_of(msgs: DataFrame, text: str = "text", ts: str = "ts", score: str = "anger", group: str = "party",
+             tie: str = "msg_id", threshold: float = K.ANGRY_THRESHOLD, tokens: str | None = None,
+             key: str | None = None, token_table: DataFrame | None = None) -> Weeks:
+    """The messages read once: one aggregate, written, from which series, terms and drivers follow.
+
+    Messages that hold their own text (or ``tokens``) give a row each and, over the threshold, a row for
+    each token. Where messages share texts, ``key`` names a column and ``token_table`` (key, tokens) the
+    tokens: the hot messages are counted per week and text before those meet their tokens, so no message
+    carries a text."""
+    wk, hot = cal.week_start(ts).alias("wk"), F.col(score) > threshold
+    none = F.array().cast("array<string>")
+    if key:
+        cells = stored(msgs.groupBy(wk, F.col(group).alias("grp"), F.when(hot, F.col(key)).alias("_key")).agg(
+            *_group_sums(score, tie, threshold)), "weeks")
+        texts = cells.filter(F.col("_key").isNotNull()).groupBy("wk", "_key").agg(F.sum("n").alias("n"))
+        named = token_table.select(F.col(token_table.columns[0]).alias("_key"), F.col(token_table.columns[1]).alias("_t"))
+        found = texts.join(named, "_key").select("wk", "n", F.explode(F.concat(F.array(F.lit(ALL)), F.coalesce("_t", none))).alias("token"))
+        return Weeks(cells.groupBy("wk", "grp").agg(*_ADDED), found.groupBy("wk", "token").agg(F.sum("n").alias("c")))
+    toks = F.col(tokens) if tokens else T.tokens(text)
+    # the first entry, without a token, stands for the message itself
+    own = F.concat(F.array(F.lit(None).cast("string")), F.when(hot, F.concat(F.array(F.lit(ALL)), F.coalesce(toks, none))).otherwise(none))
+    rows = msgs.select(wk, F.col(group).alias("grp"), score, tie, F.explode(own).alias("token"))
+    cells = stored(rows.groupBy("wk", "grp", "token").agg(*_group_sums(score, tie, threshold)), "weeks")
+    return Weeks(cells.filter(F.col("token").isNull()).drop("token"),
+                 cells.filter(F.col("token").isNotNull()).groupBy("wk", "token").agg(F.sum("n").alias("c")))
+
+
+def week_means(groups_table: DataFrame, score: str = "anger", groups=K.MAIN_GROUPS, min_n: int = K.MIN_N_WEEK) -> DataFrame:
+    """The weekly series of :func:`series.weekly_series` from :class:`Weeks` ``groups``."""
+    def mean(of: Column, out: str) -> Column:
+        return F.try_divide(F.sum(F.when(of, F.col("total"))), F.sum(F.when(of, F.col("scored")))).alias(out)
+
+    each = [(F.col("grp") == g, t) for g, t in zip(groups, ("dem", "rep"))]
+    return groups_table.groupBy("wk").agg(
+        F.sum("n").alias("n"), mean(F.lit(True), score), F.try_divide(F.sum("flagged"), F.sum("scored")).alias("share_angry"),
+        *[mean(of, f"{score}_{t}") for of, t in each],
+        *[F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)).alias(f"n_{t}") for of, t in each]).filter(F.col("n") >= min_n)
+
+
 def distinctive_terms(msgs: DataFrame, peaks: DataFrame, text: str = "text", ts: str = "ts",
                       score: str = "anger", min_count: int = K.MIN_TERM_COUNT, top_words: int = K.TOP_WORDS,
                       top_tags: int = K.TOP_TAGS, tokens: str | None = None,
                       threshold: float = K.ANGRY_THRESHOLD) -> DataFrame:
+    """:func:`terms_of_counts` of the messages, which are read once, by :func:`token_counts`."""
+    weeks = window_offsets(peaks).select("wk").distinct()
+    return terms_of_counts(token_counts(msgs, weeks, text, ts, score, threshold, tokens), peaks, min_count, top_words, top_tags)
+
+
+def terms_of_counts(per: DataFrame, peaks: DataFrame, min_count: int = K.MIN_TERM_COUNT, top_words: int = K.TOP_WORDS,
+                    top_tags: int = K.TOP_TAGS) -> DataFrame:
     """Per peak week, tokens over-represented in the week vs the surrounding
     weeks (-6..+7, the week itself excluded), smoothed log ratio
     ``ln((cw+1)/nw) - ln((cb+1)/nb)``, ``cw >= min_count``; top words and top tags
     joined by spaces (ties: score rounded to 9 dp desc, then token asc).
 
-    The messages are read once, by :func:`token_counts`; everything after works on the
-    (week, token) counts."""
-    win = window_offsets(peaks)
-    per = token_counts(msgs, win.select("wk").distinct(), text, ts, score, threshold, tokens)
+    ``per``: (wk, token, c), with the token ``ALL`` for any message."""
     here = F.col("in_peak")
-    counts = per.join(win, "wk").groupBy("peak", "token").agg(
+    counts = per.join(window_offsets(peaks), "wk").groupBy("peak", "token").agg(
         F.coalesce(F.sum(F.when(here, F.col("c"))), F.lit(0)).alias("cw"),
         F.coalesce(F.sum(F.when(~here, F.col("c"))), F.lit(0)).alias("cb"))
     of_peak = Window.partitionBy("peak")
@@ -72,16 +143,22 @@ def distinctive_terms(msgs: DataFrame, peaks: DataFrame, text: str = "text", ts:
 
 def peak_drivers(msgs: DataFrame, peaks: DataFrame, ts: str = "ts", score: str = "anger", group: str = "party",
                  groups=K.MAIN_GROUPS, margin: float = K.DRIVER_MARGIN, tie: str = "msg_id") -> DataFrame:
+    """:func:`drivers_of_groups` of the messages, added up per week and group."""
+    return drivers_of_groups(week_groups(msgs, ts, score, group, tie), peaks, groups, margin)
+
+
+def drivers_of_groups(per: DataFrame, peaks: DataFrame, groups=K.MAIN_GROUPS, margin: float = K.DRIVER_MARGIN) -> DataFrame:
     """Each group's mean in the peak week minus its own mean in the surrounding
     weeks; ``Dem``/``Rep``/``both`` by a margin on the raw values; and the id of the week's
-    highest-scoring message (``example_id``; ties: the smallest id)."""
+    highest-scoring message (``example_id``; ties: the smallest id).
+
+    ``per``: :class:`Weeks` ``groups``."""
+    def of(g: str, c: str, out: str) -> Column:
+        return F.sum(F.when(F.col("grp") == g, F.col(c))).alias(out)
+
     d, r = groups[0], groups[1]
-    g, x = F.col(group), F.col(score)
-    # sums and counts per week are additive: the messages are reduced before they meet the windows
-    per_wk = msgs.groupBy(cal.week_start(ts).alias("wk")).agg(
-        F.sum(F.when(g == d, x)).alias("_ds"), F.count(F.when(g == d, x)).alias("_dn"),
-        F.sum(F.when(g == r, x)).alias("_rs"), F.count(F.when(g == r, x)).alias("_rn"),
-        F.max(highest(x, tie)).alias("_ex"))
+    per_wk = per.groupBy("wk").agg(of(d, "total", "_ds"), of(d, "scored", "_dn"), of(r, "total", "_rs"), of(r, "scored", "_rn"),
+                                   F.max("best").alias("_ex"))
     m = per_wk.join(window_offsets(peaks), "wk")
     inside = F.col("in_peak")
 
@@ -109,20 +186,18 @@ def label_lookup(df: DataFrame, labels: DataFrame | None, key: str = "wk", out:
 
 def spike_report(msgs: DataFrame, min_week_n: int = K.MIN_N_WEEK, k: int = K.TOP_SPIKES,
                  min_count: int = K.MIN_TERM_COUNT, labels: DataFrame | None = None,
-                 min_gap_days: int = K.MIN_GAP_DAYS, tokens: str | None = None,
-                 token_msgs: DataFrame | None = None) -> DataFrame:
+                 min_gap_days: int = K.MIN_GAP_DAYS, **texts) -> DataFrame:
     """The seismograph table: greedy peaks of excess over the rolling baseline, each
     described by its distinctive terms, its drivers, the id of its example and a label.
 
-    ``token_msgs``: the same messages with their tokens, where attaching those is dear; the
-    series and the drivers then read ``msgs`` without texts."""
-    from .series import baseline_and_spikes, greedy_peaks, weekly_series
+    The messages are read once, by :func:`weeks_of`, which ``texts`` tells where their tokens are."""
+    from .series import baseline_and_spikes, greedy_peaks
 
-    series = baseline_and_spikes(weekly_series(msgs, min_n=min_week_n))
+    weeks = weeks_of(msgs, **texts)
+    series = baseline_and_spikes(week_means(weeks.groups, min_n=min_week_n))
     # k rows at most, read by three branches: kept once in the shared checkpoint folder
     peaks = keep_once(greedy_peaks(series, k=k, min_gap_days=min_gap_days).select(
         "wk", "n", "anger", "baseline", "excess", "spike_score"))
-    terms = distinctive_terms(msgs if token_msgs is None else token_msgs, peaks.select("wk"), min_count=min_count,
-                              tokens=tokens)
-    drivers = peak_drivers(msgs, peaks.select("wk"))
+    terms = terms_of_counts(weeks.tokens, peaks.select("wk"), min_count=min_count)
+    drivers = drivers_of_groups(weeks.groups, peaks.select("wk"))
     return label_lookup(peaks.join(terms, "wk", "left").join(drivers, "wk", "left"), labels)

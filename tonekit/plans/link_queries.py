@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import link as L
 from ..operators.joins import fixed_broadcast
 from ..sources.files import read_table
@@ -151,7 +152,7 @@ parsed AS (SELECT author_handle, state, n1, strpos(n1, ',') > 0 AS comma,
                   string_split_regex(n1, '\\s+') AS words
            FROM (SELECT author_handle, state,
                         trim(regexp_replace(trim(regexp_replace(author_name, '\\s+[DRI]-[A-Z]{{2}}$', '')),
-                                            ',?\\s+(Jr|Sr|II|III|IV)\\.?$', '', 'i')) AS n1 FROM rest) y),
+                                            '{K.NAME_SUFFIX}', '', 'i')) AS n1 FROM rest) y),
 parts AS (SELECT author_handle, state,
                  CASE WHEN comma THEN trim(substr(n1, strpos(n1, ',') + 1)) ELSE words[1] END AS first_raw,
                  CASE WHEN comma THEN string_split_regex(trim(split_part(n1, ',', 1)), '\\s+') ELSE words[2:] END AS lp

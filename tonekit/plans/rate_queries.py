@@ -90,16 +90,16 @@ def night_day_contrast(spark, root):
         "author", "name", "party", "n", "n_night", "daytime", "nighttime", "night_minus_day")
 
 
-# (label, group, era, band, name): what is known at each step, None for anything
-STEPS = [
-    ("nothing", None, None, None, None),
-    ("hour band = 00-04", None, None, "00-04 night", None),
-    ("party = Democrat", "Democrat", None, None, None),
-    ("party = Democrat, era = Biden", "Democrat", "Biden", None, None),
-    ("party = Democrat, era = Biden, 09-17", "Democrat", "Biden", "09-17 work", None),
-    ("User 4, era = Biden, 09-17", None, "Biden", "09-17 work", "User 4"),
-    ("party = Democrat, era = Biden, 00-04", "Democrat", "Biden", "00-04 night", None),
-]
+def _step(**known) -> tuple:
+    """(label, party, era, band, name): what is known at a step, None for anything; the label lists it."""
+    label = "; ".join(f"{c} is {v}" for c, v in known.items()) or "nothing"
+    return (label, *(known.get(c) for c in ("party", "era", "band", "name")))
+
+
+_ERA, _GROUP = K.ERA_CUTS[-1][1], K.MAIN_GROUPS[0]
+STEPS = [_step(), _step(band=K.NIGHT_BANDS[1]), _step(party=_GROUP), _step(party=_GROUP, era=_ERA),
+         *[_step(party=_GROUP, era=_ERA, band=b) for b in (K.DAY_BAND, K.NIGHT_BANDS[1])],
+         _step(name="User 4", era=_ERA, band=K.DAY_BAND)]
 _STEP_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in s) + ")" for s in STEPS)
 
 

@@ -205,8 +205,10 @@ def _exemplar_sql() -> str:
         HAVING count(CASE WHEN party = 'Democrat' THEN 1 END) >= {MIN_PROFILE}
            AND count(CASE WHEN party = 'Republican' THEN 1 END) >= {MIN_PROFILE}),
 picks AS (SELECT mo, 'Democrat' AS grp, {dmax} AS emo FROM g UNION ALL SELECT mo, 'Republican', {rmin} FROM g),
-cand AS (SELECT * FROM r WHERE NOT regexp_matches(text, '^RT @') AND length(text) BETWEEN {lo} AND {hi}
-         AND length(regexp_replace(text, 'https?://\\S+', '', 'g')) >= {K.EXEMPLAR_MIN_NO_LINK}),
+flags AS (SELECT *, starts_with(text, 'RT @') AS passed_on, length(text) AS size,
+                 length(array_to_string(string_split_regex(text, 'https?://\\S+'), '')) AS bare FROM r),
+cand AS (SELECT * FROM flags WHERE CASE WHEN passed_on THEN false WHEN bare < {K.EXEMPLAR_MIN_NO_LINK} THEN false
+                                        ELSE size >= {lo} AND size <= {hi} END),
 best AS (SELECT c.mo, p.grp AS party, p.emo, arg_max(c.msg_id, ({chosen}, -c.msg_id)) AS id,
                 max({chosen}) AS s
          FROM cand c JOIN picks p ON c.mo = p.mo AND c.party = p.grp GROUP BY 1, 2, 3),

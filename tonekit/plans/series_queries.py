@@ -13,7 +13,7 @@ from ..session import materialize
 from ..sources.files import read_table
 from . import oracle_views as O
 from .registry import register
-from .views import analysis_posts, msgs, winners_with_text
+from .views import analysis_posts, msgs, numbered_documents, winners_with_text
 
 MIN_WEEK = 20   # weekly floor at test scale (500 on the full corpus)
 MIN_TERM = 3    # distinctive-term floor at test scale (15 on the full corpus)
@@ -159,8 +159,10 @@ FROM peaks p LEFT JOIN terms t USING (wk) LEFT JOIN drivers r USING (wk)
 LEFT JOIN (SELECT DATE '1995-01-02' + CAST(56 * n_nationkey AS INTEGER) AS wk, n_name AS event FROM nation) e USING (wk)"""))
 def seismograph(spark, root):
     """The full spike table."""
-    report = TM.spike_report(analysis_posts(spark, root), min_week_n=MIN_WEEK, min_count=MIN_TERM, tokens="tokens",
-                             token_msgs=analysis_posts(spark, root, tokens=True), labels=week_events(spark, root))
+    docs, n_docs = numbered_documents(spark, root)
+    posts = analysis_posts(spark, root).withColumn("_doc", F.pmod(F.col("msg_id"), F.lit(n_docs)))
+    report = TM.spike_report(posts, min_week_n=MIN_WEEK, min_count=MIN_TERM, labels=week_events(spark, root), key="_doc",
+                             token_table=docs.select("_doc", T.tokens("text").alias("tokens")))
     return _with_example(spark, root, report)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import fixed_broadcast
 from ..operators.paging import row_index
+from ..session import stored
 from ..sources.files import read_table, write_bucketed
 
 SEGMENT_PARTY = {"BUILDING": "Democrat", "FURNITURE": "Democrat",
@@ -154,19 +155,25 @@ def attach_document_text(spark: SparkSession, root: str, df: DataFrame, key: str
     return df.withColumn("_doc", F.pmod(F.col(key), F.lit(n_docs))).join(docs.drop("doc_id"), "_doc").drop("_doc")
 
 
+#: Rows that :func:`winners_with_text` sends to every task at most; more are joined by shuffles.
+FEW = 100_000
+
+
 def winners_with_text(spark: SparkSession, root: str, winners: DataFrame, id_col: str) -> DataFrame:
-    """``winners`` (a few rows: k peaks, or two a month) with ``author_name`` and ``text`` of the
-    message named in ``id_col``.  They are few by construction, so they are broadcast to the
+    """``winners`` (k peaks, or two rows a month) with ``author_name`` and ``text`` of the message named
+    in ``id_col``.  They are written and counted first: if they are FEW, they are broadcast to the
     message and document tables and neither is shuffled."""
+    won = stored(winners, "winners")
+    small = F.broadcast if won.count() <= FEW else (lambda df: df)
     o = read_table(spark, root, "orders", ["o_orderkey", "o_custkey"])
     c = read_table(spark, root, "customer", ["c_custkey", "c_name"])
-    w = fixed_broadcast(winners.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("o_orderkey")).distinct())
-    who = fixed_broadcast(o.join(w, "o_orderkey")).join(c, F.col("o_custkey") == c.c_custkey)
+    w = small(won.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("o_orderkey")).distinct())
+    who = small(o.join(w, "o_orderkey")).join(c, F.col("o_custkey") == c.c_custkey)
     who = who.select(F.col("o_orderkey").alias(id_col), F.col("c_name").alias("author_name"))
     docs, n_docs = numbered_documents(spark, root)
-    named = fixed_broadcast(who.withColumn("_doc", F.pmod(F.col(id_col), F.lit(n_docs))))
+    named = small(who.withColumn("_doc", F.pmod(F.col(id_col), F.lit(n_docs))))
     text = docs.join(named, "_doc").select(id_col, "author_name", "text")
-    return winners.join(text, id_col, "left")
+    return won.join(text, id_col, "left")
 
 
 def author_terms(spark: SparkSession, root: str) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,6 +69,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stored(df, name: str = "table"):
+    """``df`` written to the shared folder as Parquet and read again: it is computed once, and later
+    plans know its true size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Reliable checkpoint of ``df`` into the shared checkpoint folder (never a
     local checkpoint): cuts the lineage of a table several branches read and survives
