@@ -26,6 +26,11 @@ DELAY = "14 days"
 _WEEK_MS = 7 * 24 * 3600 * 1000
 
 
+def _plain(texts) -> pd.Series:
+    """Strings and nulls as Python objects; a column of a string type can be chunked, which the state's writer refuses."""
+    return pd.Series([None if pd.isna(x) else x for x in texts], dtype=object)
+
+
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of a batch added up per week and group, and one row without a week that carries the
     newest time. Spark drops rows whose event time lies before the watermark ahead of any state;
@@ -34,8 +39,9 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(b):
             out = b.groupby(["wk", "grp"], dropna=False, sort=False).agg(
                 n=("n", "sum"), scored=("scored", "sum"), total=("total", "sum"), angry=("angry", "sum")).reset_index()
+            out["grp"] = _plain(out["grp"])
             out["clock"] = pd.Series(pd.NaT, index=out.index, dtype="datetime64[us]")
-            tick = pd.DataFrame({"wk": [None], "grp": [None], "n": [0], "scored": [0], "total": [0.0], "angry": [0],
+            tick = pd.DataFrame({"wk": [None], "grp": _plain([None]), "n": [0], "scored": [0], "total": [0.0], "angry": [0],
                                  "clock": pd.Series([b["clock"].max()], dtype="datetime64[us]")})
             yield out
             yield tick
@@ -61,7 +67,8 @@ def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFra
     if state.exists:
         state.remove()
     if out:
-        yield pd.DataFrame(out, columns=["wk", "grp", "n", "scored", "total", "angry", "kind"])
+        given = pd.DataFrame(out, columns=["wk", "grp", "n", "scored", "total", "angry", "kind"])
+        yield given.assign(grp=_plain(given["grp"]), kind=_plain(given["kind"]))
 
 
 def run_weekly_windows(spark: SparkSession, source: str, prepare: Callable[[DataFrame], DataFrame], out: str,
