@@ -51,7 +51,9 @@ def _group_sums(score: str, tie: str, threshold: float) -> list[Column]:
             F.sum((x > threshold).cast("long")).alias("flagged"), F.max(highest(x, tie)).alias("best")]
 
 
-_ADDED = [*[F.sum(c).alias(c) for c in ("n", "scored", "total", "flagged")], F.max("best").alias("best")]
+def _added() -> list[Column]:
+    """The sums of sums."""
+    return [*[F.sum(c).alias(c) for c in ("n", "scored", "total", "flagged")], F.max("best").alias("best")]
 
 
 def week_groups(msgs: DataFrame, ts: str = "ts", score: str = "anger", group: str = "party", tie: str = "msg_id",
@@ -77,7 +79,7 @@ def weeks_of(msgs: DataFrame, text: str = "text", ts: str = "ts", score: str = "
         texts = cells.filter(F.col("_key").isNotNull()).groupBy("wk", "_key").agg(F.sum("n").alias("n"))
         named = token_table.select(F.col(token_table.columns[0]).alias("_key"), F.col(token_table.columns[1]).alias("_t"))
         found = texts.join(named, "_key").select("wk", "n", F.explode(F.concat(F.array(F.lit(ALL)), F.coalesce("_t", none))).alias("token"))
-        return Weeks(cells.groupBy("wk", "grp").agg(*_ADDED), found.groupBy("wk", "token").agg(F.sum("n").alias("c")))
+        return Weeks(cells.groupBy("wk", "grp").agg(*_added()), found.groupBy("wk", "token").agg(F.sum("n").alias("c")))
     toks = F.col(tokens) if tokens else T.tokens(text)
     # the first entry, without a token, stands for the message itself
     own = F.concat(F.array(F.lit(None).cast("string")), F.when(hot, F.concat(F.array(F.lit(ALL)), F.coalesce(toks, none))).otherwise(none))
