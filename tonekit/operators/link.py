@@ -205,6 +205,33 @@ def people_from_records(people_json: DataFrame) -> DataFrame:
         F.to_date("bio.birthday").alias("birthday"), F.col("bio.gender").alias("gender"))
 
 
+#: Records of a YAML list that are loaded at once.
+YAML_CHUNK = 500
+
+
+def yaml_records(text: str, chunk: int = YAML_CHUNK) -> list:
+    """The records of a YAML list, as ``yaml.safe_load`` gives them, by libyaml where it is installed.
+
+    A list that starts in its first column is cut before every ``chunk``-th line that starts a record
+    there, so the nodes of one piece are held at a time. A piece that is no list of its own (an alias
+    of an earlier one, a quoted text with such a line) has the whole text loaded at once."""
+    import re
+
+    import yaml
+
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    starts = [m.start() for m in re.finditer(r"^- ", text, re.M)]
+    if len(starts) > chunk and starts[0] == 0:
+        cuts, out = [*starts[::chunk], len(text)], []
+        try:
+            for lo, hi in zip(cuts, cuts[1:]):
+                out += yaml.load(text[lo:hi], loader)
+            return out
+        except (yaml.YAMLError, TypeError):
+            pass
+    return yaml.load(text, loader) or []
+
+
 def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
     """A5: social-handle snapshots (YAML or JSON lists of records) as
     (handle, bioguide, snapshot, at) rows, earliest first.
@@ -212,7 +239,9 @@ def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
     The order is that of ``paths``: ``at`` is the position of the path (a folder or glob counts
     once, and may hold any number of files), ``snapshot`` starts with it and ends with the file
     name.  All paths are one ``binaryFile`` read; a table of the paths' places, joined to the
-    files by their folders, gives the order.  The files are parsed in Python workers."""
+    files by their folders, gives the order.  The files are parsed in Python workers where they are
+    read: only their names are joined, and go to every task.  A file is one task's work, so a large
+    snapshot should be many files."""
     import json as _json
 
     import pandas as pd
@@ -220,13 +249,11 @@ def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
     schema = "handle string, bioguide string, snapshot string, at int"
 
     def parse(batches):
-        import yaml
-
         for pdf in batches:
             rows = []
             for at, path, content in zip(pdf["at"], pdf["path"], pdf["content"]):
                 text = bytes(content).decode("utf8")
-                data = _json.loads(text) if path.endswith(".json") or text.lstrip().startswith("[{") else yaml.safe_load(text)
+                data = _json.loads(text) if path.endswith(".json") or text.lstrip().startswith("[{") else yaml_records(text)
                 for e in data or []:
                     tw = (e.get("social") or {}).get("twitter")
                     if tw:
@@ -239,7 +266,7 @@ def snapshot_handles(spark, paths: Sequence[str]) -> DataFrame:
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.call_function("substring_index", F.col("path"), F.lit("/"), n))
     owner = files.select("path", F.explode(above).alias("root")).join(places, "root").groupBy("path").agg(F.min("at").alias("at"))
-    return files.join(owner, "path").mapInPandas(parse, schema)
+    return files.join(F.broadcast(owner), "path").mapInPandas(parse, schema)
 
 
 def _places(spark, paths: Sequence[str]) -> list[tuple[str, int]]:
@@ -257,9 +284,10 @@ def handle_intervals(handles: DataFrame, handle: str = "handle", person: str = "
     by snapshot number; ``to`` is the first snapshot without it, NULL if the last one still has it.
     Handles differ by more than case.
 
-    Snapshots are few; a handle and person have one row a snapshot, so no window holds more."""
-    seen = handles.select(F.lower(F.col(handle)).alias(handle), person, at).distinct()
-    snaps = handles.select(at).distinct().withColumn("_k", F.row_number().over(Window.orderBy(at)))
+    Snapshots are few; a handle and person have one row a snapshot, so no window holds more. The rows are
+    written once: the files behind them are parsed once."""
+    seen = stored(handles.select(F.lower(F.col(handle)).alias(handle), person, at).distinct(), "handles")
+    snaps = seen.select(at).distinct().withColumn("_k", F.row_number().over(Window.orderBy(at)))
     runs = seen.join(F.broadcast(snaps), at).withColumn(
         "_run", F.col("_k") - F.row_number().over(Window.partitionBy(handle, person).orderBy("_k")))
     spans = runs.groupBy(handle, person, "_run").agg(F.min(at).alias("from"), (F.max("_k") + 1).alias("_k"))

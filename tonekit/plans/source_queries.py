@@ -101,6 +101,8 @@ def record_people(spark, root):
     return L.people_from_records(S.read_json_records(spark, paths, L.LEGISLATOR_SCHEMA))
 
 
+#: Records of a YAML file: a file is parsed by one task.
+YAML_FILE = 2000
 SNAPSHOTS = ["social-2015", "social-2017", "social-2019", "social-now"]  # in the order of time, not of names
 
 
@@ -127,7 +129,8 @@ def handle_history(spark, root):
                                                           F.struct(handle.alias("twitter")).alias("social")), paths[-1], per_file=400)
         else:
             people.select(F.concat(F.lit("- id: {bioguide: "), person, F.lit("}\n  social: {twitter: "),
-                                   F.when(there, handle).otherwise(""), F.lit("}")).alias("value")).write.text(paths[-1])
+                                   F.when(there, handle).otherwise(""), F.lit("}")).alias("value")
+                          ).write.option("maxRecordsPerFile", YAML_FILE).text(paths[-1])
     found = L.snapshot_handles(spark, paths)
     return L.handle_intervals(found)
 
