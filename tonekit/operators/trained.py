@@ -14,6 +14,7 @@ one aggregate adds the tasks' sums. What reaches the driver and every task is a
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as TX
 from ..session import materialize
@@ -48,8 +50,8 @@ def truncated(text: str | Column, max_tokens: int = MAX_TOKENS) -> Column:
 
 def first_tokens(text: str | Column, max_tokens: int = MAX_TOKENS) -> Column:
     """The first tokens of a text, in lower case, handles and links made alike (C17)."""
-    found = F.regexp_extract_all(F.lower(TX.model_input(text)), F.lit(f"{WORD}|{OTHER}"), F.lit(0))
-    return F.slice(found, 1, max_tokens)
+    head = truncated(F.lower(TX.model_input(text)), max_tokens)  # what follows is not taken apart
+    return F.slice(F.regexp_extract_all(head, F.lit(f"{WORD}|{OTHER}"), F.lit(0)), 1, max_tokens)
 
 
 def features(tokens: Column) -> Column:
@@ -69,12 +71,80 @@ def hashed(feats: Column, bits: int = BITS) -> Column:
                                          % F.lit(1 << bits)).cast("int"))
 
 
+def with_tokens(df: DataFrame, text: str, max_tokens: int) -> DataFrame:
+    """``df`` with the first tokens of ``text`` (of null: none) in ``_tokens``."""
+    return df.withColumn("_tokens", first_tokens(F.coalesce(F.col(text), F.lit("")), max_tokens))
+
+
+#: Rows whose features are held at a time, and words whose buckets a task remembers.
+ROWS, WORDS = 2000, 200_000
+
+
+class Buckets:
+    """:func:`hashed` of :func:`features` for lists of tokens, in the tasks: a word's own buckets are
+    made once a task (up to WORDS words and runs are remembered), those of a pair of words once a batch."""
+
+    def __init__(self, bits: int):
+        self.size, self.known, self.grams = 1 << bits, {}, {}
+
+    def _of(self, feature: str) -> int:
+        return int.from_bytes(hashlib.md5(feature.encode("utf8")).digest()[:4], "big") % self.size
+
+    def _run(self, gram: str) -> int:
+        got = self.grams.get(gram)
+        if got is None:
+            if len(self.grams) >= WORDS:
+                self.grams.clear()
+            got = self.grams[gram] = self._of("c" + gram)
+        return got
+
+    def _word(self, w: str) -> np.ndarray:
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) >= WORDS:
+                self.known.clear()
+            s = f" {w} "
+            got = self.known[w] = np.array([self._of("w" + w), *[
+                self._run(s[i:i + GRAM]) for i in range(max(len(w) + 3 - GRAM, 1))]], np.int64)
+        return got
+
+    def of(self, tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, row) of every feature of a list column, in the order of the rows."""
+        enc = tokens.flatten().dictionary_encode()
+        words, at = enc.dictionary.to_pylist(), enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+        if not len(at):
+            return at, row
+        own = [self._word(w) for w in words]
+        n = np.array([len(x) for x in own])
+        start, each = np.cumsum(n) - n, n[at]
+        # the buckets of token i stand at start[word of i] and after
+        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        singles, single_rows = np.concatenate(own)[np.repeat(start[at], each) + step], np.repeat(row, each)
+        next_to = np.flatnonzero(row[1:] == row[:-1])
+        code, which = np.unique(at[next_to] * len(words) + at[next_to + 1], return_inverse=True)
+        pairs = np.array([self._of(f"b{words[a]} {words[b]}") for a, b in zip(*(x.tolist() for x in np.divmod(code, len(words))))],
+                         np.int64)
+        f, r = np.concatenate([singles, pairs[which]]), np.concatenate([single_rows, row[next_to]])
+        order = np.argsort(r, kind="stable")
+        return f[order], r[order]
+
+
 def with_buckets(df: DataFrame, text: str, bits: int, max_tokens: int, name: str = "_f") -> DataFrame:
-    """``df`` with the hashed features of ``text`` (of null: none); each step is its own
-    projection, so that the token array is made once a row."""
-    t = df.withColumn("_tokens", first_tokens(F.coalesce(F.col(text), F.lit("")), max_tokens))
-    return t.withColumn("_feats", features(F.col("_tokens"))).drop("_tokens").withColumn(
-        name, hashed(F.col("_feats"), bits)).drop("_feats")
+    """``df`` without ``text``, with the hashed features of it (of null: none)."""
+    kept = [c for c in df.columns if c != text]
+
+    def run(batches):
+        buckets = Buckets(bits)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                f, row = buckets.of(b.column("_tokens"))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], lists], [*kept, name])
+
+    return with_tokens(df, text, max_tokens).select(*kept, "_tokens").mapInArrow(run, df.select(*kept).schema.add(name, ArrayType(IntegerType())))
 
 
 @dataclass(frozen=True)
@@ -239,26 +309,31 @@ def fit(examples: DataFrame, heads: Heads, text: str = "text", bits: int = BITS,
     return Model(fixed, w, b, max_tokens, tuple(history))
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with a probability column for each label, in one pass without a shuffle.
+def score(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with a probability column for each label, in one pass without a shuffle.
 
     The weights go to the tasks as one broadcast of ``2**bits`` by labels; a task holds one
     Arrow batch. Null texts count as empty."""
     spark = df.sparkSession
     state = spark.sparkContext.broadcast((model.weights, model.bias))
-    heads, labels, kept = model.heads, model.labels, df.columns
+    heads, labels, bits = model.heads, model.labels, model.bits
+    kept = list(df.columns if keep is None else keep)
 
     def run(batches):
-        for b in batches:
-            f, row, x = _lists(b.column("_f"))
-            p = probabilities(_logits(f, row, x, b.num_rows, *state.value), heads) if b.num_rows else np.zeros((0, len(labels)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(p[:, j]) for j in range(len(labels))]],
-                                             [*kept, *labels])
-
-    schema = df.schema
+        buckets = Buckets(bits)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                f, row = buckets.of(b.column("_tokens"))
+                x = 1 / np.maximum(np.bincount(row, minlength=b.num_rows), 1)
+                p = probabilities(_logits(f, row, x[row], b.num_rows, *state.value), heads)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(p[:, j]) for j in range(len(labels))]],
+                                                 [*kept, *labels])
+
+    schema = df.select(*kept).schema
     for label in labels:
         schema = schema.add(label, "double")
-    return with_buckets(df, text, model.bits, model.max_tokens).mapInArrow(run, schema)
+    return with_tokens(df, text, model.max_tokens).select(*kept, "_tokens").mapInArrow(run, schema)
 
 
 def log_loss(df: DataFrame, head: Sequence[str], multilabel: bool, predicted: Sequence[str | Column]) -> Column:

@@ -99,7 +99,7 @@ def _fit_sql(rounds: int = T.ROUNDS) -> str:
 def trained_scores(spark, root):
     """M1/M2: every document scored by the heads fitted on the labelled documents that are not held out."""
     docs = read_table(spark, root, "documents", ["doc_id", "text"])
-    return T.score(docs, _model(spark, root)).drop("text")
+    return T.score(docs, _model(spark, root), keep=["doc_id"])
 
 
 def _nll(target: str, p: str) -> str:
