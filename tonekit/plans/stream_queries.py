@@ -44,6 +44,16 @@ def resumable_scores(spark, root):
     return M.merge(spark, out, f"{out}/final", key="msg_id")
 
 
+#: Files of a part table, and bytes of a row group: steps take a few files each, so their number must not
+#: grow with the documents, and a step of few files still gives every core some row groups.
+PART_FILES, ROW_GROUP = 8, 8 << 20
+
+
+def _part_writer(df):
+    """Rows dealt out by their id, so that a part has as many files however many tasks read the documents."""
+    return df.repartition(PART_FILES, "doc_id").write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
+
+
 @register("rescored_files", _SCORES)
 def rescored_files(spark, root):
     """The same scores over four part tables of the documents, reached by a first call that ends
@@ -51,11 +61,11 @@ def rescored_files(spark, root):
     src, out = _new(spark, "document-parts"), _new(spark, "part-scores")
     docs = read_table(spark, root, "documents", ["doc_id", "text"]).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(4)))
     old = docs.withColumn("text", F.when(F.col("part") == 2, F.reverse("text")).otherwise(F.col("text")))
-    old.filter("part < 3").write.partitionBy("part").parquet(src)
-    docs.filter("part = 0").withColumn("doc_id", -F.col("doc_id") - 1).drop("part").write.parquet(f"{src}/part=9")
+    _part_writer(old.filter("part < 3")).partitionBy("part").parquet(src)
+    _part_writer(docs.filter("part = 0").withColumn("doc_id", -F.col("doc_id") - 1).drop("part")).parquet(f"{src}/part=9")
     M.update(spark, src, _score_docs, out, max_files=2, max_steps=2)
     for part in (2, 3):
-        docs.filter(F.col("part") == part).drop("part").write.mode("overwrite").parquet(f"{src}/part={part}")
+        _part_writer(docs.filter(F.col("part") == part).drop("part")).parquet(f"{src}/part={part}")
     docs.filter("false").drop("part").write.mode("overwrite").parquet(f"{src}/part=9")
     M.update(spark, src, _score_docs, out, max_files=3)
     return M.merge(spark, out, f"{out}/final")
