@@ -5,10 +5,13 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from tonekit.functions import text as TX
 from tonekit.operators import link as L
+from tonekit.operators import scoring, terms
+from tonekit.operators import trained as T
+from tonekit.plans import load_all, stream_queries
 from tonekit.plans import source_queries as SQ
 from tonekit.plans.registry import QUERIES
-from tonekit.plans import load_all
 from tonekit.session import checkpoint_dir
 
 load_all()
@@ -43,3 +46,60 @@ def test_a_snapshot_is_parsed_once(spark, tmp_path):
 def test_records_cut_at_any_place_are_those_of_the_whole_list(text):
     for chunk in (1, 2, 3):
         assert L.yaml_records(text, chunk) == (yaml.safe_load(text) or [])
+
+
+def test_buckets_made_in_tasks_are_those_of_the_columns(spark):
+    texts = ["The cat sat on the mat, the cat.", "", None, "@me https://x.y/z İstanbul ÀÉ 𝔘nicode " + "w" * 70, "a", "? !", "b a " * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    found = F.regexp_extract_all(F.lower(TX.model_input(F.coalesce(F.col("text"), F.lit("")))), F.lit(f"{T.WORD}|{T.OTHER}"), F.lit(0))
+    old = T.hashed(T.features(F.slice(found, 1, 128)), 15)
+    want = {r.i: sorted(r.f) for r in df.select("i", old.alias("f")).collect()}
+    made = T.with_buckets(df, "text", 15, 128)
+    assert {r.i: sorted(r._f) for r in made.collect()} == want
+    assert "md5" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_capitals_are_not_looked_up_one_by_one(spark):
+    df = spark.createDataFrame([("aBCd É É!",), (None,), ("",)], "text string")
+    f = scoring._features(F.col("text"))["caps"]
+    assert [r[0] for r in df.select(f).collect()] == [2 / 9, None, 0.0]
+    assert "translate" not in df.select(f)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rescored_files_take_as_many_steps_however_many_files_the_documents_are(spark, tmp_path, monkeypatch):
+    spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("good day "), F.col("id").cast("string")).alias("text")
+                            ).repartition(24).write.option("maxRecordsPerFile", 5).parquet(str(tmp_path / "documents.parquet"))
+    steps, update = [], stream_queries.M.update
+    monkeypatch.setattr(stream_queries.M, "update", lambda *a, **k: steps.append(update(*a, **k)) or steps[-1])
+    monkeypatch.setattr(stream_queries, "PART_FILES", 2)
+    assert QUERIES["rescored_files"](spark, str(tmp_path)).count() == 200
+    assert sum(s["steps"] for s in steps) <= 6
+
+
+def test_tokens_are_added_up_before_they_are_rows(spark):
+    days = [18000, 18007, 18014]
+    data = [(days[: i % 3 + 1], list(range(1, i % 3 + 2)), ["", *{f"w{i % 5}", f"w{i % 7}", f"x{i}"}]) for i in range(60)] + [([1], [2], [""])]
+    df = spark.createDataFrame(data, "d array<int>, n array<long>, t array<string>").coalesce(1)
+    want = {}
+    for d, n, t in data:
+        for x, c in zip(d, n):
+            for w in t:
+                want[x, w] = want.get((x, w), 0) + c
+    batches = df.toArrow().to_batches()
+    got = [(r["d"], r["token"], r["c"]) for b in terms._tokens_by_week(batches) for r in b.to_pylist()]
+    assert {(x, w): c for x, w, c in got} == want and len(got) == len(want)
+    for cells, pairs in ((1, 5), (40, 9)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(terms, "CELLS", cells)
+            m.setattr(terms, "PAIRS", pairs)
+            out = {}
+            for b in terms._tokens_by_week(batches):
+                for r in b.to_pylist():
+                    out[r["d"], r["token"]] = out.get((r["d"], r["token"]), 0) + r["c"]
+            assert out == want
+
+
+def test_spike_terms_joins_no_tokens_to_posts(spark):
+    root = "/root/testdata/sf0.001"
+    plan = QUERIES["spike_terms"](spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "orders.parquet" not in plan and "l_discount" not in plan
