@@ -114,6 +114,40 @@ def test_merge_makes_one_sorted_table(spark, place):
     assert sorted(r.msg_id for r in M.merge(spark, out, final, key="msg_id").collect()) == [1, 2, 3, 11, 12, 13, 21, 22, 23, 100]
 
 
+def test_no_task_holds_memory_for_every_partition(place):
+    """In a process of its own, for its event log and small pages: a table that a task holds is 1 MB."""
+    import json
+    import subprocess
+    import sys
+
+    src, out = place
+    for i in range(3):
+        put(src, f"f{i}.parquet", [10 * i, 10 * i + 1])
+    events = tempfile.mkdtemp(prefix="tonekit-events-")
+    code = f"""
+from pyspark.sql import SparkSession, functions as F
+from tonekit.streaming import manifest as M
+conf = {{"spark.ui.enabled": "false", "spark.default.parallelism": "32", "spark.sql.shuffle.partitions": "32",
+        "spark.buffer.pageSize": "1m", "spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://{events}",
+        "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"}}
+s = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+score = lambda df: df.select("msg_id", F.length("text").alias("score"), M.FILE)
+assert M.update(s, {src!r}, score, {out!r}, max_files=2) == {{"steps": 2, "scored": 3, "gone": 0, "rows": 6}}
+assert M.merge(s, {out!r}, {out!r} + "-final", key="msg_id").count() == 6
+s.stop()
+"""
+    env = dict(os.environ, PYTHONPATH=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=env)
+    assert got.returncode == 0, got.stderr[-2000:]
+    peaks = []
+    for name in os.listdir(events):
+        if not name.startswith("."):
+            with open(os.path.join(events, name)) as f:
+                ended = [e for e in map(json.loads, f) if e["Event"] == "SparkListenerTaskEnd"]
+            peaks += [e["Task Metrics"]["Peak Execution Memory"] for e in ended]
+    assert peaks and max(peaks) < 8 << 20
+
+
 # -- committed steps -----------------------------------------------------------------------------
 def test_a_folder_left_by_a_crash_is_written_again(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="tonekit-step-"), "table")

@@ -65,7 +65,8 @@ def update(spark: SparkSession, source: str, scorer: Callable[[DataFrame], DataF
     ``scorer`` gets the rows of a step's files with a column ``_file`` and must keep that column.
     A killed call loses the step it was in; the next call goes on after the last finished one.
     ``max_steps`` ends a call early. Returns steps, files scored, files gone, rows written.
-    The names of changed files come to the driver, as they do for any read of those files.
+    The names of changed files come to the driver, as they do for any read of those files, and how many
+    rows each of a step's files gave.
     """
     out = out.rstrip("/")
     todo = sorted(changes(spark, source, out, glob).collect(), key=lambda r: r.file)
@@ -82,19 +83,16 @@ def update(spark: SparkSession, source: str, scorer: Callable[[DataFrame], DataF
             if FILE not in scored.columns:
                 raise ValueError(f"the scorer must keep the column {FILE}")
             write_parquet(scored, f"{out}/scores/gen={gen}")
-            counts = spark.read.parquet(f"{out}/scores/gen={gen}").groupBy(F.col(FILE).alias("file")).agg(
-                F.count(F.lit(1)).alias("rows"))
+            counts = {r.file: r.rows for r in spark.read.parquet(f"{out}/scores/gen={gen}").groupBy(
+                F.col(FILE).alias("file")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # a row a file of the step
         else:
-            counts = spark.createDataFrame([], "file string, rows long")
-        entries = spark.createDataFrame([(r.file, r.bytes, r.modified, r.live) for r in step],
-                                        "file string, bytes long, modified timestamp, live boolean")
-        # at most ``max_files`` rows, in one file: the manifest of a step appears in one move
-        log = (entries.join(counts, "file", "left")
-               .select("file", "bytes", "modified", F.coalesce("rows", F.lit(0)).alias("rows"), "live",
-                       F.lit(gen).cast("long").alias("gen")).coalesce(1).persist())
-        write_parquet(log.drop("gen"), f"{out}/manifest/gen={gen}")
-        done["rows"] += log.agg(F.sum("rows")).first()[0]
-        log.unpersist()
+            counts = {}
+        # at most ``max_files`` rows, in one file: the manifest of a step appears in one move. Nothing is joined or
+        # summed up below the coalesce, where one task would hold a table for each of the partitions it takes in.
+        log = spark.createDataFrame([(r.file, r.bytes, r.modified, counts.get(r.file, 0), r.live) for r in step],
+                                    "file string, bytes long, modified timestamp, rows long, live boolean")
+        write_parquet(log.coalesce(1), f"{out}/manifest/gen={gen}")
+        done["rows"] += sum(counts.get(r.file, 0) for r in step)
         done["steps"] += 1
         done["scored"] += len(live)
         done["gone"] += len(step) - len(live)
