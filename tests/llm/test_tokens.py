@@ -1,6 +1,7 @@
 """Byte-level BPE against tiktoken, token shards against tokenizers, grammar round trips."""
 import base64
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -73,6 +74,40 @@ def test_long_piece(own, oracle):
     assert own.encode_batch([text])[0] == oracle.encode_ordinary(text)
 
 
+def peak_of(work) -> float:
+    """Megabytes that ``work()`` has at once."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_is_held_as_numbers(own):
+    texts = [words(400, i) for i in range(700)]
+    assert sum(map(len, texts)) == 1_590_247
+    own.encode_batch(texts)  # its words are known from here on
+    assert peak_of(lambda: own.encode_batch(texts)) < 12  # 20.8 with a string for every word, 8.2 without
+
+
+def test_pieces_are_merged_in_small_matrices(own):
+    letters = np.random.default_rng(3).integers(97, 123, (10_000, 60), np.uint8)
+    pieces = [x.tobytes() for x in letters]
+    got = []
+    assert peak_of(lambda: got.extend(own.merge(pieces))) < 20  # 37.0 in matrices of 16,384 rows, 10.6 without
+    assert [list(x) for x in got[::500]] == [own.merge_long(p) for p in pieces[::500]]
+
+
+def test_a_worker_forgets_units_and_goes_on(oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 50)
+    own = bpe.Bpe(bpe.vocabulary_path(), public_tokenizers.PATTERN)
+    for i in range(6):
+        texts = [words(40, i), "", f"a  {words(3, i)}\n", words(40, i + 1)]
+        assert own.encode_batch(texts) == [oracle.encode_ordinary(t) for t in texts]
+        assert len(own.known) == len(own.numbers) < 200
+
+
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(TEXTS)
 def test_chunks_are_the_library(library, text):

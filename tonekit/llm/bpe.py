@@ -11,6 +11,9 @@ import hashlib
 import heapq
 import itertools
 import re
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,9 +23,11 @@ from pyspark.sql import DataFrame
 from .common import keyed, sized_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes of text taken at once, and distinct pieces a worker remembers.
-BATCH_BYTES = 4 << 20
+#: Bytes of text taken at once, and distinct units a worker remembers.
+BATCH_BYTES = 1 << 20
 REMEMBER = 150_000
+#: Cells of a matrix of pieces, a megabyte; a round has some ten arrays of that size at once.
+MATRIX_CELLS = 1 << 17
 #: Longer pieces are merged with a heap: the matrix takes a round for each merge.
 MATRIX_BYTES = 256
 _NONE = np.int64(1 << 40)
@@ -91,7 +96,9 @@ class Bpe:
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         key, rank = np.array(pairs, np.int64).T
         self.table = PairTable(np.ascontiguousarray(key), np.ascontiguousarray(rank))
-        self.known: dict[str, tuple] = {}
+        self.numbers: dict[str, int] = defaultdict()  # a unit that is asked for gets the next number
+        self.numbers.default_factory = self.numbers.__len__
+        self.known: list[tuple] = []  # ids of each number's unit
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.whole = list(range(len(self.tokens)))  # one object an id, however many pieces hold it
 
@@ -169,8 +176,9 @@ class Bpe:
                 buckets.setdefault((len(p) + 3) // 4, []).append(i)
         for quarter, rows in buckets.items():
             width = 4 * quarter
-            for s in range(0, len(rows), 1 << 14):
-                some = rows[s:s + (1 << 14)]
+            step = MATRIX_CELLS // width
+            for s in range(0, len(rows), step):
+                some = rows[s:s + step]
                 raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in some), np.uint8)
                 ids = self.byte[raw.reshape(-1, width)]
                 size = np.array([len(pieces[i]) for i in some])
@@ -192,18 +200,25 @@ class Bpe:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.units(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known = self.known
-        new = [u for u in set(itertools.chain.from_iterable(cut)) if u not in known]
-        parts = [self.pattern.findall(u) for u in new]
+    def encoded(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text. A batch's units are held as numbers, four bytes each; the units
+        themselves and the ids are there for one text at a time."""
+        numbers, known = self.numbers, self.known
+        if len(known) > REMEMBER:
+            numbers.clear()
+            known.clear()
+        cut = [array("i", map(numbers.__getitem__, self.units(t))) for t in texts]
+        parts = [self.pattern.findall(u) for u in itertools.islice(numbers, len(known), None)]
         pieces = list(set(itertools.chain.from_iterable(parts)))
         ids = dict(zip(pieces, self.merge([p.encode("utf-8", "surrogatepass") for p in pieces])))
-        for u, ps in zip(new, parts):
-            known[u] = ids[ps[0]] if len(ps) == 1 else tuple(itertools.chain.from_iterable([ids[p] for p in ps]))
-        return [list(itertools.chain.from_iterable(map(known.__getitem__, u))) for u in cut]
+        known.extend([ids[ps[0]] if len(ps) == 1 else tuple(itertools.chain.from_iterable([ids[p] for p in ps]))
+                      for ps in parts])
+        del parts, pieces, ids
+        for c in cut:
+            yield list(itertools.chain.from_iterable(map(known.__getitem__, c)))
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return list(self.encoded(texts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -235,12 +250,16 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches):
         bpe = load(path, pattern)
         for b in sized_batches(batches, BATCH_BYTES):
-            ids = bpe.encode_batch(b.column("text").to_pylist())
+            n, ids_sha, decoded_sha, flat = [], [], [], array("i")
+            for ids in bpe.encoded(t.as_py() for t in b.column("text")):
+                n.append(len(ids))
+                ids_sha.append(sha(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
+                decoded_sha.append(sha(bpe.decode(ids)).hexdigest())
+                flat.extend(ids)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("did"), "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                "ids_sha256": [sha(" ".join(map(bpe.decimal.__getitem__, x)).encode()).hexdigest() for x in ids],
-                "decoded_sha256": [sha(bpe.decode(x)).hexdigest() for x in ids],
-                "ids": pa.array(ids, pa.list_(pa.int32()))})
+                "doc_id": b.column("did"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha,
+                "decoded_sha256": decoded_sha,
+                "ids": pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.array(flat, np.int32))})
 
     from .common import real_id
 
